@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pavewise.llm import bpe, media, token_store
+from pavewise.llm import bpe, media, mixing, secret_scan, simhash, token_store, toxicity
 from pavewise.llm.common import prepare, scratch, table
 
 
@@ -25,10 +26,33 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"), mixing.repeating((5.0, 2.0, 1.0)))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.scores(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.summary(secret_scan.scan_documents(table(spark, sf_dir, "documents")))
+
+
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.classes(table(spark, sf_dir, "documents"), shingle=4, max_bits=4)
+    return found.select("doc_id", simhash.hex_fingerprint().alias("fingerprint"), F.col("component_id"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_store": op1_token_store,
     "op2_media_columns": op2_media_columns,
     "op5_bpe": op5_bpe,
+    "op6_mixing": op6_mixing,
+    "op7_toxicity": op7_toxicity,
+    "op8_secret_scan": op8_secret_scan,
+    "op9_simhash": op9_simhash,
 }
 
 ORACLE_SQL: dict[str, str] = {}
