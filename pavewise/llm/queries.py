@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pavewise.llm import bpe, media, mixing, secret_scan, simhash, token_store, toxicity
+from pavewise.llm import bpe, licenses, media, mixing, secret_scan, simhash, spotsigs, token_store, toxicity
 from pavewise.llm.common import prepare, scratch, table
 
 
@@ -22,6 +22,14 @@ def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.payload_features(media.store_texts(table(spark, sf_dir, "documents")))
 
 
+def op3_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.compare_with_next(table(spark, sf_dir, "documents"))
+
+
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"))
 
@@ -48,6 +56,8 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_store": op1_token_store,
     "op2_media_columns": op2_media_columns,
+    "op3_spotsigs": op3_spotsigs,
+    "op4_license_scan": op4_license_scan,
     "op5_bpe": op5_bpe,
     "op6_mixing": op6_mixing,
     "op7_toxicity": op7_toxicity,
