@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pavewise.llm import bpe, licenses, media, mixing, secret_scan, simhash, spotsigs, token_store, toxicity
+from pavewise.llm import bpe, licenses, media, mixing, pseudo_lm, secret_scan, simhash, spotsigs, token_store, toxicity
 from pavewise.llm.common import prepare, scratch, table
 
 
@@ -53,6 +53,10 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_fingerprint().alias("fingerprint"), F.col("component_id"))
 
 
+def op10_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudo_lm.score(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_store": op1_token_store,
     "op2_media_columns": op2_media_columns,
@@ -63,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_toxicity": op7_toxicity,
     "op8_secret_scan": op8_secret_scan,
     "op9_simhash": op9_simhash,
+    "op10_pseudo_likelihood": op10_pseudo_likelihood,
 }
 
 ORACLE_SQL: dict[str, str] = {}
