@@ -15,7 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pavewise.llm.common import pick, stored, word_count
+from pavewise.llm.common import stored, word_count
 
 #: Patterns that the driver holds; more raise an error, none are dropped.
 MOST_PATTERNS = 50_000
@@ -129,7 +129,7 @@ def _cuts(rows: DataFrame, amounts: dict[int, int]) -> dict[int, tuple[int, list
     return done
 
 
-def mix(df: DataFrame, weight_of: Callable[[int, str | None], float], share: float = 1.5, repeat: int = 2, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", size=word_count) -> DataFrame:
+def mix(df: DataFrame, weight_of: Callable[[int, str | None], float], share: float = 1.5, repeat: int = 2, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", size=word_count, carry: bool = False) -> DataFrame:
     """(doc_id, text_hash, size, copies, taken, source_size, target), one row for each row of df.
 
     source_col: a string, or an array of strings where sources overlap (its source_size and target are then null, as no
@@ -137,27 +137,35 @@ def mix(df: DataFrame, weight_of: Callable[[int, str | None], float], share: flo
     the mix takes the document (0 to repeat), taken = copies * size. Null text has size 0 and follows its pattern's
     draw. Rows that repeat a doc_id with the same text are drawn apart, which of them is without meaning. The order is a
     hash of doc_id, text and seed, so reruns and other partitionings agree. An empty table gives none.
+
+    carry: give df's own columns and ``copies`` as the last one instead, for a caller that goes on with the rows.
     """
-    docs = pick(df, doc_id=id_col, text=text_col, source=source_col)
+    names = df.columns
+    at = {new: F.col(f"c{names.index(old)}").alias(new) for new, old in (("doc_id", id_col), ("text", text_col), ("source", source_col))}
+    docs = df.toDF(*[f"c{i}" for i in range(len(names))])
+    own = [f"c{i}" for i in range(len(names))] if carry else []
+    docs = docs.select(*own, *at.values())
     many = docs.schema["source"].dataType.typeName() == "array"
     mask = F.lit((1 << STEP * LEVELS) - 1)
     key = lambda *c: F.xxhash64(*c).bitwiseAND(mask)
     sources = F.coalesce(F.array_sort(F.array_distinct("source")), F.array().cast("array<string>")) if many else F.array(F.col("source").cast("string"))
-    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), size(F.col("text")).alias("size"), sources.alias("sources"))
+    rows = docs.select(*own, "doc_id", F.xxhash64("text").alias("text_hash"), size(F.col("text")).alias("size"), sources.alias("sources"))
     rows = rows.withColumns({"h1": key(F.col("doc_id"), F.col("text_hash"), F.lit(seed)), "row": F.monotonically_increasing_id()})
     rows = stored(rows, "mix-rows").withColumn("h2", key(F.col("row"), F.lit(seed)))
     found = rows.groupBy("sources").agg(F.sum("size").alias("size")).limit(MOST_PATTERNS + 1).collect()
     if len(found) > MOST_PATTERNS:
         raise ValueError(f"over {MOST_PATTERNS} membership patterns")
+    if not found and carry:
+        return rows.select(*own, F.lit(0).alias("copies")).toDF(*names, "copies")
     if not found:
         return rows.select("doc_id", "text_hash", "size", F.lit(0).alias("copies"), F.lit(0).cast("long").alias("taken"), F.lit(0).cast("long").alias("source_size"), F.lit(0.0).alias("target"))
     patterns = sorted(((tuple(r["sources"] or ()), int(r["size"])) for r in found), key=lambda x: [(s is None, s or "") for s in x[0]])
-    names = sorted({s for p, _ in patterns for s in p}, key=lambda s: (s is None, s or ""))
-    sizes = [sum(n for p, n in patterns if s in p) for s in names]
-    aims = dict(zip(names, targets(sizes, [weight_of(i, s) for i, s in enumerate(names)], share, repeat), strict=True))
+    ranked = sorted({s for p, _ in patterns for s in p}, key=lambda s: (s is None, s or ""))
+    sizes = [sum(n for p, n in patterns if s in p) for s in ranked]
+    aims = dict(zip(ranked, targets(sizes, [weight_of(i, s) for i, s in enumerate(ranked)], share, repeat), strict=True))
     given = flow([(frozenset(p), n) for p, n in patterns], {s: round(t) for s, t in aims.items()}, repeat)
     whole = [min(repeat, g // n) if n else 0 for g, (_, n) in zip(given, patterns, strict=True)]
-    size_of = dict(zip(names, sizes, strict=True))
+    size_of = dict(zip(ranked, sizes, strict=True))
     numbered = rows.sparkSession.createDataFrame(
         [(i, list(p), w, size_of[p[0]] if len(p) == 1 else None, aims[p[0]] if len(p) == 1 else None) for i, ((p, _), w) in enumerate(zip(patterns, whole, strict=True))],
         "p int, sources array<string>, whole int, source_size long, target double",
@@ -171,9 +179,20 @@ def mix(df: DataFrame, weight_of: Callable[[int, str | None], float], share: flo
     y = F.expr(f"shiftright(h2, {STEP} * ({LEVELS} - l2))")
     drawn = (x < F.col("a")) | ((x == F.col("a")) & ((y < F.col("b")) | ((y == F.col("b")) & F.col("last"))))
     out = rows.join(F.broadcast(table), "p", "left").withColumn("copies", F.col("whole") + F.coalesce(drawn, F.lit(False)).cast("int"))
+    if carry:
+        return out.select(*own, "copies").toDF(*names, "copies")
     return out.select("doc_id", "text_hash", "size", "copies", (F.col("copies") * F.col("size")).alias("taken"), "source_size", "target")
 
 
+def mixed_rows(df: DataFrame, weight_of: Callable[[int, str | None], float], **options) -> DataFrame:
+    """df's rows as often as the mix takes them, columns as they came."""
+    out = mix(df, weight_of, carry=True, **options)
+    names = df.columns
+    flat = out.toDF(*[f"c{i}" for i in range(len(names))], "copies")
+    often = flat.select(*[f"c{i}" for i in range(len(names))], F.explode(F.array_repeat(F.lit(0), F.col("copies"))).alias("_"))
+    return often.drop("_").toDF(*names)
+
+
 def repeating(weights: tuple[float, ...] = (5.0, 2.0, 1.0)) -> Callable[[int, str | None], float]:
     """Weights that repeat along the sources' order."""
     return lambda rank, _: weights[rank % len(weights)]
