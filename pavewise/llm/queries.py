@@ -70,4 +70,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_pseudo_likelihood": op10_pseudo_likelihood,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLES: dict[str, str] = {}
