@@ -49,8 +49,8 @@ class _Encoder:
         self.size = self.library.get_vocab_size(with_added_tokens=True)
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.words = regex.compile(PATTERN)
-        self.pieces = chunks.Cache(self._word, 100_000)
-        self.cache = chunks.Cache(lambda chunk: self._words(" " + chunk), 350_000)
+        self.pieces = chunks.Cache(self._word, 300_000)
+        self.cache = chunks.Cache(lambda chunk: self._words(" " + chunk), 800_000)
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
