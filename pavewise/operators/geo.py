@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pavewise.session import checkpointed
+
 SEGMENT = ("x1", "y1", "ux", "uy", "length_m")
 
 
@@ -123,20 +125,19 @@ def nearest_segments(points: DataFrame, segments: DataFrame, r: float, key: str)
 def nearest_point(left: DataFrame, right: DataFrame, key: str, right_id: str, size: float, rings: int = 30) -> DataFrame:
     """For each left row (lx, ly) the nearest right row (rx, ry), ties by right_id: rings of cells that grow until found.
 
-    A ring's answer is kept only if its distance is at most what the searched cells are sure to cover. Left rows without an
-    answer after ``rings`` doublings would need a search beyond size * 2 ** rings, more than any metric plane.
+    A ring's answer is kept only if its distance is at most what the searched cells are sure to cover; a checkpoint after
+    each ring keeps the rounds from repeating one another. Left rows without an answer after ``rings`` doublings would need a search beyond size * 2 ** rings, more than any metric plane.
     """
     out, todo = None, left
-    reach = 1
     for _ in range(rings):
         cells = todo.withColumn("c", F.explode(around(F.col("lx"), F.col("ly"), size))).select(todo["*"], "c.cx", "c.cy")
         r = right.withColumns({"cx": _cell(F.col("rx"), size), "cy": _cell(F.col("ry"), size)})
         dx, dy = F.col("rx") - F.col("lx"), F.col("ry") - F.col("ly")
         met = cells.join(r, ["cx", "cy"]).withColumn("d", F.round(F.sqrt(dx * dx + dy * dy), 9)).filter(F.col("d") <= size)
-        best = met.groupBy(key).agg(F.min(F.struct("d", right_id)).alias("b")).select(key, F.col(f"b.{right_id}").alias(right_id), F.col("b.d").alias("d"))
+        best = checkpointed(met.groupBy(key).agg(F.min(F.struct("d", right_id)).alias("b")).select(key, F.col(f"b.{right_id}").alias(right_id), F.col("b.d").alias("d")))
         out = best if out is None else out.unionByName(best)
-        todo = todo.join(best, key, "left_anti")
+        todo = checkpointed(todo.join(best, key, "left_anti"))
         if todo.isEmpty():
             return out
-        size, reach = size * 2, reach + 1
+        size *= 2
     raise RuntimeError("no right rows within reach")
