@@ -147,3 +147,29 @@ def tier(share: Column) -> Column:
 def wkt_line(xs: Column, ys: Column) -> Column:
     point = F.zip_with(xs, ys, lambda x, y: F.concat_ws(" ", x.cast("string"), y.cast("string")))
     return F.concat(F.lit("LINESTRING ("), F.array_join(point, ", "), F.lit(")"))
+
+
+def night_clock(clock: Column) -> Column:
+    """HHMM strings from 2000 to 0559, compared as text."""
+    return (clock >= "2000") | (clock <= "0559")
+
+
+def any_of(text: Column, words: tuple[str, ...]) -> Column:
+    """Whether text contains one of the words."""
+    out = F.lit(False)
+    for w in words:
+        out = out | text.contains(w)
+    return out
+
+
+def verdict(r: Column, least: float = 0.03) -> Column:
+    return F.when(r < -least, "tracks fewer").when(r > least, "tracks more").otherwise("flat")
+
+
+#: Classes of label masks, by number.
+MASK_CLASSES = ("road", "sidewalk", "building", "pole", "vegetation", "sky")
+
+
+def class_share(mask: Column, number: int) -> Column:
+    """The share of a mask's pixels with this class; null for an empty or missing mask."""
+    return F.size(F.filter(mask, lambda x: x == number)) / F.nullif(F.size(mask), F.lit(0))

@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
+
+from pavewise.session import checkpointed
 
 EPS = 1e-9
+#: Ranges of values that are ranked apart.
+CELLS = 4096
 
 
 def with_scalar(df: DataFrame, stats: DataFrame) -> DataFrame:
@@ -38,23 +46,57 @@ def rescaled(df: DataFrame, col: str, low: float = 0.05, high: float = 0.95) ->
     return with_scalar(df, q).withColumn(f"{col}_01", F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))).drop("q")
 
 
+def rank_table(df: DataFrame, col: str, out: str) -> DataFrame:
+    """(_v, out): the average rank of each different value of col.
+
+    Values are counted first, so one that many rows have is ordered once. They are dealt to CELLS ranges of equal width,
+    each summed up in a task of its own; the ranges' totals (CELLS rows at most) give what lies before each.
+    """
+    counts = checkpointed(df.filter(F.col(col).isNotNull()).groupBy(F.col(col).alias("_v")).agg(F.count("*").alias("_n")))
+    span = counts.agg(F.min("_v").cast("double").alias("_lo"), F.max("_v").cast("double").alias("_hi"))
+    share = (F.col("_v").cast("double") - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0))
+    cells = with_scalar(counts, span).withColumn("_c", F.coalesce(F.least(F.floor(share * CELLS), F.lit(CELLS - 1)), F.lit(0)))
+    totals = cells.groupBy("_c").agg(F.sum("_n").alias("_t"))
+    before = totals.select("_c", (F.sum("_t").over(Window.orderBy("_c")) - F.col("_t")).alias("_before"))
+    upto = F.sum("_n").over(Window.partitionBy("_c").orderBy("_v"))
+    return cells.withColumn("_upto", upto).join(F.broadcast(before), "_c").select("_v", (F.col("_before") + F.col("_upto") - (F.col("_n") - 1) / 2).alias(out))
+
+
 def average_ranks(df: DataFrame, col: str, out: str) -> DataFrame:
-    """df with the average rank of col: ranks by counting values, so only different values are ordered in one place.
+    """df with the average rank of col, null where col is null."""
+    return df.join(rank_table(df, col, out), F.col(col) == F.col("_v"), "left").drop("_v")
+
+
+def _all_ranked(rows: DataFrame, cols: dict[str, str]) -> DataFrame:
+    """rows (checkpointed, so that they are computed once) with the average ranks of several columns."""
+    out = rows = checkpointed(rows)
+    for col, name in cols.items():
+        out = out.join(rank_table(rows, col, name).withColumnRenamed("_v", col), col)
+    return out
+
 
-    The window runs over one row for each different value, not over the rows.
+def positions(df: DataFrame, order: list[str | Column], out: str) -> DataFrame:
+    """df with the dense position (from 0) of each row in a total order: ranges of rows, and counts of the ranges before.
+
+    The ranged table is checkpointed, as a second look at its ranges could draw other bounds.
     """
-    counts = df.filter(F.col(col).isNotNull()).groupBy(F.col(col).alias("_v")).agg(F.count("*").alias("_n"))
-    upto = F.sum("_n").over(Window.orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
-    ranks = counts.select("_v", (upto - (F.col("_n") - 1) / 2).alias(out))
-    return df.join(ranks, F.col(col) == F.col("_v"), "left").drop("_v")
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.withColumn("_k", F.struct(*order)).repartitionByRange(parts, "_k").sortWithinPartitions("_k").drop("_k")
+    # The high bits of the id are the range's number, the low 33 its row: positions need one count for each range.
+    stored = checkpointed(ranged.withColumn("_at", F.monotonically_increasing_id()))
+    part = F.shiftright("_at", 33)
+    counts = stored.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    before = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))  # one row for each range
+    at = F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    return stored.withColumn("_part", part).join(F.broadcast(before), "_part").withColumn(out, at).drop("_part", "_at", "_before")
 
 
 def spearman(df: DataFrame, pairs: list[tuple[str, str]], least: int = 10) -> DataFrame:
     """(a, b, n, rho) for column pairs over rows where both are known; rho null where n <= least."""
-    out = None
+    out, df = None, checkpointed(df.select(*sorted({c for p in pairs for c in p})))
     for a, b in pairs:
         rows = df.select(F.col(a).cast("double").alias("_a"), F.col(b).cast("double").alias("_b")).na.drop()
-        ranked = average_ranks(average_ranks(rows, "_a", "ra"), "_b", "rb")
+        ranked = _all_ranked(rows, {"_a": "ra", "_b": "rb"})
         one = ranked.agg(F.count("*").alias("n"), F.corr("ra", "rb").alias("rho")).select(F.lit(a).alias("a"), F.lit(b).alias("b"), "n", F.when(F.col("n") > least, F.col("rho")).alias("rho"))
         out = one if out is None else out.unionByName(one)
     return out
@@ -63,19 +105,56 @@ def spearman(df: DataFrame, pairs: list[tuple[str, str]], least: int = 10) -> Da
 def partial_spearman(df: DataFrame, x: str, y: str, control: str, least: int = 30) -> DataFrame:
     """(n, rho): rank correlation of x and y with the control's ranks taken out of both; null where n < least."""
     rows = df.select(*[F.col(c).cast("double").alias(f"_{k}") for k, c in zip("xyz", (x, y, control), strict=True)]).na.drop()
-    for k in "xyz":
-        rows = average_ranks(rows, f"_{k}", f"r{k}")
-    c = rows.agg(F.count("*").alias("n"), F.corr("rx", "ry").alias("xy"), F.corr("rx", "rz").alias("xz"), F.corr("ry", "rz").alias("yz"))
+    c = _all_ranked(rows, {f"_{k}": f"r{k}" for k in "xyz"}).agg(F.count("*").alias("n"), F.corr("rx", "ry").alias("xy"), F.corr("rx", "rz").alias("xz"), F.corr("ry", "rz").alias("yz"))
     rho = (F.col("xy") - F.col("xz") * F.col("yz")) / F.sqrt((1 - F.col("xz") ** 2) * (1 - F.col("yz") ** 2))
     return c.select("n", F.when(F.col("n") >= least, rho).alias("rho"))
 
 
 def rank_bins(df: DataFrame, col: str, tie: str, bins: int, out: str) -> DataFrame:
     """Equal bins (1..bins) of the rank of col, ties by another column: bin = max(ceil((r - 1) * bins / (n - 1)), 1)."""
-    n = df.filter(F.col(col).isNotNull()).agg(F.count("*").alias("_n"))
-    ranked = df.filter(F.col(col).isNotNull()).withColumn("_r", F.row_number().over(Window.orderBy(col, tie)))
-    value = F.greatest(F.ceil((F.col("_r") - 1) * bins / F.greatest(F.col("_n") - 1, F.lit(1))), F.lit(1)).cast("int")
-    return with_scalar(ranked, n).withColumn(out, value).drop("_r", "_n")
+    known = df.filter(F.col(col).isNotNull())
+    ranked = positions(known, [col, tie], "_r")
+    value = F.greatest(F.ceil(F.col("_r") * bins / F.greatest(F.col("_n") - 1, F.lit(1))), F.lit(1)).cast("int")
+    return with_scalar(ranked, ranked.agg(F.count("*").alias("_n"))).withColumn(out, value).drop("_r", "_n")
+
+
+def least_squares(df: DataFrame, y: str, cols: list[str]) -> list[tuple[str, float]]:
+    """Coefficients of y on standardised columns (sample deviation) with an intercept, over rows that are finite in all.
+
+    One pass gathers means and covariances; the driver solves a system as wide as cols. A column without spread has 0.
+    """
+    names = [*cols, y]
+    finite = [F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) & (F.abs(F.col(c).cast("double")) < float("inf")) for c in names]
+    rows = df.filter(reduce(lambda a, b: a & b, finite))
+    got = rows.agg(*[F.covar_samp(a, b).alias(f"{i}_{j}") for i, a in enumerate(names) for j, b in enumerate(names) if i <= j]).first()
+    n = len(names)
+    cov = np.array([[got[f"{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(n)] for i in range(n)])
+    scale = np.sqrt(np.diag(cov))[:-1] + EPS
+    beta = np.linalg.lstsq(cov[:-1, :-1] / np.outer(scale, scale), cov[:-1, -1] / scale, rcond=None)[0]
+    return list(zip(cols, map(float, beta), strict=True))
+
+
+def grouped_forest(df: DataFrame, y: str, cols: list[str], group: str, folds: int = 5, trees: int = 60, seed: int = 0) -> DataFrame:
+    """df with ``out``: predictions of random forests that never saw the row's group. Groups go whole to folds by size."""
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import RandomForestRegressor
+
+    from pavewise.guard import check
+
+    check(cols)
+    sizes = [tuple(r) for r in df.groupBy(group).count().collect()]  # one row for each cell of the caller's grid
+    fold = df.sparkSession.createDataFrame([(k, v) for k, v in group_folds(sizes, folds).items()], df.select(group).schema.add("_fold", IntegerType()))
+    rows = checkpointed(VectorAssembler(inputCols=cols, outputCol="_x").transform(df.join(F.broadcast(fold), group)))
+    model = RandomForestRegressor(featuresCol="_x", labelCol=y, predictionCol="out", numTrees=trees, maxDepth=6, seed=seed)
+    parts = [model.fit(rows.filter(F.col("_fold") != k)).transform(rows.filter(F.col("_fold") == k)) for k in range(min(folds, len(sizes)))]
+    return reduce(DataFrame.unionByName, parts).drop("_x", "_fold")
+
+
+def fit_quality(df: DataFrame, y: str, out: str) -> DataFrame:
+    """(n, r2, mae) over all predictions together."""
+    e = F.col(y) - F.col(out)
+    x = with_scalar(df, df.agg(F.avg(y).alias("_m")))
+    return x.agg(F.count("*").alias("n"), (1 - F.sum(e * e) / F.sum(F.pow(F.col(y) - F.col("_m"), 2))).alias("r2"), F.avg(F.abs(e)).alias("mae"))
 
 
 def bradley_terry(pairs: DataFrame, cols: list[str], strength: float = 1.0, weight: str | None = None) -> dict[str, float]:

@@ -105,14 +105,9 @@ def walkable_segments(spark, sf):
 
 @query("stable_seg_id", ctes("segments") + f", {WALK_SQL} SELECT seg_id AS source_id, CAST(row_number() OVER (ORDER BY least(u,v), greatest(u,v), key, seg_id) - 1 AS BIGINT) new_id FROM walk")
 def stable_seg_id(spark, sf):
-    """Dense ids in edge order: the position in a range-sorted table, by counts of the ranges before it."""
-    rows = walk(spark, sf).select(F.col("seg_id").alias("source_id"), F.struct(F.least("u", "v"), F.greatest("u", "v"), "key", "seg_id").alias("k"))
-    ranged = rows.repartitionByRange(8, "k").sortWithinPartitions("k").withColumn("at", F.monotonically_increasing_id())
-    # The high bits of the id are the range's number, the low 33 its row: ranks need one count for each range.
-    part = F.shiftright("at", 33)
-    counts = ranged.groupBy(part.alias("part")).agg(F.count("*").alias("n"))
-    before = counts.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return ranged.withColumn("part", part).join(F.broadcast(before), "part").select("source_id", (F.col("before") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))).alias("new_id"))
+    """Dense ids in edge order."""
+    rows = walk(spark, sf).select(F.col("seg_id").alias("source_id"), F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"), "key")
+    return stats.positions(rows, ["a", "b", "key", "source_id"], "new_id").select("source_id", "new_id")
 
 
 @query("edge_identity", ctes("segments") + " SELECT least(u,v) nu, greatest(u,v) nv, key, count(*) n, min(seg_id) first_seg FROM segments GROUP BY ALL")

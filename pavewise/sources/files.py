@@ -2,6 +2,13 @@
 
 from __future__ import annotations
 
+import csv as csv_lines
+import io
+import zipfile
+from collections.abc import Iterator
+from itertools import islice
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,6 +45,25 @@ def header_table(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(*[F.col("r")[i].alias(n) for i, n in enumerate(names)])
 
 
+def zip_member(spark: SparkSession, path: str, member: str, wanted: list[str]) -> DataFrame:
+    """The wanted columns (strings, null where a row or the header lacks them) of a CSV inside zip archives.
+
+    One archive is one task; its rows are passed on in batches as they are read. Archives without the member give none.
+    """
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for content in batch["content"]:
+                with zipfile.ZipFile(io.BytesIO(content)) as z:
+                    if member not in z.namelist():
+                        continue
+                    rows = csv_lines.DictReader(io.TextIOWrapper(z.open(member), "utf-8-sig", newline=""))
+                    while part := list(islice(rows, 10_000)):
+                        yield pd.DataFrame({c: [r.get(c) for r in part] for c in wanted}, dtype=object)
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(read, ", ".join(f"`{c}` string" for c in wanted))
+
+
 def geojson_lines(df: DataFrame, path: str, geometry_wkt: str, xs: Column, ys: Column) -> None:
     """One GeoJSON LineString feature a line; all other columns are properties."""
     props = F.struct(*[c for c in df.columns if c != geometry_wkt])
