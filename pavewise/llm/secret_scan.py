@@ -126,11 +126,16 @@ def scan(versions: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES, text
 
 
 def findings(df: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """df's blobs that have spans under these rules: (blob, spans), spans by start, then the rules' order."""
+    """df's blobs that have spans under these rules: (blob, spans), spans by start, then the rules' order.
+
+    A ledger row's spans count only for the rule versions that the row was scanned with, so what an older version of a
+    rule found is left out. One call's rules have different kinds.
+    """
     kinds = F.create_map(*[x for i, r in enumerate(rules) for x in (F.lit(r.kind), F.lit(i))])
     old = df.sparkSession.read.schema(LEDGER).parquet(ledger)
-    kept = F.filter(F.col("spans"), lambda s: F.col("rule_kinds")[s["kind"]].isNotNull())
-    rows = old.filter(F.size("spans") > 0).withColumn("rule_kinds", kinds).filter(F.exists("rules", lambda r: r.isin([x.key for x in rules])))
+    keys = F.create_map(*[x for r in rules for x in (F.lit(r.kind), F.lit(r.key))])
+    kept = F.filter(F.col("spans"), lambda s: F.coalesce(F.array_contains("rules", F.col("rule_keys")[s["kind"]]), F.lit(False)))
+    rows = old.filter(F.size("spans") > 0).withColumns({"rule_kinds": kinds, "rule_keys": keys}).filter(F.exists("rules", lambda r: r.isin([x.key for x in rules])))
     ordered = F.transform(kept, lambda s: F.struct(s["start"].alias("start"), F.col("rule_kinds")[s["kind"]].alias("rank"), s["end"].alias("end"), s["kind"].alias("kind")))
     per = rows.select("blob", F.explode(ordered).alias("s")).groupBy("blob").agg(F.array_sort(F.collect_set("s")).alias("spans"))  # spans of one text
     return per

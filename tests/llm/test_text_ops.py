@@ -163,3 +163,15 @@ def test_pseudo_likelihood_sums_to_one():
     around = [np.full(pseudo_lm.BUCKETS, k, np.int32) for k in (3, 9, 11, pseudo_lm.EDGE)]
     total = np.exp(net.log_probability(around, np.arange(pseudo_lm.BUCKETS)).astype(float)).sum()
     assert abs(total - 1) < 1e-3
+
+
+def test_a_newer_rule_version_replaces_what_the_older_found(spark, tmp_path):
+    ledger = str(tmp_path / "ledger")
+    df = spark.createDataFrame([(1, "x " + "ab12" * 8 + " AKIA" + "Z9" * 9)], "doc_id long, text string")
+    wide = (secret_scan.Rule("hex", 1, r"[0-9a-f]{8,}", 0, 8), secret_scan.BASE[1])
+    narrow = (secret_scan.Rule("hex", 2, r"[0-9a-f]{40,}", 0, 40), secret_scan.BASE[1])
+    first = secret_scan.scan_documents(df, ledger, wide).first()["spans"]
+    assert [s["kind"] for s in first] == ["hex", "access"]
+    second = secret_scan.scan_documents(df, ledger, narrow).first()["spans"]
+    assert [s["kind"] for s in second] == ["access"]
+    assert [s["kind"] for s in secret_scan.scan_documents(df, ledger, wide).first()["spans"]] == ["hex", "access"]
