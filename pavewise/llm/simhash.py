@@ -238,7 +238,11 @@ def keep_one(df: DataFrame, shingle: int = 4, max_bits: int = MAX_BITS, id_col:
 
     A null doc_id stands after all others. The columns of df come out as they went in.
     """
-    found = classes(df, shingle, max_bits, id_col, text_col)
+    return keep_least(df, classes(df, shingle, max_bits, id_col, text_col), id_col, text_col)
+
+
+def keep_least(df: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """df with the least row of each component of found (doc_id, text_hash, fp, component_id); see keep_one."""
     kept = found.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("apart")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("k"))
     keys = stored(kept.select(F.col("k.doc_id").alias("_k"), F.col("k.text_hash").alias("_h")), "kept")
     names = df.columns
