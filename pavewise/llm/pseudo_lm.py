@@ -4,8 +4,8 @@ Words (lower case, by white space) are hashed to BUCKETS ids. A word is predicte
 hidden = tanh(sum over places of gain[place] * embedding[word] + bias), a softmax over CLASSES of words, and the word's
 share of its class by corpus counts. A document's score is the sum of log P(word | both sides) over all its words.
 
-Everything that is fitted comes from all documents: counts from every word, the network from a masked eighth of every
-document's words, other ones in each round. Each partition trains a copy on its own words; copies are averaged row by
+Everything that is fitted comes from all documents: counts from every word, and in each round the network is trained to
+predict every word; the centre is left out of its window, so no word is masked. Each partition trains a copy on its own words; copies are averaged row by
 row, weighted by how often a partition used the row, so what is gathered grows with the number of partitions, and no task or
 driver holds more than the parameters.
 """
@@ -28,7 +28,6 @@ SIDE = 2
 WIDTH = 16
 CLASSES = 64
 ROUNDS = 2
-MASKED = 8
 BATCH = 2048
 RATE = 0.15
 EDGE = BUCKETS  # the id beyond a text's ends
@@ -132,17 +131,15 @@ def _around(line: np.ndarray, place: np.ndarray) -> list[np.ndarray]:
     return [line[place + k] for k in range(-SIDE, SIDE + 1) if k]
 
 
-def _train(net: Net, batches: Iterator[list[bytes]], round_: int) -> tuple[np.ndarray, np.ndarray]:
-    """The partition's copy after one pass over its masked words, by Adagrad, and how often each row was used."""
+def _train(net: Net, batches: Iterator[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """The partition's copy after one pass over all its words, by Adagrad, and how often each row was used."""
     net = Net(net.rows.copy(), net.class_of, net.log_share)
     squares, used = np.full_like(net.rows, 1e-6), np.zeros(len(net.rows))
     dense = len(net.rows) - BUCKETS - 1
     for ids in batches:
         line, place, _ = _laid_out(ids)
-        inside = np.arange(len(place))
-        chosen = place[(inside * 2654435761 + round_ * 7919 >> 7) % MASKED == 0]
-        for at in range(0, len(chosen), BATCH):
-            spot = chosen[at : at + BATCH]
+        for at in range(0, len(place), BATCH):
+            spot = place[at : at + BATCH]
             around, target = _around(line, spot), net.class_of[line[spot]]
             x, h = net.hidden(around)
             _, gain, _, weight, _ = net.parts()
@@ -168,11 +165,11 @@ def _train(net: Net, batches: Iterator[list[bytes]], round_: int) -> tuple[np.nd
     return net.rows, used
 
 
-def train(rows: DataFrame, net: Net, round_: int) -> Net:
+def train(rows: DataFrame, net: Net) -> Net:
     """One round over all documents: copies by partition, averaged row by row on the executors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, used = _train(net, (b.column(0).to_pylist() for b in batches), round_)
+        out, used = _train(net, (b.column(0).to_pylist() for b in batches))
         at = np.flatnonzero(used)
         for k in range(0, len(at), 4096):
             i = at[k : k + 4096]
@@ -188,8 +185,8 @@ def train(rows: DataFrame, net: Net, round_: int) -> Net:
 
 def fit(rows: DataFrame, rounds: int = ROUNDS) -> Net:
     net = Net.fresh(bucket_counts(rows))
-    for k in range(rounds):
-        net = train(rows, net, k)
+    for _ in range(rounds):
+        net = train(rows, net)
     return net
 
 

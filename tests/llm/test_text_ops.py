@@ -165,6 +165,14 @@ def test_pseudo_likelihood_sums_to_one():
     assert abs(total - 1) < 1e-3
 
 
+def test_pseudo_likelihood_trains_on_every_word():
+    texts = ["a b c", "d", "", *(f"w{i} short text of six words" for i in range(500))]
+    ids, net = [pseudo_lm.word_ids(t).tobytes() for t in texts], pseudo_lm.Net.fresh(np.zeros(pseudo_lm.BUCKETS, np.int64))
+    for batches in ([ids], [ids[:7], ids[7:]]):
+        used = pseudo_lm._train(net, iter(batches))[1]
+        assert used[-1] == sum(len(t.split()) for t in texts)
+
+
 def test_a_newer_rule_version_replaces_what_the_older_found(spark, tmp_path):
     ledger = str(tmp_path / "ledger")
     df = spark.createDataFrame([(1, "x " + "ab12" * 8 + " AKIA" + "Z9" * 9)], "doc_id long, text string")
