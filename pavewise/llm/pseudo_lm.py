@@ -1,214 +1,481 @@
 """Masked pseudo-likelihood: a bidirectional window network, trained in numpy over the whole corpus, scores documents.
 
-Words (lower case, by white space) are hashed to BUCKETS ids. A word is predicted from SIDE words on each of its sides:
-hidden = tanh(sum over places of gain[place] * embedding[word] + bias), a softmax over CLASSES of words, and the word's
-share of its class by corpus counts. A document's score is the sum of log P(word | both sides) over all its words.
-
-Everything that is fitted comes from all documents: counts from every word, and in each round the network is trained to
-predict every word; the centre is left out of its window, so no word is masked. Each partition trains a copy on its own words; copies are averaged row by
-row, weighted by how often a partition used the row, so what is gathered grows with the number of partitions, and no task or
-driver holds more than the parameters.
+Words (lower case, by white space) are counted in a distributed table that grows with the corpus. The most frequent ones,
+Shape.words of them, are the network's; each other word belongs to one of Shape.rare buckets by its last two bytes. A word
+is predicted from ``side`` words on each of its sides, itself left out:
+
+    hidden = tanh(bias + sum over places of gain[place] * embedding[word there])
+    P(word) = P(class | hidden) * P(word | class, hidden)               for the network's words
+    P(word) = P(bucket | hidden) * (n + 1) / (N + D + 1)                for all others: an explicit back-off
+
+n counts the word, N and D the words and the different words of its bucket in the whole corpus, so the probabilities of the
+seen words and of one unseen word for each bucket add up to 1. A document's score is the sum of log P over all its words.
+
+Everything fitted comes from all documents: counts from every word; in each round the network predicts every word once.
+Documents are dealt to shards by a hash of their own, shards hold about SHARD_WORDS words each and train one copy each in
+an order of their own, and copies are averaged row by row in whole numbers, weighted by how often a shard used the row. So
+nothing depends on partitions or batches, and neither a task nor the driver holds more than the parameters and KNOWN words.
 """
 
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pavewise.llm.common import documents, prepare, stored
 
-BUCKETS = 1 << 14
-SIDE = 2
-WIDTH = 16
-CLASSES = 64
-ROUNDS = 2
+ROUNDS = 1
 BATCH = 2048
-RATE = 0.15
-EDGE = BUCKETS  # the id beyond a text's ends
-PLACES = 2 * SIDE
+RATE = 0.1
+SHARD_WORDS = 1 << 21
+#: Words whose counts every task holds (at most); counts of all others are joined in from the table.
+KNOWN = 1 << 18
+#: Different words that a task counts before it passes them on.
+HELD = 200_000
+LARGEST = 64.0
+
+
+@dataclass(frozen=True)
+class Shape:
+    width: int = 16
+    classes: int = 64
+    per: int = 64
+    side: int = 2
+    rare: int = 64
+
+    @property
+    def words(self) -> int:
+        return self.classes * self.per
+
+    @property
+    def edge(self) -> int:
+        """The id beyond a text's ends, after the words' and the buckets'."""
+        return self.words + self.rare
+
+
+def words_of(text: str) -> list[bytes]:
+    return text.lower().encode("utf-8", "surrogatepass").split()
+
+
+def bucket_of(word: bytes, rare: int) -> int:
+    return zlib.crc32(word[-2:]) % rare
 
 
-def word_ids(text: str) -> np.ndarray:
-    """Hashed ids of a whole text's words."""
-    words = text.lower().encode("utf-8", "surrogatepass").split()
-    return (np.fromiter(map(zlib.crc32, words), np.uint32, len(words)) % BUCKETS).astype("<u2")
+def _signed(h: int) -> int:
+    return h - (1 << 64) if h >> 63 else h
 
 
-def encoded(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, ids) written to the shared folder once: training and scoring read 16-bit ids instead of texts."""
+def word_counts(df: DataFrame, shape: Shape = Shape(), text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """(h, bucket, n): how often each word occurs in all texts, h its XXH64; written to the shared folder."""
     prepare(df.sparkSession)
-    docs = documents(df, id_col, text_col)
+
+    def rows(seen: Counter) -> pa.RecordBatch:
+        digest = xxhash.xxh64_intdigest
+        h = pa.array(np.fromiter(map(digest, seen), np.uint64, len(seen)).view(np.int64))
+        bucket = pa.array(np.fromiter((bucket_of(w, shape.rare) for w in seen), np.int32, len(seen)))
+        return pa.record_batch([h, bucket, pa.array(np.fromiter(seen.values(), np.int64, len(seen)))], ["h", "bucket", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter = Counter()
         for batch in batches:
-            yield pa.record_batch([batch.column(0), pa.array([word_ids(t).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], ["doc_id", "ids"])
+            for text in batch.column(0).to_pylist():
+                seen.update(words_of(text))
+                if len(seen) > HELD:
+                    yield rows(seen)
+                    seen = Counter()
+        yield rows(seen)
+
+    each = documents(df, id_col, text_col).select("text").mapInArrow(run, "h long, bucket int, n long")
+    return stored(each.groupBy("h", "bucket").agg(F.sum("n").alias("n")), "word-counts")
 
-    return stored(docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids binary"), "word-ids")
 
+@dataclass
+class Vocabulary:
+    """Words that tasks know: sorted hashes with a code each. Codes below shape.words are the network's words by frequency.
+
+    counts: n of each code; other_n, other_d: words and different words outside the network, by bucket; total: all words.
+    """
 
-def bucket_counts(rows: DataFrame) -> np.ndarray:
-    """How often each id occurs in all documents; the driver gets BUCKETS numbers."""
+    shape: Shape
+    hashes: np.ndarray
+    codes: np.ndarray
+    counts: np.ndarray
+    buckets: np.ndarray
+    other_n: np.ndarray
+    other_d: np.ndarray
+    total: int
+
+    @cached_property
+    def back_off(self) -> np.ndarray:
+        """log of a code's share in its bucket; 0 for the network's words."""
+        out = np.log((self.counts + 1.0) / (self.other_n + self.other_d + 1.0)[self.buckets])
+        out[: self.shape.words] = 0
+        return out
+
+    @cached_property
+    def net_id(self) -> np.ndarray:
+        """The network's id of each code, and of the codes after them: those of unknown words by bucket."""
+        s = self.shape
+        known = np.where(np.arange(len(self.counts)) < s.words, np.arange(len(self.counts)), s.words + self.buckets)
+        return np.concatenate([known, s.words + np.arange(s.rare)]).astype("<u2")
+
+
+def vocabulary(counts: DataFrame, shape: Shape = Shape(), known: int = KNOWN) -> Vocabulary:
+    """The most frequent words: those above the least count that leaves at most ``known`` of them.
+
+    That count is the edge of one of at most 4,096 ranges of counts, so the driver gets their totals and ``known`` rows.
+    """
+    step = F.floor(F.log2(F.col("n").cast("double")) * 64).alias("step")
+    ranges = sorted(map(tuple, counts.groupBy(step).agg(F.count("*"), F.min("n")).collect()), reverse=True)
+    least, seen = 1 << 62, 0
+    for _, k, n in ranges:
+        seen += k
+        if seen > known:
+            break
+        least = n
+    got = counts.filter(F.col("n") >= least).select("h", "bucket", "n").toArrow()
+    h, bucket, n = (got.column(c).to_numpy() for c in ("h", "bucket", "n"))
+    order = np.lexsort((h, -n))
+    h, bucket, n = h[order], bucket[order].astype(np.int64), n[order].astype(np.float64)
+    pad = max(0, shape.words - len(h))  # places of the network without a word
+    own = min(shape.words, len(h))
+    other_n, other_d, total = np.zeros(shape.rare), np.zeros(shape.rare), 0
+    for b, words, different in counts.groupBy("bucket").agg(F.sum("n"), F.count("*")).collect():
+        other_n[b], other_d[b], total = words, different, total + words
+    other_n -= np.bincount(bucket[:own], n[:own], shape.rare)
+    other_d -= np.bincount(bucket[:own], minlength=shape.rare)
+    at = np.argsort(h, kind="stable")
+    # A hash with two buckets (a collision of two words) is known by its more frequent one.
+    first = np.append(True, h[at][1:] != h[at][:-1]) if len(h) else np.zeros(0, bool)
+    return Vocabulary(shape, h[at][first], at[first], np.concatenate([n, np.zeros(pad)]), np.concatenate([bucket, np.zeros(pad, np.int64)]), other_n, other_d, int(total))
+
+
+class _Coder(dict):
+    """word -> code; codes from len(counts) on are buckets of unknown words. Bounded: emptied between texts."""
+
+    def __init__(self, v: Vocabulary):
+        super().__init__()
+        self.v, self.first = v, len(v.counts)
+
+    def __missing__(self, word: bytes) -> int:
+        h = _signed(xxhash.xxh64_intdigest(word))
+        at = int(np.searchsorted(self.v.hashes, h))
+        found = at < len(self.v.hashes) and self.v.hashes[at] == h
+        code = int(self.v.codes[at]) if found else self.first + bucket_of(word, self.v.shape.rare)
+        if len(word) <= 64:
+            self[word] = code
+        return code
+
+
+def encoded(df: DataFrame, v: Vocabulary, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, text_hash, ids, back, tail) of each row, written to the shared folder.
+
+    ids are the network's, 16 bits each; back is the sum of known words' back-off; tail has the hashes of unknown words.
+    """
+    spark = df.sparkSession
+    docs = documents(df, id_col, text_col)
+    shared = spark.sparkContext.broadcast(v)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(BUCKETS, np.int64)
+        v, coder = shared.value, _Coder(shared.value)
+        first = coder.first
+        padded = np.concatenate([v.back_off, np.zeros(v.shape.rare)])
         for batch in batches:
-            total += np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), "<u2"), minlength=BUCKETS)
-        at = np.flatnonzero(total)
-        yield pa.record_batch([pa.array(at.astype(np.int32)), pa.array(total[at])], ["bucket", "n"])
-
-    out = np.zeros(BUCKETS, np.int64)
-    for bucket, n in rows.select("ids").mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n")).collect():
-        out[bucket] = n
-    return out
+            ids, back, tails = [], [], []
+            for text in batch.column(2).to_pylist():
+                words = words_of(text)
+                codes = np.fromiter(map(coder.__getitem__, words), np.int64, len(words))
+                ids.append(v.net_id[codes].tobytes())
+                back.append(float(padded[codes].sum()))
+                tails.append([_signed(xxhash.xxh64_intdigest(words[i])) for i in np.flatnonzero(codes >= first)])
+                if len(coder) > 2 * KNOWN:
+                    coder.clear()
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(ids, pa.binary()), pa.array(back, pa.float64()), pa.array(tails, pa.list_(pa.int64()))], ["doc_id", "text_hash", "ids", "back", "tail"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, f"doc_id {kind}, text_hash long, ids binary, back double, tail array<long>")
+    return stored(rows, "word-ids")
 
 
 @dataclass
 class Net:
-    """rows: embeddings (and the edge's), gains of places, bias, class weights and, in further rows, class biases."""
+    """All parameters as rows of ``width`` numbers: embeddings (words, buckets, edge), gains, bias, weights of classes and
+    buckets, weights of words by class, and the biases of both, in further rows."""
 
+    shape: Shape
     rows: np.ndarray
-    class_of: np.ndarray
-    log_share: np.ndarray
 
     @staticmethod
-    def fresh(counts: np.ndarray, seed: int = 5) -> Net:
-        order = np.argsort(-counts, kind="stable")
-        before = np.cumsum(counts[order]) - counts[order]
-        class_of = np.empty(BUCKETS, np.int64)
-        class_of[order] = np.minimum(before * CLASSES // max(1, counts.sum()), CLASSES - 1)
-        smooth = counts + 1.0
-        share = np.log(smooth / np.bincount(class_of, smooth, CLASSES)[class_of])
-        rng = np.random.default_rng(seed)
-        rows = np.zeros((BUCKETS + 1 + PLACES + 1 + CLASSES + -(-CLASSES // WIDTH), WIDTH), np.float32)
-        rows[: BUCKETS + 1] = rng.normal(0, 0.3, (BUCKETS + 1, WIDTH))
-        rows[BUCKETS + 1 : BUCKETS + 1 + PLACES] = 0.7
-        mass = np.bincount(class_of, smooth, CLASSES)
-        rows[-(-(-CLASSES // WIDTH)) :].reshape(-1)[:CLASSES] = np.log(np.maximum(mass, 1) / mass.sum())
-        return Net(rows, class_of, share.astype(np.float32))
-
-    def parts(self, rows: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
-        r, a = self.rows if rows is None else rows, BUCKETS + 1
-        return r[:a], r[a : a + PLACES], r[a + PLACES], r[a + PLACES + 1 : a + PLACES + 1 + CLASSES], r[a + PLACES + 1 + CLASSES :].reshape(-1)[:CLASSES]
-
-    def hidden(self, around: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
-        words, gain, bias, _, _ = self.parts()
-        x = [words.take(ids, 0) for ids in around]
-        z = x[0] * gain[0] + bias
-        for k in range(1, PLACES):
+    def fresh(v: Vocabulary, seed: int = 5) -> Net:
+        """Unigram shares as biases, weights 0: before training every context predicts the unigram model."""
+        s = v.shape
+        net = Net(s, np.zeros((Net.starts(s)[-1], s.width), np.float32))
+        words, gain, _, _, _, b1, b2 = net.parts
+        words[:] = np.random.default_rng(seed).normal(0, 0.3, words.shape)
+        gain[:] = 0.7
+        n = np.maximum(v.counts[: s.words], 1e-4).reshape(s.classes, s.per)
+        mass = np.concatenate([n.sum(1), np.maximum(v.other_n, 1e-4)])
+        b1[:] = np.log(mass / mass.sum())
+        b2[:] = np.log(n / n.sum(1, keepdims=True))
+        return net
+
+    @staticmethod
+    def starts(s: Shape) -> list[int]:
+        """First rows of the seven parts, and the number of rows."""
+        sizes = [s.edge + 1, 2 * s.side, 1, s.classes + s.rare, s.words, -(-(s.classes + s.rare) // s.width), s.words // s.width]
+        return [0, *np.cumsum(sizes).tolist()]
+
+    @cached_property
+    def parts(self) -> tuple[np.ndarray, ...]:
+        """Views: embeddings, gains, bias, W1 (outcomes, width), W2 (classes, per, width), b1, b2 (classes, per)."""
+        s, at = self.shape, Net.starts(self.shape)
+        cut = [self.rows[a:b] for a, b in zip(at, at[1:], strict=False)]
+        return cut[0], cut[1], cut[2][0], cut[3], cut[4].reshape(s.classes, s.per, s.width), cut[5].reshape(-1)[: s.classes + s.rare], cut[6].reshape(s.classes, s.per)
+
+    def hidden(self, line: np.ndarray, spot: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+        words, gain, bias, *_ = self.parts
+        x = [words.take(line[spot + k], 0) for k in self.offsets]
+        z = bias + x[0] * gain[0]
+        for k in range(1, len(x)):
             z += x[k] * gain[k]
         return x, np.tanh(z)
 
-    def logits(self, h: np.ndarray) -> np.ndarray:
-        """Bounded, so that exp needs no shift: |h| <= 1, and trained weights stay far below the clip."""
-        _, _, _, weight, bias = self.parts()
-        return np.clip(h @ weight.T + bias, -60, 60)
-
-    def log_probability(self, around: list[np.ndarray], target: np.ndarray) -> np.ndarray:
-        logits = self.logits(self.hidden(around)[1])
-        picked = logits[np.arange(len(target)), self.class_of[target]]
-        np.exp(logits, out=logits)
-        return picked - np.log(logits @ np.ones(CLASSES, np.float32)) + self.log_share[target]
-
-
-def _laid_out(ids: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Documents' ids in one array with SIDE edges around each; the words' places in it, and each one's document."""
+    @property
+    def offsets(self) -> list[int]:
+        return [k for k in range(-self.shape.side, self.shape.side + 1) if k]
+
+    def outcome(self, target: np.ndarray) -> np.ndarray:
+        """Class of a word, or classes + bucket."""
+        s = self.shape
+        return np.where(target < s.words, target // s.per, target - s.words + s.classes)
+
+    def by_class(self, line: np.ndarray, spot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
+        """Places in the order of their outcomes, targets, outcomes, and (class, from, to) of the classes that occur."""
+        out = self.outcome(line[spot])
+        order = np.argsort(out, kind="stable")
+        spot, out = spot[order], out[order]
+        ends = np.searchsorted(out, np.arange(self.shape.classes + 1))
+        return spot, line[spot], out, [(k, i, j) for k, (i, j) in enumerate(zip(ends.tolist(), ends[1:].tolist(), strict=False)) if i < j]
+
+    def log_probability(self, line: np.ndarray, spot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places, log P of the words there): the back-off of rare words is not in it. Logits are bounded before exp."""
+        _, _, _, w1, w2, b1, b2 = self.parts
+        spot, target, out, runs = self.by_class(line, spot)
+        h = self.hidden(line, spot)[1]
+        logits = np.clip(h @ w1.T + b1, -LARGEST, LARGEST)
+        found = logits[np.arange(len(spot)), out] - np.log(np.exp(logits).sum(1))
+        for k, i, j in runs:
+            inner = np.clip(h[i:j] @ w2[k].T + b2[k], -LARGEST, LARGEST)
+            found[i:j] += inner[np.arange(j - i), target[i:j] % self.shape.per] - np.log(np.exp(inner).sum(1))
+        return spot, found
+
+    def gradient(self, line: np.ndarray, spot: np.ndarray, grad: Net) -> tuple[np.ndarray, np.ndarray]:
+        """Of the mean -log P at spot, added into grad (all but the embeddings); embeddings' as (ids, rows). Also counts no use."""
+        _, gain, _, w1, w2, b1, b2 = self.parts
+        _, g_gain, g_bias, g_w1, g_w2, g_b1, g_b2 = grad.parts
+        spot, target, out, runs = self.by_class(line, spot)
+        n, (x, h) = len(spot), self.hidden(line, spot)
+        p = np.exp(np.clip(h @ w1.T + b1, -LARGEST, LARGEST))
+        p /= p.sum(1, keepdims=True)
+        p[np.arange(n), out] -= 1
+        p /= n
+        g_w1 += p.T @ h
+        g_b1 += p.sum(0)
+        dh = p @ w1
+        for k, i, j in runs:
+            q = np.exp(np.clip(h[i:j] @ w2[k].T + b2[k], -LARGEST, LARGEST))
+            q /= q.sum(1, keepdims=True)
+            q[np.arange(j - i), target[i:j] % self.shape.per] -= 1
+            q /= n
+            g_w2[k] += q.T @ h[i:j]
+            g_b2[k] += q.sum(0)
+            dh[i:j] += q @ w2[k]
+        dz = dh * (1 - h * h)
+        g_bias += dz.sum(0)
+        for k in range(len(x)):
+            g_gain[k] += (x[k] * dz).sum(0)
+        ids = np.concatenate([line[spot + k] for k in self.offsets])
+        pulled = np.concatenate([dz * g for g in gain])
+        order = np.argsort(ids, kind="stable")
+        ids = ids[order]
+        first = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
+        return ids[first], np.add.reduceat(pulled[order], first, 0)
+
+
+def laid_out(ids: list[bytes], shape: Shape) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Documents' ids in one array with edges around each; the words' places in it, and each one's document."""
     sizes = np.array([len(b) // 2 for b in ids], np.int64)
-    words = np.frombuffer(b"".join(ids), "<u2").astype(np.int32)
+    words = np.frombuffer(b"".join(ids), "<u2").astype(np.int64)
     doc = np.repeat(np.arange(len(ids)), sizes)
-    place = np.arange(len(words)) + SIDE * (doc + 1)
-    line = np.full(len(words) + SIDE * (len(ids) + 1), EDGE, np.int32)
+    place = np.arange(len(words)) + shape.side * (doc + 1)
+    line = np.full(len(words) + shape.side * (len(ids) + 1), shape.edge, np.int64)
     line[place] = words
     return line, place, doc
 
 
-def _around(line: np.ndarray, place: np.ndarray) -> list[np.ndarray]:
-    return [line[place + k] for k in range(-SIDE, SIDE + 1) if k]
-
-
-def _train(net: Net, batches: Iterator[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
-    """The partition's copy after one pass over all its words, by Adagrad, and how often each row was used."""
-    net = Net(net.rows.copy(), net.class_of, net.log_share)
-    squares, used = np.full_like(net.rows, 1e-6), np.zeros(len(net.rows))
-    dense = len(net.rows) - BUCKETS - 1
-    for ids in batches:
-        line, place, _ = _laid_out(ids)
-        for at in range(0, len(place), BATCH):
-            spot = place[at : at + BATCH]
-            around, target = _around(line, spot), net.class_of[line[spot]]
-            x, h = net.hidden(around)
-            _, gain, _, weight, _ = net.parts()
-            p = np.exp(net.logits(h))
-            p /= p.sum(1, keepdims=True)
-            p[np.arange(len(spot)), target] -= 1
-            p /= len(spot)
-            grad = np.zeros_like(net.rows)
-            g_words, g_gain, g_bias, g_weight, _ = net.parts(grad)
-            g_weight[:] = p.T @ h
-            grad[BUCKETS + 1 + PLACES + 1 + CLASSES :].reshape(-1)[:CLASSES] = p.sum(0)
-            dz = (p @ weight) * (1 - h * h)
-            g_bias[:] = dz.sum(0)
-            flat, pulled = np.concatenate(around), np.concatenate([dz * g for g in gain])
-            for k in range(PLACES):
-                g_gain[k] = (x[k] * dz).sum(0)
-            for j in range(WIDTH):
-                g_words[:, j] = np.bincount(flat, pulled[:, j], BUCKETS + 1)
-            squares += grad * grad
-            net.rows -= RATE * grad / np.sqrt(squares)
-            used[: BUCKETS + 1] += np.bincount(flat, minlength=BUCKETS + 1)
-            used[-dense:] += len(spot)
+def train_copy(net: Net, docs: Iterator[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """A copy's rows after one pass over all words of docs by Adagrad, and how often each row was used.
+
+    Batches are cut by the words from the first document on, however the documents arrive.
+    """
+    s, at = net.shape, Net.starts(net.shape)
+    net, grad = Net(s, net.rows.copy()), Net(s, np.zeros_like(net.rows))
+    squares, used = np.full_like(net.rows, 1e-6), np.zeros(len(net.rows), np.int64)
+    dense = slice(at[1], None)
+
+    def learn(group: list[bytes]) -> None:
+        line, place, _ = laid_out(group, s)
+        for k in range(0, len(place), BATCH):
+            spot = place[k : k + BATCH]
+            grad.rows[dense] = 0
+            ids, pulled = net.gradient(line, spot, grad)
+            squares[ids] += pulled * pulled
+            net.rows[ids] -= RATE * pulled / np.sqrt(squares[ids])
+            g = grad.rows[dense]
+            squares[dense] += g * g
+            net.rows[dense] -= RATE * g / np.sqrt(squares[dense])
+            of = np.bincount(net.outcome(line[spot]), minlength=s.classes + s.rare)[: s.classes]
+            for i in net.offsets:
+                used[: at[1]] += np.bincount(line[spot + i], minlength=at[1])
+            used[at[1] : at[4]] += len(spot)
+            used[at[4] : at[5]] += np.repeat(of, s.per)
+            used[at[5] : at[6]] += len(spot)
+            used[at[6] :] += np.repeat(of, s.per // s.width)
+
+    group, size = [], 0
+    for ids in docs:
+        group.append(ids)
+        size += len(ids) // 2
+        if size >= 16 * BATCH:
+            learn(group)
+            group, size = [], 0
+    if size:
+        learn(group)
     return net.rows, used
 
 
-def train(rows: DataFrame, net: Net) -> Net:
-    """One round over all documents: copies by partition, averaged row by row on the executors."""
+def shards(rows: DataFrame, total: int, shard_words: int = SHARD_WORDS) -> tuple[DataFrame, int]:
+    """(shard, ids) of the different (doc_id, text_hash) of rows, and the number of shards, which follows the corpus.
+
+    Repeated rows are one before the shuffle and teach once; a document's shard is a hash of its id and text.
+    """
+    n = max(1, -(-total // shard_words))
+    own = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "text_hash")
+    one = rows.select("doc_id", "text_hash", "ids").dropDuplicates(["doc_id", "text_hash"])
+    return stored(one.select(F.pmod(own, F.lit(n)).cast("int").alias("shard"), own.alias("place"), "ids"), "shard-ids"), n
+
+
+def train(dealt: DataFrame, n: int, net: Net, total: int) -> Net:
+    """One round over all documents: a copy for each shard, averaged row by row on the executors.
+
+    Copies are summed as whole numbers, in units that keep the largest sum below 2 ** 62, so that no order of adding matters.
+    """
+    unit = 2.0 ** min(24, 62 - 7 - (2 * net.shape.side * max(total, 1)).bit_length())
+    shape, shared = net.shape, dealt.sparkSession.sparkContext.broadcast(net.rows)
+    names = [f"v{j}" for j in range(shape.width)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, used = _train(net, (b.column(0).to_pylist() for b in batches))
-        at = np.flatnonzero(used)
-        for k in range(0, len(at), 4096):
-            i = at[k : k + 4096]
-            yield pa.record_batch([pa.array(i.astype(np.int32)), pa.array(used[i]), *[pa.array(out[i, j] * used[i]) for j in range(WIDTH)]], ["row", "used", *[f"v{j}" for j in range(WIDTH)]])
-
-    copies = rows.select("ids").mapInArrow(run, "row int, used double, " + ", ".join(f"v{j} double" for j in range(WIDTH)))
-    sums = copies.groupBy("row").agg(F.sum("used").alias("used"), *[F.sum(f"v{j}").alias(f"v{j}") for j in range(WIDTH)])
-    out = net.rows.copy()
-    for r in sums.collect():  # one row for each row of parameters
-        out[r[0]] = np.array(r[2:]) / r[1]
-    return Net(out, net.class_of, net.log_share)
-
-
-def fit(rows: DataFrame, rounds: int = ROUNDS) -> Net:
-    net = Net.fresh(bucket_counts(rows))
+        def rows() -> Iterator[tuple[int, bytes]]:
+            for b in batches:
+                yield from zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)
+
+        coming = rows()
+        now = next(coming, None)
+        while now is not None:
+            shard = now[0]
+
+            def of_shard() -> Iterator[bytes]:
+                nonlocal now
+                while now is not None and now[0] == shard:
+                    yield now[1]
+                    now = next(coming, None)
+
+            out, used = train_copy(Net(shape, shared.value), of_shard())
+            at = np.flatnonzero(used)
+            for k in range(0, len(at), 4096):
+                i = at[k : k + 4096]
+                whole = np.rint(np.clip(out[i], -LARGEST, LARGEST).astype(np.float64) * used[i, None] * unit).astype(np.int64)
+                yield pa.record_batch([pa.array(i.astype(np.int32)), pa.array(used[i]), *[pa.array(np.ascontiguousarray(whole[:, j])) for j in range(shape.width)]], ["row", "used", *names])
+
+    copies = dealt.repartitionById(n, F.col("shard")).sortWithinPartitions("shard", "place").select("shard", "ids").mapInArrow(run, "row int, used long, " + ", ".join(f"{c} long" for c in names))
+    sums = copies.groupBy("row").agg(F.sum("used").alias("used"), *[F.sum(c).alias(c) for c in names]).toArrow()
+    rows = net.rows.copy()
+    if sums.num_rows:
+        at, used = sums.column("row").to_numpy(), sums.column("used").to_numpy().astype(np.float64)
+        rows[at] = np.stack([sums.column(c).to_numpy() for c in names], 1) / (used * unit)[:, None]
+    return Net(shape, rows)
+
+
+@dataclass
+class Model:
+    vocabulary: Vocabulary
+    counts: DataFrame
+    net: Net
+
+
+def fit(df: DataFrame, rounds: int = ROUNDS, shape: Shape = Shape(), known: int = KNOWN, shard_words: int = SHARD_WORDS, id_col: str = "doc_id", text_col: str = "text") -> tuple[Model, DataFrame]:
+    """The model of all of df's documents, and df's encoded rows."""
+    counts = word_counts(df, shape, text_col, id_col)
+    v = vocabulary(counts, shape, known)
+    rows, net = encoded(df, v, id_col, text_col), Net.fresh(v)
+    dealt, n = shards(rows, v.total, shard_words)
     for _ in range(rounds):
-        net = train(rows, net)
-    return net
+        net = train(dealt, n, net, v.total)
+    return Model(v, counts, net), rows
+
+
+def _tails(rows: DataFrame, model: Model) -> DataFrame:
+    """(doc_id, text_hash, tail): the summed back-off of words that tasks don't know, by a join with all counts.
+
+    Such a word's count is under the least of the known ones, so none is hot.
+    """
+    v = model.vocabulary
+    one = rows.filter(F.size("tail") > 0).select("doc_id", "text_hash", "tail").dropDuplicates(["doc_id", "text_hash"])
+    each = one.select("doc_id", "text_hash", F.explode("tail").alias("h"))
+    room = F.lit((v.other_n + v.other_d + 1.0).tolist()).cast("array<double>")
+    spread = model.counts.select("h", (F.log(F.col("n") + 1.0) - F.log(F.get(room, F.col("bucket")))).alias("share")).groupBy("h").agg(F.max("share").alias("share"))
+    new = -float(np.log(np.mean(v.other_n + v.other_d + 1.0)))  # a word that the counts lack
+    return each.join(spread, "h", "left").groupBy("doc_id", "text_hash").agg(F.sum(F.coalesce("share", F.lit(new))).alias("more"))
 
 
-def score(df: DataFrame, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, log_likelihood, per_token) of every document under a network fitted to all of df.
+def score(df: DataFrame, rounds: int = ROUNDS, model: Model | None = None, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
+    """(doc_id, n_tokens, log_likelihood, per_token) of every document, under a model of df itself unless one is given.
 
     Null, empty and wordless texts have n_tokens 0, log_likelihood 0 and per_token null; a lone word is predicted from
-    the edges. Repeated rows score alike. An empty table gives none.
+    the edges. Repeated rows score alike, and rows that are equal in id and text teach once. Very long texts are one row
+    of 16-bit ids. Extra columns, whatever their names, are not looked at. An empty table gives no rows.
     """
-    rows = encoded(df, id_col, text_col)
-    shared = rows.sparkSession.sparkContext.broadcast(fit(rows, rounds))
+    if model is None:
+        model, rows = fit(df, rounds, id_col=id_col, text_col=text_col, **settings)
+    else:
+        rows = encoded(df, model.vocabulary, id_col, text_col)
+    shared = rows.sparkSession.sparkContext.broadcast(model.net.rows)
+    shape = model.net.shape
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net = shared.value
+        net = Net(shape, shared.value)
         for batch in batches:
-            line, place, doc = _laid_out(batch.column(1).to_pylist())
-            total = np.zeros(batch.num_rows)
-            for at in range(0, len(place), 1 << 15):
-                spot = place[at : at + (1 << 15)]
-                total += np.bincount(doc[at : at + (1 << 15)], net.log_probability(_around(line, spot), line[spot]), batch.num_rows)
-            n = np.bincount(doc, minlength=batch.num_rows)
-            mean = pa.array(total / np.maximum(n, 1), mask=n == 0)
-            yield pa.record_batch([batch.column(0), pa.array(n), pa.array(total), mean], ["doc_id", "n_tokens", "log_likelihood", "per_token"])
-
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_tokens long, log_likelihood double, per_token double")
+            line, place, doc = laid_out(batch.column(2).to_pylist(), shape)
+            of = np.zeros(len(line), np.int64)
+            of[place] = doc
+            total = batch.column(3).to_numpy(zero_copy_only=False).copy()
+            for at in range(0, len(place), 1 << 14):
+                spot, found = net.log_probability(line, place[at : at + (1 << 14)])
+                total += np.bincount(of[spot], found, batch.num_rows)
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(np.bincount(doc, minlength=batch.num_rows)), pa.array(total)], ["doc_id", "text_hash", "n_tokens", "part"])
+
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    scored = rows.select("doc_id", "text_hash", "ids", "back").mapInArrow(run, f"doc_id {kind}, text_hash long, n_tokens long, part double")
+    tails = stored(_tails(rows, model).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "more"), "word-tails")
+    every = scored.join(tails, scored["doc_id"].eqNullSafe(tails["_id"]) & (scored["text_hash"] == tails["_hash"]), "left")
+    total: Column = F.col("part") + F.coalesce("more", F.lit(0.0))
+    return every.select("doc_id", "n_tokens", total.alias("log_likelihood"), F.when(F.col("n_tokens") > 0, total / F.col("n_tokens")).alias("per_token"))

@@ -6,7 +6,7 @@ import re
 from collections import Counter
 
 import numpy as np
-from pavewise.llm import licenses, pseudo_lm, secret_scan, spotsigs, toxicity
+from pavewise.llm import licenses, secret_scan, spotsigs, toxicity
 from pyspark.sql import functions as F
 
 
@@ -146,33 +146,6 @@ def test_isotonic_never_falls():
     assert (np.diff(p) >= 0).all() and (np.diff(x) >= 0).all()
 
 
-def test_pseudo_likelihood(spark, odd, none, texts):
-    rng = random.Random(1)
-    natural = [(i, " ".join(w for _ in range(30) for w in ("alpha", "beta", "gamma", "delta", f"n{rng.randrange(9)}"))) for i in range(150)]
-    mixed = [(1000 + i, " ".join(rng.sample(t.split(), 150))) for i, t in natural[:20]]
-    got = {r["doc_id"]: r for r in pseudo_lm.score(spark.createDataFrame(natural + mixed, "doc_id long, text string")).collect()}
-    assert np.mean([got[i]["per_token"] for i in range(20)]) > np.mean([got[1000 + i]["per_token"] for i in range(20)])
-    odd_rows = pseudo_lm.score(odd).collect()
-    assert Counter((r["doc_id"], r["n_tokens"]) for r in odd_rows) == Counter((i, len(t.lower().encode().split())) for i, t in texts)
-    assert {r["per_token"] for r in odd_rows if r["doc_id"] in (1, 2, 3)} == {None}
-    assert pseudo_lm.score(none).count() == 0
-
-
-def test_pseudo_likelihood_sums_to_one():
-    net = pseudo_lm.Net.fresh(np.random.default_rng(0).integers(0, 50, pseudo_lm.BUCKETS))
-    around = [np.full(pseudo_lm.BUCKETS, k, np.int32) for k in (3, 9, 11, pseudo_lm.EDGE)]
-    total = np.exp(net.log_probability(around, np.arange(pseudo_lm.BUCKETS)).astype(float)).sum()
-    assert abs(total - 1) < 1e-3
-
-
-def test_pseudo_likelihood_trains_on_every_word():
-    texts = ["a b c", "d", "", *(f"w{i} short text of six words" for i in range(500))]
-    ids, net = [pseudo_lm.word_ids(t).tobytes() for t in texts], pseudo_lm.Net.fresh(np.zeros(pseudo_lm.BUCKETS, np.int64))
-    for batches in ([ids], [ids[:7], ids[7:]]):
-        used = pseudo_lm._train(net, iter(batches))[1]
-        assert used[-1] == sum(len(t.split()) for t in texts)
-
-
 def test_a_newer_rule_version_replaces_what_the_older_found(spark, tmp_path):
     ledger = str(tmp_path / "ledger")
     df = spark.createDataFrame([(1, "x " + "ab12" * 8 + " AKIA" + "Z9" * 9)], "doc_id long, text string")
