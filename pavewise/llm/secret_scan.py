@@ -14,7 +14,6 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from pavewise.llm.common import pick, scratch, stored
 
@@ -101,10 +100,10 @@ def _scanned(blobs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
 
 
 def _ledger(spark, path: str) -> DataFrame | None:
-    try:
-        return spark.read.schema(LEDGER).parquet(path)
-    except AnalysisException:  # no ledger yet
-        return None
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+        return None  # no ledger yet
+    return spark.read.schema(LEDGER).parquet(path)
 
 
 def scan(versions: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES, text_col: str = "text") -> None:
@@ -128,6 +127,9 @@ def scan(versions: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES, text
 def findings(df: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """df's blobs that have spans under these rules: (blob, spans), spans by start, then the rules' order.
 
+    Callers write it before they join it to paths: one row for each blob then meets all its paths through plain exchanges,
+    and adaptive execution splits a blob that very many paths hold.
+
     A ledger row's spans count only for the rule versions that the row was scanned with, so what an older version of a
     rule found is left out. One call's rules have different kinds.
     """
@@ -151,7 +153,7 @@ def scan_documents(df: DataFrame, ledger: str | None = None, rules: tuple[Rule,
     ledger = ledger or scratch(spark, "secret-ledger")
     scan(df, ledger, rules, text_col)
     paths = pick(df, doc_id=id_col, text=text_col).select("doc_id", blob_of(F.col("text")).alias("blob"))
-    found = findings(df, ledger, rules)
+    found = stored(findings(df, ledger, rules), "secret-findings")
     none = F.array().cast(found.schema["spans"].dataType)
     return paths.join(found, "blob", "left").select("doc_id", "blob", F.coalesce("spans", none).alias("spans"))
 
@@ -187,7 +189,8 @@ def redact(df: DataFrame, ledger: str | None = None, rules: tuple[Rule, ...] = R
     names = df.columns
     flat = df.toDF(*[f"c{i}" for i in range(len(names))])
     text = f"c{names.index(text_col)}"
-    out = flat.withColumn("_blob", blob_of(F.col(text))).join(findings(df, ledger, rules).withColumnRenamed("blob", "_blob"), "_blob", "left")
+    found = stored(findings(df, ledger, rules), "secret-findings")
+    out = flat.withColumn("_blob", blob_of(F.col(text))).join(found.withColumnRenamed("blob", "_blob"), "_blob", "left")
     out = out.withColumn(text, F.when(F.col("spans").isNull(), F.col(text)).otherwise(redacted(F.col(text), F.col("spans"))))
     if size_col in names:
         n = f"c{names.index(size_col)}"

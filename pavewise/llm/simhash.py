@@ -23,7 +23,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pavewise.llm.common import documents, prepare, stored
@@ -226,7 +226,16 @@ def classes(df: DataFrame, shingle: int = 4, max_bits: int = MAX_BITS, id_col: s
     of_label = linked.join(fps, "fp").groupBy("label").agg(F.min("least").alias("component_id"))
     moved = linked.join(of_label, "label").select("fp", "component_id")
     own = fps.join(moved, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return rows.join(own, "fp").select("doc_id", "text_hash", "fp", "component_id")
+    return with_component(rows, own)
+
+
+def with_component(rows: DataFrame, own: DataFrame) -> DataFrame:
+    """rows (doc_id, text_hash, fp) with own's component_id of their fp.
+
+    own has one row for each fp and is written first: both sides then come to the join through plain exchanges, so a
+    fingerprint that very many rows have is split over tasks by adaptive execution, and only own's one row is repeated.
+    """
+    return rows.join(stored(own, "component-of"), "fp").select("doc_id", "text_hash", "fp", "component_id")
 
 
 def hex_fingerprint(fp: str = "fp"):
@@ -242,12 +251,20 @@ def keep_one(df: DataFrame, shingle: int = 4, max_bits: int = MAX_BITS, id_col:
 
 
 def keep_least(df: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """df with the least row of each component of found (doc_id, text_hash, fp, component_id); see keep_one."""
+    """df with the least row of each component of found (doc_id, text_hash, fp, component_id); see keep_one.
+
+    Of rows equal in id and text, but not in other columns, that of the least hash of all columns stays. They are
+    combined before the one shuffle of texts, whose keys the join shares.
+    """
     kept = found.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("apart")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("k"))
-    keys = stored(kept.select(F.col("k.doc_id").alias("_k"), F.col("k.text_hash").alias("_h")), "kept")
+
+    def keys(doc_id: str, text_hash: Column) -> list[Column]:
+        return [F.coalesce(F.col(doc_id).cast("string"), F.lit("")).alias("_id"), F.col(doc_id).isNull().alias("_none"), text_hash.alias("_hash")]
+
+    wanted = stored(kept.select("k.*").select(*keys("doc_id", F.col("text_hash"))), "kept")
     names = df.columns
     flat = df.toDF(*[f"c{i}" for i in range(len(names))])
-    own_id, own_hash = F.col(f"c{names.index(id_col)}"), F.xxhash64(F.coalesce(F.col(f"c{names.index(text_col)}"), F.lit("")))
-    flat = flat.withColumns({"_id": own_id, "_hash": own_hash})
-    out = flat.join(keys, flat["_id"].eqNullSafe(keys["_k"]) & (flat["_hash"] == keys["_h"]), "left_semi")
-    return out.dropDuplicates(["_id", "_hash"]).drop("_id", "_hash").toDF(*names)
+    own = keys(f"c{names.index(id_col)}", F.xxhash64(F.coalesce(F.col(f"c{names.index(text_col)}"), F.lit(""))))
+    plain = [f.name for f in flat.schema.fields if f.dataType.typeName() not in ("map", "variant")]
+    one = flat.groupBy(*own).agg(F.min_by(F.struct(*flat.columns), F.xxhash64(*plain)).alias("row"))
+    return one.join(wanted, ["_id", "_none", "_hash"], "left_semi").select("row.*").toDF(*names)
