@@ -19,6 +19,7 @@ nothing depends on partitions or batches, and neither a task nor the driver hold
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -39,8 +40,8 @@ RATE = 0.1
 SHARD_WORDS = 1 << 21
 #: Words whose counts every task holds (at most); counts of all others are joined in from the table.
 KNOWN = 1 << 18
-#: Different words that a task counts before it passes them on.
-HELD = 200_000
+#: Different words that a task counts before it passes them on, or whose codes it keeps.
+HELD = 300_000
 LARGEST = 64.0
 
 
@@ -164,17 +165,31 @@ class _Coder(dict):
 
     def __init__(self, v: Vocabulary):
         super().__init__()
-        self.v, self.first = v, len(v.counts)
+        self.first, self.rare = len(v.counts), v.shape.rare
+        self.known = dict(zip(v.hashes.tolist(), v.codes.tolist(), strict=True))
+        self.net_id, self.back_off = v.net_id, np.concatenate([v.back_off, np.zeros(v.shape.rare)])
 
     def __missing__(self, word: bytes) -> int:
-        h = _signed(xxhash.xxh64_intdigest(word))
-        at = int(np.searchsorted(self.v.hashes, h))
-        found = at < len(self.v.hashes) and self.v.hashes[at] == h
-        code = int(self.v.codes[at]) if found else self.first + bucket_of(word, self.v.shape.rare)
+        code = self.known.get(_signed(xxhash.xxh64_intdigest(word)))
+        if code is None:
+            code = self.first + bucket_of(word, self.rare)
         if len(word) <= 64:
             self[word] = code
         return code
 
+    def coded(self, text: str) -> tuple[bytes, float, list[int]]:
+        """The network's ids, the known words' back-off, and the hashes of unknown words."""
+        if len(self) > HELD:
+            self.clear()
+        words = words_of(text)
+        codes = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        unknown = np.flatnonzero(codes >= self.first).tolist()
+        return self.net_id[codes].tobytes(), float(self.back_off[codes].sum()), [_signed(xxhash.xxh64_intdigest(words[i])) for i in unknown]
+
+
+#: The last vocabulary's coder in this worker process, for the tasks to come.
+_coder: dict[str, _Coder] = {}
+
 
 def encoded(df: DataFrame, v: Vocabulary, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text_hash, ids, back, tail) of each row, written to the shared folder.
@@ -183,22 +198,15 @@ def encoded(df: DataFrame, v: Vocabulary, id_col: str = "doc_id", text_col: str
     """
     spark = df.sparkSession
     docs = documents(df, id_col, text_col)
-    shared = spark.sparkContext.broadcast(v)
+    shared, name = spark.sparkContext.broadcast(v), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, coder = shared.value, _Coder(shared.value)
-        first = coder.first
-        padded = np.concatenate([v.back_off, np.zeros(v.shape.rare)])
+        if name not in _coder:
+            _coder.clear()
+            _coder[name] = _Coder(shared.value)
+        coder = _coder[name]
         for batch in batches:
-            ids, back, tails = [], [], []
-            for text in batch.column(2).to_pylist():
-                words = words_of(text)
-                codes = np.fromiter(map(coder.__getitem__, words), np.int64, len(words))
-                ids.append(v.net_id[codes].tobytes())
-                back.append(float(padded[codes].sum()))
-                tails.append([_signed(xxhash.xxh64_intdigest(words[i])) for i in np.flatnonzero(codes >= first)])
-                if len(coder) > 2 * KNOWN:
-                    coder.clear()
+            ids, back, tails = zip(*map(coder.coded, batch.column(2).to_pylist()), strict=True) if batch.num_rows else ((), (), ())
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(ids, pa.binary()), pa.array(back, pa.float64()), pa.array(tails, pa.list_(pa.int64()))], ["doc_id", "text_hash", "ids", "back", "tail"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -261,51 +269,74 @@ class Net:
     def by_class(self, line: np.ndarray, spot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
         """Places in the order of their outcomes, targets, outcomes, and (class, from, to) of the classes that occur."""
         out = self.outcome(line[spot])
-        order = np.argsort(out, kind="stable")
+        order = np.argsort(out.astype(np.int16), kind="stable")
         spot, out = spot[order], out[order]
         ends = np.searchsorted(out, np.arange(self.shape.classes + 1))
         return spot, line[spot], out, [(k, i, j) for k, (i, j) in enumerate(zip(ends.tolist(), ends[1:].tolist(), strict=False)) if i < j]
 
+    def bound(self) -> None:
+        """Keep weights and biases so small that no exp overflows: |hidden| <= 1, so a logit is at most LARGEST."""
+        s, most = self.shape, LARGEST / 2
+        for part in self.parts[3:5]:
+            np.clip(part, -most / s.width, most / s.width, out=part)
+        for part in self.parts[5:]:
+            np.minimum(part, most, out=part)
+
     def log_probability(self, line: np.ndarray, spot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(places, log P of the words there): the back-off of rare words is not in it. Logits are bounded before exp."""
+        """(places, log P of the words there): the back-off of rare words is not in it."""
         _, _, _, w1, w2, b1, b2 = self.parts
         spot, target, out, runs = self.by_class(line, spot)
         h = self.hidden(line, spot)[1]
-        logits = np.clip(h @ w1.T + b1, -LARGEST, LARGEST)
-        found = logits[np.arange(len(spot)), out] - np.log(np.exp(logits).sum(1))
+        logits = h @ w1.T
+        logits += b1
+        found = logits[np.arange(len(spot)), out]
+        found -= np.log(np.exp(logits, out=logits).sum(1))
+        within = target % self.shape.per
         for k, i, j in runs:
-            inner = np.clip(h[i:j] @ w2[k].T + b2[k], -LARGEST, LARGEST)
-            found[i:j] += inner[np.arange(j - i), target[i:j] % self.shape.per] - np.log(np.exp(inner).sum(1))
+            inner = h[i:j] @ w2[k].T
+            inner += b2[k]
+            found[i:j] += inner[np.arange(j - i), within[i:j]]
+            found[i:j] -= np.log(np.exp(inner, out=inner).sum(1))
         return spot, found
 
     def gradient(self, line: np.ndarray, spot: np.ndarray, grad: Net) -> tuple[np.ndarray, np.ndarray]:
-        """Of the mean -log P at spot, added into grad (all but the embeddings); embeddings' as (ids, rows). Also counts no use."""
+        """Of the mean -log P at spot: added into grad but for the embeddings, whose own is returned as (ids, rows)."""
         _, gain, _, w1, w2, b1, b2 = self.parts
         _, g_gain, g_bias, g_w1, g_w2, g_b1, g_b2 = grad.parts
         spot, target, out, runs = self.by_class(line, spot)
         n, (x, h) = len(spot), self.hidden(line, spot)
-        p = np.exp(np.clip(h @ w1.T + b1, -LARGEST, LARGEST))
-        p /= p.sum(1, keepdims=True)
-        p[np.arange(n), out] -= 1
-        p /= n
+        every, within, one = np.arange(n), target % self.shape.per, h.dtype.type(1 / len(spot))
+        ones = np.ones(max(len(w1), self.shape.per), h.dtype)
+
+        def less_target(p: np.ndarray, at: np.ndarray) -> np.ndarray:
+            np.exp(p, out=p)
+            p *= (one / (p @ ones[: p.shape[1]]))[:, None]
+            p[every[: len(p)], at] -= one
+            return p
+
+        p = h @ w1.T
+        p += b1
+        p = less_target(p, out)
         g_w1 += p.T @ h
-        g_b1 += p.sum(0)
+        g_b1 += ones[:1].repeat(n) @ p
         dh = p @ w1
         for k, i, j in runs:
-            q = np.exp(np.clip(h[i:j] @ w2[k].T + b2[k], -LARGEST, LARGEST))
-            q /= q.sum(1, keepdims=True)
-            q[np.arange(j - i), target[i:j] % self.shape.per] -= 1
-            q /= n
-            g_w2[k] += q.T @ h[i:j]
+            hk = h[i:j]
+            q = hk @ w2[k].T
+            q += b2[k]
+            q = less_target(q, within[i:j])
+            g_w2[k] += q.T @ hk
             g_b2[k] += q.sum(0)
             dh[i:j] += q @ w2[k]
-        dz = dh * (1 - h * h)
+        h *= h
+        dz = dh
+        dz -= dh * h
         g_bias += dz.sum(0)
         for k in range(len(x)):
-            g_gain[k] += (x[k] * dz).sum(0)
+            g_gain[k] += np.einsum("ij,ij->j", x[k], dz)
         ids = np.concatenate([line[spot + k] for k in self.offsets])
         pulled = np.concatenate([dz * g for g in gain])
-        order = np.argsort(ids, kind="stable")
+        order = np.argsort(ids.astype(np.int16), kind="stable")
         ids = ids[order]
         first = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
         return ids[first], np.add.reduceat(pulled[order], first, 0)
@@ -343,6 +374,7 @@ def train_copy(net: Net, docs: Iterator[bytes]) -> tuple[np.ndarray, np.ndarray]
             g = grad.rows[dense]
             squares[dense] += g * g
             net.rows[dense] -= RATE * g / np.sqrt(squares[dense])
+            net.bound()
             of = np.bincount(net.outcome(line[spot]), minlength=s.classes + s.rare)[: s.classes]
             for i in net.offsets:
                 used[: at[1]] += np.bincount(line[spot + i], minlength=at[1])
