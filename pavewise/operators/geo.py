@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from pavewise.session import checkpointed
 
+#: Left rows whose cells (nine each) may be broadcast.
+FEW = 50_000
 SEGMENT = ("x1", "y1", "ux", "uy", "length_m")
 
 
@@ -102,13 +104,14 @@ def distance_to_segment() -> Column:
     return F.sqrt(dx * dx + dy * dy)
 
 
-def within_of_segments(segments: DataFrame, points: DataFrame, r: float, mode: str = "envelope", size: float | None = None) -> DataFrame:
-    """Pairs of segment and point (px, py): in the box grown by r (envelope), or within r of the line (exact, with d).
+def within_of_segments(segments: DataFrame, points: DataFrame, r: float, mode: str = "envelope", size: float | None = None, keep: tuple[str, ...] = ("seg_id",)) -> DataFrame:
+    """Pairs of segment (its keep columns) and point (px, py): in the box grown by r (envelope), or within r of the line (exact, with d).
 
     Each point has one cell and each segment the cells of its grown box, so no pair meets twice.
     """
     size = size or max(4 * r, 100.0)
-    s = with_box(segments).withColumn("c", F.explode(_covered(r, size))).select("*", "c.cx", "c.cy").drop("c")
+    needed = ["minx", "miny", "maxx", "maxy"] if mode == "envelope" else [*SEGMENT, "minx", "miny", "maxx", "maxy"]
+    s = with_box(segments.select(*keep, *SEGMENT)).select(*keep, *needed, F.explode(_covered(r, size)).alias("c")).select(*keep, *needed, "c.cx", "c.cy")
     p = points.withColumns({"cx": _cell(F.col("px"), size), "cy": _cell(F.col("py"), size)})
     met = s.join(p, ["cx", "cy"]).drop("cx", "cy")
     if mode == "envelope":
@@ -126,18 +129,22 @@ def nearest_point(left: DataFrame, right: DataFrame, key: str, right_id: str, si
     """For each left row (lx, ly) the nearest right row (rx, ry), ties by right_id: rings of cells that grow until found.
 
     A ring's answer is kept only if its distance is at most what the searched cells are sure to cover; a checkpoint after
-    each ring keeps the rounds from repeating one another. Left rows without an answer after ``rings`` doublings would need a search beyond size * 2 ** rings, more than any metric plane.
+    each ring keeps the rounds from repeating one another. Once at most FEW left rows are left, their cells are broadcast,
+    so the right side isn't shuffled again. Left rows without an answer after ``rings`` doublings would need a search beyond
+    size * 2 ** rings, more than any metric plane.
     """
-    out, todo = None, left
+    out, todo, left_over = None, left, None
     for _ in range(rings):
         cells = todo.withColumn("c", F.explode(around(F.col("lx"), F.col("ly"), size))).select(todo["*"], "c.cx", "c.cy")
         r = right.withColumns({"cx": _cell(F.col("rx"), size), "cy": _cell(F.col("ry"), size)})
         dx, dy = F.col("rx") - F.col("lx"), F.col("ry") - F.col("ly")
-        met = cells.join(r, ["cx", "cy"]).withColumn("d", F.round(F.sqrt(dx * dx + dy * dy), 9)).filter(F.col("d") <= size)
+        met = r.join(F.broadcast(cells) if left_over is not None and left_over <= FEW else cells, ["cx", "cy"])
+        met = met.withColumn("d", F.round(F.sqrt(dx * dx + dy * dy), 9)).filter(F.col("d") <= size)
         best = checkpointed(met.groupBy(key).agg(F.min(F.struct("d", right_id)).alias("b")).select(key, F.col(f"b.{right_id}").alias(right_id), F.col("b.d").alias("d")))
         out = best if out is None else out.unionByName(best)
         todo = checkpointed(todo.join(best, key, "left_anti"))
-        if todo.isEmpty():
+        left_over = todo.count()
+        if not left_over:
             return out
         size *= 2
     raise RuntimeError("no right rows within reach")

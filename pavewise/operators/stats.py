@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
+from pavewise.guard import check
 from pavewise.session import checkpointed
 
 EPS = 1e-9
-#: Ranges of values that are ranked apart.
-CELLS = 4096
+#: Rows in the bracket of a percentile that the driver may get, and the sketch's accuracy.
+HELD, SKETCH = 10_000, 10_000
 
 
 def with_scalar(df: DataFrame, stats: DataFrame) -> DataFrame:
@@ -34,9 +37,61 @@ def log_scaled(x: Column) -> Column:
     return F.log1p(F.greatest(x, F.lit(0.0)))
 
 
+def order_statistics(rows: DataFrame, col: str, ranks: list[int], n: int) -> dict[int, float]:
+    """The values at these ranks (from 0) among the n finite values of col, exactly.
+
+    A mergeable sketch gives two values around each rank; counts tell whether the rank is one of theirs or strictly between
+    them, where at most 4 / SKETCH of the rows are left. That goes on until at most HELD rows are between, whose different
+    values the driver gets. rows must be cheap to read.
+    """
+    x, out = F.col(col), {}
+    at = {r: (float("-inf"), float("inf"), 0, n) for r in ranks}  # bounds, rows up to the lower one, rows between them
+    while wide := [r for r in ranks if r not in out and at[r][3] > HELD]:
+        inside = {r: F.when((x > at[r][0]) & (x < at[r][1]), x) for r in wide}
+        share = {r: (r - at[r][2]) / max(at[r][3] - 1, 1) for r in wide}
+        ends = rows.agg(*[F.percentile_approx(inside[r], [max(0.0, share[r] - 2 / SKETCH), min(1.0, share[r] + 2 / SKETCH)], SKETCH).alias(f"_{r}") for r in wide]).first()
+        counts = rows.agg(*[F.count_if(c).alias(f"{k}{r}") for r in wide for k, c in (("l", x < ends[f"_{r}"][0]), ("a", x == ends[f"_{r}"][0]), ("i", (x > ends[f"_{r}"][0]) & (x < ends[f"_{r}"][1])), ("b", x == ends[f"_{r}"][1]))]).first()
+        for r in wide:
+            (lo, hi), less, here, between, last = ends[f"_{r}"], *[counts[f"{k}{r}"] for k in "laib"]
+            if less <= r < less + here:
+                out[r] = lo
+            elif less + here <= r < less + here + between:
+                at[r] = (lo, hi, less + here, between)
+            elif less + here + between <= r < less + here + between + last:
+                out[r] = hi
+            else:
+                raise RuntimeError("a rank left its bracket")  # the sketch's bound rules it out
+    left = [r for r in ranks if r not in out]
+    if left:
+        near = reduce(lambda p, q: p | q, [(x > at[r][0]) & (x < at[r][1]) for r in left])
+        values = sorted(map(tuple, rows.filter(near).groupBy(x.alias("v")).count().collect()))
+        for r in left:
+            lo, hi, seen, _ = at[r]
+            for v, k in values:
+                if lo < v < hi:
+                    seen += k
+                    if seen > r:
+                        out[r] = v
+                        break
+    return out
+
+
 def percentiles(df: DataFrame, col: str, shares: list[float], where: Column | None = None) -> DataFrame:
-    """One row (q array): exact percentiles by linear interpolation."""
-    return (df if where is None else df.filter(where)).agg(F.expr(f"percentile(`{col}`, array({', '.join(map(str, shares))}))").alias("q"))
+    """One row (q array): exact percentiles by linear interpolation, null without known values. Fitted at once."""
+    rows = checkpointed((df if where is None else df.filter(where)).select(F.col(col).cast("double").alias("_x")).filter("_x is not null"))
+    n = rows.count()
+    spark = df.sparkSession
+    if not n:
+        return spark.range(1).select(F.lit(None).cast("array<double>").alias("q"))
+    places = [p * (n - 1) for p in shares]
+    at = order_statistics(rows, "_x", sorted({r for p in places for r in (math.floor(p), math.ceil(p))}), n)
+    found = [at[math.floor(p)] + (p - math.floor(p)) * (at[math.ceil(p)] - at[math.floor(p)]) for p in places]
+    return spark.range(1).select(F.lit([float(v) for v in found]).cast("array<double>").alias("q"))
+
+
+def median(df: DataFrame, col: str) -> DataFrame:
+    """One row (med)."""
+    return percentiles(df, col, [0.5]).select(F.col("q")[0].alias("med"))
 
 
 def rescaled(df: DataFrame, col: str, low: float = 0.05, high: float = 0.95) -> DataFrame:
@@ -49,15 +104,15 @@ def rescaled(df: DataFrame, col: str, low: float = 0.05, high: float = 0.95) ->
 def rank_table(df: DataFrame, col: str, out: str) -> DataFrame:
     """(_v, out): the average rank of each different value of col.
 
-    Values are counted first, so one that many rows have is ordered once. They are dealt to CELLS ranges of equal width,
-    each summed up in a task of its own; the ranges' totals (CELLS rows at most) give what lies before each.
+    Values are counted first, so one that many rows have is ordered once. Different values are dealt to sampled ranges,
+    each summed up in a task of its own; the ranges' totals (one row each) give what lies before each. The ranged table is
+    checkpointed, as a second look at its ranges could draw other bounds.
     """
-    counts = checkpointed(df.filter(F.col(col).isNotNull()).groupBy(F.col(col).alias("_v")).agg(F.count("*").alias("_n")))
-    span = counts.agg(F.min("_v").cast("double").alias("_lo"), F.max("_v").cast("double").alias("_hi"))
-    share = (F.col("_v").cast("double") - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0))
-    cells = with_scalar(counts, span).withColumn("_c", F.coalesce(F.least(F.floor(share * CELLS), F.lit(CELLS - 1)), F.lit(0)))
+    counts = df.filter(F.col(col).isNotNull()).groupBy(F.col(col).alias("_v")).agg(F.count("*").alias("_n"))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cells = checkpointed(counts.repartitionByRange(parts, "_v").withColumn("_c", F.spark_partition_id()))
     totals = cells.groupBy("_c").agg(F.sum("_n").alias("_t"))
-    before = totals.select("_c", (F.sum("_t").over(Window.orderBy("_c")) - F.col("_t")).alias("_before"))
+    before = totals.select("_c", (F.sum("_t").over(Window.orderBy("_c")) - F.col("_t")).alias("_before"))  # one row for each range
     upto = F.sum("_n").over(Window.partitionBy("_c").orderBy("_v"))
     return cells.withColumn("_upto", upto).join(F.broadcast(before), "_c").select("_v", (F.col("_before") + F.col("_upto") - (F.col("_n") - 1) / 2).alias(out))
 
@@ -68,8 +123,8 @@ def average_ranks(df: DataFrame, col: str, out: str) -> DataFrame:
 
 
 def _all_ranked(rows: DataFrame, cols: dict[str, str]) -> DataFrame:
-    """rows (checkpointed, so that they are computed once) with the average ranks of several columns."""
-    out = rows = checkpointed(rows)
+    """rows (read more than once: checkpointed by the caller) with the average ranks of several columns."""
+    out = rows
     for col, name in cols.items():
         out = out.join(rank_table(rows, col, name).withColumnRenamed("_v", col), col)
     return out
@@ -92,19 +147,31 @@ def positions(df: DataFrame, order: list[str | Column], out: str) -> DataFrame:
 
 
 def spearman(df: DataFrame, pairs: list[tuple[str, str]], least: int = 10) -> DataFrame:
-    """(a, b, n, rho) for column pairs over rows where both are known; rho null where n <= least."""
-    out, df = None, checkpointed(df.select(*sorted({c for p in pairs for c in p})))
+    """(a, b, n, rho) for column pairs over rows where both are known; rho null where n <= least.
+
+    Pairs over the same rows share one rank table for each column: all pairs of columns without nulls, and otherwise pairs
+    whose rows lack the same columns.
+    """
+    names = sorted({c for p in pairs for c in p})
+    df = checkpointed(df.select(*[F.col(c).cast("double").alias(c) for c in names]))
+    gaps = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in names]).first()
+    groups: dict[tuple[str, ...], list[tuple[str, str]]] = {}
     for a, b in pairs:
-        rows = df.select(F.col(a).cast("double").alias("_a"), F.col(b).cast("double").alias("_b")).na.drop()
-        ranked = _all_ranked(rows, {"_a": "ra", "_b": "rb"})
-        one = ranked.agg(F.count("*").alias("n"), F.corr("ra", "rb").alias("rho")).select(F.lit(a).alias("a"), F.lit(b).alias("b"), "n", F.when(F.col("n") > least, F.col("rho")).alias("rho"))
-        out = one if out is None else out.unionByName(one)
-    return out
+        groups.setdefault(tuple(c for c in sorted({a, b}) if gaps[c]), []).append((a, b))
+    out = []
+    for holes, own in groups.items():
+        cols = sorted({c for p in own for c in p})
+        rows = df.select(*cols).na.drop(subset=list(holes)) if holes else df.select(*cols)
+        ranked = _all_ranked(rows, {c: f"r_{c}" for c in cols})
+        one = ranked.agg(F.count("*").alias("n"), *[F.corr(f"r_{a}", f"r_{b}").alias(f"{a}|{b}") for a, b in own])
+        each = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), "n", F.when(F.col("n") > least, F.col(f"`{a}|{b}`")).alias("rho")) for a, b in own])).alias("s")
+        out.append(one.select(each).select("s.*"))
+    return reduce(DataFrame.unionByName, out)
 
 
 def partial_spearman(df: DataFrame, x: str, y: str, control: str, least: int = 30) -> DataFrame:
     """(n, rho): rank correlation of x and y with the control's ranks taken out of both; null where n < least."""
-    rows = df.select(*[F.col(c).cast("double").alias(f"_{k}") for k, c in zip("xyz", (x, y, control), strict=True)]).na.drop()
+    rows = checkpointed(df.select(*[F.col(c).cast("double").alias(f"_{k}") for k, c in zip("xyz", (x, y, control), strict=True)]).na.drop())
     c = _all_ranked(rows, {f"_{k}": f"r{k}" for k in "xyz"}).agg(F.count("*").alias("n"), F.corr("rx", "ry").alias("xy"), F.corr("rx", "rz").alias("xz"), F.corr("ry", "rz").alias("yz"))
     rho = (F.col("xy") - F.col("xz") * F.col("yz")) / F.sqrt((1 - F.col("xz") ** 2) * (1 - F.col("yz") ** 2))
     return c.select("n", F.when(F.col("n") >= least, rho).alias("rho"))
@@ -123,6 +190,7 @@ def least_squares(df: DataFrame, y: str, cols: list[str]) -> list[tuple[str, flo
 
     One pass gathers means and covariances; the driver solves a system as wide as cols. A column without spread has 0.
     """
+    check(cols)
     names = [*cols, y]
     finite = [F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) & (F.abs(F.col(c).cast("double")) < float("inf")) for c in names]
     rows = df.filter(reduce(lambda a, b: a & b, finite))
@@ -139,8 +207,6 @@ def grouped_forest(df: DataFrame, y: str, cols: list[str], group: str, folds: in
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import RandomForestRegressor
 
-    from pavewise.guard import check
-
     check(cols)
     sizes = [tuple(r) for r in df.groupBy(group).count().collect()]  # one row for each cell of the caller's grid
     fold = df.sparkSession.createDataFrame([(k, v) for k, v in group_folds(sizes, folds).items()], df.select(group).schema.add("_fold", IntegerType()))
@@ -157,31 +223,64 @@ def fit_quality(df: DataFrame, y: str, out: str) -> DataFrame:
     return x.agg(F.count("*").alias("n"), (1 - F.sum(e * e) / F.sum(F.pow(F.col(y) - F.col("_m"), 2))).alias("r2"), F.avg(F.abs(e)).alias("mae"))
 
 
-def bradley_terry(pairs: DataFrame, cols: list[str], strength: float = 1.0, weight: str | None = None) -> dict[str, float]:
+def bradley_terry(pairs: DataFrame, cols: list[str], strength: float = 1.0) -> dict[str, float]:
     """Weights of a logistic model without intercept on winner-minus-loser differences, each pair in both directions."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import VectorAssembler
+    return dict(zip(cols, map(float, bradley_terry_fits(pairs, cols, strength=strength)[0]), strict=True))
 
-    from pavewise.guard import check
-
-    check(cols)
-    w = F.col(weight).cast("double") if weight else F.lit(1.0)
-    both = pairs.select(*cols, w.alias("_w"), F.lit(1.0).alias("label")).unionByName(pairs.select(*[(-F.col(c)).alias(c) for c in cols], w.alias("_w"), F.lit(0.0).alias("label")))
-    rows = VectorAssembler(inputCols=cols, outputCol="features").transform(both)
-    total = both.agg(F.sum("_w")).first()[0] or 1.0
-    model = LogisticRegression(fitIntercept=False, standardization=False, regParam=1 / (strength * total), weightCol="_w", maxIter=200, tol=1e-10).fit(rows)
-    return dict(zip(cols, map(float, model.coefficients), strict=True))
 
+def bradley_terry_fits(pairs: DataFrame, cols: list[str], key: str | None = None, fits: int = 1, seed: int = 3, strength: float = 1.0) -> np.ndarray:
+    """(fits, len(cols)) weights, all fitted together: Newton steps on log-likelihood minus |w|^2 / (2 strength).
 
-def bootstrap_interval(pairs: DataFrame, cols: list[str], key: str, rounds: int = 20, seed: int = 3) -> DataFrame:
+    With a key, fit k counts a pair as often as a Poisson(1) draw from the hash of (key, seed, k) says. A pair in both
+    directions is twice its likelihood. A step is one pass: each task adds up gradients and Hessians of all fits, and the
+    driver gets fits x (d + d * d) numbers.
+    """
+    check(cols)
+    d = len(cols)
+    rows = checkpointed(pairs.select(*[F.col(c).cast("double").alias(f"_{i}") for i, c in enumerate(cols)], F.xxhash64(F.col(key) if key else F.lit(0), F.lit(seed)).alias("_h")).na.drop())
+    w = np.zeros((fits, d))
+    for _ in range(50):
+        now = w
+
+        def run(batches):
+            total = np.zeros((fits, d + d * d))
+            for b in batches:
+                x = np.stack([b.column(i).to_numpy() for i in range(d)], 1)
+                for at in range(0, len(x), 4096):
+                    xs, h = x[at : at + 4096], b.column(d).to_numpy()[at : at + 4096]
+                    p = 1 / (1 + np.exp(-np.clip(xs @ now.T, -500, 500)))
+                    times = poisson_draws(h, fits) if key else np.ones_like(p)
+                    total[:, :d] += (times * (1 - p)).T @ xs
+                    total[:, d:] += (times * p * (1 - p)).T @ (xs[:, :, None] * xs[:, None, :]).reshape(len(xs), -1)
+            k = np.arange(fits, dtype=np.int32)
+            yield pa.record_batch([pa.array(k), *[pa.array(np.ascontiguousarray(total[:, j])) for j in range(d + d * d)]], ["fit", *[f"g{j}" for j in range(d + d * d)]])
+
+        sums = rows.mapInArrow(run, "fit int, " + ", ".join(f"g{j} double" for j in range(d + d * d))).groupBy("fit").agg(*[F.sum(f"g{j}") for j in range(d + d * d)])
+        got = np.zeros((fits, d + d * d))
+        for r in sums.collect():
+            got[r[0]] = r[1:]
+        gradient = 2 * got[:, :d] - now / strength
+        step = np.linalg.solve(2 * got[:, d:].reshape(fits, d, d) + np.eye(d) / strength, gradient[:, :, None])[:, :, 0]
+        w = now + step
+        if np.abs(step).max() < 1e-10:
+            break
+    return w
+
+
+def poisson_draws(h: np.ndarray, fits: int) -> np.ndarray:
+    """(len(h), fits) Poisson(1) draws, each from a mix of a 64-bit hash and the fit's number."""
+    z = h.astype(np.int64).view(np.uint64)[:, None] + np.arange(1, fits + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    u = (z ^ (z >> np.uint64(31))) / 2.0**64
+    return np.searchsorted(np.cumsum([math.exp(-1) / math.factorial(k) for k in range(12)]), u, "right").astype(np.float64)
+
+
+def bootstrap_interval(pairs: DataFrame, cols: list[str], key: str, rounds: int = 300, seed: int = 3) -> DataFrame:
     """(feature, low, high): 2.5 and 97.5 percentiles of refitted weights; a pair's multiplicity is drawn from its key's hash."""
-    fits = []
-    for k in range(rounds):
-        u = (F.abs(F.xxhash64(F.col(key), F.lit(seed), F.lit(k))) % 1_000_000) / 1_000_000.0
-        times = sum(F.when(u > c, 1).otherwise(0) for c in (0.367879, 0.735759, 0.919699, 0.981012, 0.99634))  # Poisson(1)
-        fits += list(bradley_terry(pairs.withColumn("_times", times).filter("_times > 0"), cols, weight="_times").items())
-    rows = pairs.sparkSession.createDataFrame(fits, "feature string, coef double")
-    return rows.groupBy("feature").agg(F.expr("percentile(coef, array(0.025, 0.975))").alias("q")).select("feature", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
+    w = bradley_terry_fits(pairs, cols, key, rounds, seed)
+    low, high = np.percentile(w, [2.5, 97.5], axis=0)
+    return pairs.sparkSession.createDataFrame([(c, float(a), float(b)) for c, a, b in zip(cols, low, high, strict=True)], "feature string, low double, high double")
 
 
 def agreement(pairs: DataFrame, weights: dict[str, float]) -> DataFrame:

@@ -11,6 +11,7 @@ from pavewise.plans import scores as C
 from pavewise.plans import segments as S
 from pavewise.plans.scores import CRASH_SQL, F_VIEWS, FEAT_SQL, LOG_SQL, SCORED_SQL
 from pavewise.plans.segments import MID_SQL, TRAFFIC_SQL, WALK_SQL, r6
+from pavewise.session import checkpointed
 from pavewise.sources.fixtures import ctes, view
 
 Q: dict = {}
@@ -87,11 +88,11 @@ def undirected(spark, sf):
     return both.groupBy(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).agg(F.countDistinct("edge_id").alias("n_edges"), F.min("length_m").alias("shortest"))
 
 
-@query("nearest_graph_node", ctes("segments", "graph_edges") + f", {WALK_SQL}, {MID_SQL}, nodes AS (SELECT DISTINCT n AS node, CAST(n % 20 AS DOUBLE) * 100 nx, CAST(CAST(floor(n / 20.0) AS BIGINT) AS DOUBLE) * 100 ny FROM (SELECT u n FROM graph_edges UNION SELECT v FROM graph_edges)), c AS (SELECT seg_id, node, round(sqrt((mx-nx)*(mx-nx)+(my-ny)*(my-ny)), 9) d FROM mid, nodes) SELECT seg_id, node, round(d, 6) dist FROM (SELECT *, row_number() OVER (PARTITION BY seg_id ORDER BY d, node) r FROM c) WHERE r = 1")
+@query("nearest_graph_node", ctes("segments", "graph_edges") + f", {WALK_SQL}, {MID_SQL}, nodes AS (SELECT DISTINCT n AS node, CAST(n % side AS DOUBLE) * 2000 / side nx, CAST(CAST(floor(n / CAST(side AS DOUBLE)) AS BIGINT) AS DOUBLE) * 2000 / side ny FROM (SELECT u n, side FROM graph_edges UNION SELECT v, side FROM graph_edges)), c AS (SELECT seg_id, node, round(sqrt((mx-nx)*(mx-nx)+(my-ny)*(my-ny)), 9) d FROM mid, nodes) SELECT seg_id, node, round(d, 6) dist FROM (SELECT *, row_number() OVER (PARTITION BY seg_id ORDER BY d, node) r FROM c) WHERE r = 1")
 def nearest_node(spark, sf):
     e = view(spark, sf, "graph_edges")
-    nodes = e.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    nodes = nodes.select("node", ((F.col("node") % 20).cast("double") * 100).alias("rx"), (F.floor(F.col("node") / 20.0).cast("double") * 100).alias("ry"))
+    nodes = e.select(F.explode(F.array("u", "v")).alias("node"), "side").distinct()
+    nodes = nodes.select("node", ((F.col("node") % F.col("side")).cast("double") * 2000 / F.col("side")).alias("rx"), (F.floor(F.col("node") / F.col("side").cast("double")).cast("double") * 2000 / F.col("side")).alias("ry"))
     mid = geo.midpoints(S.walk(spark, sf), "seg_id").withColumnsRenamed({"mx": "lx", "my": "ly"})
     return geo.nearest_point(mid, nodes, "seg_id", "node", 100.0).select("seg_id", "node", r6(F.col("d"), "dist"))
 
@@ -143,7 +144,8 @@ STRATA_SQL = f"{FEAT_SQL}, lr AS (SELECT seg_id, round(light, 9) a, poi_density
 @query("strata_round_robin", ctes(*F_VIEWS) + f", {STRATA_SQL} SELECT seg_id, stratum, CAST(turn AS BIGINT) turn FROM sr WHERE turn <= 12 ORDER BY turn, stratum LIMIT 60")
 def strata(spark, sf):
     f = C.features(spark, sf).select("seg_id", F.round("light", 9).alias("a"), F.col("poi_density").alias("b"))
-    cut = f.agg(*[F.expr(f"percentile({c}, array(0.33, 0.67))").alias(f"q{c}") for c in "ab"])
+    f = checkpointed(f)
+    cut = stats.with_scalar(stats.percentiles(f, "a", [0.33, 0.67]).toDF("qa"), stats.percentiles(f, "b", [0.33, 0.67]).toDF("qb"))
     over = lambda c: sum((F.col(c) > F.col(f"q{c}")[i]).cast("int") for i in range(2))
     rows = stats.with_scalar(f, cut).select("seg_id", (over("a") * 3 + over("b")).alias("stratum"))
     return design.round_robin(rows, "stratum", "seg_id", 12, 60).select("seg_id", "stratum", F.col("turn").cast("long").alias("turn"))

@@ -11,7 +11,7 @@ from pavewise.functions import expr as X
 from pavewise.operators import geo, stats, votes
 from pavewise.plans import scores as C
 from pavewise.plans import segments as S
-from pavewise.plans.scores import F_VIEWS, FEAT_SQL
+from pavewise.plans.scores import F_VIEWS, FEAT_SQL, LOG_SQL
 from pavewise.plans.segments import IMG_SQL, WALK_SQL, r6
 from pavewise.sources.fixtures import ctes, view
 
@@ -166,11 +166,11 @@ def consensus_union(spark, sf):
     return reduce(lambda a, b: a.unionByName(b), each)
 
 
-@query("pair_exclusion", ctes("votes") + " SELECT DISTINCT least(seg_left, seg_right) a, greatest(seg_left, seg_right) b FROM votes WHERE (least(seg_left, seg_right), greatest(seg_left, seg_right)) NOT IN (SELECT (least(seg_left, seg_right), greatest(seg_left, seg_right)) FROM votes WHERE rater = 'human1')")
+@query("pair_exclusion", ctes("votes") + " SELECT DISTINCT least(seg_left, seg_right) a, greatest(seg_left, seg_right) b FROM votes WHERE (least(seg_left, seg_right), greatest(seg_left, seg_right)) NOT IN (SELECT (least(seg_left, seg_right), greatest(seg_left, seg_right)) FROM votes WHERE rater = 'human1' AND choice = 'skip')")
 def pair_exclusion(spark, sf):
     v = view(spark, sf, "votes")
     a, b = votes.unordered(F.col("seg_left"), F.col("seg_right"))
-    used = v.filter("rater = 'human1'").select(a.alias("a"), b.alias("b")).distinct()
+    used = v.filter("rater = 'human1' and choice = 'skip'").select(a.alias("a"), b.alias("b")).distinct()
     return v.select(a.alias("a"), b.alias("b")).distinct().join(used, ["a", "b"], "left_anti")
 
 
@@ -190,11 +190,17 @@ def pair_sets(spark, sf):
 
 @query("next_unrated", ctes("votes") + " , q AS (SELECT DISTINCT pair_id FROM votes), r AS (SELECT DISTINCT rater FROM votes), t AS (SELECT rater, pair_id FROM r, q EXCEPT SELECT rater, pair_id FROM votes) SELECT r.rater, min(t.pair_id) next_pair, (SELECT count(DISTINCT pair_id) FROM votes v WHERE v.rater = r.rater) done FROM r LEFT JOIN t ON r.rater = t.rater GROUP BY r.rater")
 def next_unrated(spark, sf):
-    """Queue x raters is the feature: each rater's task list. Raters are few and are broadcast."""
-    v = view(spark, sf, "votes")
-    raters = v.groupBy("rater").agg(F.countDistinct("pair_id").alias("done"))
-    tasks = v.select("pair_id").distinct().join(F.broadcast(raters.select("rater")), F.lit(True)).join(v.select("rater", "pair_id").distinct(), ["rater", "pair_id"], "left_anti")
-    return raters.join(tasks.groupBy("rater").agg(F.min("pair_id").alias("next_pair")), "rater", "left").select("rater", "next_pair", "done")
+    """The first pair of the queue that a rater hasn't answered, without laying out raters x queue.
+
+    Pairs have their place in the queue, and a rater's answered places are numbered in order: the first gap is at the first
+    number that differs from its place, or after the last.
+    """
+    v = view(spark, sf, "votes").select("rater", "pair_id").distinct()
+    queue = stats.positions(v.select("pair_id").distinct(), ["pair_id"], "at")
+    done = stats.positions(v.join(queue, "pair_id").select("rater", "at"), ["rater", "at"], "k")
+    per = done.groupBy("rater").agg(F.min("k").alias("first"), F.count("*").alias("done"))
+    gap = done.join(per, "rater").groupBy("rater", "done").agg(F.coalesce(F.min(F.when(F.col("at") > F.col("k") - F.col("first"), F.col("k") - F.col("first"))), F.col("done")).alias("at"))
+    return gap.join(queue.withColumnRenamed("pair_id", "next_pair"), "at", "left").select("rater", "next_pair", "done")
 
 
 @query("panel_manifest", ctes("votes") + ", q AS (SELECT pair_id, min(seg_left) a, min(seg_right) b FROM votes GROUP BY 1) SELECT rater, pair_id, a, b FROM q, (SELECT unnest(range(1, 4)) rater)")
@@ -219,12 +225,9 @@ def class_counts(spark, sf):
 
 @query("multi_key_sort", ctes("segments", "images") + f", {IMG_SQL} SELECT seg_id, image_id, CAST(row_number() OVER (ORDER BY seg_id, d, image_id) AS BIGINT) place FROM near")
 def multi_key_sort(spark, sf):
-    """Links in (segment, distance, image) order with their place: ranks within segments plus the segments before."""
+    """Links in (segment, distance, image) order with their place."""
     near = S.imaged(spark, sf).select("seg_id", "image_id", "d")
-    per = near.groupBy("seg_id").agg(F.count("*").alias("n"))
-    before = per.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("seg_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
-    own = F.row_number().over(Window.partitionBy("seg_id").orderBy("d", "image_id"))
-    return near.withColumn("own", own).join(before, "seg_id").select("seg_id", "image_id", (F.col("before") + F.col("own")).alias("place"))
+    return stats.positions(near, ["seg_id", "d", "image_id"], "at").select("seg_id", "image_id", (F.col("at") + 1).alias("place"))
 
 
 @query("limit_n", ctes("images") + " SELECT image_id FROM images ORDER BY captured_at, image_id LIMIT 25")
@@ -234,9 +237,11 @@ def limit_n(spark, sf):
 
 @query("every_kth", ctes("images") + ", r AS (SELECT image_id, CAST(floor(compass_angle % 360 / 45) AS INT) o, row_number() OVER (PARTITION BY CAST(floor(compass_angle % 360 / 45) AS INT) ORDER BY image_id) - 1 r FROM images) SELECT o AS octant, image_id FROM r WHERE r % 10 = 0 AND r / 10 < 4")
 def every_kth(spark, sf):
-    rows = view(spark, sf, "images").withColumn("octant", X.octant(F.col("compass_angle")))
-    r = F.row_number().over(Window.partitionBy("octant").orderBy("image_id")) - 1
-    return rows.withColumn("r", r).filter("r % 10 = 0 and r / 10 < 4").select("octant", "image_id")
+    """Every tenth image of an octant, four at most: places in (octant, image) order less the octant's first."""
+    rows = stats.positions(view(spark, sf, "images").select(X.octant(F.col("compass_angle")).alias("octant"), "image_id"), ["octant", "image_id"], "at")
+    first = rows.groupBy("octant").agg(F.min("at").alias("first"))  # eight rows
+    r = F.col("at") - F.col("first")
+    return rows.join(F.broadcast(first), "octant").filter((r % 10 == 0) & (r < 40)).select("octant", "image_id")
 
 
 @query("attribute_merge", ctes("tracts", "acs_rows") + " SELECT tract_id, geoid FROM tracts LEFT JOIN acs_rows ON lpad(CAST(tract_id AS VARCHAR), 6, '0') = substr(geoid, 6, 6)")
@@ -260,16 +265,37 @@ def standard_pairs(spark, sf):
     return votes.differences(panel(spark, sf), z, ["light", "poi_density", "poi_night_density"]).select("event_id", "pair_id", "city_id", "winner_seg", "loser_seg", *FITTED)
 
 
-@query("bt_weights")
+PAIRS_SQL = f"{LOG_SQL}, {PANEL_SQL}, zs AS (SELECT seg_id, " + ", ".join(f"({c} - avg({c}) OVER ()) / (stddev_samp({c}) OVER () + 1e-9) {c}" for c in C.WEIGHTS) + f""" FROM lg),
+ sp AS (SELECT event_id, pair_id, city_id, winner_seg, loser_seg, w.light - l.light d0, w.poi_density - l.poi_density d1, w.poi_night_density - l.poi_night_density d2 FROM panel JOIN zs w ON w.seg_id = winner_seg JOIN zs l ON l.seg_id = loser_seg)"""
+
+
+def newton_sql(rows: str, out: str, steps: int = 12) -> str:
+    """Newton's method for three weights as a recursive query over rows (d0, d1, d2), each pair in both directions."""
+    h = {(i, j): f"h{i}{j}" for i in range(3) for j in range(3) if i <= j}
+    at = lambda i, j: h[min(i, j), max(i, j)]
+    minor = lambda i, j: "({0} * {1} - {2} * {3})".format(*[at(a, b) for a, b in (((i + 1) % 3, (j + 1) % 3), ((i + 2) % 3, (j + 2) % 3), ((i + 1) % 3, (j + 2) % 3), ((i + 2) % 3, (j + 1) % 3))])
+    det = " + ".join(f"{at(0, j)} * {minor(0, j)}" for j in range(3))
+    p = "(1 / (1 + exp(-(w0 * d0 + w1 * d1 + w2 * d2))))"
+    sums = ", ".join([f"2 * sum((1 - {p}) * d{i}) - any_value(w{i}) g{i}" for i in range(3)] + [f"2 * sum({p} * (1 - {p}) * d{i} * d{j})" + (" + 1" if i == j else "") + f" {n}" for (i, j), n in h.items()])
+    moved = ", ".join(f"w{i} + (" + " + ".join(f"{minor(i, j)} * g{j}" for j in range(3)) + f") / ({det}) w{i}" for i in range(3))
+    return f"""{out} AS (WITH RECURSIVE nt(step, w0, w1, w2) AS (SELECT 0, CAST(0 AS DOUBLE), CAST(0 AS DOUBLE), CAST(0 AS DOUBLE) UNION ALL
+ SELECT step + 1, {moved} FROM (SELECT step, w0, w1, w2, {sums} FROM nt, {rows} GROUP BY step, w0, w1, w2) WHERE step < {steps}) SELECT w0, w1, w2 FROM nt WHERE step = {steps})"""
+
+
+NAMED = "(VALUES ('light', 0), ('poi_density', 1), ('poi_night_density', 2)) n(feature, k)"
+COEF = "CASE k WHEN 0 THEN w0 WHEN 1 THEN w1 ELSE w2 END"
+
+
+@query("bt_weights", ctes(*F_VIEWS, "votes") + f", {PAIRS_SQL}, {newton_sql('sp', 'bt')}, c AS (SELECT feature, {COEF} coef FROM bt, {NAMED}) SELECT feature, round(coef, 5) coef, round(abs(coef) / (sum(abs(coef)) OVER () + 1e-9), 5) abs_weight FROM c")
 def bt_weights(spark, sf):
-    w = stats.bradley_terry(standard_pairs(spark, sf).cache(), FITTED)
+    w = stats.bradley_terry(standard_pairs(spark, sf), FITTED)
     total = sum(map(abs, w.values())) + 1e-9
-    return spark.createDataFrame([(k[2:], v, abs(v) / total) for k, v in w.items()], "feature string, coef double, abs_weight double")
+    return spark.createDataFrame([(k[2:], round(v, 5), round(abs(v) / total, 5)) for k, v in w.items()], "feature string, coef double, abs_weight double")
 
 
 @query("bt_bootstrap_ci")
 def bt_bootstrap(spark, sf):
-    return stats.bootstrap_interval(standard_pairs(spark, sf).cache(), FITTED, "event_id", 8)
+    return stats.bootstrap_interval(standard_pairs(spark, sf), FITTED, "event_id")
 
 
 @query("spatial_block_cv")

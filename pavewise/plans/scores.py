@@ -9,6 +9,7 @@ from pavewise.functions import expr as X
 from pavewise.operators import geo, stats, votes
 from pavewise.plans import segments as S
 from pavewise.plans.segments import BOX_SQL, DIST_SQL, LIGHT_SQL, MID_SQL, POI_SQL, TRAFFIC_SQL, WALK_SQL, r6
+from pavewise.session import checkpointed
 from pavewise.sources.fixtures import ctes, view
 
 Q: dict = {}
@@ -78,7 +79,7 @@ def rescale(spark, sf):
 
 @query("comfort_blend", ctes(*F_VIEWS) + f", {FEAT_SQL} SELECT seg_id, round(0.6 * least(light / coalesce(a, 1.0), 1) + 0.4 * least(poi_density / coalesce(b, 1.0), 1), 6) blend FROM feat, (SELECT quantile_cont(light, 0.95) a FROM feat WHERE light > 0), (SELECT quantile_cont(poi_density, 0.9) b FROM feat WHERE poi_density > 0)")
 def comfort_blend(spark, sf):
-    f = features(spark, sf)
+    f = checkpointed(features(spark, sf))
     a = stats.percentiles(f, "light", [0.95], F.col("light") > 0).select(F.coalesce(F.col("q")[0], F.lit(1.0)).alias("a"))
     b = stats.percentiles(f, "poi_density", [0.9], F.col("poi_density") > 0).select(F.coalesce(F.col("q")[0], F.lit(1.0)).alias("b"))
     x = stats.with_scalar(stats.with_scalar(f, a), b)
@@ -256,7 +257,7 @@ def census_clean(spark, sf):
 @query("census_impute", ctes("acs_rows") + ", c AS (SELECT geoid, CASE WHEN try_cast(b19013_001e AS DOUBLE) >= 0 THEN try_cast(b19013_001e AS DOUBLE) END income FROM acs_rows) SELECT geoid, round(coalesce(income, (SELECT median(income) FROM c)), 6) income FROM c")
 def census_impute(spark, sf):
     c = census_clean(spark, sf).select("geoid", "income")
-    return stats.with_scalar(c, c.agg(F.median("income").alias("m"))).select("geoid", r6(F.coalesce("income", "m"), "income"))
+    return stats.with_scalar(c, stats.median(c, "income")).select("geoid", r6(F.coalesce("income", "med"), "income"))
 
 
 @query("block_group_rollup", ctes("acs_rows") + " SELECT substr(geoid, 1, 5) county, CAST(sum(CAST(b02001_001e AS BIGINT)) AS BIGINT) pop, count(*) n FROM acs_rows GROUP BY 1")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pavewise.functions import expr as X
 from pavewise.operators import geo, stats
+from pavewise.session import checkpointed
 from pavewise.sources.fixtures import ctes, view
 
 CLASSES = ", ".join(f"'{c}'" for c in X.WALKABLE)
@@ -20,8 +21,8 @@ def walk(spark: SparkSession, sf: str) -> DataFrame:
 def active_lamps(spark: SparkSession, sf: str) -> DataFrame:
     """Lamps in use: medians for missing values, height in metres and at least 3."""
     lamps = view(spark, sf, "lamps").filter("not retired")
-    med = lamps.agg(F.median("wattage").alias("mw"), F.median(F.col("height_ft") * X.FEET).alias("mh"))
-    out = stats.with_scalar(lamps, med)
+    mw, mh = stats.median(lamps, "wattage").toDF("mw"), stats.median(lamps.withColumn("h", F.col("height_ft") * X.FEET), "h").toDF("mh")
+    out = stats.with_scalar(stats.with_scalar(lamps, mw), mh)
     return out.select("lamp_id", F.col("x").alias("rx"), F.col("y").alias("ry"), "fixture_type", F.coalesce("wattage", "mw").alias("w"), F.greatest(F.coalesce(F.col("height_ft") * X.FEET, F.col("mh")), F.lit(3.0)).alias("h"))
 
 
@@ -66,14 +67,14 @@ def lighting_score(spark, sf):
 
 @query("lighting_norm_p95", ctes("segments", "lamps") + f", {LIGHT_SQL} SELECT seg_id, round(least(light / coalesce(p, 1.0), 1.0), 6) light_norm FROM light, (SELECT quantile_cont(light, 0.95) p FROM light WHERE light > 0)")
 def lighting_norm(spark, sf):
-    rows = light(spark, sf)
+    rows = checkpointed(light(spark, sf))
     p = stats.percentiles(rows, "light", [0.95], F.col("light") > 0)
     return stats.with_scalar(rows, p).select("seg_id", r6(F.least(F.col("light") / F.coalesce(F.col("q")[0], F.lit(1.0)), F.lit(1.0)), "light_norm"))
 
 
 @query("light_levels", ctes("segments", "lamps") + f", {LIGHT_SQL} SELECT seg_id, CASE WHEN light <= 0 THEN 'dark' WHEN light < a THEN 'dim' WHEN light < b THEN 'adequate' ELSE 'bright' END AS level FROM light, (SELECT quantile_cont(light, 0.33) a, quantile_cont(light, 0.66) b FROM light WHERE light > 0)")
 def light_levels(spark, sf):
-    rows = light(spark, sf)
+    rows = checkpointed(light(spark, sf))
     q = stats.percentiles(rows, "light", [0.33, 0.66], F.col("light") > 0)
     v = F.col("light")
     return stats.with_scalar(rows, q).select("seg_id", F.when(v <= 0, "dark").when(v < F.col("q")[0], "dim").when(v < F.col("q")[1], "adequate").otherwise("bright").alias("level"))
@@ -81,7 +82,9 @@ def light_levels(spark, sf):
 
 @query("light_summary", ctes("segments", "lamps") + f", {LIGHT_SQL} SELECT round(avg(light), 6) mean_light, round(median(light), 6) median_light, round(max(light), 6) max_light, count(*) FILTER (WHERE light = 0) n_dark FROM light")
 def light_summary(spark, sf):
-    return light(spark, sf).agg(r6(F.avg("light"), "mean_light"), r6(F.median("light"), "median_light"), r6(F.max("light"), "max_light"), F.count_if(F.col("light") == 0).alias("n_dark"))
+    rows = checkpointed(light(spark, sf))
+    one = rows.agg(r6(F.avg("light"), "mean_light"), r6(F.max("light"), "max_light"), F.count_if(F.col("light") == 0).alias("n_dark"))
+    return stats.with_scalar(one, stats.median(rows, "light")).select("mean_light", r6(F.col("med"), "median_light"), "max_light", "n_dark")
 
 
 @query("lit_fraction", ctes("segments", "lamps") + f", {WALK_SQL}, {LAMPS_SQL}, {points_sql(18)} SELECT seg_id, round(avg(CASE WHEN EXISTS (SELECT 1 FROM act WHERE sqrt((px-x)*(px-x)+(py-y)*(py-y)) <= 25) THEN 1.0 ELSE 0.0 END), 6) lit_frac FROM pts GROUP BY seg_id")
@@ -242,7 +245,9 @@ def image_octants(spark, sf):
 def image_coverage(spark, sf):
     n = imaged(spark, sf).groupBy("seg_id").agg(F.count("*").alias("n"))
     per = walk(spark, sf).select("seg_id").join(n, "seg_id", "left").select(F.coalesce("n", F.lit(0)).alias("n"))
-    return per.agg(r6(F.avg((F.col("n") > 0).cast("double")), "covered"), r6(F.median(F.when(F.col("n") > 0, F.col("n"))), "median_n"), r6(F.avg((F.col("n") >= 3).cast("double")), "three_or_more"))
+    per = checkpointed(per)
+    one = per.agg(r6(F.avg((F.col("n") > 0).cast("double")), "covered"), r6(F.avg((F.col("n") >= 3).cast("double")), "three_or_more"))
+    return stats.with_scalar(one, stats.median(per.filter("n > 0"), "n")).select("covered", r6(F.col("med"), "median_n"), "three_or_more")
 
 
 def traffic(spark, sf):
@@ -287,7 +292,13 @@ def day_safety(spark, sf):
 
 @query("class_summary", ctes("segments") + f", {TRAFFIC_SQL} SELECT cls AS traffic_class, count(*) n, round(CAST(median(mph) AS DOUBLE), 6) median_mph, round(avg(day_safety), 6) mean_score FROM day GROUP BY cls")
 def class_summary(spark, sf):
-    return day(spark, sf).groupBy(F.col("cls").alias("traffic_class")).agg(F.count("*").alias("n"), r6(F.median("mph"), "median_mph"), r6(F.avg("day_safety"), "mean_score"))
+    """Speeds are counted by class and value first, so a class is as many rows as it has different speeds."""
+    per = day(spark, sf).groupBy(F.col("cls").alias("traffic_class"), "mph").agg(F.count("*").alias("n"), F.sum("day_safety").alias("s"))
+    upto = F.sum("n").over(Window.partitionBy("traffic_class").orderBy("mph"))
+    at = per.withColumns({"upto": upto, "all": F.sum("n").over(Window.partitionBy("traffic_class"))})
+    holds = lambda k: F.min(F.when(F.col("upto") > F.floor(k), F.col("mph")))
+    half = (F.col("all") - 1) / 2
+    return at.groupBy("traffic_class").agg(F.sum("n").alias("n"), r6((holds(half) + holds(F.ceil(half))) / 2, "median_mph"), r6(F.sum("s") / F.sum("n"), "mean_score"))
 
 
 @query("score_quantiles", ctes("segments") + f", {TRAFFIC_SQL} SELECT " + ", ".join(f"round(quantile_cont(CAST(day_safety AS DOUBLE), {q/100}), 6) p{q}" for q in (5, 25, 50, 75, 95)) + " FROM day")

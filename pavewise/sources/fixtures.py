@@ -57,17 +57,17 @@ VIEWS: dict[str, str] = {
         ('purchase', 'signup')
     """,
     "stops": """
-        SELECT event_id AS stop_id, CAST((event_id * 4507) % 20011 AS DOUBLE) / 10 AS x, CAST((event_id * 8803) % 20011 AS DOUBLE) / 10 AS y FROM events WHERE
-        event_id < 60
+        SELECT event_id AS stop_id, CAST((event_id * 4507) % 20011 AS DOUBLE) / 10 AS x, CAST((event_id * 8803) % 20011 AS DOUBLE) / 10 AS y FROM (SELECT
+        DISTINCT event_id % 60 AS event_id FROM events)
     """,
     "crossings": """
         SELECT c_custkey AS crossing_id, CAST((c_custkey * 5501) % 20011 AS DOUBLE) / 10 AS x, CAST((c_custkey * 9901) % 20011 AS DOUBLE) / 10 AS y FROM
         customer WHERE c_custkey % 3 = 0
     """,
     "graph_edges": """
-        SELECT event_id AS edge_id, CASE WHEN event_id < 380 THEN CAST(floor(event_id / 19.0) AS BIGINT) * 20 + event_id % 19 ELSE event_id - 380 END AS u,
-        CASE WHEN event_id < 380 THEN CAST(floor(event_id / 19.0) AS BIGINT) * 20 + event_id % 19 + 1 ELSE event_id - 380 + 20 END AS v, CAST(40 + (event_id *
-        37) % 60 AS DOUBLE) AS length_m, CAST((event_id * 53) % 100 AS DOUBLE) / 100 AS comfort FROM events WHERE event_id < 760
+        SELECT event_id AS edge_id, CAST(floor(event_id / 2.0) AS BIGINT) AS u, CAST(floor(event_id / 2.0) AS BIGINT) + CASE WHEN event_id % 2 = 0 THEN 1 ELSE
+        side END AS v, CAST(40 + (event_id * 37) % 60 AS DOUBLE) AS length_m, CAST((event_id * 53) % 100 AS DOUBLE) / 100 AS comfort, side FROM events, (SELECT
+        CAST(floor(sqrt(count(*) / 2.0)) AS BIGINT) AS side FROM events)
     """,
     "acs_rows": """
         SELECT concat(lpad(CAST(n_regionkey AS STRING), 2, '0'), '037', lpad(CAST(n_nationkey AS STRING), 6, '0'), '1') AS geoid, CASE WHEN n_nationkey % 8 =
@@ -80,11 +80,8 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A fixture view as a DataFrame; only the raw tables it names are read."""
-    for t in TABLES:
-        if re.search(rf"FROM {t}\b", VIEWS[name]):
-            spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
-    return spark.sql(VIEWS[name])
+    """A fixture view as a DataFrame over the files themselves: no temporary view is made, so nothing of the session's is replaced."""
+    return spark.sql(re.sub(rf"\bFROM\s+({'|'.join(TABLES)})\b", lambda m: f"FROM parquet.`{sf_dir.rstrip('/')}/{m[1]}.parquet`", VIEWS[name]))
 
 
 def ctes(*names: str) -> str:
