@@ -19,16 +19,14 @@ nothing depends on partitions or batches, and neither a task nor the driver hold
 
 from __future__ import annotations
 
+import re
 import uuid
-import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,18 +38,18 @@ RATE = 0.1
 SHARD_WORDS = 1 << 21
 #: Words whose counts every task holds (at most); counts of all others are joined in from the table.
 KNOWN = 1 << 18
-#: Different words that a task counts before it passes them on, or whose codes it keeps.
-HELD = 300_000
+#: Words that a task holds before it counts them and passes the counts on.
+HELD = 1 << 22
 LARGEST = 64.0
 
 
 @dataclass(frozen=True)
 class Shape:
     width: int = 16
-    classes: int = 64
-    per: int = 64
+    classes: int = 32
+    per: int = 128
     side: int = 2
-    rare: int = 64
+    rare: int = 32
 
     @property
     def words(self) -> int:
@@ -63,37 +61,79 @@ class Shape:
         return self.words + self.rare
 
 
-def words_of(text: str) -> list[bytes]:
-    return text.lower().encode("utf-8", "surrogatepass").split()
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_SPACE_BYTE = re.compile(rb"[\t-\r ]")
+_POWERS = np.cumprod(np.full(1 << 16, 0x9E3779B97F4A7C15, np.uint64))
+PIECE = 1 << 20
 
 
-def bucket_of(word: bytes, rare: int) -> int:
-    return zlib.crc32(word[-2:]) % rare
+def raw_text(text: str) -> bytes:
+    return text.lower().encode("utf-8", "surrogatepass")
 
 
-def _signed(h: int) -> int:
-    return h - (1 << 64) if h >> 63 else h
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def _pieces(raw: bytes) -> Iterator[tuple[int, int]]:
+    """Bounds of parts of about PIECE bytes that cut no word."""
+    at = 0
+    while at < len(raw):
+        gap = _SPACE_BYTE.search(raw, at + PIECE)
+        end = gap.end() if gap else len(raw)
+        yield at, end
+        at = end
+
+
+def hashed_words(raws: list[bytes], rare: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(h, bucket, sizes): 64-bit hashes and buckets of all words in order, and how many each text has.
+
+    A word's hash is a mix of the sum of its bytes times powers of an odd constant; its bucket is one of its last two bytes.
+    """
+    joined, found = b" ".join(raws), []
+    for a, b in _pieces(joined):
+        raw = np.frombuffer(joined, np.uint8, b - a, a)
+        word = np.flatnonzero(~_SPACE[raw])
+        if not len(word):
+            continue
+        chars = raw[word].astype(np.uint64)
+        first = np.flatnonzero(np.append(True, np.diff(word) > 1))
+        size = np.diff(np.append(first, len(word)))
+        place = (np.arange(len(word)) - np.repeat(first, size)) & 0xFFFF
+        h = _mixed(np.add.reduceat((chars + np.uint64(1)) * _POWERS[place], first) + size.astype(np.uint64))
+        last = first + size - 1
+        end = chars[last] + np.uint64(256) * np.where(size > 1, chars[last - 1], np.uint64(0))
+        found.append((h, (_mixed(end) % np.uint64(rare)).astype(np.int32), word[first] + a))
+    starts = np.concatenate([f[2] for f in found]) if found else np.zeros(0, np.int64)
+    ends = np.cumsum([len(r) + 1 for r in raws])
+    sizes = np.diff(np.searchsorted(starts, np.append(0, ends))) if raws else np.zeros(0, np.int64)
+    if not found:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int32), sizes
+    return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found]), sizes
 
 
 def word_counts(df: DataFrame, shape: Shape = Shape(), text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """(h, bucket, n): how often each word occurs in all texts, h its XXH64; written to the shared folder."""
+    """(h, bucket, n): how often each word occurs in all texts; written to the shared folder."""
     prepare(df.sparkSession)
 
-    def rows(seen: Counter) -> pa.RecordBatch:
-        digest = xxhash.xxh64_intdigest
-        h = pa.array(np.fromiter(map(digest, seen), np.uint64, len(seen)).view(np.int64))
-        bucket = pa.array(np.fromiter((bucket_of(w, shape.rare) for w in seen), np.int32, len(seen)))
-        return pa.record_batch([h, bucket, pa.array(np.fromiter(seen.values(), np.int64, len(seen)))], ["h", "bucket", "n"])
+    def rows(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        h, at, n = np.unique(np.concatenate([x[0] for x in held]), return_index=True, return_counts=True)
+        return pa.record_batch([pa.array(h.view(np.int64)), pa.array(np.concatenate([x[1] for x in held])[at]), pa.array(n)], ["h", "bucket", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
+        held, size = [], 0
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                seen.update(words_of(text))
-                if len(seen) > HELD:
-                    yield rows(seen)
-                    seen = Counter()
-        yield rows(seen)
+            h, bucket, _ = hashed_words([raw_text(t) for t in batch.column(0).to_pylist()], shape.rare)
+            held.append((h, bucket))
+            size += len(h)
+            if size > HELD:
+                yield rows(held)
+                held, size = [], 0
+        if size:
+            yield rows(held)
 
     each = documents(df, id_col, text_col).select("text").mapInArrow(run, "h long, bucket int, n long")
     return stored(each.groupBy("h", "bucket").agg(F.sum("n").alias("n")), "word-counts")
@@ -160,31 +200,44 @@ def vocabulary(counts: DataFrame, shape: Shape = Shape(), known: int = KNOWN) ->
     return Vocabulary(shape, h[at][first], at[first], np.concatenate([n, np.zeros(pad)]), np.concatenate([bucket, np.zeros(pad, np.int64)]), other_n, other_d, int(total))
 
 
-class _Coder(dict):
-    """word -> code; codes from len(counts) on are buckets of unknown words. Bounded: emptied between texts."""
+class _Coder:
+    """Codes of word hashes, by a table with open places; codes from len(counts) on are buckets of unknown words."""
 
     def __init__(self, v: Vocabulary):
-        super().__init__()
         self.first, self.rare = len(v.counts), v.shape.rare
-        self.known = dict(zip(v.hashes.tolist(), v.codes.tolist(), strict=True))
         self.net_id, self.back_off = v.net_id, np.concatenate([v.back_off, np.zeros(v.shape.rare)])
+        self.keys, self.codes = v.hashes.view(np.uint64), v.codes
+        self.bits = max(10, (4 * len(self.keys)).bit_length())
+        self.table = np.full(1 << self.bits, -1, np.int32)
+        left, step = np.arange(len(self.keys)), 0
+        while len(left):
+            at = self._place(self.keys[left], step)
+            free = self.table[at] < 0
+            self.table[at[free]] = left[free]
+            left, step = left[self.table[at] != left], step + 1
+
+    def _place(self, h: np.ndarray, step: int) -> np.ndarray:
+        return ((h >> np.uint64(64 - self.bits)).astype(np.int64) + step) & ((1 << self.bits) - 1)
+
+    def of(self, h: np.ndarray, bucket: np.ndarray) -> np.ndarray:
+        out, left, step = self.first + bucket.astype(np.int64), np.arange(len(h)), 0
+        while len(left):
+            key = self.table[self._place(h[left], step)]
+            left, key = left[key >= 0], key[key >= 0]
+            hit = self.keys[key] == h[left]
+            out[left[hit]] = self.codes[key[hit]]
+            left, step = left[~hit], step + 1
+        return out
 
-    def __missing__(self, word: bytes) -> int:
-        code = self.known.get(_signed(xxhash.xxh64_intdigest(word)))
-        if code is None:
-            code = self.first + bucket_of(word, self.rare)
-        if len(word) <= 64:
-            self[word] = code
-        return code
-
-    def coded(self, text: str) -> tuple[bytes, float, list[int]]:
-        """The network's ids, the known words' back-off, and the hashes of unknown words."""
-        if len(self) > HELD:
-            self.clear()
-        words = words_of(text)
-        codes = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        unknown = np.flatnonzero(codes >= self.first).tolist()
-        return self.net_id[codes].tobytes(), float(self.back_off[codes].sum()), [_signed(xxhash.xxh64_intdigest(words[i])) for i in unknown]
+    def coded(self, texts: list[str]) -> tuple[list[bytes], np.ndarray, pa.Array]:
+        """Of each text: the network's ids, the known words' back-off, and the hashes of unknown words."""
+        h, bucket, sizes = hashed_words([raw_text(t) for t in texts], self.rare)
+        code, ends = self.of(h, bucket), np.append(0, np.cumsum(sizes))
+        ids, doc = self.net_id[code], np.repeat(np.arange(len(texts)), sizes)
+        unknown = code >= self.first
+        tails = np.append(0, np.cumsum(np.bincount(doc[unknown], minlength=len(texts))))
+        back = np.bincount(doc, self.back_off[code], len(texts))
+        return [ids[a:b].tobytes() for a, b in zip(ends, ends[1:], strict=False)], back, pa.ListArray.from_arrays(pa.array(tails, pa.int32()), pa.array(h[unknown].view(np.int64)))
 
 
 #: The last vocabulary's coder in this worker process, for the tasks to come.
@@ -206,8 +259,8 @@ def encoded(df: DataFrame, v: Vocabulary, id_col: str = "doc_id", text_col: str
             _coder[name] = _Coder(shared.value)
         coder = _coder[name]
         for batch in batches:
-            ids, back, tails = zip(*map(coder.coded, batch.column(2).to_pylist()), strict=True) if batch.num_rows else ((), (), ())
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(ids, pa.binary()), pa.array(back, pa.float64()), pa.array(tails, pa.list_(pa.int64()))], ["doc_id", "text_hash", "ids", "back", "tail"])
+            ids, back, tails = coder.coded(batch.column(2).to_pylist())
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(ids, pa.binary()), pa.array(back, pa.float64()), tails], ["doc_id", "text_hash", "ids", "back", "tail"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, f"doc_id {kind}, text_hash long, ids binary, back double, tail array<long>")

@@ -125,6 +125,17 @@ def test_counts_of_rare_words_come_from_the_whole_corpus(spark):
     assert all(abs(one[k] - two[k]) < 1e-6 for k in two)
 
 
+def test_word_hashes(texts, monkeypatch):
+    """Words as bytes.split() cuts them, one hash for each different word, however texts are cut into pieces."""
+    raws = [pseudo_lm.raw_text(t) for _, t in texts] + [b"", b" a", b"b ", b"\t"]
+    words = [w for r in raws for w in r.split()]
+    whole = pseudo_lm.hashed_words(raws, 64)
+    assert whole[2].tolist() == [len(r.split()) for r in raws] and len(whole[0]) == len(words)
+    assert len(set(zip(words, whole[0].tolist(), whole[1].tolist(), strict=True))) == len(set(words)) == len(set(whole[0].tolist()))
+    monkeypatch.setattr(pseudo_lm, "PIECE", 7)
+    assert all(np.array_equal(a, b) for a, b in zip(whole, pseudo_lm.hashed_words(raws, 64), strict=True))
+
+
 def test_odd_rows(odd, none, texts):
     rows = pseudo_lm.score(odd).collect()
     assert Counter((r["doc_id"], r["n_tokens"]) for r in rows) == Counter((i, len(t.lower().encode().split())) for i, t in texts)
