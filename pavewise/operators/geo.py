@@ -65,17 +65,104 @@ def line_length(xs: Column, ys: Column) -> Column:
     return F.aggregate(F.zip_with(dx, dy, lambda a, b: F.coalesce(F.hypot(a, b), F.lit(0.0))), F.lit(0.0), lambda s, v: s + v)
 
 
+def _sides(xs: Column, ys: Column) -> Column:
+    """The straight parts of a vertex list, in order: structs (ax, ay, bx, by)."""
+    pts = F.arrays_zip(xs.alias("x"), ys.alias("y"))
+    both = F.zip_with(pts, F.slice(pts, 2, F.greatest(F.size(xs), F.lit(1))), lambda a, b: F.struct(a["x"].alias("ax"), a["y"].alias("ay"), b["x"].alias("bx"), b["y"].alias("by")))
+    return F.filter(both, lambda s: s["bx"].isNotNull())
+
+
+def sample_line(lines: DataFrame, step: float, keep: tuple[str, ...] = ("seg_id",)) -> DataFrame:
+    """(keep.., i, lx, ly): points every ``step`` along vertex lists (xs, ys), as sample_points has them; empty lists give none."""
+    rows = lines.filter(F.size("xs") > 0).withColumn("len", line_length(F.col("xs"), F.col("ys")))
+    n = F.when(F.col("len") <= 0, 1).otherwise(F.greatest(F.lit(2), F.floor(F.col("len") / step).cast("int") + 1))
+    rows = rows.select(*keep, "xs", "ys", "len", F.explode(F.sequence(F.lit(0), n - 1)).alias("i"))
+    at = point_along(F.col("xs"), F.col("ys"), F.least(F.col("i") * F.lit(step), F.col("len")))
+    return rows.select(*keep, "i", at.alias("p")).select(*keep, "i", F.col("p.x").alias("lx"), F.col("p.y").alias("ly"))
+
+
+def line_centroid(xs: Column, ys: Column) -> Column:
+    """(x, y): the mean of the parts' midpoints, weighted by length; the first vertex if all lengths are 0."""
+    start = F.struct(F.lit(0.0).alias("w"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
+
+    def add(acc: Column, s: Column) -> Column:
+        w = F.hypot(s["bx"] - s["ax"], s["by"] - s["ay"])
+        return F.struct((acc["w"] + w).alias("w"), (acc["x"] + w * (s["ax"] + s["bx"]) / 2).alias("x"), (acc["y"] + w * (s["ay"] + s["by"]) / 2).alias("y"))
+
+    return F.aggregate(_sides(xs, ys), start, add, lambda a: F.struct(F.when(a["w"] > 0, a["x"] / a["w"]).otherwise(F.get(xs, F.lit(0))).alias("x"), F.when(a["w"] > 0, a["y"] / a["w"]).otherwise(F.get(ys, F.lit(0))).alias("y")))
+
+
+def _distance_to_sides(px: Column, py: Column, sides: Column) -> Column:
+    def part(s: Column) -> Column:
+        dx, dy = s["bx"] - s["ax"], s["by"] - s["ay"]
+        t = F.when(dx * dx + dy * dy > 0, F.least(F.greatest(((px - s["ax"]) * dx + (py - s["ay"]) * dy) / (dx * dx + dy * dy), F.lit(0.0)), F.lit(1.0))).otherwise(F.lit(0.0))
+        return F.sqrt(F.pow(px - s["ax"] - t * dx, F.lit(2.0)) + F.pow(py - s["ay"] - t * dy, F.lit(2.0)))
+
+    return F.array_min(F.transform(sides, part))
+
+
+def distance_to_line(px: Column, py: Column, xs: Column, ys: Column) -> Column:
+    """From a point to the nearest point of a vertex list; null for an empty one."""
+    alone = F.hypot(px - F.get(xs, F.lit(0)), py - F.get(ys, F.lit(0)))
+    return F.coalesce(_distance_to_sides(px, py, _sides(xs, ys)), alone)
+
+
 def ring_area(xs: Column, ys: Column) -> Column:
     """Shoelace area of a closed ring."""
-    cross = F.zip_with(F.arrays_zip(xs.alias("x"), ys.alias("y")), F.slice(F.arrays_zip(xs.alias("x"), ys.alias("y")), 2, F.size(xs)), lambda a, b: F.coalesce(a["x"] * b["y"] - b["x"] * a["y"], F.lit(0.0)))
-    return F.abs(F.aggregate(cross, F.lit(0.0), lambda s, v: s + v)) / 2
+    return F.abs(F.aggregate(_sides(xs, ys), F.lit(0.0), lambda a, s: a + s["ax"] * s["by"] - s["bx"] * s["ay"])) / 2
+
+
+def _odd_crossings(px: Column, py: Column, sides: Column) -> Column:
+    crossed = F.filter(sides, lambda s: ((s["ay"] > py) != (s["by"] > py)) & (px < (s["bx"] - s["ax"]) * (py - s["ay"]) / (s["by"] - s["ay"]) + s["ax"]))
+    return F.size(crossed) % 2 == 1
 
 
 def in_ring(px: Column, py: Column, xs: Column, ys: Column) -> Column:
     """Ray casting: strictly inside a closed ring; points on a lower or left edge count as the half-open rule has it."""
-    pts = F.arrays_zip(xs.alias("x"), ys.alias("y"))
-    crossed = F.zip_with(pts, F.slice(pts, 2, F.size(xs)), lambda a, b: ((a["y"] > py) != (b["y"] > py)) & (px < (b["x"] - a["x"]) * (py - a["y"]) / (b["y"] - a["y"]) + a["x"]))
-    return F.size(F.filter(crossed, lambda c: F.coalesce(c, F.lit(False)))) % 2 == 1
+    return _odd_crossings(px, py, _sides(xs, ys))
+
+
+def _all_sides(rings: Column) -> Column:
+    return F.flatten(F.transform(rings, lambda r: _sides(r["xs"], r["ys"])))
+
+
+def polygon_area(rings: Column) -> Column:
+    """The first ring's area less the others'."""
+    areas = F.transform(rings, lambda r: ring_area(r["xs"], r["ys"]))
+    return 2 * F.get(areas, F.lit(0)) - F.aggregate(areas, F.lit(0.0), lambda a, v: a + v)
+
+
+def ring_box(polygons: DataFrame) -> DataFrame:
+    """Polygons (rings) with the box of their shell."""
+    xs, ys = F.col("rings")[0]["xs"], F.col("rings")[0]["ys"]
+    return polygons.withColumns({"minx": F.array_min(xs), "maxx": F.array_max(xs), "miny": F.array_min(ys), "maxy": F.array_max(ys)})
+
+
+def near_polygons(points: DataFrame, polygons: DataFrame, r: float, size: float, keep: tuple[str, ...]) -> DataFrame:
+    """Points (lx, ly, ..) with the polygons (rings: shell and holes; keep columns) within r of them, and d: 0 inside.
+
+    With r = 0 the polygons that hold the point; the boundary and holes are outside. A polygon is met in the cells that its
+    grown box covers, a point in its own, so no pair meets twice; the box goes first.
+    """
+    box = ["minx", "maxx", "miny", "maxy"]
+    q = ring_box(polygons).select(*keep, _all_sides(F.col("rings")).alias("sides"), *box)
+    q = q.select(*keep, "sides", *box, F.explode(_covered(r, size)).alias("c")).select(*keep, "sides", *box, "c.cx", "c.cy")
+    p = points.withColumns({"cx": _cell(F.col("lx"), size), "cy": _cell(F.col("ly"), size)})
+    x, y = F.col("lx"), F.col("ly")
+    boxed = (x >= F.col("minx") - r) & (x <= F.col("maxx") + r) & (y >= F.col("miny") - r) & (y <= F.col("maxy") + r)
+    met = p.join(q, ["cx", "cy"]).filter(boxed).withColumns({"_in": _odd_crossings(x, y, F.col("sides")), "_edge": F.round(_distance_to_sides(x, y, F.col("sides")), 9)})
+    met = met.withColumn("d", F.when(F.col("_in"), 0.0).otherwise(F.col("_edge"))).filter((F.col("d") <= r) if r else (F.col("_in") & (F.col("_edge") > 0)))
+    return met.drop("sides", *box, "cx", "cy", "_in", "_edge")
+
+
+def near_lines(points: DataFrame, lines: DataFrame, r: float, keep: tuple[str, ...] = ("seg_id",), size: float | None = None) -> DataFrame:
+    """Points (px, py, ..) with the vertex lists (xs, ys; keep columns) within r of them and d."""
+    size = size or max(4 * r, 100.0)
+    s = lines.withColumns({"minx": F.array_min("xs"), "maxx": F.array_max("xs"), "miny": F.array_min("ys"), "maxy": F.array_max("ys")})
+    s = s.select(*keep, "xs", "ys", F.explode(_covered(r, size)).alias("c")).select(*keep, "xs", "ys", "c.cx", "c.cy")
+    p = points.withColumns({"cx": _cell(F.col("px"), size), "cy": _cell(F.col("py"), size)})
+    met = s.join(p, ["cx", "cy"]).withColumn("d", F.round(distance_to_line(F.col("px"), F.col("py"), F.col("xs"), F.col("ys")), 9))
+    return met.filter(F.col("d") <= r).drop("xs", "ys", "cx", "cy")
 
 
 def with_box(segments: DataFrame) -> DataFrame:

@@ -283,6 +283,32 @@ def bootstrap_interval(pairs: DataFrame, cols: list[str], key: str, rounds: int
     return pairs.sparkSession.createDataFrame([(c, float(a), float(b)) for c, a, b in zip(cols, low, high, strict=True)], "feature string, low double, high double")
 
 
+def mean_intervals(rows: DataFrame, cols: list[str], key: str, draws: int = 1000, seed: int = 5) -> DataFrame:
+    """(model, n, agreement, low, high): means of cols with 2.5 and 97.5 percentiles of resampled means, and those of the
+    differences of the first column's mean from the others' (model "first - other"), over the same draws and rows."""
+    d = len(cols)
+    flat = rows.select(*[F.col(c).cast("double").alias(f"_{i}") for i, c in enumerate(cols)], F.xxhash64(F.col(key), F.lit(seed)).alias("_h"))
+
+    def run(batches):
+        total = np.zeros((draws + 1, d + 1))
+        for b in batches:
+            x = np.stack([*(b.column(i).to_numpy() for i in range(d)), np.ones(b.num_rows)], 1)
+            for at in range(0, len(x), 4096):
+                times = poisson_draws(b.column(d).to_numpy()[at : at + 4096], draws)
+                total[:draws] += times.T @ x[at : at + 4096]
+                total[draws] += x[at : at + 4096].sum(0)
+        yield pa.record_batch([pa.array(np.arange(draws + 1, dtype=np.int32)), *[pa.array(np.ascontiguousarray(total[:, j])) for j in range(d + 1)]], ["draw", *[f"s{j}" for j in range(d + 1)]])
+
+    sums = flat.mapInArrow(run, "draw int, " + ", ".join(f"s{j} double" for j in range(d + 1))).groupBy("draw").agg(*[F.sum(f"s{j}") for j in range(d + 1)])
+    got = np.zeros((draws + 1, d + 1))
+    for r in sums.collect():
+        got[r[0]] = r[1:]
+    means = got[:, :d] / np.maximum(got[:, d:], 1)
+    names = {c: means[:, i] for i, c in enumerate(cols)} | {f"{cols[0]} - {c}": means[:, 0] - means[:, i] for i, c in enumerate(cols) if i}
+    out = [(m, int(got[draws, d]), float(v[draws]), *map(float, np.percentile(v[:draws], [2.5, 97.5]))) for m, v in names.items()]
+    return rows.sparkSession.createDataFrame(out, "model string, n long, agreement double, low double, high double")
+
+
 def agreement(pairs: DataFrame, weights: dict[str, float]) -> DataFrame:
     """(n, agreement): share of pairs whose winner scores higher; a zero margin is wrong."""
     margin = sum((F.col(c) * w for c, w in weights.items()), F.lit(0.0))

@@ -171,7 +171,7 @@ def pair_seeding(spark, sf):
     return design.seed_pairs(z, "seg_id", ("za", "zb"), 6, 4, {"strong": 60, "mild": 45, "near": 45}).select("a", "b", "kind", F.col("place").cast("long").alias("place"))
 
 
-@query("synthetic_pairs", ctes(*F_VIEWS, "votes") + f", {SCORED_SQL}, pr AS (SELECT DISTINCT pair_id, seg_left a, seg_right b FROM votes), j AS (SELECT pair_id, a, b, 1 / (1 + exp(-(round(x.latent, 6) - round(y.latent, 6)))) p FROM pr JOIN scored x ON x.seg_id = a JOIN scored y ON y.seg_id = b) SELECT pair_id, CASE WHEN (pair_id * 7919 + a * 104729 + 5) % 1000003 < round(p, 6) * 1000003 THEN a ELSE b END AS winner_seg FROM j")
+@query("synthetic_pairs", ctes(*C.E_VIEWS) + f", {SCORED_SQL}, pr AS (SELECT DISTINCT pair_id, seg_left a, seg_right b FROM votes), j AS (SELECT pair_id, a, b, 1 / (1 + exp(-(round(x.latent, 6) - round(y.latent, 6)))) p FROM pr JOIN scored x ON x.seg_id = a JOIN scored y ON y.seg_id = b) SELECT pair_id, CASE WHEN (pair_id * 7919 + a * 104729 + 5) % 1000003 < round(p, 6) * 1000003 THEN a ELSE b END AS winner_seg FROM j")
 def synthetic_pairs(spark, sf):
     s = C.scored(spark, sf).select("seg_id", F.round("latent", 6).alias("latent"))
     pr = view(spark, sf, "votes").select("pair_id", F.col("seg_left").alias("a"), F.col("seg_right").alias("b")).distinct()
@@ -200,19 +200,24 @@ def forest_gain(spark, sf):
     return spark.createDataFrame(out, "model string, n long, r2 double, mae double, gain double")
 
 
-@query("kmeans_blocks")
-def kmeans_blocks(spark, sf):
-    """(seg_id, block): spatial blocks of midpoints; their numbers follow the centres from west to east."""
+def blocks(spark, sf, k: int = 4) -> DataFrame:
+    """(seg_id, block): k spatial blocks of midpoints by k-means; their numbers follow the centres from west to east."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.feature import VectorAssembler
 
-    mid = VectorAssembler(inputCols=["mx", "my"], outputCol="features").transform(geo.midpoints(S.walk(spark, sf), "seg_id"))
-    model = KMeans(k=4, seed=1).fit(mid)
+    mid = checkpointed(geo.midpoints(S.walk(spark, sf), "seg_id"))
+    mid = VectorAssembler(inputCols=["mx", "my"], outputCol="features").transform(mid)
+    model = KMeans(k=k, seed=1).fit(mid)
     centres = [tuple(map(float, c)) for c in model.clusterCenters()]
-    place = {k: i for i, k in enumerate(sorted(range(len(centres)), key=lambda k: centres[k]))}
+    place = {j: i for i, j in enumerate(sorted(range(len(centres)), key=lambda j: centres[j]))}
     return model.transform(mid).select("seg_id", X.lookup(F.col("prediction"), place, -1).alias("block"))
 
 
+@query("kmeans_blocks")
+def kmeans_blocks(spark, sf):
+    return blocks(spark, sf)
+
+
 @query("greedy_tour")
 def greedy_tour(spark, sf):
     """(seg_id, stop): the pilot's sites (40 at most) from the westmost on, each next the nearest one left."""

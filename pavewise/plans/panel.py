@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from pavewise.functions import expr as X
 from pavewise.operators import geo, stats, votes
+from pavewise.plans import models as M
 from pavewise.plans import scores as C
 from pavewise.plans import segments as S
 from pavewise.plans.scores import F_VIEWS, FEAT_SQL, LOG_SQL
 from pavewise.plans.segments import IMG_SQL, WALK_SQL, r6
+from pavewise.session import checkpointed
 from pavewise.sources.fixtures import ctes, view
 
 Q: dict = {}
@@ -133,6 +135,23 @@ CMP_SQL = f"{FEAT_SQL}, {DEC_SQL}, ft AS (SELECT seg_id, round(light, 9) light,
 COLS = (("light", "wl", "ll"), ("poi_density", "wp", "lp"), ("poi_night_density", "wn", "ln"))
 
 
+@query("score_convergence", ctes(*F_VIEWS, "votes") + f", {CMP_SQL}, nl AS (SELECT CASE WHEN winner_seg % 9 = 0 THEN NULL ELSE wl END a, CASE WHEN loser_seg % 9 = 0 THEN NULL ELSE ll END b FROM cm) SELECT count(*) n, round(avg(CASE WHEN a > b THEN 1.0 ELSE 0.0 END), 6) picks_higher FROM nl WHERE a IS NOT NULL AND b IS NOT NULL AND a <> b")
+def score_convergence(spark, sf):
+    """How often votes pick the side of the higher score; unknown (here every ninth segment's) and equal scores don't count."""
+    f = C.features(spark, sf).select("seg_id", F.when(F.col("seg_id") % 9 != 0, F.round("light", 9)).alias("light"))
+    d = votes.differences(decided(spark, sf), f, ["light"]).filter("d_light is not null and d_light <> 0")
+    return d.agg(F.count("*").alias("n"), r6(F.avg((F.col("d_light") > 0).cast("double")), "picks_higher"))
+
+
+@query("panel_sides", ctes("votes") + ", q AS (SELECT DISTINCT pair_id, rater FROM votes) SELECT pair_id, rater, (pair_id * 7919 + length(rater) * 104729 + 17) % 1000003 % 2 = 0 AS a_is_left FROM q")
+def panel_sides(spark, sf):
+    """Which side the first picture of a pair is shown on: a fixed draw for pair and rater, so a rerun shows the same."""
+    from pavewise.operators import design
+
+    q = view(spark, sf, "votes").select("pair_id", "rater").distinct()
+    return q.select("pair_id", "rater", (design.draw(F.col("pair_id"), F.length("rater"), 17) % 2 == 0).alias("a_is_left"))
+
+
 @query("single_feature_agreement", ctes(*F_VIEWS, "votes") + f", {CMP_SQL} " + " UNION ALL ".join(f"SELECT '{n}' feature, count(*) n, round(avg(CASE WHEN {w} > {l} THEN 1.0 ELSE 0.0 END), 6) agreement FROM cm WHERE {w} <> {l}" for n, w, l in COLS))
 def single_feature(spark, sf):
     c = compared(spark, sf)
@@ -162,7 +181,7 @@ def consensus_union(spark, sf):
     p, c = panel(spark, sf), agreed(spark, sf)
     city = p.groupBy("pair_id").agg(F.min("city_id").alias("city_id"))
     rows = c.join(city, "pair_id")
-    each = [rows.filter(F.col("city_id") == k).select(F.lit(f"city-{k}").alias("city"), F.lit("panel").alias("rater_model"), "pair_id", "consensus_winner_seg") for k in range(6)]
+    each = [rows.filter(F.col("city_id") == k).select(F.lit(f"city-{k}").alias("city"), F.lit("panel").alias("rater_model"), "pair_id", "consensus_winner_seg") for k in keys_of(rows, "city_id")]
     return reduce(lambda a, b: a.unionByName(b), each)
 
 
@@ -298,31 +317,57 @@ def bt_bootstrap(spark, sf):
     return stats.bootstrap_interval(standard_pairs(spark, sf), FITTED, "event_id")
 
 
+#: Models compared on the same pairs, by the differences they use.
+MODELS = {"A": FITTED, "B": ["d_light"], "C": ["d_poi_density", "d_poi_night_density"]}
+#: Groups that a cross-validation may have: each is a fit.
+MOST_GROUPS = 200
+
+
+def keys_of(df, col: str) -> list:
+    """A column's different values in order; more than MOST_GROUPS are an error, as each is a fit of its own."""
+    keys = sorted(r[0] for r in df.select(col).distinct().limit(MOST_GROUPS + 1).collect())
+    if len(keys) > MOST_GROUPS:
+        raise ValueError(f"over {MOST_GROUPS} groups in {col}")
+    return keys
+
+
 @query("spatial_block_cv")
 def block_cv(spark, sf):
-    """Leave one block of the grid out: pairs inside it test, pairs wholly outside train, straddling pairs go."""
-    mid = geo.midpoints(S.walk(spark, sf), "seg_id").select("seg_id", (F.floor(F.col("mx") / 1001) * 2 + F.floor(F.col("my") / 1001)).cast("int").alias("block"))
+    """Leave one spatial block out: pairs inside it test, pairs wholly outside train, straddling pairs go; for each model the
+    agreement over all blocks together with the 2.5 and 97.5 percentiles of its resampled means (1000 draws)."""
+    block = M.blocks(spark, sf)
     p = standard_pairs(spark, sf)
-    p = p.join(mid.withColumnsRenamed({"seg_id": "winner_seg", "block": "bw"}), "winner_seg").join(mid.withColumnsRenamed({"seg_id": "loser_seg", "block": "bl"}), "loser_seg").cache()
-    out = []
-    for k in range(4):
+    p = checkpointed(p.join(block.toDF("winner_seg", "bw"), "winner_seg").join(block.toDF("loser_seg", "bl"), "loser_seg"))
+    tests = []
+    for k in keys_of(p, "bw"):
         train, test = p.filter((F.col("bw") != k) & (F.col("bl") != k)), p.filter((F.col("bw") == k) & (F.col("bl") == k))
         if train.count() < 20 or test.isEmpty():
             continue
-        r = stats.agreement(test, stats.bradley_terry(train, FITTED)).first()
-        out.append((k, r["n"], r["agreement"]))
-    return spark.createDataFrame(out, "block int, n long, agreement double")
+        right = [(sum((F.col(c) * w for c, w in stats.bradley_terry(train, cols).items()), F.lit(0.0)) > 0).cast("double").alias(m) for m, cols in MODELS.items()]
+        tests.append(test.select("event_id", *right))
+    if not tests:
+        return spark.createDataFrame([], "model string, n long, agreement double, low double, high double")
+    return stats.mean_intervals(checkpointed(reduce(lambda a, b: a.unionByName(b), tests)), list(MODELS), "event_id")
 
 
 @query("loco")
 def loco(spark, sf):
-    p = standard_pairs(spark, sf).cache()
-    out = []
-    for k in range(6):
+    """For each city held out: agreement, agreement of the pooled model, and the gap between them."""
+    p = checkpointed(standard_pairs(spark, sf))
+    pooled, out = stats.bradley_terry(p, FITTED), []
+    for k in keys_of(p, "city_id"):
         train, test = p.filter(F.col("city_id") != k), p.filter(F.col("city_id") == k)
         if train.count() < 20 or test.isEmpty():
             continue
-        w = stats.bradley_terry(train, FITTED)
-        a, b = stats.agreement(test, w).first(), stats.agreement(train, w).first()
-        out.append((k, a["n"], a["agreement"], b["agreement"] - a["agreement"]))
-    return spark.createDataFrame(out, "city_id int, n long, agreement double, gap double")
+        a, b = (stats.agreement(test, w).first() for w in (stats.bradley_terry(train, FITTED), pooled))
+        out.append((k, a["n"], a["agreement"], b["agreement"], b["agreement"] - a["agreement"]))
+    return spark.createDataFrame(out, "city_id int, n long, agreement double, in_sample double, gap double")
+
+
+@query("cross_group_test", ctes(*F_VIEWS, "votes") + f", {PAIRS_SQL}, half AS (SELECT * FROM sp WHERE city_id < 3), {newton_sql('half', 'bt')} SELECT city_id, count(*) n, round(avg(CASE WHEN w0 * d0 + w1 * d1 + w2 * d2 > 0 THEN 1.0 ELSE 0.0 END), 4) agreement FROM sp, bt WHERE city_id >= 3 GROUP BY city_id")
+def cross_group(spark, sf):
+    """Weights of one set of cities on each city of another."""
+    p = checkpointed(standard_pairs(spark, sf))
+    w = stats.bradley_terry(p.filter("city_id < 3"), FITTED)
+    right = (sum((F.col(c) * v for c, v in w.items()), F.lit(0.0)) > 0).cast("double")
+    return p.filter("city_id >= 3").groupBy("city_id").agg(F.count("*").alias("n"), F.round(F.avg(right), 4).alias("agreement"))

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from pavewise.functions import expr as X
+from pavewise.guard import check
 from pavewise.operators import geo, stats, votes
 from pavewise.plans import segments as S
 from pavewise.plans.segments import BOX_SQL, DIST_SQL, LIGHT_SQL, MID_SQL, POI_SQL, TRAFFIC_SQL, WALK_SQL, r6
@@ -86,46 +87,98 @@ def comfort_blend(spark, sf):
     return x.select("seg_id", r6(0.6 * F.least(F.col("light") / F.col("a"), F.lit(1.0)) + 0.4 * F.least(F.col("poi_density") / F.col("b"), F.lit(1.0)), "blend"))
 
 
-LATENT = " + ".join(f"{w} * {_z(c, 'stddev_pop')}" for c, w in WEIGHTS.items())
-OOD = "sqrt((" + " + ".join(f"pow({_z(c, 'stddev_pop')}, 2)" for c in WEIGHTS) + f") / {len(WEIGHTS)})"
+#: The engine's features, those of them on a log1p scale (fixed values), and an example model's weights.
+CORE = ("poi_density", "poi_night_density", "encl_frontage", "encl_height")
+CORE_LOG = {"poi_density", "poi_night_density", "encl_height"}
+COEF = {"poi_density": 0.12, "poi_night_density": 0.46, "encl_frontage": 0.08, "encl_height": -0.05}
+E_VIEWS = ("segments", "places", "buildings", "votes")
+
+
+def core_features(spark, sf):
+    """(seg_id, the engine's features on their scales), written once: statistics, ranks and rows read it again."""
+    f = S.poi_counts(spark, sf, "envelope").join(S.enclosed(spark, sf), "seg_id")
+    return checkpointed(f.select("seg_id", *[(stats.log_scaled(F.col(c)) if c in CORE_LOG else F.col(c)).cast("double").alias(c) for c in CORE]))
+
+
+def rated(spark, sf):
+    return view(spark, sf, "votes").select(F.explode(F.array("seg_left", "seg_right")).alias("seg_id")).distinct()
+
+
+def model_of(training) -> dict:
+    """The model's statistics of training segments (features on their scales): mean, sample deviation, percentiles, the 95th
+    percentile of distances, and shares with businesses and with night businesses. Distances use the unrounded numbers."""
+    check(CORE)
+    training = checkpointed(training)
+    one = training.agg(F.count("*").alias("n"), *[x for c in CORE for x in (F.avg(c).alias(f"m_{c}"), F.stddev_samp(c).alias(f"s_{c}"))], *[F.avg((F.col(c) > 0).cast("double")).alias(f"share_{c}") for c in CORE[:2]]).first()
+    gap = F.sqrt(sum((F.pow((F.col(c) - one[f"m_{c}"]) / (one[f"s_{c}"] + stats.EPS), F.lit(2.0)) for c in CORE), F.lit(0.0)) / len(CORE))
+    cut = stats.percentiles(training.select(gap.alias("gap")), "gap", [0.95]).first()["q"]
+    out = {c: {"mean": round(one[f"m_{c}"], 4), "std": round(one[f"s_{c}"] + stats.EPS, 4)} for c in CORE}
+    for c in CORE:
+        out[c] |= {k: round(v, 4) for k, v in zip(("p2_5", "p50", "p97_5"), stats.percentiles(training, c, [0.025, 0.5, 0.975]).first()["q"], strict=True)}
+    return {"stats": out, "cutoff_p95": round(cut[0], 4), "night_activity_share": round(one["share_poi_night_density"], 4), "context_share": round(one["share_poi_density"], 4), "n": one["n"]}
+
+
+def engine_scores(area, model: dict, coef: dict[str, float] = COEF):
+    """area (seg_id, features on their scales) with latent, pct, ood, ood_flag and has_context.
+
+    The comfort score compares a segment with its own area; the distance compares it with the training segments, so an area
+    unlike them is flagged as a whole.
+    """
+    check(coef)
+    st = model["stats"]
+    z = stats.zscore(area, list(CORE), 0)
+    latent = sum((F.col(f"z_{c}") * coef[c] for c in CORE), F.lit(0.0))
+    ood = F.sqrt(sum((F.pow((F.col(c) - st[c]["mean"]) / st[c]["std"], F.lit(2.0)) for c in CORE), F.lit(0.0)) / len(CORE))
+    out = checkpointed(z.select("seg_id", *CORE, latent.alias("latent"), ood.alias("ood"), F.round(latent, 9).alias("key")))
+    ranked = stats.with_scalar(stats.average_ranks(out, "key", "rk"), out.agg(F.count("*").alias("n")))
+    return ranked.withColumns({"pct": F.col("rk") / F.col("n") * 100, "ood_flag": F.col("ood") > model["cutoff_p95"], "has_context": F.col("poi_density") > 0})
 
 
 def scored(spark, sf):
-    z = stats.zscore(logged(spark, sf), list(WEIGHTS), 0)
-    latent = sum((F.col(f"z_{c}") * w for c, w in WEIGHTS.items()), F.lit(0.0))
-    ood = F.sqrt(sum((F.pow(F.col(f"z_{c}"), F.lit(2.0)) for c in WEIGHTS), F.lit(0.0)) / len(WEIGHTS))
-    out = z.withColumns({"latent": latent, "ood": ood, "key": F.round(latent, 9)})
-    n = out.agg(F.count("*").alias("n"))
-    ranked = stats.with_scalar(stats.average_ranks(out, "key", "rk"), n)
-    cut = stats.percentiles(out, "ood", [0.95]).select(F.col("q")[0].alias("cut"))
-    return stats.with_scalar(ranked, cut).withColumns({"pct": F.col("rk") / F.col("n") * 100, "ood_flag": F.col("ood") > F.col("cut"), "has_context": F.col("poi_density") > 0})
+    """All walkable segments under the model of the rated ones."""
+    area = core_features(spark, sf)
+    return engine_scores(area, model_of(area.join(rated(spark, sf), "seg_id", "left_semi")))
+
+
+TRAINED_SQL = f"""{WALK_SQL}, {BOX_SQL}, {POI_SQL}, {S.ENCLOSED_SQL}, pc AS (SELECT seg_id, count(place_id) poi_density, count(place_id) FILTER (WHERE night) poi_night_density FROM box LEFT JOIN poin ON x >= minx-50 AND x <= maxx+50 AND y >= miny-50 AND y <= maxy+50 GROUP BY seg_id),
+ co AS (SELECT seg_id, {", ".join(f"ln(1 + greatest({c}, 0)) {c}" if c in CORE_LOG else f"{c}" for c in CORE)} FROM pc JOIN enclosed USING (seg_id)), tr AS (SELECT * FROM co WHERE seg_id IN (SELECT seg_left FROM votes UNION SELECT seg_right FROM votes)),
+ ts AS (SELECT {", ".join(f"avg({c}) m_{c}, stddev_samp({c}) + 1e-9 s_{c}" for c in CORE)}, round(avg(CASE WHEN poi_night_density > 0 THEN 1.0 ELSE 0.0 END), 4) night_share, round(avg(CASE WHEN poi_density > 0 THEN 1.0 ELSE 0.0 END), 4) context_share, count(*) n FROM tr),
+ tg AS (SELECT sqrt(({" + ".join(f"pow(({c} - m_{c}) / s_{c}, 2)" for c in CORE)}) / 4) gap FROM tr, ts), cu AS (SELECT round(quantile_cont(gap, 0.95), 4) cut FROM tg)"""
+LATENT = " + ".join(f"{w} * {_z(c, 'stddev_pop')}" for c, w in COEF.items())
+SCORED_SQL = f"""{TRAINED_SQL}, sc AS (SELECT co.*, {LATENT} latent, sqrt(({" + ".join(f"pow(({c} - round(m_{c}, 4)) / round(s_{c}, 4), 2)" for c in CORE)}) / 4) ood FROM co, ts), rk AS (SELECT *, round(latent, 9) k FROM sc), scored AS (SELECT seg_id, latent, ood, poi_density, poi_night_density, 100.0 * (rank() OVER (ORDER BY k) + (count(*) OVER (PARTITION BY k) - 1) / 2.0) / count(*) OVER () pct, ood > (SELECT cut FROM cu) ood_flag, poi_density > 0 has_context FROM rk)"""
 
 
-SCORED_SQL = f"{LOG_SQL}, sc AS (SELECT *, {LATENT} latent, {OOD} ood FROM lg), rk AS (SELECT *, round(latent, 9) k FROM sc), scored AS (SELECT seg_id, latent, ood, poi_density, poi_night_density, 100.0 * (rank() OVER (ORDER BY k) + (count(*) OVER (PARTITION BY k) - 1) / 2.0) / count(*) OVER () pct, ood > (SELECT quantile_cont(ood, 0.95) FROM sc) ood_flag, poi_density > 0 has_context FROM rk)"
+@query("model_artifact", ctes(*E_VIEWS) + f", {TRAINED_SQL} " + " UNION ALL ".join(f"SELECT '{c}' AS feature, round(any_value(m_{c}), 4) mean, round(any_value(s_{c}), 4) std, round(quantile_cont({c}, 0.025), 4) p2_5, round(quantile_cont({c}, 0.5), 4) p50, round(quantile_cont({c}, 0.975), 4) p97_5, any_value(cut) cutoff_p95, any_value(night_share) night_activity_share, any_value(context_share) context_share, any_value(n) n_train FROM tr, ts, cu" for c in CORE))
+def model_artifact(spark, sf):
+    m = model_of(core_features(spark, sf).join(rated(spark, sf), "seg_id", "left_semi"))
+    rows = [(c, *[m["stats"][c][k] for k in ("mean", "std", "p2_5", "p50", "p97_5")], m["cutoff_p95"], m["night_activity_share"], m["context_share"], m["n"]) for c in CORE]
+    return spark.createDataFrame(rows, "feature string, mean double, std double, p2_5 double, p50 double, p97_5 double, cutoff_p95 double, night_activity_share double, context_share double, n_train long")
 
 
-@query("comfort_linear", ctes(*F_VIEWS) + f", {SCORED_SQL} SELECT seg_id, round(latent, 4) comfort_latent FROM scored")
+@query("comfort_linear", ctes(*E_VIEWS) + f", {SCORED_SQL} SELECT seg_id, round(latent, 4) comfort_latent FROM scored")
 def comfort_linear(spark, sf):
     return scored(spark, sf).select("seg_id", F.round("latent", 4).alias("comfort_latent"))
 
 
-@query("comfort_engine_scores", ctes(*F_VIEWS) + f", {SCORED_SQL} SELECT seg_id, round(pct, 1) comfort_pct, round(ood, 3) ood_distance, ood_flag, has_context, CASE WHEN ood_flag OR NOT has_context THEN 'low' ELSE 'high' END confidence FROM scored")
+@query("comfort_engine_scores", ctes(*E_VIEWS) + f", {SCORED_SQL} SELECT seg_id, round(pct, 1) comfort_pct, round(ood, 3) ood_distance, ood_flag, has_context, CASE WHEN ood_flag OR NOT has_context THEN 'low' ELSE 'high' END confidence FROM scored")
 def comfort_engine(spark, sf):
     s = scored(spark, sf)
     return s.select("seg_id", F.round("pct", 1).alias("comfort_pct"), F.round("ood", 3).alias("ood_distance"), "ood_flag", "has_context", F.when(F.col("ood_flag") | ~F.col("has_context"), "low").otherwise("high").alias("confidence"))
 
 
-@query("comfort_area_summary", ctes(*F_VIEWS) + f", {SCORED_SQL}, a AS (SELECT count(*) n, avg(CASE WHEN ood_flag THEN 1.0 ELSE 0.0 END) oodf, avg(CASE WHEN has_context THEN 1.0 ELSE 0.0 END) cov, avg(CASE WHEN poi_night_density > 0 THEN 1.0 ELSE 0.0 END) nc FROM scored), b AS (SELECT *, round(least(1.0, nc / 0.66), 3) suff FROM a), c AS (SELECT *, round(suff * (1 - oodf), 2) conf FROM b) SELECT n AS n_segments, conf AS area_confidence, CASE WHEN conf >= 0.7 THEN 'high' WHEN conf >= 0.4 THEN 'medium' ELSE 'low' END area_label, suff AS activity_sufficiency, round(nc, 3) night_coverage, round(cov, 3) any_coverage, round(oodf, 3) ood_fraction FROM c")
+@query("comfort_area_summary", ctes(*E_VIEWS) + f", {SCORED_SQL}, a AS (SELECT count(*) n, avg(CASE WHEN ood_flag THEN 1.0 ELSE 0.0 END) oodf, avg(CASE WHEN has_context THEN 1.0 ELSE 0.0 END) cov, avg(CASE WHEN poi_night_density > 0 THEN 1.0 ELSE 0.0 END) nc FROM scored), b AS (SELECT *, round(least(1.0, nc / (SELECT night_share FROM ts)), 3) suff FROM a), c AS (SELECT *, round(suff * (1 - oodf), 2) conf FROM b) SELECT n AS n_segments, conf AS area_confidence, CASE WHEN conf >= 0.7 THEN 'high' WHEN conf >= 0.4 THEN 'medium' ELSE 'low' END area_label, suff AS activity_sufficiency, round(nc, 3) night_coverage, round(cov, 3) any_coverage, round(oodf, 3) ood_fraction FROM c")
 def area_summary(spark, sf):
     share = lambda c: F.avg(c.cast("double"))
-    a = scored(spark, sf).agg(F.count("*").alias("n_segments"), share(F.col("ood_flag")).alias("oodf"), share(F.col("has_context")).alias("cov"), share(F.col("poi_night_density") > 0).alias("nc"))
-    a = a.withColumn("activity_sufficiency", F.round(F.least(F.lit(1.0), F.col("nc") / 0.66), 3))
+    area = core_features(spark, sf)
+    model = model_of(area.join(rated(spark, sf), "seg_id", "left_semi"))
+    a = engine_scores(area, model).agg(F.count("*").alias("n_segments"), share(F.col("ood_flag")).alias("oodf"), share(F.col("has_context")).alias("cov"), share(F.col("poi_night_density") > 0).alias("nc"))
+    a = a.withColumn("activity_sufficiency", F.round(F.least(F.lit(1.0), F.col("nc") / model["night_activity_share"]), 3))
     a = a.withColumn("area_confidence", F.round(F.col("activity_sufficiency") * (1 - F.col("oodf")), 2))
     c = F.col("area_confidence")
     return a.select("n_segments", "area_confidence", F.when(c >= 0.7, "high").when(c >= 0.4, "medium").otherwise("low").alias("area_label"), "activity_sufficiency", F.round("nc", 3).alias("night_coverage"), F.round("cov", 3).alias("any_coverage"), F.round("oodf", 3).alias("ood_fraction"))
 
 
-@query("comfort_top5", ctes(*F_VIEWS) + f", {SCORED_SQL} SELECT seg_id, round(pct, 1) comfort_pct FROM scored WHERE NOT ood_flag AND has_context ORDER BY round(pct, 1) DESC, seg_id LIMIT 5")
+@query("comfort_top5", ctes(*E_VIEWS) + f", {SCORED_SQL} SELECT seg_id, round(pct, 1) comfort_pct FROM scored WHERE NOT ood_flag AND has_context ORDER BY round(pct, 1) DESC, seg_id LIMIT 5")
 def comfort_top5(spark, sf):
     good = scored(spark, sf).filter(~F.col("ood_flag") & F.col("has_context")).select("seg_id", F.round("pct", 1).alias("comfort_pct"))
     return good.orderBy(F.desc("comfort_pct"), "seg_id").limit(5)
@@ -133,10 +186,15 @@ def comfort_top5(spark, sf):
 
 @query("grid_cell_5x5", ctes("segments") + f", {WALK_SQL}, {MID_SQL}, b AS (SELECT min(mx) x0, max(mx) x1, min(my) y0, max(my) y1 FROM mid) SELECT seg_id, CAST(least(greatest(floor((mx-x0)/((x1-x0)/5)),0),4)*5 + least(greatest(floor((my-y0)/((y1-y0)/5)),0),4) AS BIGINT) cell FROM mid, b")
 def grid_cell(spark, sf):
+    return cells(spark, sf, 5)
+
+
+def cells(spark, sf, k: int):
+    """(seg_id, cell): midpoints in a k x k grid over their common box."""
     mid = geo.midpoints(S.walk(spark, sf), "seg_id")
     b = mid.agg(F.min("mx").alias("x0"), F.max("mx").alias("x1"), F.min("my").alias("y0"), F.max("my").alias("y1"))
-    at = lambda v, lo, hi: F.least(F.greatest(F.floor((F.col(v) - F.col(lo)) / ((F.col(hi) - F.col(lo)) / 5)), F.lit(0)), F.lit(4))
-    return stats.with_scalar(mid, b).select("seg_id", (at("mx", "x0", "x1") * 5 + at("my", "y0", "y1")).cast("long").alias("cell"))
+    at = lambda v, lo, hi: F.least(F.greatest(F.floor((F.col(v) - F.col(lo)) / ((F.col(hi) - F.col(lo)) / k)), F.lit(0)), F.lit(k - 1))
+    return stats.with_scalar(mid, b).select("seg_id", (at("mx", "x0", "x1") * k + at("my", "y0", "y1")).cast("long").alias("cell"))
 
 
 @query("quantile_cell_4x4", ctes("segments") + f", {WALK_SQL}, {MID_SQL}, q AS (SELECT " + ", ".join(f"quantile_cont({c}, {p}) {c}{i}" for c in ("mx", "my") for i, p in enumerate((0.25, 0.5, 0.75))) + ") , z AS (SELECT 1)  SELECT seg_id, CAST(((mx>=mx0)::INT + (mx>=mx1)::INT + (mx>=mx2)::INT)*4 + (my>=my0)::INT + (my>=my1)::INT + (my>=my2)::INT AS BIGINT) cell FROM mid, q")
@@ -151,13 +209,17 @@ def quantile_cell(spark, sf):
 O["quantile_cell_4x4"] = O["quantile_cell_4x4"].replace(") , z AS (SELECT 1) ", " FROM mid)")
 
 
+def tracts(spark, sf):
+    """(tract_id, low_income_share, rings)"""
+    at = lambda c, steps: F.array(*[F.col(c) + v for v in steps])
+    shell = F.struct(at("minx", (0, 400, 400, 0, 0)).alias("xs"), at("miny", (0, 0, 400, 400, 0)).alias("ys"))
+    return view(spark, sf, "tracts").select("tract_id", "low_income_share", F.array(shell).alias("rings"))
+
+
 def in_tract(spark, sf):
-    """Segments' midpoints with the first tract that holds them: cells as wide as the tracts' common size keep it an equi-join."""
-    size = 400.0
-    mid = geo.midpoints(S.walk(spark, sf), "seg_id").withColumns({"cx": F.floor(F.col("mx") / size), "cy": F.floor(F.col("my") / size)})
-    t = view(spark, sf, "tracts").withColumn("c", F.explode(F.array(*[F.struct((F.floor(F.col("minx") / size) + i).alias("cx"), (F.floor(F.col("miny") / size) + j).alias("cy")) for i in (0, 1) for j in (0, 1)]))).select("tract_id", "minx", "miny", "low_income_share", "c.cx", "c.cy")
-    inside = (F.col("mx") > F.col("minx")) & (F.col("mx") < F.col("minx") + 400) & (F.col("my") > F.col("miny")) & (F.col("my") < F.col("miny") + 400)
-    met = mid.join(t, ["cx", "cy"]).filter(inside).groupBy("seg_id").agg(F.min(F.struct("tract_id", "low_income_share")).alias("t"))
+    """Segments' midpoints with the first tract polygon that holds them."""
+    mid = geo.midpoints(S.walk(spark, sf), "seg_id").withColumnsRenamed({"mx": "lx", "my": "ly"})
+    met = geo.near_polygons(mid, tracts(spark, sf), 0.0, 200.0, ("tract_id", "low_income_share")).groupBy("seg_id").agg(F.min(F.struct("tract_id", "low_income_share")).alias("t"))
     return mid.join(met, "seg_id", "left").select("seg_id", "t.tract_id", "t.low_income_share")
 
 
@@ -207,12 +269,14 @@ def partial(spark, sf):
 
 
 def crash_segment(spark, sf):
-    pts = view(spark, sf, "incidents").withColumnsRenamed({"x": "px", "y": "py"})
-    met = geo.within_of_segments(S.walk(spark, sf), pts, 40.0, "exact")
+    """Each incident's nearest road (not car-free) by midpoint, within 40 m."""
+    roads = geo.midpoints(S.traffic(spark, sf).filter("car_free = 0"), "seg_id").withColumnsRenamed({"mx": "rx", "my": "ry"})
+    pts = view(spark, sf, "incidents").select("event_id", F.col("x").alias("lx"), F.col("y").alias("ly"))
+    met = geo.near(pts, roads, 40.0)
     return met.groupBy("event_id").agg(F.min(F.struct(F.round("d", 9).alias("d"), "seg_id")).alias("b")).select("event_id", "b.seg_id", "b.d")
 
 
-CRASH_SQL = f"met AS (SELECT event_id, seg_id, round({DIST_SQL}, 9) d FROM (SELECT event_id, x px, y py FROM incidents) i JOIN walk ON {DIST_SQL} <= 40), crash AS (SELECT event_id, seg_id, d FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY d, seg_id) r FROM met) WHERE r = 1), per AS (SELECT w.seg_id, w.highway, w.length_m, count(c.event_id) crashes FROM walk w LEFT JOIN crash c ON w.seg_id = c.seg_id GROUP BY ALL)"
+CRASH_SQL = f"roads AS (SELECT *, x1 + length_m/2*ux rx, y1 + length_m/2*uy ry FROM walk WHERE highway NOT IN ({S.FREE_SQL})), met AS (SELECT event_id, seg_id, round(sqrt((rx-x)*(rx-x)+(ry-y)*(ry-y)), 9) d FROM incidents JOIN roads ON sqrt((rx-x)*(rx-x)+(ry-y)*(ry-y)) <= 40), crash AS (SELECT event_id, seg_id, d FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY d, seg_id) r FROM met) WHERE r = 1), per AS (SELECT w.seg_id, w.highway, w.length_m, count(c.event_id) crashes FROM roads w LEFT JOIN crash c ON w.seg_id = c.seg_id GROUP BY ALL)"
 
 
 @query("crash_assign_40m", ctes("segments", "incidents") + f", {WALK_SQL}, {CRASH_SQL} SELECT event_id, seg_id, round(d, 6) dist FROM crash")
@@ -222,7 +286,16 @@ def crash_assign(spark, sf):
 
 def crashes(spark, sf):
     n = crash_segment(spark, sf).groupBy("seg_id").agg(F.count("*").alias("n"))
-    return S.day(spark, sf).join(n, "seg_id", "left").withColumn("crashes", F.coalesce("n", F.lit(0)))
+    return S.day(spark, sf).filter("car_free = 0").join(n, "seg_id", "left").withColumn("crashes", F.coalesce("n", F.lit(0)))
+
+
+@query("crash_segment_kind", ctes("segments", "incidents") + f", {TRAFFIC_SQL}, {MID_SQL}, c AS (SELECT event_id, seg_id, round(sqrt((mx-x)*(mx-x)+(my-y)*(my-y)), 9) d FROM incidents, mid), b AS (SELECT event_id, seg_id FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY d, seg_id) r FROM c) WHERE r = 1) SELECT car_free, count(*) n, round(avg(day_safety), 6) mean_safety FROM b JOIN day USING (seg_id) GROUP BY car_free")
+def crash_segment_kind(spark, sf):
+    """What kind of segment each incident is nearest to, however far."""
+    mid = geo.midpoints(S.walk(spark, sf), "seg_id").withColumnsRenamed({"mx": "rx", "my": "ry"})
+    pts = view(spark, sf, "incidents").select("event_id", F.col("x").alias("lx"), F.col("y").alias("ly"))
+    near = geo.nearest_point(pts, mid, "event_id", "seg_id", 40.0)
+    return near.join(S.day(spark, sf).select("seg_id", "car_free", "day_safety"), "seg_id").groupBy("car_free").agg(F.count("*").alias("n"), r6(F.avg("day_safety"), "mean_safety"))
 
 
 @query("crash_by_class", ctes("segments", "incidents") + f", {WALK_SQL}, {CRASH_SQL} SELECT highway, count(*) n, CAST(sum(crashes) AS BIGINT) crashes FROM per GROUP BY highway")
@@ -241,11 +314,14 @@ def nearest_lamp(spark, sf):
     return geo.nearest_point(mid, S.active_lamps(spark, sf), "seg_id", "lamp_id", 60.0).select("seg_id", "lamp_id", r6(F.col("d"), "dist"))
 
 
-@query("pilot_selection", ctes("segments", "lamps") + f", {LIGHT_SQL}, {MID_SQL}, lv AS (SELECT seg_id, mx, my, CASE WHEN light <= 0 THEN 'dark' WHEN light < a THEN 'dim' WHEN light < b THEN 'adequate' ELSE 'bright' END lev FROM light JOIN mid USING (seg_id), (SELECT quantile_cont(light, 0.33) a, quantile_cont(light, 0.66) b FROM light WHERE light > 0)), p AS (SELECT *, CAST(floor(mx/400)*100+floor(my/400) AS BIGINT) cell FROM lv), f AS (SELECT *, row_number() OVER (PARTITION BY lev, cell ORDER BY seg_id DESC) fr FROM p), g AS (SELECT *, row_number() OVER (PARTITION BY lev ORDER BY CASE WHEN fr > 1 THEN 1 ELSE 0 END, seg_id DESC) place FROM f) SELECT seg_id, lev AS level, CAST(place AS BIGINT) place FROM g WHERE place <= 10")
+@query("pilot_selection", ctes("segments", "lamps", "images") + f", {LIGHT_SQL}, {MID_SQL}, {S.IMG_SQL[len(WALK_SQL) + 2:]}, ni AS (SELECT seg_id, count(*) n_img FROM near GROUP BY seg_id), bd AS (SELECT min(mx) x0, max(mx) x1, min(my) y0, max(my) y1 FROM mid), lv AS (SELECT light.seg_id, mx, my, coalesce(n_img, 0) n_img, CASE WHEN light <= 0 THEN 'dark' WHEN light < a THEN 'dim' WHEN light < b THEN 'adequate' ELSE 'bright' END lev FROM light JOIN mid USING (seg_id) LEFT JOIN ni USING (seg_id), (SELECT quantile_cont(light, 0.33) a, quantile_cont(light, 0.66) b FROM light WHERE light > 0)), p AS (SELECT *, CAST(least(greatest(floor((mx-x0)/((x1-x0)/6)),0),5)*6 + least(greatest(floor((my-y0)/((y1-y0)/6)),0),5) AS BIGINT) cell FROM lv, bd), f AS (SELECT *, row_number() OVER (PARTITION BY lev, cell ORDER BY (n_img >= 3) DESC, n_img DESC, seg_id) fr FROM p), g AS (SELECT *, row_number() OVER (PARTITION BY lev ORDER BY CASE WHEN fr > 1 THEN 1 ELSE 0 END, (n_img >= 3) DESC, n_img DESC, seg_id) place FROM f) SELECT seg_id, lev AS level, CAST(place AS BIGINT) place FROM g WHERE place <= 10")
 def pilot(spark, sf):
-    lev = S.light_levels(spark, sf).join(geo.midpoints(S.walk(spark, sf), "seg_id"), "seg_id")
-    pool = lev.withColumn("cell", (F.floor(F.col("mx") / 400) * 100 + F.floor(F.col("my") / 400)).cast("long"))
-    return votes.one_per_cell(pool, "level", "cell", [F.desc("seg_id")], 10).select("seg_id", "level", F.col("place").cast("long").alias("place"))
+    """Ten segments of each light level: the best of each cell of a 6 x 6 grid first, with many pictures before few."""
+    lev = S.light_levels(spark, sf).join(cells(spark, sf, 6), "seg_id")
+    n = S.imaged(spark, sf).groupBy("seg_id").agg(F.count("*").alias("n_img"))
+    pool = lev.join(n, "seg_id", "left").withColumn("n_img", F.coalesce("n_img", F.lit(0)))
+    order = [(F.col("n_img") < 3).cast("int"), F.desc("n_img"), F.col("seg_id")]
+    return votes.one_per_cell(pool, "level", "cell", order, 10).select("seg_id", "level", F.col("place").cast("long").alias("place"))
 
 
 @query("census_clean", ctes("acs_rows") + " SELECT geoid, CASE WHEN try_cast(b19013_001e AS DOUBLE) >= 0 THEN try_cast(b19013_001e AS DOUBLE) END income, CASE WHEN try_cast(b02001_001e AS DOUBLE) > 0 THEN round(1 - try_cast(b02001_002e AS DOUBLE) / try_cast(b02001_001e AS DOUBLE), 6) END pct_nonwhite FROM acs_rows")
@@ -265,12 +341,35 @@ def block_group_rollup(spark, sf):
     return view(spark, sf, "acs_rows").groupBy(F.substring("geoid", 1, 5).alias("county")).agg(F.sum(F.col("b02001_001e").cast("long")).alias("pop"), F.count("*").alias("n"))
 
 
-@query("exposure_rates", ctes("segments", "tracts", "incidents") + f", {WALK_SQL}, {TRACT_SQL}, ic AS (SELECT seg_id, count(event_id) crime FROM mid LEFT JOIN incidents ON sqrt((mx-x)*(mx-x)+(my-y)*(my-y)) <= 100 GROUP BY seg_id) SELECT seg_id, round(crime / (coalesce(low_income_share, 0) * 2 / 0.16 + 1), 6) rate FROM ic JOIN seg_tract USING (seg_id)")
+def group_jobs(spark, sf, prefix: str = ""):
+    """(geoid, jobs): block jobs of a county prefix summed by 12-digit block group."""
+    return view(spark, sf, "job_blocks").filter(F.col("w_geocode").startswith(prefix)).groupBy(F.substring("w_geocode", 1, 12).alias("geoid")).agg(F.sum("c000").alias("jobs"))
+
+
+@query("block_group_jobs", ctes("job_blocks") + " SELECT substr(w_geocode, 1, 12) geoid, CAST(sum(c000) AS BIGINT) jobs FROM job_blocks WHERE substr(w_geocode, 1, 5) = '02037' GROUP BY 1")
+def block_group_jobs(spark, sf):
+    return group_jobs(spark, sf, "02037")
+
+
+def densities(spark, sf):
+    """(tract_id, pop_density, job_density, rings): people and jobs by square kilometre of the polygon's own area; no jobs are 0."""
+    people = view(spark, sf, "acs_rows").select("geoid", F.expr("try_cast(b02001_001e as double)").alias("pop"))
+    g = people.join(group_jobs(spark, sf), "geoid", "left").withColumn("tract_id", F.substring("geoid", 6, 6).cast("int"))
+    area = geo.polygon_area(F.col("rings")) / 1e6
+    return tracts(spark, sf).join(g, "tract_id", "left").select("tract_id", (F.col("pop") / area).alias("pop_density"), (F.coalesce("jobs", F.lit(0)) / area).alias("job_density"), "rings")
+
+
+DENSITY_SQL = "gj AS (SELECT substr(w_geocode, 1, 12) geoid, sum(c000) jobs FROM job_blocks GROUP BY 1), dn AS (SELECT tract_id, minx, miny, try_cast(b02001_001e AS DOUBLE) / 0.16 pop_density, coalesce(jobs, 0) / 0.16 job_density FROM tracts LEFT JOIN acs_rows ON CAST(substr(acs_rows.geoid, 6, 6) AS INT) = tract_id LEFT JOIN gj ON gj.geoid = acs_rows.geoid)"
+
+
+@query("exposure_rates", ctes("segments", "tracts", "incidents", "acs_rows", "job_blocks") + f", {WALK_SQL}, {MID_SQL}, {DENSITY_SQL}, ic AS (SELECT seg_id, count(event_id) crime FROM mid LEFT JOIN incidents ON sqrt((mx-x)*(mx-x)+(my-y)*(my-y)) <= 100 GROUP BY seg_id), fs AS (SELECT seg_id, min(tract_id) tract_id FROM mid JOIN dn ON mx > minx AND mx < minx+400 AND my > miny AND my < miny+400 GROUP BY seg_id) SELECT ic.seg_id, round(pop_density, 4) pop_density, round(job_density, 4) job_density, round(crime / (coalesce(pop_density, 0) + coalesce(job_density, 0) + 1), 8) rate FROM ic LEFT JOIN fs USING (seg_id) LEFT JOIN dn USING (tract_id)")
 def exposure_rates(spark, sf):
-    """Incidents by ambient people: the tract's share stands in for its counts, over 0.16 km2."""
-    crime = S.incident_count(spark, sf)
-    ambient = F.coalesce(F.col("low_income_share"), F.lit(0.0)) * 2 / 0.16
-    return crime.join(in_tract(spark, sf), "seg_id").select("seg_id", r6(F.col("incidents") / (ambient + 1), "rate"))
+    """Incidents near a segment by ambient people: residents and jobs by square kilometre of the first block group that holds it."""
+    mid = geo.midpoints(S.walk(spark, sf), "seg_id").withColumnsRenamed({"mx": "lx", "my": "ly"})
+    met = geo.near_polygons(mid, densities(spark, sf), 0.0, 200.0, ("tract_id", "pop_density", "job_density")).groupBy("seg_id").agg(F.min(F.struct("tract_id", "pop_density", "job_density")).alias("t"))
+    rows = S.incident_count(spark, sf).join(met, "seg_id", "left")
+    ambient = F.coalesce("t.pop_density", F.lit(0.0)) + F.coalesce("t.job_density", F.lit(0.0))
+    return rows.select("seg_id", F.round("t.pop_density", 4).alias("pop_density"), F.round("t.job_density", 4).alias("job_density"), F.round(F.col("incidents") / (ambient + 1), 8).alias("rate"))
 
 
 @query("utm_zone", "SELECT n_nationkey, 32600 + CAST(floor((n_nationkey * 7.5 - 90 + 180) / 6) AS INT) + 1 AS epsg FROM nation")

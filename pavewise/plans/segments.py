@@ -11,6 +11,7 @@ from pavewise.session import checkpointed
 from pavewise.sources.fixtures import ctes, view
 
 CLASSES = ", ".join(f"'{c}'" for c in X.WALKABLE)
+FREE_SQL = ", ".join(f"'{c}'" for c in X.CAR_FREE)
 WALK_SQL = f"walk AS (SELECT * FROM segments WHERE highway IN ({CLASSES}) AND length_m >= 25)"
 
 
@@ -149,21 +150,24 @@ def poi_categories(spark, sf):
     return poi(spark, sf).groupBy("category", "night").agg(F.count("*").alias("n"))
 
 
-@query("enclosure_frontage_height", ctes("segments", "buildings") + f", {WALK_SQL}, {points_sql(18)}, c AS (SELECT seg_id, i, height, row_number() OVER (PARTITION BY seg_id, i ORDER BY round(d, 9), bld_id) r FROM (SELECT seg_id, i, bld_id, height, sqrt(pow(greatest(minx-px, px-maxx, 0), 2) + pow(greatest(miny-py, py-maxy, 0), 2)) d FROM pts JOIN buildings ON px BETWEEN minx-20 AND maxx+20 AND py BETWEEN miny-20 AND maxy+20) WHERE d <= 20) SELECT seg_id, round(avg(CASE WHEN r = 1 THEN 1.0 ELSE 0.0 END), 6) encl_frontage, round(coalesce(avg(height), 0.0), 6) encl_height FROM pts LEFT JOIN (SELECT * FROM c WHERE r = 1) USING (seg_id, i) GROUP BY seg_id")
-def enclosure(spark, sf):
+ENCLOSED_SQL = f"{points_sql(18)}, en AS (SELECT seg_id, i, height, row_number() OVER (PARTITION BY seg_id, i ORDER BY round(d, 9), bld_id) r FROM (SELECT seg_id, i, bld_id, height, sqrt(pow(greatest(minx-px, px-maxx, 0), 2) + pow(greatest(miny-py, py-maxy, 0), 2)) d FROM pts JOIN buildings ON px BETWEEN minx-20 AND maxx+20 AND py BETWEEN miny-20 AND maxy+20) WHERE d <= 20), enclosed AS (SELECT seg_id, avg(CASE WHEN r = 1 THEN 1.0 ELSE 0.0 END) encl_frontage, coalesce(avg(height), 0.0) encl_height FROM pts LEFT JOIN (SELECT * FROM en WHERE r = 1) USING (seg_id, i) GROUP BY seg_id)"
+
+
+def enclosed(spark, sf):
     """Share of 18 m points with a building within 20 m, and the mean known height of each point's nearest."""
     pts = geo.sample_points(walk(spark, sf), 18.0)
-    size = 50.0
-    b = view(spark, sf, "buildings")
-    xs = F.sequence(F.floor((F.col("minx") - 20) / size), F.floor((F.col("maxx") + 20) / size))
-    ys = F.sequence(F.floor((F.col("miny") - 20) / size), F.floor((F.col("maxy") + 20) / size))
-    b = b.withColumn("c", F.explode(F.flatten(F.transform(xs, lambda x: F.transform(ys, lambda y: F.struct(x.alias("cx"), y.alias("cy"))))))).select(b["*"], "c.cx", "c.cy")
-    p = pts.withColumns({"cx": F.floor(F.col("lx") / size), "cy": F.floor(F.col("ly") / size)})
-    dx, dy = F.greatest(F.col("minx") - F.col("lx"), F.col("lx") - F.col("maxx"), F.lit(0.0)), F.greatest(F.col("miny") - F.col("ly"), F.col("ly") - F.col("maxy"), F.lit(0.0))
-    met = p.join(b, ["cx", "cy"]).withColumn("d", F.sqrt(F.pow(dx, 2) + F.pow(dy, 2))).filter("d <= 20")
-    best = met.groupBy("seg_id", "i").agg(F.min(F.struct(F.round("d", 9).alias("d"), "bld_id", "height")).alias("b"))
+    at = lambda *names: F.array(*map(F.col, names))
+    shell = F.struct(at("minx", "maxx", "maxx", "minx", "minx").alias("xs"), at("miny", "miny", "maxy", "maxy", "miny").alias("ys"))
+    b = view(spark, sf, "buildings").select("bld_id", "height", F.array(shell).alias("rings"))
+    met = geo.near_polygons(pts, b, 20.0, 50.0, ("bld_id", "height"))
+    best = met.groupBy("seg_id", "i").agg(F.min(F.struct("d", "bld_id", "height")).alias("b"))
     hit = F.when(F.col("b").isNotNull(), 1.0).otherwise(0.0)
-    return pts.join(best, ["seg_id", "i"], "left").groupBy("seg_id").agg(r6(F.avg(hit), "encl_frontage"), r6(F.coalesce(F.avg("b.height"), F.lit(0.0)), "encl_height"))
+    return pts.join(best, ["seg_id", "i"], "left").groupBy("seg_id").agg(F.avg(hit).alias("encl_frontage"), F.coalesce(F.avg("b.height"), F.lit(0.0)).alias("encl_height"))
+
+
+@query("enclosure_frontage_height", ctes("segments", "buildings") + f", {WALK_SQL}, {ENCLOSED_SQL} SELECT seg_id, round(encl_frontage, 6) encl_frontage, round(encl_height, 6) encl_height FROM enclosed")
+def enclosure(spark, sf):
+    return enclosed(spark, sf).select("seg_id", r6(F.col("encl_frontage"), "encl_frontage"), r6(F.col("encl_height"), "encl_height"))
 
 
 def near_counts(spark, sf, points, radius, name):
@@ -180,9 +184,15 @@ def incident_count(spark, sf):
     return near_counts(spark, sf, view(spark, sf, "incidents").select(F.col("x").alias("rx"), F.col("y").alias("ry")), 100.0, "incidents")
 
 
-@query("night_incident_filter", ctes("incidents") + " SELECT event_id, CAST(hr AS BIGINT) hr FROM incidents WHERE hr >= 20 OR hr <= 5")
+SCENES = "CASE event_id % 3 WHEN 0 THEN 'STREET' WHEN 1 THEN 'RESIDENCE' ELSE 'PARK' END"
+KINDS = "CASE event_id % 5 WHEN 0 THEN 'Robbery' WHEN 1 THEN 'Assault' WHEN 2 THEN 'Fraud' ELSE 'Vandalism' END"
+
+
+@query("night_incident_filter", ctes("incidents") + f" SELECT event_id, CAST(hr AS BIGINT) hr, scene, kind FROM (SELECT *, {SCENES} scene, {KINDS} kind FROM incidents) WHERE (hr >= 20 OR hr <= 5) AND scene IN ('STREET', 'PARK') AND kind IN ('Robbery', 'Assault')")
 def night_incidents(spark, sf):
-    return view(spark, sf, "incidents").filter("hr >= 20 or hr <= 5").select("event_id", F.col("hr").cast("long").alias("hr"))
+    """Outdoor robberies and assaults of the night hours."""
+    rows = view(spark, sf, "incidents").select("event_id", F.col("hr").cast("long").alias("hr"), F.expr(SCENES).alias("scene"), F.expr(KINDS).alias("kind"))
+    return rows.filter(((F.col("hr") >= 20) | (F.col("hr") <= 5)) & F.col("scene").isin("STREET", "PARK") & F.col("kind").isin("Robbery", "Assault"))
 
 
 NIGHT_STOPS_SQL = "ns AS (SELECT stop_id, max(try_cast(split_part(departure_time, ':', 1) AS INT)) h FROM stop_times GROUP BY 1 HAVING max(try_cast(split_part(departure_time, ':', 1) AS INT)) >= 20)"
@@ -241,13 +251,33 @@ def image_octants(spark, sf):
     return view(spark, sf, "images").groupBy(F.year("captured_at").cast("long").alias("yr")).agg(F.count("*").alias("n"), F.countDistinct(X.octant(F.col("compass_angle"))).alias("octants"), r6(100 * F.avg(F.col("is_pano").cast("double")), "pano_pct"))
 
 
-@query("image_coverage_summary", ctes("segments", "images") + f", {IMG_SQL}, per AS (SELECT seg_id, count(image_id) n FROM walk LEFT JOIN (SELECT seg_id, image_id FROM near) USING (seg_id) GROUP BY 1) SELECT round(avg(CASE WHEN n > 0 THEN 1.0 ELSE 0.0 END), 6) covered, round(median(n) FILTER (WHERE n > 0), 6) median_n, round(avg(CASE WHEN n >= 3 THEN 1.0 ELSE 0.0 END), 6) three_or_more FROM per")
+@query("image_density", ctes("images") + ", g AS (SELECT unnest(range(0, 64)) cell), k AS (SELECT CAST(floor(x / 250.1375) * 8 + floor(y / 250.1375) AS BIGINT) cell, count(*) n FROM images GROUP BY 1), d AS (SELECT cell, coalesce(n, 0) n FROM g LEFT JOIN k USING (cell)), p AS (SELECT n, row_number() OVER (ORDER BY n) r, count(*) OVER () c FROM d WHERE n > 0) SELECT (SELECT count(*) FROM d WHERE n > 0) covered, (SELECT min(n) FROM p) least, (SELECT n FROM p WHERE r = CAST(floor(c / 2.0) AS BIGINT) + 1) upper_median, (SELECT max(n) FROM p) most")
+def image_density(spark, sf):
+    """Images by cell of an 8 x 8 grid: cells with any, and the least, upper median and largest count of those."""
+    cell = (F.floor(F.col("x") / 250.1375) * 8 + F.floor(F.col("y") / 250.1375)).cast("long")
+    n = view(spark, sf, "images").groupBy(cell.alias("cell")).agg(F.count("*").alias("n"))  # 64 rows at most
+    listed = F.sort_array(F.collect_list("n"))
+    return n.agg(F.count("*").alias("covered"), F.min("n").alias("least"), F.get(listed, (F.count("*") / 2).cast("int")).alias("upper_median"), F.max("n").alias("most"))
+
+
+@query("image_coverage_summary", ctes("segments", "images") + f", {IMG_SQL}, per AS (SELECT seg_id, count(image_id) n FROM walk LEFT JOIN (SELECT seg_id, image_id FROM near) USING (seg_id) GROUP BY 1) SELECT round(avg(CASE WHEN n > 0 THEN 1.0 ELSE 0.0 END), 6) covered, round(median(n) FILTER (WHERE n > 0), 6) median_n, round(avg(CASE WHEN n >= 3 THEN 1.0 ELSE 0.0 END), 6) three_or_more, (SELECT round(avg(CASE WHEN month(captured_at) BETWEEN 4 AND 10 THEN 1.0 ELSE 0.0 END), 6) FROM (SELECT DISTINCT image_id, captured_at FROM near)) leaf_on FROM per")
 def image_coverage(spark, sf):
-    n = imaged(spark, sf).groupBy("seg_id").agg(F.count("*").alias("n"))
-    per = walk(spark, sf).select("seg_id").join(n, "seg_id", "left").select(F.coalesce("n", F.lit(0)).alias("n"))
-    per = checkpointed(per)
+    met = checkpointed(imaged(spark, sf).select("seg_id", "image_id", "captured_at"))
+    n = met.groupBy("seg_id").agg(F.count("*").alias("n"))
+    per = checkpointed(walk(spark, sf).select("seg_id").join(n, "seg_id", "left").select(F.coalesce("n", F.lit(0)).alias("n")))
     one = per.agg(r6(F.avg((F.col("n") > 0).cast("double")), "covered"), r6(F.avg((F.col("n") >= 3).cast("double")), "three_or_more"))
-    return stats.with_scalar(one, stats.median(per.filter("n > 0"), "n")).select("covered", r6(F.col("med"), "median_n"), "three_or_more")
+    leaf = met.select("image_id", "captured_at").distinct().agg(r6(F.avg(X.leaf_on(F.month("captured_at")).cast("double")), "leaf_on"))
+    both = stats.with_scalar(stats.with_scalar(one, stats.median(per.filter("n > 0"), "n")), leaf)
+    return both.select("covered", r6(F.col("med"), "median_n"), "three_or_more", "leaf_on")
+
+
+@query("nearest_photo", ctes("segments", "images") + f", {WALK_SQL}, mid AS (SELECT seg_id, x1 + length_m/2*ux mx, y1 + length_m/2*uy my FROM walk), c AS (SELECT seg_id, image_id, round(sqrt((mx-x)*(mx-x)+(my-y)*(my-y)), 9) d FROM mid JOIN images ON abs(mx-x) <= 55 AND abs(my-y) <= 55 AND NOT is_pano) SELECT seg_id, image_id, round(d, 6) dist FROM (SELECT *, row_number() OVER (PARTITION BY seg_id ORDER BY d, image_id) r FROM c) WHERE r = 1")
+def nearest_photo(spark, sf):
+    """Each segment's nearest photograph, no panoramas, in a box of 55 m around its midpoint (so up to 77.8 m away)."""
+    mid = geo.midpoints(walk(spark, sf), "seg_id").withColumnsRenamed({"mx": "lx", "my": "ly"})
+    photos = view(spark, sf, "images").filter("not is_pano").select("image_id", F.col("x").alias("rx"), F.col("y").alias("ry"))
+    met = geo.near(mid, photos, 55.0 * 2**0.5).filter((F.abs(F.col("rx") - F.col("lx")) <= 55) & (F.abs(F.col("ry") - F.col("ly")) <= 55))
+    return met.groupBy("seg_id").agg(F.min(F.struct(F.round("d", 9).alias("d"), "image_id")).alias("b")).select("seg_id", "b.image_id", r6(F.col("b.d"), "dist"))
 
 
 def traffic(spark, sf):
@@ -260,7 +290,6 @@ def _case(col: str, table: dict, other) -> str:
     return f"CASE {col} " + " ".join(f"WHEN {k!r} THEN {v}" for k, v in table.items()) + f" ELSE {other} END"
 
 
-FREE_SQL = ", ".join(f"'{c}'" for c in X.CAR_FREE)
 TRAFFIC_SQL = f"""{WALK_SQL}, t0 AS (SELECT *, {_case('highway', X.TRAFFIC_CLASS, 2)} cls, CASE WHEN highway IN ({FREE_SQL}) THEN 1 ELSE 0 END car_free FROM walk),
  t1 AS (SELECT *, CASE WHEN regexp_extract(coalesce(maxspeed,''), '([0-9]+)', 1) <> '' THEN CAST(regexp_extract(maxspeed, '([0-9]+)', 1) AS DOUBLE) ELSE {_case('cls', X.DEFAULT_MPH, 25)} END mph,
  CASE WHEN regexp_extract(coalesce(lanes_tag,''), '([0-9]+)', 1) <> '' THEN CAST(regexp_extract(lanes_tag, '([0-9]+)', 1) AS DOUBLE) ELSE {_case('cls', X.DEFAULT_LANES, 2)} END lanes,
@@ -290,6 +319,15 @@ def day_safety(spark, sf):
     return day(spark, sf).select("seg_id", "day_safety")
 
 
+@query("edge_key_join", ctes("segments") + f", {TRAFFIC_SQL}, d AS (SELECT *, least(u, v) nu, greatest(u, v) nv, row_number() OVER (PARTITION BY least(u, v), greatest(u, v), key ORDER BY seg_id) r FROM day WHERE seg_id % 3 <> 0), n AS (SELECT seg_id, least(u, v) nu, greatest(u, v) nv, key FROM segments) SELECT n.seg_id, d.seg_id AS day_seg, d.car_free, d.cls AS traffic_class, CAST(d.day_safety AS DOUBLE) day_safety FROM n LEFT JOIN d ON n.nu = d.nu AND n.nv = d.nv AND n.key = d.key AND d.r = 1")
+def edge_key_join(spark, sf):
+    """Segments with the day columns of the first row of their undirected edge, null where the day table (here without every
+    third segment) lacks the edge. The day table is one row for each edge before the join, so no row is multiplied."""
+    edge = [F.least("u", "v").alias("nu"), F.greatest("u", "v").alias("nv"), F.col("key")]
+    first = day(spark, sf).filter("seg_id % 3 <> 0").groupBy(*edge).agg(F.min(F.struct(F.col("seg_id").alias("day_seg"), "car_free", F.col("cls").alias("traffic_class"), "day_safety")).alias("d"))
+    return view(spark, sf, "segments").select("seg_id", *edge).join(first, ["nu", "nv", "key"], "left").select("seg_id", "d.*")
+
+
 @query("class_summary", ctes("segments") + f", {TRAFFIC_SQL} SELECT cls AS traffic_class, count(*) n, round(CAST(median(mph) AS DOUBLE), 6) median_mph, round(avg(day_safety), 6) mean_score FROM day GROUP BY cls")
 def class_summary(spark, sf):
     """Speeds are counted by class and value first, so a class is as many rows as it has different speeds."""

@@ -69,6 +69,26 @@ VIEWS: dict[str, str] = {
         side END AS v, CAST(40 + (event_id * 37) % 60 AS DOUBLE) AS length_m, CAST((event_id * 53) % 100 AS DOUBLE) / 100 AS comfort, side FROM events, (SELECT
         CAST(floor(sqrt(count(*) / 2.0)) AS BIGINT) AS side FROM events)
     """,
+    "lines": """
+        SELECT p_partkey AS seg_id, CASE WHEN p_partkey % 3 = 0 THEN 3 ELSE 4 END AS n, CAST((p_partkey * 7919) % 20011 AS DOUBLE) / 10 AS x0, CAST((p_partkey
+        * 104729) % 20011 AS DOUBLE) / 10 AS y0, CAST((p_partkey * 7919) % 20011 AS DOUBLE) / 10 + p_size AS x1, CAST((p_partkey * 104729) % 20011 AS DOUBLE)
+        / 10 + p_partkey % 7 AS y1, CAST((p_partkey * 7919) % 20011 AS DOUBLE) / 10 + p_size + p_partkey % 5 AS x2, CAST((p_partkey * 104729) % 20011 AS
+        DOUBLE) / 10 + 3 * (p_partkey % 11) AS y2, CAST((p_partkey * 7919) % 20011 AS DOUBLE) / 10 + 2 * p_size AS x3, CAST((p_partkey * 104729) % 20011 AS
+        DOUBLE) / 10 + 20 AS y3 FROM part
+    """,
+    "plots": """
+        SELECT n_nationkey AS plot_id, CAST(n_nationkey % 5 AS DOUBLE) * 400 AS x, CAST(CAST(floor(n_nationkey / 5.0) AS BIGINT) AS DOUBLE) * 400 AS y,
+        CAST(40 + n_nationkey * 3 AS DOUBLE) AS hole FROM nation
+    """,
+    "houses": """
+        SELECT o_orderkey AS bld_id, CAST((o_orderkey * 5003) % 20011 AS DOUBLE) / 10 AS x, CAST((o_orderkey * 9001) % 20011 AS DOUBLE) / 10 AS y, CAST(4 +
+        o_orderkey % 9 AS DOUBLE) AS a, CAST(3 + o_orderkey % 7 AS DOUBLE) AS b, CASE WHEN o_orderkey % 10 IN (0, 5) AND o_orderkey % 3 = 0 THEN NULL ELSE
+        CAST(3 + o_custkey % 40 AS DOUBLE) END AS height FROM orders WHERE o_orderkey % 5 = 0
+    """,
+    "job_blocks": """
+        SELECT concat(lpad(CAST(n_regionkey AS STRING), 2, '0'), '037', lpad(CAST(n_nationkey AS STRING), 6, '0'), '1', lpad(CAST(c_custkey % 1000 AS STRING),
+        3, '0')) AS w_geocode, c_custkey % 50 AS c000 FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_nationkey % 6 <> 5
+    """,
     "acs_rows": """
         SELECT concat(lpad(CAST(n_regionkey AS STRING), 2, '0'), '037', lpad(CAST(n_nationkey AS STRING), 6, '0'), '1') AS geoid, CASE WHEN n_nationkey % 8 =
         0 THEN '-666666666' ELSE CAST(20000 + n_nationkey * 3001 AS STRING) END AS b19013_001e, CAST((n_nationkey * 97) % 500 AS STRING) AS b02001_001e,
@@ -81,7 +101,7 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A fixture view as a DataFrame over the files themselves: no temporary view is made, so nothing of the session's is replaced."""
-    return spark.sql(re.sub(rf"\bFROM\s+({'|'.join(TABLES)})\b", lambda m: f"FROM parquet.`{sf_dir.rstrip('/')}/{m[1]}.parquet`", VIEWS[name]))
+    return spark.sql(re.sub(rf"\b(FROM|JOIN)\s+({'|'.join(TABLES)})\b", lambda m: f"{m[1]} parquet.`{sf_dir.rstrip('/')}/{m[2]}.parquet`", VIEWS[name]))
 
 
 def ctes(*names: str) -> str:

@@ -98,6 +98,64 @@ def test_ranks_and_bins(spark):
         assert [b[float(v)] for v in range(n)] == list(q)
 
 
+def test_blocks_do_not_change_routes(spark):
+    """Random graphs with many equal lengths: labels are the same with any blocks, and distances those of Bellman-Ford."""
+    rng = random.Random(5)
+    edges = [(k, rng.randrange(40), rng.randrange(40), float(rng.choice((14, 28, 42))), 0.5) for k in range(90)]
+    df = graph.costs(spark.createDataFrame([e for e in edges if e[1] != e[2]], "edge_id long, u long, v long, length_m double, comfort double"))
+    labels = [sorted(map(tuple, graph.distances(df, ["cost_fast"], 0, block=lambda n, b=b: F.pmod(n, F.lit(b))).collect())) for b in (1, 3, 7)]
+    assert labels[0] == labels[1] == labels[2]
+    best = {0: 0.0}
+    for _ in range(40):
+        for _, u, v, m, _ in edges:
+            for a, b in ((u, v), (v, u)):
+                if a in best and u != v:
+                    best[b] = min(best.get(b, 1e9), best[a] + m / 1.4)
+    assert {r[1]: round(r[2], 6) for r in labels[0]} == {n: round(d, 6) for n, d in best.items()}
+
+
+def test_percentiles_narrow_their_brackets(spark, monkeypatch):
+    monkeypatch.setattr(stats, "HELD", 20)
+    monkeypatch.setattr(stats, "SKETCH", 50)
+    rng = np.random.default_rng(1)
+    for x in (rng.normal(size=3000), rng.integers(0, 3, 3000).astype(float), np.r_[np.zeros(2000), rng.random(999)], np.array([4.0])):
+        shares = [0.0, 0.05, 0.33, 0.5, 0.95, 1.0]
+        got = stats.percentiles(spark.createDataFrame([(float(v),) for v in x], "v double"), "v", shares).first()["q"]
+        assert np.allclose(got, np.quantile(x, shares), rtol=0, atol=1e-12)
+
+
+def test_all_refits_together_are_each_alone(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, *map(float, rng.normal(size=2))) for i in range(80)]
+    df = spark.createDataFrame(rows, "k long, p double, q double")
+    h = np.array([r[0] for r in df.select(F.xxhash64("k", F.lit(3))).collect()])
+    times = stats.poisson_draws(h, 3)
+    assert abs(stats.poisson_draws(np.arange(20_000), 5).mean() - 1) < 0.02
+    d = np.array([r[1:] for r in rows])
+    for w, t in zip(stats.bradley_terry_fits(df, ["p", "q"], "k", 3), times.T, strict=True):
+        assert np.abs(2 * (t[:, None] * d / (1 + np.exp(d @ w))[:, None]).sum(0) - w).max() < 1e-8
+
+
+def test_polygons_and_lines(spark):
+    square = ([0.0, 10.0, 10.0, 0.0, 0.0], [0.0, 0.0, 10.0, 10.0, 0.0])
+    hole = ([4.0, 6.0, 6.0, 4.0, 4.0], [4.0, 4.0, 6.0, 6.0, 4.0])
+    df = spark.createDataFrame([(1, [square, hole])], "id long, rings array<struct<xs:array<double>,ys:array<double>>>")
+    assert df.select(geo.polygon_area(F.col("rings"))).first()[0] == 96
+    pts = spark.createDataFrame([(1, 2.0, 2.0), (2, 5.0, 5.0), (3, 0.0, 5.0), (4, 4.0, 5.0), (5, 13.0, 14.0), (6, 40.0, 0.0)], "k long, lx double, ly double")
+    assert {r["k"] for r in geo.near_polygons(pts, df, 0.0, 7.0, ("id",)).collect()} == {1}
+    assert {r["k"]: r["d"] for r in geo.near_polygons(pts, df, 5.0, 7.0, ("id",)).collect()} == {1: 0, 2: 1, 3: 0, 4: 0, 5: 5}
+    bent = spark.createDataFrame([(1, [0.0, 3.0, 3.0], [0.0, 0.0, 9.0]), (2, [1.0], [1.0]), (3, [], []), (4, [2.0, 2.0], [5.0, 5.0])], "seg_id long, xs array<double>, ys array<double>")
+    got: dict = {}
+    for r in geo.sample_line(bent, 5.0).collect():
+        got.setdefault(r["seg_id"], []).append((r["lx"], r["ly"]))
+    assert {k: sorted(v) for k, v in got.items()} == {1: [(0, 0), (3, 2), (3, 7)], 2: [(1, 1)], 4: [(2, 5)]}
+    x, y = F.col("xs"), F.col("ys")
+    c = {r[0]: r[1] for r in bent.filter("size(xs) > 0").select("seg_id", geo.line_centroid(x, y).alias("c")).collect()}
+    assert (c[1]["x"], c[1]["y"]) == (2.625, 3.375) and (c[2]["x"], c[4]["y"]) == (1, 5)
+    d = {r[0]: r[1] for r in bent.select("seg_id", geo.distance_to_line(F.lit(5.0), F.lit(-1.0), x, y)).collect()}
+    assert d[1] == math.sqrt(5) and d[2] == math.sqrt(20) and d[3] is None
+
+
 def test_zscores_and_rescale(spark):
     df = spark.createDataFrame([(float(v),) for v in (1, 2, 2, 5, 7)], "v double")
     for ddof in (0, 1):
@@ -154,10 +212,10 @@ def test_one_per_cell(spark):
 def test_routes(spark):
     edges = spark.createDataFrame([(1, 0, 1, 14.0, 0.0), (2, 1, 2, 14.0, 0.0), (3, 0, 2, 35.0, 1.0), (4, 0, 1, 99.0, 0.0), (5, 8, 9, 1.0, 0.5)], "edge_id long, u long, v long, length_m double, comfort double")
     c = graph.costs(edges)
-    fast, calm = (graph.distances(c, k, 0, each=2) for k in ("cost_fast", "cost_calm"))
-    assert {r["node"]: round(r["dist"], 6) for r in fast.collect()} == {0: 0, 1: 10, 2: 20}
-    assert sorted(r["edge_id"] or 0 for r in graph.path(fast, 2).collect()) == [0, 1, 2]
-    assert sorted(r["edge_id"] or 0 for r in graph.path(calm, 2).collect()) == [0, 3]
+    for block in (4096, 1, 2):
+        both = graph.distances(c, ["cost_fast", "cost_calm"], 0, block=lambda node, b=block: F.floor(node / b))
+        assert {r["node"]: round(r["dist"], 6) for r in both.collect() if r["kind"] == "cost_fast"} == {0: 0, 1: 10, 2: 20}
+        assert sorted((r["kind"], r["edge_id"]) for r in graph.path(both, 2).collect()) == [("cost_calm", 3), ("cost_fast", 1), ("cost_fast", 2)]
     assert dict(graph.components(edges).collect()) == {0: 0, 1: 0, 2: 0, 8: 8, 9: 8}
 
 
