@@ -5,7 +5,7 @@ from __future__ import annotations
 import csv as csv_lines
 import io
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import islice
 
 import pandas as pd
@@ -72,15 +72,34 @@ def geojson_lines(df: DataFrame, path: str, geometry_wkt: str, xs: Column, ys: C
     df.select(F.to_json(F.struct(F.lit("Feature").alias("type"), props.alias("properties"), shape.alias("geometry"))).alias("value")).write.text(path)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
+def first_of(spark: SparkSession, paths: list[str]) -> str:
+    """The first path that is there, such as the newest of several years' files."""
+    for path in paths:
+        if exists(spark, path):
+            return path
+    raise FileNotFoundError(f"none of {paths}")
+
+
+def kept(spark: SparkSession, path: str, build: Callable[[], DataFrame], rebuild: bool = False) -> DataFrame:
+    """The table at path, built and written first if it isn't there or is to be rebuilt."""
+    if rebuild or not exists(spark, f"{path.rstrip('/')}/_SUCCESS"):
+        build().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 def append_log(rows: DataFrame, path: str, keys: list[str]) -> int:
-    """Append rows whose keys the Parquet log lacks; the number written. A log that isn't there yet begins with these."""
-    from pyspark.errors import AnalysisException
+    """Append rows whose keys the Parquet log lacks; the number written. A log that isn't there yet begins with these.
 
+    A log without the keys, or with other types, is an error.
+    """
     fresh = rows.dropDuplicates(keys)
-    try:
+    if exists(rows.sparkSession, path):
         fresh = fresh.join(rows.sparkSession.read.parquet(path).select(*keys), keys, "left_anti")
-    except AnalysisException:
-        pass
     fresh = fresh.persist()
     n = fresh.count()
     fresh.write.mode("append").parquet(path)
@@ -88,6 +107,66 @@ def append_log(rows: DataFrame, path: str, keys: list[str]) -> int:
     return n
 
 
+def latest(rows: DataFrame, key: str, order: str) -> DataFrame:
+    """One row for each key, that of the largest order (of equal ones, the largest row)."""
+    others = [c for c in rows.columns if c not in (key, order)]
+    best = rows.groupBy(key).agg(F.max(F.struct(order, *others)).alias("_b"))
+    return best.select(*[F.col(key) if c == key else F.col(f"_b.{c}") for c in rows.columns])
+
+
+def released(rows: DataFrame, columns: list[str], digits: int = 4) -> DataFrame:
+    """Those of the columns that rows has, in this order, doubles rounded half to even."""
+    kinds = dict(rows.dtypes)
+    return rows.select(*[F.bround(c, digits).alias(c) if kinds[c] in ("double", "float") else F.col(c) for c in columns if c in kinds])
+
+
+def write_csv(rows: DataFrame, path: str) -> None:
+    rows.write.option("header", True).csv(path)
+
+
+def write_report(one: DataFrame, path: str) -> None:
+    """A report of one row as JSON; a report of more is an error."""
+    if len(got := one.limit(2).collect()) != 1:
+        raise ValueError("a report has one row")
+    one.sparkSession.createDataFrame(got, one.schema).coalesce(1).write.json(path)
+
+
+def wkb_vertices(wkb: Column) -> Column:
+    """rings (structs xs, ys) of well-known binary: a point or line has one, a polygon its shell and holes; null stays null.
+
+    Two dimensions, either byte order; other shapes are an error.
+    """
+    import numpy as np
+
+    def decoded(raw: bytes) -> list[dict]:
+        order = "<" if raw[0] else ">"
+        kind, at = int(np.frombuffer(raw, f"{order}u4", 1, 1)[0]), 5
+
+        def vertices(n: int, at: int) -> dict:
+            xy = np.frombuffer(raw, f"{order}f8", 2 * n, at).astype(float)
+            return {"xs": xy[::2].tolist(), "ys": xy[1::2].tolist()}
+
+        if kind == 1:
+            return [vertices(1, at)]
+        n = int(np.frombuffer(raw, f"{order}u4", 1, at)[0])
+        if kind == 2:
+            return [vertices(n, at + 4)]
+        if kind != 3:
+            raise ValueError(f"shape {kind} is not read")
+        out, at = [], at + 4
+        for _ in range(n):
+            k = int(np.frombuffer(raw, f"{order}u4", 1, at)[0])
+            out.append(vertices(k, at + 4))
+            at += 4 + 16 * k
+        return out
+
+    @F.pandas_udf("array<struct<xs:array<double>,ys:array<double>>>")
+    def rings(values: pd.Series) -> pd.Series:
+        return pd.Series([None if v is None else decoded(bytes(v)) for v in values], dtype=object)
+
+    return rings(wkb)
+
+
 def image_grid(min_lon: float, min_lat: float, max_lon: float, max_lat: float, k: int, spark: SparkSession) -> DataFrame:
     """(cell, min_lon, ..): k x k boxes of an area, for services that limit what one call returns."""
     i, j = (F.col("id") % k), F.floor(F.col("id") / k)

@@ -1,8 +1,12 @@
 """A Spark data source for paged feature services, one partition for each page, with predicates sent along.
 
 Options: ``url`` (a service's query address, http(s) or a folder of page files for tests), ``page`` (rows in a page), ``where``
-(the service's own predicate), ``bbox`` (min_lon,min_lat,max_lon,max_lat), ``total`` (rows, else asked of the service),
-``tries`` and ``wait`` (seconds) for transient failures. Rows are (lon, lat, attributes JSON string).
+(the service's own predicate), ``bbox`` (min_lon,min_lat,max_lon,max_lat), ``order`` (field that pages are cut by), ``total``
+(rows, else asked of the service), ``tries`` and ``wait`` (seconds) for transient failures, ``dialect`` (``features`` or
+``rows``: a service of plain JSON rows with $where, $order, $limit and $offset). Rows are (lon, lat, attributes JSON string).
+
+A service may return fewer rows than a page asks for: a partition goes on until it has all rows that are due, and fails
+rather than lose some. Comparisons of lon and lat with numbers narrow the box that is sent; Spark applies them again.
 """
 
 from __future__ import annotations
@@ -19,19 +23,26 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 
 class Page(InputPartition):
-    def __init__(self, offset: int):
-        self.offset = offset
+    def __init__(self, offset: int, due: int):
+        self.offset, self.due = offset, due
 
 
 def request(options: dict, **params) -> dict:
     """One call: a service's JSON, or in a folder the page file ``<offset>.json`` (``count.json`` for the count)."""
     url = options["url"]
     if os.path.isdir(url):
-        name = "count.json" if params.get("returnCountOnly") else f"{params['resultOffset']}.json"
+        kind = next((k for k in ("returnCountOnly", "outStatistics", "schema") if k in params), None)
+        name = {"returnCountOnly": "count.json", "outStatistics": "groups.json", "schema": "fields.json"}.get(kind) or f"{params['resultOffset']}.json"
         with open(os.path.join(url, name), encoding="utf-8") as f:
             return json.load(f)
-    query = {"where": options.get("where", "1=1"), "outFields": "*", "outSR": "4326", "f": "json", **params}
-    if box := options.get("bbox"):
+    if options.get("dialect") == "rows":
+        query = {"$where": options.get("where", "1=1")}
+        query |= {"$select": "count(*) as count"} if params.get("returnCountOnly") else {"$order": options.get("order", ":id"), "$limit": params["resultRecordCount"], "$offset": params["resultOffset"]}
+    else:
+        query = {"where": options.get("where", "1=1"), "outFields": "*", "outSR": "4326", "f": "json", **params}
+        if "resultOffset" in params:
+            query["orderByFields"] = options.get("order", "OBJECTID")
+    if (box := options.get("bbox")) and options.get("dialect") != "rows":
         query |= {"geometry": box, "geometryType": "esriGeometryEnvelope", "inSR": "4326", "spatialRel": "esriSpatialRelIntersects"}
     tries, wait = int(options.get("tries", "4")), float(options.get("wait", "2"))
     for k in range(tries):
@@ -45,21 +56,66 @@ def request(options: dict, **params) -> dict:
     raise ValueError("tries must be positive")
 
 
+def count(options: dict) -> int:
+    got = request(options, returnCountOnly="true")
+    return int(got[0]["count"] if isinstance(got, list) else got["count"])
+
+
+def group_count(options: dict, field: str) -> dict:
+    """Rows by value of a field, counted by the service."""
+    stat = json.dumps([{"statisticType": "count", "onStatisticField": field, "outStatisticFieldName": "n"}])
+    got = request(options, outStatistics=stat, groupByFieldsForStatistics=field)
+    return {f["attributes"][field]: f["attributes"]["n"] for f in got.get("features", [])}
+
+
+def fields(options: dict) -> list[tuple[str, str]]:
+    """(name, type) of a layer's fields."""
+    return [(f["name"], f["type"]) for f in request(options, schema="true").get("fields", [])]
+
+
+def narrowed(box: str | None, filters: list) -> str | None:
+    """The box that comparisons of lon and lat with numbers leave of another (of the whole world, if there is none)."""
+    lo, hi = [-180.0, -90.0], [180.0, 90.0]
+    if box:
+        v = [float(x) for x in box.split(",")]
+        lo, hi = v[:2], v[2:]
+    found = bool(box)
+    for f in filters:
+        at = {("lon",): 0, ("lat",): 1}.get(getattr(f, "attribute", None))
+        if at is not None and isinstance(getattr(f, "value", None), int | float):
+            kind = type(f).__name__
+            if kind in ("GreaterThan", "GreaterThanOrEqual", "EqualTo"):
+                lo[at], found = max(lo[at], float(f.value)), True
+            if kind in ("LessThan", "LessThanOrEqual", "EqualTo"):
+                hi[at], found = min(hi[at], float(f.value)), True
+    return ",".join(map(repr, [*lo, *hi])) if found else None
+
+
 class PagedReader(DataSourceReader):
     def __init__(self, options: dict):
         self.options = options
         self.page = int(options.get("page", "2000"))
 
+    def pushFilters(self, filters: list) -> list:
+        if box := narrowed(self.options.get("bbox"), filters):
+            self.options["bbox"] = box
+        return filters
+
     def partitions(self) -> list[Page]:
-        total = self.options.get("total")
-        n = int(total) if total else int(request(self.options, returnCountOnly="true")["count"])
-        return [Page(k) for k in range(0, max(n, 1), self.page)]
+        n = int(self.options["total"]) if self.options.get("total") else count(self.options)
+        return [Page(k, min(self.page, n - k)) for k in range(0, n, self.page)] or [Page(0, 0)]
 
     def read(self, partition: Page) -> Iterator[tuple]:
-        got = request(self.options, resultOffset=partition.offset, resultRecordCount=self.page)
-        for f in got.get("features", []):
-            at = f.get("geometry") or {}
-            yield at.get("x"), at.get("y"), json.dumps(f.get("attributes") or {})
+        done = 0
+        while done < partition.due:
+            got = request(self.options, resultOffset=partition.offset + done, resultRecordCount=partition.due - done)
+            rows = got if isinstance(got, list) else [(f.get("geometry") or {}, f.get("attributes") or {}) for f in got.get("features", [])]
+            if not rows:
+                raise RuntimeError(f"the service gave {done} of {partition.due} rows at {partition.offset}")
+            for row in rows[: partition.due - done]:
+                at, rest = row if isinstance(row, tuple) else ({"x": row.get("lon"), "y": row.get("lat")}, row)
+                yield *(None if v is None else float(v) for v in (at.get("x"), at.get("y"))), json.dumps(rest)
+            done += len(rows)
 
 
 class PagedFeatures(DataSource):
@@ -75,4 +131,6 @@ class PagedFeatures(DataSource):
 
 
 def register(spark: SparkSession) -> None:
+    """Register the source in a session, with filter pushdown, which its reader has."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(PagedFeatures)

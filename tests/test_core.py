@@ -230,6 +230,57 @@ def test_paged_source(spark, tmp_path):
     assert sorted(r[0] for r in df.select(F.get_json_object("attributes", "$.Wattage").cast("int")).collect()) == [0, 1, 2, 3, 4]
 
 
+def test_paged_source_short_pages_and_statistics(spark, tmp_path):
+    """A service whose pages are shorter than asked for loses no row; one that stops early is an error."""
+    feature = lambda i: {"geometry": {"x": i * 1.0, "y": 2.0}, "attributes": {"Wattage": i}}
+    (tmp_path / "count.json").write_text('{"count": 5}')
+    for off, n in ((0, 2), (2, 1), (3, 1), (4, 1)):
+        (tmp_path / f"{off}.json").write_text(json.dumps({"features": [feature(i) for i in range(off, off + n)]}))
+    (tmp_path / "groups.json").write_text('{"features": [{"attributes": {"kind": "led", "n": 4}}]}')
+    (tmp_path / "fields.json").write_text('{"fields": [{"name": "kind", "type": "text"}]}')
+    paged.register(spark)
+    read = lambda: spark.read.format("paged_features").option("url", str(tmp_path)).option("page", "3").load()
+    assert sorted(r["lon"] for r in read().collect()) == [0, 1, 2, 3, 4]
+    assert paged.group_count({"url": str(tmp_path)}, "kind") == {"led": 4} and paged.fields({"url": str(tmp_path)}) == [("kind", "text")]
+    (tmp_path / "4.json").write_text('{"features": []}')
+    with pytest.raises(Exception, match="1 of 2 rows at 3"):
+        read().collect()
+    from pyspark.sql.datasource import GreaterThan, LessThanOrEqual
+
+    assert paged.narrowed("-10,-20,30,40", [GreaterThan(("lon",), 5), LessThanOrEqual(("lat",), 7.0), GreaterThan(("other",), 1)]) == "5.0,-20.0,30.0,7.0"
+    assert paged.narrowed(None, []) is None
+
+
+def test_release_and_caches(spark, tmp_path):
+    df = spark.createDataFrame([(1, 2.5, "a"), (1, 3.5, "b"), (2, 0.12345, None)], "id long, v double, s string")
+    assert sorted(map(tuple, files.latest(df, "id", "v").collect())) == [(1, 3.5, "b"), (2, 0.12345, None)]
+    assert sorted(map(tuple, files.released(df, ["v", "none", "id"], 0).collect())) == [(0.0, 2), (2.0, 1), (4.0, 1)]
+    built = []
+    make = lambda: built.append(1) or df
+    for rebuild in (False, False, True):
+        assert files.kept(spark, str(tmp_path / "k"), make, rebuild).count() == 3
+    assert len(built) == 2 and files.first_of(spark, [str(tmp_path / "2022"), str(tmp_path / "k")]).endswith("k")
+    files.write_report(df.filter("id = 2"), str(tmp_path / "r"))
+    files.write_csv(df, str(tmp_path / "c"))
+    assert spark.read.json(str(tmp_path / "r")).first()["v"] == 0.12345 and spark.read.csv(str(tmp_path / "c"), header=True).count() == 3
+    with pytest.raises(ValueError):
+        files.write_report(df, str(tmp_path / "r2"))
+    with pytest.raises(Exception, match="missing"):
+        files.append_log(df.withColumn("missing", F.lit(1)), str(tmp_path / "k"), ["missing"])
+
+
+def test_well_known_binary(spark):
+    import struct
+
+    point = struct.pack("<BI2d", 1, 1, 3.0, 4.0)
+    line = struct.pack(">BII4d", 0, 2, 2, 0.0, 1.0, 2.0, 3.0)
+    ring = struct.pack("<I8d", 4, 0.0, 0.0, 1.0, 0.0, 1.0, 1.0, 0.0, 0.0)
+    polygon = struct.pack("<BII", 1, 3, 2) + ring + ring
+    rows = spark.createDataFrame([(1, point), (2, line), (3, polygon), (4, None)], "id long, wkb binary")
+    got = {r["id"]: r["g"] for r in rows.select("id", files.wkb_vertices(F.col("wkb")).alias("g")).collect()}
+    assert (got[1][0]["xs"], got[1][0]["ys"]) == ([3.0], [4.0]) and got[2][0]["xs"] == [0.0, 2.0] and len(got[3]) == 2 and got[4] is None
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "t.csv").write_text("departure_time,stop_id,extra\n25:00:00,a,1\n")
     assert [tuple(r) for r in files.csv(spark, str(tmp_path / "t.csv"), "stop_times").collect()] == [("a", "25:00:00")]
