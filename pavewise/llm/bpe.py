@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from pavewise.llm import chunks
-from pavewise.llm.common import documents, prepare
+from pavewise.llm.common import documents, pick, prepare
 
 #: The byte-level family's word pattern (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -174,10 +174,13 @@ def encode(df: DataFrame, path: str | None = None, id_col: str = "doc_id", text_
 
 
 def decode(df: DataFrame, path: str | None = None, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """(doc_id, text) from packed ids; null ids give the empty text."""
+    """(doc_id, text) from packed ids; null and empty ids give the empty text, repeated rows equal rows, an empty table none.
+
+    Columns are found by exact spelling, whatever others the table has.
+    """
     prepare(df.sparkSession)
     path = path or default_path()
-    rows = df.select(df[id_col].alias("doc_id"), df[ids_col].alias("ids"))
+    rows = pick(df, doc_id=id_col, ids=ids_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
@@ -191,7 +194,9 @@ def decode(df: DataFrame, path: str | None = None, id_col: str = "doc_id", ids_c
 def round_trip(df: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256): digests of the ids and of the text decoded from them.
 
-    Nulls count as empty texts. Encoding and decoding share one pass, so no ids leave the worker.
+    Nulls count as empty texts; an empty text has no ids. Repeated rows give equal rows, an empty table none, and extra
+    columns, whatever their names, are not looked at. A very long text is encoded whole by the task that reads it. Encoding
+    and decoding share one pass, so no ids leave the worker.
     """
     prepare(df.sparkSession)
     path = path or default_path()

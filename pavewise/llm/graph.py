@@ -1,4 +1,8 @@
-"""Connected components of a link table by alternating large and small stars; joins and minima only, no group is gathered."""
+"""Connected components of a link table by alternating large and small stars; joins and minima only, no group is gathered.
+
+A node's minimum is one row, written before it meets the node's links: both sides then come through plain exchanges, and
+adaptive execution splits a node that very many links have.
+"""
 
 from __future__ import annotations
 
@@ -10,12 +14,12 @@ from pavewise.llm.common import stored
 
 def _large_star(links: DataFrame) -> DataFrame:
     both = links.select(F.col("a").alias("u"), F.col("b").alias("v")).union(links.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    least = stored(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
     return both.filter("v > u").join(least, "u").select(F.col("m").alias("a"), F.col("v").alias("b")).filter("a <> b").distinct()
 
 
 def _small_star(links: DataFrame) -> DataFrame:
-    least = links.groupBy("b").agg(F.min("a").alias("m"))
+    least = stored(links.groupBy("b").agg(F.min("a").alias("m")), "least")
     moved = links.join(least, "b").filter("a <> m").select(F.col("m").alias("a"), F.col("a").alias("b"))
     return moved.union(least.select(F.col("m").alias("a"), "b")).distinct()
 
@@ -29,7 +33,7 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """
     now, seen = stored(links.select("a", "b").distinct(), "links"), None
     for _ in range(rounds):
-        now = stored(_small_star(_large_star(now)), "links")
+        now = stored(_small_star(stored(_large_star(now), "stars")), "links")
         mark = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if mark == seen or not mark[0]:
             return now.select(F.col("b").alias("node"), F.col("a").alias("label")).union(now.select(F.col("a").alias("node"), F.col("a").alias("label")).distinct())

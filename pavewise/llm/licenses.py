@@ -1,9 +1,10 @@
 """License scans: MinHash bands over overlapping text windows retrieve templates, exact shingle containment verifies.
 
 DataFrame functions only. Templates fall into length classes w = 8, 16, 32, ... words (w at least the template's length). For each class
-windows of w + w/4 - 1 words start every w/4 words, so every run of w words lies whole in one of them, and a window that
-holds a template is at least J = shingles(template) / shingles(window) alike to it. A band is one MinHash value (one row:
-short templates in long windows have small J), and the number of bands is the least with 1 - (1 - J) ** bands >= SURE.
+windows of w + w/4 - 1 words start every w/4 words, so every run of w words lies whole in one of them. A window of W shingles
+that holds c of a template's S is at least J = c / (W + S - c) alike to it. A band is one MinHash value (one row: short
+templates in long windows have small J), and the number of bands is the least with 1 - (1 - J) ** bands >= SURE for the
+fewest shingles c that count as contained, over all templates of the class.
 Retrieved pairs are verified exactly: the share of the template's shingles that the window has.
 
 Windows without any of the templates' shingles can't share a MinHash value with one; their signatures aren't computed.
@@ -25,7 +26,7 @@ CONTAINED = 0.8
 SURE = 0.999
 MOST_SHINGLES = 50_000
 
-#: Notices and opening paragraphs of common licenses (fixed texts).
+#: Notices, opening paragraphs and whole texts of common licenses (fixed texts).
 TEMPLATES: dict[str, str] = {
     "mit-notice": "Released under the MIT License.",
     "mit-notice-2": "Licensed under the MIT License.",
@@ -43,6 +44,10 @@ TEMPLATES: dict[str, str] = {
     "cc-by-sa-4-notice": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
     "cc0-notice": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
     "unlicense": "This is free and unencumbered software released into the public domain.",
+    "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED AS IS AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    "bsd-2": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+    "zlib": "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. This notice may not be removed or altered from any source distribution.",
 }
 
 
@@ -80,6 +85,12 @@ def bands_for(least: float, sure: float = SURE) -> int:
     return 1 if least >= 1 else math.ceil(math.log(1 - sure) / math.log(1 - least))
 
 
+def likeness(shingles_of: int, window: int, contained: float) -> float:
+    """The least Jaccard similarity of a template and a window that holds just enough of it."""
+    c = math.ceil(contained * shingles_of - 1e-9)
+    return c / (max(window, c) + shingles_of - c)
+
+
 def _minhash(hashes: Column, k: int) -> Column:
     return F.array_min(F.transform(hashes, lambda h: F.xxhash64(h, F.lit(k))))
 
@@ -103,7 +114,7 @@ def scan(df: DataFrame, templates: dict[str, str] = TEMPLATES, contained: float
     bands = {}
     for w in classes:
         window = w + w // 4 - 1 - SHINGLE + 1
-        bands[w] = bands_for(min(len(ss) for k, ss in known.values() if length_class(k) == w) * contained / window)
+        bands[w] = bands_for(min(likeness(len(ss), window, contained) for k, ss in known.values() if length_class(k) == w))
     # One pass over the text: hashes of all shingles, and the places of those that some template has.
     none = F.array().cast("array<long>")
     split = documents(df, id_col, text_col).select("doc_id", words_of(F.col("text")).alias("w"))

@@ -21,13 +21,15 @@ from pyspark.sql import functions as F
 from pavewise.llm.common import documents, pick, prepare, stored
 
 ROW = 64  # samples in a row of a byte payload's picture
+SIDE = 16  # of a payload picture's tile
+BLOCK = 4096  # rows of a picture that are summed up at once
 TOKEN = re.compile(rb"(?:\s|#[^\n]*\n)*([^\s#]+)")
 
 
 def decode(raw: bytes) -> np.ndarray:
     """Samples as (height, width, channels) uint8, or uint16 where a Netpbm file's maximum is over 255.
 
-    Netpbm P1 to P6; BMP without compression at 1, 4, 8, 24 or 32 bits. A bitmap's samples are 0 and 255. Other bytes,
+    Netpbm P1 to P6; BMP without compression at 1, 4, 8, 16, 24 or 32 bits, or with bit masks. A bitmap's samples are 0 and 255. Other bytes,
     and files cut short, raise ValueError.
     """
     if raw[:1] == b"P" and raw[1:2] in b"123456" and len(raw) > 2:
@@ -62,20 +64,41 @@ def _netpbm(raw: bytes) -> np.ndarray:
 
 
 def _bmp(raw: bytes) -> np.ndarray:
-    start, head, w, h, _, bits, packed = struct.unpack_from("<I", raw, 10) + struct.unpack_from("<IiiHHI", raw, 14)
-    if packed not in (0, 3) or bits not in (1, 4, 8, 24, 32) or w <= 0:
+    start, head = struct.unpack_from("<II", raw, 10)
+    if head == 12:  # the first form: 16-bit sizes, and a table of three bytes a colour
+        w, h, _, bits = struct.unpack_from("<HHHH", raw, 18)
+        packed, colours, wide = 0, 0, 3
+    else:
+        w, h, _, bits, packed = struct.unpack_from("<iiHHI", raw, 18)
+        colours, wide = struct.unpack_from("<I", raw, 46)[0], 4
+    if packed not in (0, 3) or bits not in (1, 4, 8, 16, 24, 32) or w <= 0 or packed == 3 and bits not in (16, 32):
         raise ValueError("BMP of a kind that is not read here")
-    colours, flip, h = struct.unpack_from("<I", raw, 46)[0], h > 0, abs(h)
+    flip, h = h > 0, abs(h)
     stride = (w * bits + 31) // 32 * 4
     lines = np.frombuffer(raw, np.uint8, stride * h, start).reshape(h, stride)
     lines = lines[::-1] if flip else lines
+    if bits == 16 or packed == 3:
+        masks = struct.unpack_from("<III", raw, 54) if packed == 3 else (0x7C00, 0x03E0, 0x001F)
+        words = np.ascontiguousarray(lines[:, : w * bits // 8]).view(f"<u{bits // 8}").astype(np.uint32)
+        return np.stack([_field(words, m) for m in masks], 2)
     if bits >= 24:
         return np.ascontiguousarray(lines[:, : w * bits // 8].reshape(h, w, bits // 8)[:, :, 2::-1])
-    table = np.frombuffer(raw, np.uint8, 4 * (colours or 1 << bits), 14 + head).reshape(-1, 4)[:, 2::-1]
+    table = np.frombuffer(raw, np.uint8, wide * (colours or 1 << bits), 14 + head).reshape(-1, wide)[:, 2::-1]
     index = lines if bits == 8 else np.unpackbits(lines, axis=1) if bits == 1 else np.stack([lines >> 4, lines & 15], 2).reshape(h, -1)
+    if index[:, :w].size and index[:, :w].max() >= len(table):
+        raise ValueError("a colour that the table lacks")
     return table[index[:, :w]]
 
 
+def _field(words: np.ndarray, mask: int) -> np.ndarray:
+    """The bits under a mask as samples of 0 to 255; an empty mask gives 0."""
+    if not mask:
+        return np.zeros(words.shape, np.uint8)
+    low = (mask & -mask).bit_length() - 1
+    most = mask >> low
+    return np.rint(((words & np.uint32(mask)) >> np.uint32(low)) * (255.0 / most)).astype(np.uint8)
+
+
 def encode_pgm(samples: np.ndarray) -> bytes:
     """P5 of a (height, width) uint8 array."""
     h, w = samples.shape
@@ -83,21 +106,29 @@ def encode_pgm(samples: np.ndarray) -> bytes:
 
 
 def area_resize(samples: np.ndarray, height: int, width: int) -> np.ndarray:
-    """Mean over each target cell's area, as float64; (height, width, channels)."""
+    """Mean over each target cell's area, as float64; (height, width, channels).
+
+    The integral image is built by blocks of rows and kept only at the target's corners, so besides the samples memory
+    holds one block.
+    """
     h, w, c = samples.shape
-    total = np.zeros((h + 1, w + 1, c))
-    total[1:, 1:] = samples.cumsum(0, dtype=np.float64).cumsum(1)
 
-    def between(table: np.ndarray, size: int, parts: int) -> np.ndarray:
+    def corner(size: int, parts: int) -> tuple[np.ndarray, np.ndarray]:
         at = np.arange(parts + 1) * (size / parts)
         low = np.minimum(at.astype(np.int64), size - 1)
-        share = (at - low).reshape(-1, *[1] * (table.ndim - 1))
-        return table[low] * (1 - share) + table[low + 1] * share
+        return low, at - low
 
-    corners = between(total, h, height)
-    corners = between(corners.swapaxes(0, 1), w, width).swapaxes(0, 1)
-    sums = np.diff(np.diff(corners, axis=0), axis=1)
-    return sums / (h / height * (w / width))
+    (xs, fx), (ys, fy) = corner(w, width), corner(h, height)
+    total, done = np.zeros((height + 1, width + 1, c)), np.zeros((width + 1, c))
+    for top in range(0, h, BLOCK):
+        sums = np.zeros((len(block := samples[top : top + BLOCK]), w + 1, c))
+        np.cumsum(block, axis=1, dtype=np.float64, out=sums[:, 1:])
+        lines = sums[:, xs] * (1 - fx)[:, None] + sums[:, xs + 1] * fx[:, None]  # each row's integral at the target's columns
+        upto = np.concatenate([done[None], done + np.cumsum(lines, axis=0)])
+        for i in np.flatnonzero((ys >= top) & (ys < top + len(block))):
+            total[i] = upto[ys[i] - top] + fy[i] * lines[ys[i] - top]
+        done = upto[-1]
+    return np.diff(np.diff(total, axis=0), axis=1) / (h / height * (w / width))
 
 
 def difference_hash(samples: np.ndarray) -> str:
@@ -151,12 +182,9 @@ def store_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     return stored(docs.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), payload_media(F.col("text")).alias("media")), "media")
 
 
-def payload_features(df: DataFrame) -> DataFrame:
-    """Digests of stored payload pictures (doc_id, n_bytes, media): what is read back, its form, and the feature.
-
-    The feature is the difference hash and the 4 x 4 area means of the decoded picture, in hex; equal texts have equal
-    features. Null text was stored as the empty text: one row of 64 samples 0.
-    """
+def stored_tiles(df: DataFrame) -> DataFrame:
+    """Digests of stored payload pictures (doc_id, n_bytes, media) with their difference hash and NPY tile, written to the
+    shared folder and read back."""
     prepare(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,13 +192,36 @@ def payload_features(df: DataFrame) -> DataFrame:
             out = []
             for raw in batch.column(2).to_pylist():
                 samples = decode(raw)
-                payload = samples.tobytes()
-                means = np.rint(area_resize(samples, 4, 4)).astype(np.uint8)
-                feature = difference_hash(samples) + means.tobytes().hex()
-                out.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(raw), hashlib.sha256(raw).hexdigest(), feature))
-            cols = list(zip(*out, strict=True)) or [()] * 6
-            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            yield pa.record_batch([batch.column(0), batch.column(1), *[pa.array(c, t) for c, t in zip(cols, kinds, strict=True)]], ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+                payload = samples.data
+                tile = np.rint(area_resize(samples, SIDE, SIDE)).astype(np.uint8)
+                out.append((samples.size, hashlib.sha256(payload).hexdigest(), zlib.crc32(samples[-1].tobytes()), len(raw), hashlib.sha256(raw).hexdigest(), difference_hash(samples), npy(tile)))
+            cols = list(zip(*out, strict=True)) or [()] * 7
+            yield pa.record_batch([batch.column(0), batch.column(1), *[pa.array(c, t) for c, t in zip(cols, KINDS, strict=True)]], ["doc_id", "n_bytes", *NAMES])
+
+    kind = df.schema["doc_id"].dataType.simpleString()
+    return stored(df.select("doc_id", "n_bytes", "media").mapInArrow(run, f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, dhash string, tile binary"), "media-tiles")
+
+
+NAMES = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "dhash", "tile"]
+KINDS = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary()]
+
+
+def payload_features(df: DataFrame) -> DataFrame:
+    """Digests of stored payload pictures (doc_id, n_bytes, media): what is read back, its form, and the feature.
+
+    The feature is the difference hash and the 4 x 4 area means of the NPY tile as it is read back, in hex; equal texts
+    have equal features. Null and empty texts were stored as one row of 64 samples 0; repeated rows give equal rows, an
+    empty table none. Of a very long text a task holds the bytes and one block of rows.
+    """
+    rows = stored_tiles(df)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tiles = [np.load(io.BytesIO(t), allow_pickle=False) for t in batch.column("tile").to_pylist()]
+            means = [np.rint(area_resize(t, 4, 4)).astype(np.uint8).tobytes().hex() for t in tiles]
+            feature = pa.array([d + m for d, m in zip(batch.column("dhash").to_pylist(), means, strict=True)], pa.string())
+            yield pa.record_batch([*[batch.column(c) for c in kept], feature], [*kept, "feature"])
 
+    kept = ["doc_id", "n_bytes", *NAMES[:5]]
     kind = df.schema["doc_id"].dataType.simpleString()
-    return df.select("doc_id", "n_bytes", "media").mapInArrow(run, f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return rows.select(*kept, "dhash", "tile").mapInArrow(run, f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")

@@ -14,41 +14,53 @@ from pavewise.llm.common import partitions
 LEAST = -(1 << 63)
 
 
-def _cut_points(keys: DataFrame, n: int) -> np.ndarray:
-    """Keys that cut all rows into about n equal ranges: n numbers, from a mergeable sketch over all rows."""
+def _cut_points(keys: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(key, text hash) pairs that cut all rows into about n equal ranges, from a mergeable sketch over all rows.
+
+    A key that fills several ranges alone is cut by hash, evenly; rows equal in both can't be cut apart.
+    """
     shares = [i / n for i in range(1, n)]
     found = keys.agg(F.percentile_approx("key", shares, 10_000)).first()[0] if shares else []
-    return np.unique(np.array(found or [], np.int64))
+    pairs = [(int(k), LEAST + i * ((1 << 64) // int(times))) for k, times in zip(*np.unique(np.array(found or [], np.int64), return_counts=True), strict=True) for i in range(int(times))]
+    return np.array([k for k, _ in pairs], np.int64), np.array([h for _, h in pairs], np.int64)
+
+
+def _placed(cuts: tuple[np.ndarray, np.ndarray], keys: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """How many cuts are at or below each (key, hash)."""
+    low, high = np.searchsorted(cuts[0], keys, "left"), np.searchsorted(cuts[0], keys, "right")
+    for k in np.unique(keys[high > low]):
+        at, rows = low[keys == k][0], keys == k
+        low[rows] = at + np.searchsorted(cuts[1][at : high[rows][0]], hashes[rows], "right")
+    return low
 
 
 def with_next(df: DataFrame, n: int | None = None) -> DataFrame:
-    """df (doc_id long, text) as rows (part, guest, key, doc_id, text), dealt by part and sorted by (part, guest, key, text hash).
+    """df (doc_id long, text) as rows (part, guest, key, hash, doc_id, text), dealt by part and sorted by (part, guest, key, hash).
 
-    A part has a range of keys; the first row of the next part (of the first part, after the last) stands at its end with
-    guest = true. Null doc_id is the smallest key. The driver holds one key for each part.
+    A part has a range of (key, text hash); the first row of the next part (of the first part, after the last) stands at its
+    end with guest = true, as often as it occurs. Null doc_id is the smallest key. The driver holds two numbers for each part.
     """
     n = n or partitions(df)
-    keyed = df.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST)).alias("key"), "doc_id", "text")
+    keyed = df.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST)).alias("key"), F.xxhash64("text").alias("hash"), "doc_id", "text")
     cuts = _cut_points(keyed.select("key"), n)
 
-    def placed(values: np.ndarray) -> np.ndarray:
-        return np.searchsorted(cuts, values, "right")
-
     @F.pandas_udf("int")
-    def part_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for keys in batches:
-            yield pd.Series(placed(keys.to_numpy()).astype(np.int32))
+    def part_of(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for keys, hashes in batches:
+            yield pd.Series(_placed(cuts, keys.to_numpy(), hashes.to_numpy()).astype(np.int32))
 
-    first = dict(keyed.select("key").groupBy(part_of("key").alias("part")).agg(F.min("key")).collect())
+    firsts = keyed.select("key", "hash").groupBy(part_of("key", "hash").alias("part")).agg(F.min(F.struct("key", "hash")).alias("first")).collect()
+    first = {r["part"]: (r["first"]["key"], r["first"]["hash"]) for r in firsts}
     order = sorted(first)
     host = {first[p]: order[i - 1] for i, p in enumerate(order)}  # where the first row of part p is a guest
 
     @F.pandas_udf("array<int>")
-    def parts_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for keys in batches:
-            own = placed(keys.to_numpy())
-            yield pd.Series([[int(p), -1 - host[k]] if k in host else [int(p)] for k, p in zip(keys.tolist(), own, strict=True)], dtype=object)
-
-    rows = keyed.select(F.explode(parts_of("key")).alias("p"), "key", "doc_id", "text")
-    rows = rows.select(F.when(F.col("p") < 0, -1 - F.col("p")).otherwise(F.col("p")).alias("part"), (F.col("p") < 0).alias("guest"), "key", "doc_id", "text")
-    return rows.repartitionById(max(1, len(cuts) + 1), F.col("part")).sortWithinPartitions("part", "guest", "key", F.xxhash64("text"))
+    def parts_of(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for keys, hashes in batches:
+            own = _placed(cuts, keys.to_numpy(), hashes.to_numpy())
+            pairs = zip(keys.tolist(), hashes.tolist(), strict=True)
+            yield pd.Series([[int(p), -1 - host[k]] if k in host else [int(p)] for k, p in zip(pairs, own, strict=True)], dtype=object)
+
+    rows = keyed.select(F.explode(parts_of("key", "hash")).alias("p"), "key", "hash", "doc_id", "text")
+    rows = rows.select(F.when(F.col("p") < 0, -1 - F.col("p")).otherwise(F.col("p")).alias("part"), (F.col("p") < 0).alias("guest"), "key", "hash", "doc_id", "text")
+    return rows.repartitionById(len(cuts[0]) + 1, F.col("part")).sortWithinPartitions("part", "guest", "key", "hash")

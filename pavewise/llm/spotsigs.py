@@ -93,9 +93,9 @@ def compare_with_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
         held = None
         for batch in batches:
             out = []
-            for part, guest, doc, text in zip(*[batch.column(i).to_pylist() for i in (0, 1, 3, 4)], strict=True):
+            for part, guest, doc, text in zip(*[batch.column(i).to_pylist() for i in (0, 1, 2, 3)], strict=True):
                 if held and held[0] == part:
-                    if held[1]:  # further rows of the guest's key
+                    if held[1]:  # further rows equal to the guest
                         continue
                     sigs = signatures(text)
                     new = edited(held[3], text)
@@ -107,7 +107,7 @@ def compare_with_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
             if out:
                 yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
-    return rows.select("part", "guest", "key", "doc_id", "text").mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return rows.select("part", "guest", "doc_id", "text").mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

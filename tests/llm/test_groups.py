@@ -113,6 +113,50 @@ def test_flow_is_maximal_and_spreads_repetition():
     assert mixing.flow([(a, 10)], {"a": 999}, 3) == [30]
 
 
+def test_flow_against_all_allocations():
+    """Small cases: no allocation gives more tokens, none as many at less cost; each pattern's amounts are one of the best."""
+    from itertools import product
+
+    rng = random.Random(6)
+    for _ in range(25):
+        names = "ab"
+        quotas = {s: rng.randint(0, 4) for s in names}
+        patterns = [(frozenset(m), rng.randint(1, 2)) for m in rng.sample([("a",), ("b",), ("a", "b"), ()], 3)]
+        cost = lambda i, k: sum(1 + t // patterns[i][1] for t in range(k))  # noqa: E731, B023
+        best = {}
+        for amounts in product(*[range(2 * n + 1) for _, n in patterns]):
+            splits = [[k for k in product(*[range(a + 1) if s in m else (0,) for s in names]) if sum(k) == a] for (m, _), a in zip(patterns, amounts, strict=True)]
+            if any(all(sum(x[j] for x in pick) <= quotas[s] for j, s in enumerate(names)) for pick in product(*splits)):
+                best[amounts] = (-sum(amounts), sum(cost(i, k) for i, k in enumerate(amounts)))
+        got = tuple(mixing.flow(patterns, quotas, 2))
+        assert best[got] == min(best.values())
+
+
+def plain_targets(sizes, weights):
+    """By bisection on the price of a unit of weight: each source gets min(weight * price, twice its size)."""
+    low, high, goal = 0.0, 1e9, min(1.5 * sum(sizes), 2.0 * sum(sizes))
+    for _ in range(200):
+        price = (low + high) / 2
+        low, high = (price, high) if sum(min(w * price, 2 * n) for w, n in zip(weights, sizes, strict=True)) < goal else (low, price)
+    return [min(w * high, 2 * n) for w, n in zip(weights, sizes, strict=True)]
+
+
+def test_targets_by_bisection():
+    rng = random.Random(2)
+    for _ in range(30):
+        sizes = [rng.randint(1, 1000) for _ in range(5)]
+        assert mixing.targets(sizes, [5, 2, 1, 5, 2]) == pytest.approx(plain_targets(sizes, [5, 2, 1, 5, 2]), rel=1e-6)
+
+
+def test_components_of_a_star_and_equal_fingerprints(spark):
+    star = [(0, i) for i in range(1, 2000)] + [(5000, 5001)]
+    got = dict(components(spark.createDataFrame(star, "a long, b long")).collect())
+    assert got == {i: 0 for i in range(2000)} | {5000: 5000, 5001: 5000}
+    rows = [(i, "one text that nine tenths of all rows have") for i in range(900)] + [(1000 + i, f"w{i} x{i} y{i} z{i} v{i}") for i in range(100)]
+    found = simhash.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(found) == 1000 and {r["component_id"] for r in found if r["doc_id"] < 900} == {0}
+
+
 def test_mix(spark, odd, none, texts):
     rng = random.Random(8)
     docs = [(i, " ".join(["w"] * rng.randint(0, 60)), rng.choice(["a", "b", "c", None])) for i in range(800)]

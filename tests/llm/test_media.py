@@ -40,7 +40,21 @@ def test_bmp_forms():
     assert media.decode(bmp(1, bytes([0b10000000, 0, 0, 0, 0b01000000, 0, 0, 0]), table)).tolist() == [[[1, 2, 3], [4, 5, 6]], [[4, 5, 6], [1, 2, 3]]]
 
 
-def test_area_resize_is_exact():
+def test_bmp_masks_and_first_form():
+    px = np.array([[0x00030201, 0x00060504], [0x00090807, 0x000C0B0A]], "<u4")
+    head = struct.pack("<IiiHHIIiiII", 40, 2, -2, 1, 32, 3, 16, 0, 0, 0, 0)
+    raw = b"BM" + struct.pack("<IHHI", 82, 0, 0, 66) + head + struct.pack("<III", 0xFF, 0xFF00, 0xFF0000) + px.tobytes()
+    assert media.decode(raw).tolist() == [[[1, 2, 3], [4, 5, 6]], [[7, 8, 9], [10, 11, 12]]]
+    five = np.array([[0x7C00, 0x03E0], [0x001F, 0x4210]], "<u2")
+    raw = b"BM" + struct.pack("<IHHI", 62, 0, 0, 54) + struct.pack("<IiiHHIIiiII", 40, 2, -2, 1, 16, 0, 8, 0, 0, 0, 0) + five.tobytes()
+    assert media.decode(raw).tolist() == [[[255, 0, 0], [0, 255, 0]], [[0, 0, 255], [132, 132, 132]]]
+    table = bytes([3, 2, 1, 6, 5, 4])
+    raw = b"BM" + struct.pack("<IHHI", 40, 0, 0, 32) + struct.pack("<IHHHH", 12, 2, 2, 1, 1) + table + bytes([0b10000000, 0, 0, 0, 0b01000000, 0, 0, 0])
+    assert media.decode(raw).tolist() == [[[1, 2, 3], [4, 5, 6]], [[4, 5, 6], [1, 2, 3]]]
+
+
+def test_area_resize_is_exact(monkeypatch):
+    monkeypatch.setattr(media, "BLOCK", 3)
     x = np.random.default_rng(0).integers(0, 256, (7, 10, 2))
     big = x.repeat(6, 0).repeat(9, 1)  # 42 x 90: a multiple of 6 x 9 cells
     got = media.area_resize(x, 6, 9)
@@ -48,16 +62,33 @@ def test_area_resize_is_exact():
     assert np.allclose(got, want)
 
 
+def plain_means(x, height, width):
+    """Area means one cell at a time, from each sample's share of it."""
+    h, w = x.shape
+    share = lambda n, parts, i, k: max(0.0, min((i + 1) * n / parts, k + 1) - max(i * n / parts, k))
+    rows = np.array([[share(h, height, i, k) for k in range(h)] for i in range(height)])
+    cols = np.array([[share(w, width, i, k) for k in range(w)] for i in range(width)])
+    return rows @ x @ cols.T / (h / height * (w / width))
+
+
+def plain_feature(pad):
+    x = np.frombuffer(pad, np.uint8).reshape(-1, 64).astype(float)
+    cells = np.round(plain_means(x, 8, 9), 6)
+    bits = "".join("1" if a < b else "0" for row in cells for a, b in zip(row, row[1:], strict=False))
+    means = np.rint(plain_means(np.rint(plain_means(x, 16, 16)), 4, 4)).astype(int)
+    return f"{int(bits, 2):016x}" + "".join(f"{v:02x}" for v in means.ravel())
+
+
 def test_payload_query(odd, none, texts):
-    got = Counter(tuple(r)[:7] for r in media.payload_features(media.store_texts(odd)).collect())
+    got = media.payload_features(media.store_texts(odd)).collect()
     want = Counter()
     for i, t in texts:
         raw = t.encode()
         rows = max(1, -(-len(raw) // 64))
         pad = raw.ljust(rows * 64, b"\0")
         pic = b"P5\n64 %d\n255\n" % rows + pad
-        want[(i, len(raw), len(pad), hashlib.sha256(pad).hexdigest(), zlib.crc32(pad[-64:]), len(pic), hashlib.sha256(pic).hexdigest())] += 1
-    assert got == want
+        want[(i, len(raw), len(pad), hashlib.sha256(pad).hexdigest(), zlib.crc32(pad[-64:]), len(pic), hashlib.sha256(pic).hexdigest(), plain_feature(pad))] += 1
+    assert Counter(map(tuple, got)) == want
     assert media.payload_features(media.store_texts(none)).count() == 0
 
 

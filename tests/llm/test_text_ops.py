@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -10,6 +11,46 @@ from pavewise.llm import licenses, secret_scan, spotsigs, toxicity
 from pyspark.sql import functions as F
 
 
+def plain_signatures(text):
+    """Anchors found one by one, each with the next two content words after it."""
+    words = [w for w in (t.strip(spotsigs.EDGE) for t in text.lower().split()) if w]
+    out = set()
+    for k, w in enumerate(words):
+        if w in spotsigs.ANCHORS:
+            chain = [x for x in words[k + 1 :] if x not in spotsigs.COMMON][:2]
+            if len(chain) == 2:
+                out.add(zlib.crc32(" ".join([w, *chain]).encode()))
+    if not out:
+        pairs = [words[k : k + 2] for k in range(max(1, len(words) - 1))] if words else []
+        out = {zlib.crc32(" ".join(p).encode()) for p in pairs} or {zlib.crc32(text.encode())}
+    return out
+
+
+def test_signatures_by_hand(texts):
+    rng = random.Random(2)
+    common = [*sorted(spotsigs.COMMON)[:40], *sorted(spotsigs.ANCHORS)[:40], "house", "Boat,", "«river»", "42"]
+    for text in [*(t for _, t in texts if len(t) < 2000), *(" ".join(rng.choices(common, k=60)) for _ in range(40))]:
+        assert spotsigs.signatures(text) == plain_signatures(text)
+
+
+def test_one_id_of_most_rows_is_dealt_to_several_parts(spark):
+    """Nine tenths of all rows have no id: they go to several parts by text hash, and each row still meets its next one."""
+    from pavewise.llm.ordered import with_next
+
+    rows = [(None, f"text {i}") for i in range(900)] + [(i, f"other {i}") for i in range(100)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    dealt = with_next(df, 10).filter("not guest").groupBy("part").count().collect()
+    assert len(dealt) > 6 and max(r["count"] for r in dealt) < 300
+    got = spotsigs.compare_with_next(df).collect()
+    hashed = {r["text"]: r["h"] for r in df.select("text", F.xxhash64("text").alias("h")).collect()}
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, hashed[r[1]]))
+    want = Counter()
+    for k, (i, t) in enumerate(order):
+        new = t[: len(t) - len(t) // 2] + order[(k + 1) % len(order)][1][: len(t) // 2]
+        want[(i, hashlib.sha256(new.encode()).hexdigest())] += 1
+    assert Counter((r["doc_id"], r["edited_sha256"]) for r in got) == want
+
+
 def test_spotsigs_query(odd, none, texts):
     rows = sorted(texts, key=lambda r: (r[0] is not None, r[0] or 0))
     got = sorted((tuple(r) for r in spotsigs.compare_with_next(odd).collect()), key=lambda r: (r[0] is not None, r[0] or 0))
@@ -67,6 +108,28 @@ def test_licenses(spark, odd, none):
     assert licenses.scan(odd).count() == 0 and licenses.scan(none).count() == 0
 
 
+def test_license_recall_against_exact_containment(spark):
+    """Every template with words changed at random: what exact containment in the best window finds, the bands find."""
+    rng, docs = random.Random(12), []
+    for k, (name, text) in enumerate(sorted(licenses.TEMPLATES.items())):
+        for share in (0.0, 0.02, 0.04):
+            w = licenses._words(text)
+            for at in rng.sample(range(len(w)), round(len(w) * share)):
+                w[at] = f"x{rng.randrange(99)}"
+            pad = [f"f{k}x{rng.randrange(999)}" for _ in range(rng.randrange(200))]
+            docs.append((len(docs), " ".join([*pad, *w, *pad[:50]]), name))
+    got = {(r["doc_id"], r["template"]) for r in licenses.scan(spark.createDataFrame(docs, "doc_id long, text string, name string")).collect()}
+    want = set()
+    for i, text, _ in docs:
+        own = set(licenses.shingles(text))
+        want |= {(i, n) for n, t in licenses.TEMPLATES.items() if len(own & set(licenses.shingles(t))) >= 0.8 * len(set(licenses.shingles(t)))}
+    assert got == want and len(want) > 50
+
+
+def test_the_least_likeness_is_reached_at_80_percent():
+    assert licenses.likeness(30, 75, 0.8) == 24 / 81 and licenses.likeness(4, 4, 1.0) == 1
+
+
 def test_band_count_keeps_its_promise():
     for least in (0.1, 0.3, 0.8):
         b = licenses.bands_for(least)
