@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pavewise.llm.common import documents, prepare, stored
 
 ROUNDS = 1
-BATCH = 2048
+BATCH = 4096
 RATE = 0.1
 SHARD_WORDS = 1 << 21
 #: Words whose counts every task holds (at most); counts of all others are joined in from the table.
