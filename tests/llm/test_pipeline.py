@@ -93,3 +93,15 @@ def test_bpe_stage_and_run(spark, steps):
         want[(r["doc_id"], len(ids), hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest())] += 1
     assert Counter((r["doc_id"], r["n_tokens"], r["ids_sha256"]) for r in steps[5]) == want
     assert Counter((r["doc_id"], r["n_tokens"], r["ids_sha256"]) for r in P.run(spark, SF).collect()) == want
+
+
+def test_odd_rows_go_through_all_stages(spark, odd, none):
+    """Nulls, empty and very long texts, repeats, and extra columns whose names clash; an empty table."""
+    out = P.through(spark, odd, SF)
+    assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+    assert {r["doc_id"] for r in out.collect()} <= {r[0] for r in odd.select("doc_id").collect()}
+    assert P.through(spark, none, SF).count() == 0
+    for name, stage in P.STAGES[:-1]:
+        assert stage(spark, odd, SF).columns == odd.columns and stage(spark, none, SF).count() == 0, name
+    labelled = table(spark, SF, "labels").filter("false")
+    assert toxicity.reject(odd, toxicity.fit(odd, labelled)).count() == odd.count()
