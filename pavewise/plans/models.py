@@ -192,12 +192,12 @@ def forest_gain(spark, sf):
     """Held-out quality of forests over grid cells: traffic alone, traffic and light, and the gain."""
     cell = C.grid_cell(spark, sf)
     t = S.day(spark, sf).select("seg_id", F.col("day_safety").cast("double").alias("y"), F.col("mph").cast("double").alias("mph"), F.col("length_m").cast("double").alias("length_m"))
-    rows = t.join(S.light(spark, sf).select("seg_id", "light"), "seg_id").join(cell, "seg_id")
+    rows = checkpointed(t.join(S.light(spark, sf).select("seg_id", "light"), "seg_id").join(cell, "seg_id"))
     out = []
     for name, cols in (("base", ["length_m", "light"]), ("base and speed", ["length_m", "light", "mph"])):
-        r = stats.fit_quality(stats.grouped_forest(rows, "y", cols, "cell", trees=20), "y", "out").first()
-        out.append((name, r["n"], r["r2"], r["mae"], r["r2"] - (out[0][2] if out else r["r2"])))
-    return spark.createDataFrame(out, "model string, n long, r2 double, mae double, gain double")
+        r = stats.fit_quality(stats.grouped_forest(rows, "y", cols, "cell"), "y", "out").first()
+        out.append((name, r["n"], r["r2"], r["mae"], r["rho"], r["r2"] - (out[0][2] if out else r["r2"])))
+    return spark.createDataFrame(out, "model string, n long, r2 double, mae double, rho double, gain double")
 
 
 def blocks(spark, sf, k: int = 4) -> DataFrame:
@@ -218,9 +218,12 @@ def kmeans_blocks(spark, sf):
     return blocks(spark, sf)
 
 
-@query("greedy_tour")
+TOUR_SQL = f"""{C.O["pilot_selection"].rsplit(" SELECT seg_id, lev AS level", 1)[0]}, sites AS (SELECT g.seg_id, g.mx, g.my FROM g WHERE place <= 10), westmost AS (SELECT * FROM sites ORDER BY mx, seg_id LIMIT 1)
+ SELECT seg_id, stop FROM (WITH RECURSIVE t(seg_id, mx, my, stop, seen) AS (SELECT seg_id, mx, my, 1, [seg_id] FROM westmost UNION ALL SELECT * FROM (SELECT s.seg_id, s.mx, s.my, t.stop + 1, list_append(t.seen, s.seg_id) FROM t, sites s WHERE NOT list_contains(t.seen, s.seg_id) ORDER BY round(sqrt((s.mx-t.mx)*(s.mx-t.mx)+(s.my-t.my)*(s.my-t.my)), 9), s.seg_id LIMIT 1)) SELECT seg_id, stop FROM t)"""
+
+
+@query("greedy_tour", TOUR_SQL)
 def greedy_tour(spark, sf):
     """(seg_id, stop): the pilot's sites (40 at most) from the westmost on, each next the nearest one left."""
-    sites = C.pilot(spark, sf).select("seg_id").join(geo.midpoints(S.walk(spark, sf), "seg_id"), "seg_id")
-
-    return sites.withColumn("g", F.lit(1)).groupBy("g").applyInPandas(design.tour, "seg_id long, stop int")
+    sites = checkpointed(C.pilot(spark, sf).select("seg_id").join(geo.midpoints(S.walk(spark, sf), "seg_id"), "seg_id"))
+    return design.tour(sites)

@@ -401,8 +401,14 @@ def global_bounds(spark, sf):
     return geo.midpoints(S.walk(spark, sf)).agg(*[r6(f(c), n) for f, c, n in ((F.min, "mx", "minx"), (F.min, "my", "miny"), (F.max, "mx", "maxx"), (F.max, "my", "maxy"))])
 
 
-@query("oof_metrics", ctes("segments") + f", {TRAFFIC_SQL}, p AS (SELECT CAST(day_safety AS DOUBLE) y, CAST(round(day_safety, 1) AS DOUBLE) f FROM day) SELECT round(1 - sum(pow(y-f,2)) / sum(pow(y-(SELECT avg(y) FROM p),2)), 6) r2, round(avg(abs(y-f)), 6) mae FROM p")
+OOF_SQL = f"{TRAFFIC_SQL}, gp AS (SELECT seg_id, CAST(day_safety AS DOUBLE) y, CAST(mph AS DOUBLE) x, seg_id % 5 fold FROM day), fits AS (SELECT f.fold, regr_slope(y, x) b, regr_intercept(y, x) a FROM (SELECT unnest(range(0, 5)) fold) f JOIN gp ON gp.fold <> f.fold GROUP BY f.fold), p AS (SELECT y, round(a + b * x, 9) f FROM gp JOIN fits USING (fold))"
+
+
+@query("oof_metrics", ctes("segments") + f", {OOF_SQL}, rk AS (SELECT rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2.0 ry, rank() OVER (ORDER BY f) + (count(*) OVER (PARTITION BY f) - 1) / 2.0 rf FROM p) SELECT round(1 - sum(pow(y-f,2)) / sum(pow(y-(SELECT avg(y) FROM p),2)), 6) r2, round(avg(abs(y-f)), 6) mae, (SELECT round(corr(ry, rf), 6) FROM rk) rho FROM p")
 def oof_metrics(spark, sf):
-    p = S.day(spark, sf).select(F.col("day_safety").alias("y"), F.round("day_safety", 1).alias("f"))
-    x = stats.with_scalar(p, p.agg(F.avg("y").alias("m")))
-    return x.agg(r6(1 - F.sum(F.pow(F.col("y") - F.col("f"), 2)) / F.sum(F.pow(F.col("y") - F.col("m"), 2)), "r2"), r6(F.avg(F.abs(F.col("y") - F.col("f"))), "mae"))
+    """Held-out quality of a line fitted to speed: five folds, each predicted by the fit to the others; sums of each fold give all fits."""
+    p = checkpointed(S.day(spark, sf).select(F.col("day_safety").cast("double").alias("y"), F.col("mph").cast("double").alias("x"), (F.col("seg_id") % 5).alias("fold")))
+    pairs = F.explode(F.filter(F.array(*[F.lit(k).cast("long") for k in range(5)]), lambda k: k != F.col("fold"))).alias("held")
+    fits = p.select("y", "x", pairs).groupBy("held").agg(F.regr_slope("y", "x").alias("b"), F.regr_intercept("y", "x").alias("a"))
+    out = p.join(F.broadcast(fits), p["fold"] == fits["held"]).select("y", F.round(F.col("a") + F.col("b") * F.col("x"), 9).alias("f"))  # five rows
+    return stats.fit_quality(out, "y", "f").select(r6(F.col("r2"), "r2"), r6(F.col("mae"), "mae"), r6(F.col("rho"), "rho"))

@@ -1,5 +1,7 @@
 """Ranks, positions, regressions and sampling designs against numpy and pandas."""
 
+import math
+import random
 import zipfile
 
 import numpy as np
@@ -76,11 +78,24 @@ def test_round_robin(spark):
     assert got == [("a", 1), ("b", 1), ("a", 2), ("b", 2), ("a", 3), ("b", 3), ("a", 4)]
 
 
-def test_tour():
-    sites = pd.DataFrame({"seg_id": [4, 2, 9, 7], "mx": [0.0, 10.0, 1.0, 5.0], "my": [0.0, 0.0, 0.0, 0.0]})
-    assert list(design.tour(sites)["seg_id"]) == [4, 9, 7, 2]
-    assert design.tour(sites[:0]).empty
-
+def test_tour(spark):
+    rows = [(2, 9.0, 0.0), (4, 0.0, 0.0), (7, 3.0, 0.0), (9, 1.0, 0.0)]
+    sites = spark.createDataFrame(rows, "seg_id long, mx double, my double")
+    assert [r["seg_id"] for r in design.tour(sites).orderBy("stop").collect()] == [4, 9, 7, 2]
+    assert [tuple(r) for r in design.tour(sites.filter("seg_id = 2")).collect()] == [(2, 1)]
+    assert design.tour(sites.filter("false")).count() == 0
+    with pytest.raises(Exception, match="over 3 sites"):
+        design.tour(sites, 3).collect()
+    rng = random.Random(4)
+    many = [(i, float(rng.randrange(30)), float(rng.randrange(30))) for i in range(35)]
+    left, order = sorted(many, key=lambda s: (s[1], s[0])), []
+    here = left[0]
+    while left:
+        order.append(here[0])
+        left.remove(here)
+        here = min(left, key=lambda s: (round(math.hypot(s[1] - here[1], s[2] - here[2]), 9), s[0]), default=None)  # noqa: B023
+    got = design.tour(spark.createDataFrame(many, "seg_id long, mx double, my double")).orderBy("stop")
+    assert [r["seg_id"] for r in got.collect()] == order
 
 def test_expressions(spark):
     df = spark.createDataFrame([("2000", "A ROBBERY", [0, 1, 1, 3]), ("0600", None, []), ("0559", "x", None)], "t string, c string, m array<int>")

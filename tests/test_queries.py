@@ -36,6 +36,20 @@ def test_equals_sql(spark, con, name):
     assert plain(map(tuple, got.select(*cols).collect())) == plain(tuple(r[i] for i in at) for r in want.fetchall())
 
 
+def test_views_keep_scales_and_sessions_apart(spark):
+    """Two scales in one session, a new session, and names that the user has taken: views read their own files alone."""
+    from pavewise.sources.fixtures import TABLES as RAW
+    from pavewise.sources.fixtures import VIEWS, view
+
+    larger = SF.replace("0.001", "0.01")
+    spark.range(3).createOrReplaceTempView("orders")
+    for name in VIEWS:
+        small, large = view(spark, SF, name).count(), view(spark, larger, name).count()
+        assert small == view(spark.newSession(), SF, name).count() and (small < large or name in ("tracts", "stops", "plots", "acs_rows"))
+    assert spark.table("orders").count() == 3 and {t.name for t in spark.catalog.listTables()} & set(RAW) == {"orders"}
+    spark.catalog.dropTempView("orders")
+
+
 def test_names_agree():
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
