@@ -39,13 +39,18 @@ def prepare(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir; where that is unset (tests) a new local one."""
+    """The folder the cluster names in spark.checkpoint.dir; where that is unset a new local one, in local mode alone.
+
+    On a cluster each executor would write to a disk of its own, so there an unset folder is an error.
+    """
     conf = spark.sparkContext.getConf()
     if base := conf.get("spark.checkpoint.dir", None):
         return base.rstrip("/")
     jsc = spark.sparkContext._jsc.sc()
     if jsc.getCheckpointDir().isDefined():
         return os.path.dirname(jsc.getCheckpointDir().get().rstrip("/"))
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     base = tempfile.mkdtemp(prefix="pavewise-checkpoint-")
     spark.sparkContext.setCheckpointDir(base)
     return base
@@ -61,7 +66,17 @@ def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of tables that ``stored`` wrote and nothing reads any more."""
+    for df in tables:
+        sc = df.sparkSession.sparkContext
+        where = sc._jvm.org.apache.hadoop.fs.Path(df.scratch_path)
+        where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def pick(df: DataFrame, **named: str) -> DataFrame:

@@ -102,6 +102,7 @@ def scan(df: DataFrame, templates: dict[str, str] = TEMPLATES, contained: float
     windows reach ``contained``. Null, empty and wordless texts give no row; templates shorter than a shingle are matched
     as one shingle of their own length only if they have SHINGLE words at least (others raise ValueError). Repeated rows
     give repeated results: rows that share doc_id and text count apart only in number, as (doc_id, text) is read per row.
+    An empty table gives none; very long texts are scanned whole; extra columns, whatever their names, are not looked at.
     """
     spark = df.sparkSession
     known = {name: (len(_words(t)), shingles(t)) for name, t in templates.items()}

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pavewise.llm.common import documents, prepare, stored
+from pavewise.llm.common import discard, documents, prepare, stored
 
 ROUNDS = 1
 BATCH = 4096
@@ -515,6 +515,7 @@ def fit(df: DataFrame, rounds: int = ROUNDS, shape: Shape = Shape(), known: int
     dealt, n = shards(rows, v.total, shard_words)
     for _ in range(rounds):
         net = train(dealt, n, net, v.total)
+    discard(dealt)
     return Model(v, counts, net), rows
 
 
@@ -539,7 +540,8 @@ def score(df: DataFrame, rounds: int = ROUNDS, model: Model | None = None, id_co
     the edges. Repeated rows score alike, and rows that are equal in id and text teach once. Very long texts are one row
     of 16-bit ids. Extra columns, whatever their names, are not looked at. An empty table gives no rows.
     """
-    if model is None:
+    own = model is None
+    if own:
         model, rows = fit(df, rounds, id_col=id_col, text_col=text_col, **settings)
     else:
         rows = encoded(df, model.vocabulary, id_col, text_col)
@@ -561,6 +563,8 @@ def score(df: DataFrame, rounds: int = ROUNDS, model: Model | None = None, id_co
     kind = rows.schema["doc_id"].dataType.simpleString()
     scored = rows.select("doc_id", "text_hash", "ids", "back").mapInArrow(run, f"doc_id {kind}, text_hash long, n_tokens long, part double")
     tails = stored(_tails(rows, model).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "more"), "word-tails")
+    if own:
+        discard(model.counts)  # the tails were the last to read them
     every = scored.join(tails, scored["doc_id"].eqNullSafe(tails["_id"]) & (scored["text_hash"] == tails["_hash"]), "left")
     total: Column = F.col("part") + F.coalesce("more", F.lit(0.0))
     return every.select("doc_id", "n_tokens", total.alias("log_likelihood"), F.when(F.col("n_tokens") > 0, total / F.col("n_tokens")).alias("per_token"))

@@ -147,7 +147,8 @@ def scan_documents(df: DataFrame, ledger: str | None = None, rules: tuple[Rule,
     """(doc_id, blob, spans) for each row of df; spans (start, rank, end, kind) by start, then rule; none: an empty list.
 
     Without a ledger path a new one is begun in the shared folder. Null and empty texts share one blob without spans;
-    repeated rows get equal spans; an empty table gives none.
+    repeated rows get equal spans; an empty table gives none. Texts are scanned whole, however long, and extra columns,
+    whatever their names, are not looked at.
     """
     spark = df.sparkSession
     ledger = ledger or scratch(spark, "secret-ledger")

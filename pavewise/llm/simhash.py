@@ -218,7 +218,8 @@ def classes(df: DataFrame, shingle: int = 4, max_bits: int = MAX_BITS, id_col: s
     """(doc_id, text_hash, fp, component_id): one row for each row of df, component_id the smallest doc_id reachable.
 
     Null and empty texts have fingerprint 0 and link like any other. Rows that repeat stay rows of their own. A null
-    doc_id keeps its row; component_id is null only where a whole component has no doc_id. An empty table gives none.
+    doc_id keeps its row; component_id is null only where a whole component has no doc_id. An empty table gives none. Very
+    long texts are hashed shingle by shingle by the task that reads them; extra columns, whatever their names, are not looked at.
     """
     rows = stored(fingerprints(df, shingle, id_col, text_col), "fingerprints")
     fps = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")

@@ -241,6 +241,8 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = BOUND, id_col: str = "d
     for having been learned. Labels, language, source and doc_id are no features. Rows without label or doc_id are left
     out; a doc_id labelled twice counts as toxic if any label says so; of repeated documents one is used. The ids of the
     sample (bound of them at most) are broadcast, and the sample's texts written once, so the corpus is not shuffled.
+    Without labelled rows, as in an empty table, the model scores every text alike and under one half. A very long text is
+    one row of features like any other.
     """
     prepare(docs.sparkSession)
     known = pick(labels, doc_id=id_col, toxic=label_col).filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
@@ -268,7 +270,11 @@ def score_column(model: Model) -> Callable[[Column], Column]:
 
 
 def scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, held_out, score, predicted) for each row; null doc_id is never held out; repeated rows score alike."""
+    """(doc_id, held_out, score, predicted) for each row; null doc_id is never held out; repeated rows score alike.
+
+    Null and empty texts have a score as well, very long ones are scored whole, an empty table gives none, and extra columns,
+    whatever their names, are not looked at.
+    """
     rows = pick(docs, doc_id=id_col, text=text_col).select("doc_id", score_column(model)(F.col("text")).alias("score"))
     held = F.coalesce(crc_mod(F.col("doc_id"), 5) == 0, F.lit(False))
     return rows.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
