@@ -18,8 +18,14 @@ def session(app: str = "pavewise", master: str | None = None, **conf: str) -> Sp
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df with its lineage cut by a reliable checkpoint in the folder of spark.checkpoint.dir (a local one if unset)."""
+    """df with its lineage cut by a reliable checkpoint in the folder of spark.checkpoint.dir.
+
+    Where that is unset a local folder is made, in local mode alone: on a cluster executors do not share one.
+    """
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pavewise-core-"))
+        given = sc.getConf().get("spark.checkpoint.dir", None)
+        if not given and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(given or tempfile.mkdtemp(prefix="pavewise-core-"))
     return df.checkpoint()
