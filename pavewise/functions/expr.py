@@ -32,6 +32,11 @@ def joined(tags: Column) -> Column:
     return F.coalesce(F.array_join(tags, ", "), F.lit(""))
 
 
+def category_of(places: Column) -> Column:
+    """The primary category in lower case of a struct column, the empty string where it is unknown."""
+    return F.coalesce(F.lower(places["primary"]), F.lit(""))
+
+
 def category(raw: Column) -> Column:
     """The primary category of a JSON string, lower case; bad JSON and null give the empty string."""
     return F.lower(F.coalesce(F.get_json_object(raw, "$.primary"), F.lit("")))

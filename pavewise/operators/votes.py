@@ -52,11 +52,17 @@ def win_rate(decided: DataFrame) -> DataFrame:
     return decided.select(sides).groupBy("s.seg_id").agg(F.sum("s.won").alias("wins"), F.count("*").alias("shown")).withColumn("rate", F.col("wins") / F.col("shown"))
 
 
-def differences(decided: DataFrame, z: DataFrame, cols: list[str]) -> DataFrame:
-    """Decided pairs with d_<col> = winner's minus loser's value; pairs with an unknown segment go."""
+def differences(decided: DataFrame, z: DataFrame, cols: list[str], strict: bool = False) -> DataFrame:
+    """Decided pairs with d_<col> = winner's minus loser's value; pairs with an unknown segment go, or are an error if strict."""
     w = z.select(F.col("seg_id").alias("winner_seg"), *[F.col(c).alias(f"w_{c}") for c in cols])
     l = z.select(F.col("seg_id").alias("loser_seg"), *[F.col(c).alias(f"l_{c}") for c in cols])
-    both = decided.join(w, "winner_seg").join(l, "loser_seg")
+    if strict:
+        known = lambda side, c: F.when(F.col(side).isNull(), F.raise_error(F.concat(F.lit("unknown segment "), F.col(c).cast("string")))).otherwise(F.col(c))
+        w, l = w.withColumn("_w", F.lit(1)), l.withColumn("_l", F.lit(1))
+        both = decided.join(w, "winner_seg", "left").join(l, "loser_seg", "left")
+        both = both.withColumns({"winner_seg": known("_w", "winner_seg"), "loser_seg": known("_l", "loser_seg")}).filter("winner_seg is not null and loser_seg is not null").drop("_w", "_l")
+    else:
+        both = decided.join(w, "winner_seg").join(l, "loser_seg")
     return both.withColumns({f"d_{c}": F.col(f"w_{c}") - F.col(f"l_{c}") for c in cols})
 
 

@@ -157,20 +157,52 @@ def seeded_order(spark, sf):
     return stats.positions(rows, [design.draw(F.col("pair_id"), F.lit(0), 13), "pair_id"], "at").select("pair_id", (F.col("at") + 1).alias("place"))
 
 
-ZP_SQL = f"{FEAT_SQL}, zp AS (SELECT seg_id, round({C._z('light', 'stddev_samp')}, 6) za, round({C._z('ln(1 + poi_density)', 'stddev_samp')}, 6) zb, row_number() OVER (ORDER BY seg_id) - 1 i, count(*) OVER () n FROM feat)"
-SEED_SQL = f"""{ZP_SQL}, offered AS (SELECT DISTINCT least(p.seg_id, q.seg_id) a, greatest(p.seg_id, q.seg_id) b, round(sqrt((p.za-q.za)*(p.za-q.za) + (p.zb-q.zb)*(p.zb-q.zb)), 6) d FROM zp p, range(1, 7) t(k), zp q WHERE q.i = (p.i + 1 + (p.i * 7919 + k * 104729 + 1) % 1000003 % (p.n - 1)) % p.n),
+def seed_sql(source: str) -> str:
+    """Pairs to judge from a table ``source`` (seg_id, a, b), by the two columns' z-scores."""
+    return f"""zp AS (SELECT seg_id, round({C._z('a', 'stddev_samp')}, 6) za, round({C._z('b', 'stddev_samp')}, 6) zb, row_number() OVER (ORDER BY seg_id) - 1 i, count(*) OVER () n FROM {source}), offered AS (SELECT DISTINCT least(p.seg_id, q.seg_id) a, greatest(p.seg_id, q.seg_id) b, round(sqrt((p.za-q.za)*(p.za-q.za) + (p.zb-q.zb)*(p.zb-q.zb)), 6) d FROM zp p, range(1, 7) t(k), zp q WHERE q.i = (p.i + 1 + (p.i * 7919 + k * 104729 + 1) % 1000003 % (p.n - 1)) % p.n),
  kinds AS (SELECT a, b, d, CASE WHEN d > p80 THEN 'strong' WHEN d > p50 THEN 'mild' ELSE 'near' END kind, (a * 7919 + b * 104729 + 7) % 1000003 h FROM offered, (SELECT quantile_cont(d, 0.5) p50, quantile_cont(d, 0.8) p80 FROM offered)),
  ends AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY h, a, b) turn FROM (SELECT *, a s FROM kinds UNION ALL SELECT *, b FROM kinds)), capped AS (SELECT a, b, d, kind, h FROM ends WHERE turn <= 4 GROUP BY ALL HAVING count(*) = 2),
- placed AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY h, a, b) place FROM capped)"""
+ placed AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY h, a, b) place FROM capped) SELECT a, b, kind, CAST(place AS BIGINT) place FROM placed WHERE place <= CASE kind WHEN 'strong' THEN 60 ELSE 45 END"""
 
 
-@query("pair_seeding", ctes(*F_VIEWS) + f", {SEED_SQL} SELECT a, b, kind, CAST(place AS BIGINT) place FROM placed WHERE place <= CASE kind WHEN 'strong' THEN 60 ELSE 45 END")
-def pair_seeding(spark, sf):
-    f = C.features(spark, sf).withColumn("busy", stats.log_scaled(F.col("poi_density")))
-    z = stats.zscore(f, ["light", "busy"], 1).select("seg_id", F.round("z_light", 6).alias("za"), F.round("z_busy", 6).alias("zb"))
+def seeded(space: DataFrame) -> DataFrame:
+    """Pairs to judge by the z-scores of a and b: quotas of the reference's designs, each with a plane of its own."""
+    z = stats.zscore(checkpointed(space), ["a", "b"], 1).select("seg_id", F.round("z_a", 6).alias("za"), F.round("z_b", 6).alias("zb"))
     return design.seed_pairs(z, "seg_id", ("za", "zb"), 6, 4, {"strong": 60, "mild": 45, "near": 45}).select("a", "b", "kind", F.col("place").cast("long").alias("place"))
 
 
+@query("pair_seeding", ctes(*F_VIEWS) + f", {FEAT_SQL}, sp AS (SELECT seg_id, light a, ln(1 + poi_density) b FROM feat), {seed_sql('sp')}")
+def pair_seeding(spark, sf):
+    """By night: light and businesses."""
+    return seeded(C.features(spark, sf).select("seg_id", F.col("light").alias("a"), stats.log_scaled(F.col("poi_density")).alias("b")))
+
+
+LIT_SQL = f"{WALK_SQL}, {S.LAMPS_SQL}, {S.points_sql(18)}, lf AS (SELECT seg_id, round(avg(CASE WHEN EXISTS (SELECT 1 FROM act WHERE sqrt((px-x)*(px-x)+(py-y)*(py-y)) <= 25) THEN 1.0 ELSE 0.0 END), 6) lit_frac FROM pts GROUP BY seg_id)"
+
+
+@query("pair_seeding_lit", ctes(*F_VIEWS) + f", {LIT_SQL}, {S.BOX_SQL}, {S.POI_SQL}, pc AS (SELECT seg_id, count(place_id) poi_density FROM box LEFT JOIN poin ON x >= minx-50 AND x <= maxx+50 AND y >= miny-50 AND y <= maxy+50 GROUP BY seg_id), sp AS (SELECT seg_id, lit_frac a, ln(1 + poi_density) b FROM lf JOIN pc USING (seg_id)), {seed_sql('sp')}")
+def pair_seeding_lit(spark, sf):
+    """Where lamps have no wattage: the lit share and businesses."""
+    both = S.lit_fraction(spark, sf).join(S.poi_counts(spark, sf, "envelope"), "seg_id")
+    return seeded(both.select("seg_id", F.col("lit_frac").alias("a"), stats.log_scaled(F.col("poi_density")).alias("b")))
+
+
+@query("pair_seeding_day", ctes("segments", "crossings") + f", {TRAFFIC_SQL}, {S.BOX_SQL}, cr AS (SELECT seg_id, count(crossing_id) crossing_near FROM box LEFT JOIN crossings ON x >= minx-40 AND x <= maxx+40 AND y >= miny-40 AND y <= maxy+40 GROUP BY seg_id), sp AS (SELECT seg_id, round(CAST(least(greatest(raw / coalesce(p, 1.0), 0), 1) AS DOUBLE), 3) a, CAST(crossing_near AS DOUBLE) b FROM traffic JOIN cr USING (seg_id), (SELECT quantile_cont(CAST(raw AS DOUBLE), 0.95) p FROM traffic WHERE raw > 0)), {seed_sql('sp')}")
+def pair_seeding_day(spark, sf):
+    """By day: traffic and crossings."""
+    both = S.traffic_exposure(spark, sf).join(S.crossing_near(spark, sf), "seg_id")
+    return seeded(both.select("seg_id", F.col("traffic_exposure").alias("a"), F.col("crossing_near").cast("double").alias("b")))
+
+
+@query("strata_covered", ctes(*F_VIEWS, "images") + f", {FEAT_SQL}, {S.IMG_SQL[len(WALK_SQL) + 2:]}, cv AS (SELECT seg_id, round(light, 9) a FROM feat WHERE seg_id IN (SELECT seg_id FROM near)), st AS (SELECT seg_id, (a > a1)::INT + (a > a2)::INT AS stratum FROM cv, (SELECT quantile_cont(a, 0.33) a1, quantile_cont(a, 0.67) a2 FROM cv)), sr AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY seg_id) turn FROM st) SELECT seg_id, stratum, CAST(turn AS BIGINT) turn FROM sr WHERE turn <= 25 ORDER BY turn, stratum LIMIT 50")
+def strata_covered(spark, sf):
+    """Photographed segments alone, by terciles of light, in turn until the budget of 50 queries is used up."""
+    f = C.features(spark, sf).join(S.imaged(spark, sf).select("seg_id").distinct(), "seg_id", "left_semi")
+    f = checkpointed(f.select("seg_id", F.round("light", 9).alias("a")))
+    rows = stats.with_scalar(f, stats.percentiles(f, "a", [0.33, 0.67])).select("seg_id", sum((F.col("a") > F.col("q")[i]).cast("int") for i in range(2)).alias("stratum"))
+    return design.round_robin(rows, "stratum", "seg_id", 25, 50).select("seg_id", "stratum", F.col("turn").cast("long").alias("turn"))
+
+
 @query("synthetic_pairs", ctes(*C.E_VIEWS) + f", {SCORED_SQL}, pr AS (SELECT DISTINCT pair_id, seg_left a, seg_right b FROM votes), j AS (SELECT pair_id, a, b, 1 / (1 + exp(-(round(x.latent, 6) - round(y.latent, 6)))) p FROM pr JOIN scored x ON x.seg_id = a JOIN scored y ON y.seg_id = b) SELECT pair_id, CASE WHEN (pair_id * 7919 + a * 104729 + 5) % 1000003 < round(p, 6) * 1000003 THEN a ELSE b END AS winner_seg FROM j")
 def synthetic_pairs(spark, sf):
     s = C.scored(spark, sf).select("seg_id", F.round("latent", 6).alias("latent"))

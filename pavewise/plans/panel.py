@@ -113,10 +113,14 @@ def consensus_vs_human(spark, sf):
     return agreed(spark, sf).join(h, "pair_id").groupBy("rater", F.col("confidence_tier").alias("tier")).agg(F.count("*").alias("n"), r6(F.avg(same), "agree"))
 
 
-@query("agree_by_pair_type", ctes("votes") + f", {PANEL_SQL}, h AS (SELECT pair_id, city_id, winner_seg hw FROM dec WHERE rater = 'human1') SELECT city_id, count(*) n, round(avg(CASE WHEN hw = winner_seg THEN 1.0 ELSE 0.0 END), 6) agree FROM cons JOIN h USING (pair_id) GROUP BY 1")
+#: Pairs have no type in the fixture: a third is of each of the three difficulties.
+TYPE_SQL = "CASE pair_id % 3 WHEN 0 THEN 'strong' WHEN 1 THEN 'mild' ELSE 'near' END"
+
+
+@query("agree_by_pair_type", ctes("votes") + f", {PANEL_SQL}, h AS (SELECT pair_id, {TYPE_SQL} pair_type, winner_seg hw FROM dec WHERE rater = 'human1') SELECT pair_type, count(*) n, round(avg(CASE WHEN hw = winner_seg THEN 1.0 ELSE 0.0 END), 6) agree FROM cons JOIN h USING (pair_id) GROUP BY 1")
 def agree_by_type(spark, sf):
-    h = decided(spark, sf).filter("rater = 'human1'").select("pair_id", "city_id", F.col("winner_seg").alias("hw"))
-    return agreed(spark, sf).join(h, "pair_id").groupBy("city_id").agg(F.count("*").alias("n"), r6(F.avg((F.col("hw") == F.col("consensus_winner_seg")).cast("double")), "agree"))
+    h = decided(spark, sf).filter("rater = 'human1'").select("pair_id", F.expr(TYPE_SQL).alias("pair_type"), F.col("winner_seg").alias("hw"))
+    return agreed(spark, sf).join(h, "pair_id").groupBy("pair_type").agg(F.count("*").alias("n"), r6(F.avg((F.col("hw") == F.col("consensus_winner_seg")).cast("double")), "agree"))
 
 
 @query("weighted_mean_agreement", ctes("votes") + f", {PANEL_SQL}, h AS (SELECT pair_id, city_id, winner_seg hw FROM dec WHERE rater = 'human1'), c AS (SELECT city_id, count(*) n, avg(CASE WHEN hw = winner_seg THEN 1.0 ELSE 0.0 END) agree FROM cons JOIN h USING (pair_id) GROUP BY 1) SELECT round(sum(n * agree) / sum(n), 6) mean_agree, count(*) FILTER (WHERE agree >= 0.6) passed, CAST(sum(n) AS BIGINT) n FROM c")
@@ -222,10 +226,18 @@ def next_unrated(spark, sf):
     return gap.join(queue.withColumnRenamed("pair_id", "next_pair"), "at", "left").select("rater", "next_pair", "done")
 
 
-@query("panel_manifest", ctes("votes") + ", q AS (SELECT pair_id, min(seg_left) a, min(seg_right) b FROM votes GROUP BY 1) SELECT rater, pair_id, a, b FROM q, (SELECT unnest(range(1, 4)) rater)")
+@query("panel_manifest", ctes("segments", "images", "votes") + f", {IMG_SQL}, q AS (SELECT pair_id, min(seg_left) a, min(seg_right) b FROM votes GROUP BY 1), pic AS (SELECT seg_id, arg_min(image_id, d + image_id / 1e12) image_id FROM near GROUP BY seg_id), m AS (SELECT rater, pair_id, a, b, ia.image_id img_a, ib.image_id img_b, (pair_id * 7919 + rater * 104729 + 17) % 1000003 % 2 = 0 a_left FROM q JOIN pic ia ON ia.seg_id = a JOIN pic ib ON ib.seg_id = b, (SELECT unnest(range(1, 4)) rater)) SELECT rater, pair_id, CASE WHEN a_left THEN a ELSE b END seg_left, CASE WHEN a_left THEN b ELSE a END seg_right, CASE WHEN a_left THEN img_a ELSE img_b END img_left, CASE WHEN a_left THEN img_b ELSE img_a END img_right FROM m")
 def manifest(spark, sf):
+    """Each of three raters' pairs with pictures and sides: pairs without a picture of both segments go, sides are a fixed draw."""
+    from pavewise.operators import design
+
     q = view(spark, sf, "votes").groupBy("pair_id").agg(F.min("seg_left").alias("a"), F.min("seg_right").alias("b"))
-    return q.select(F.explode(F.sequence(F.lit(1).cast("long"), F.lit(3).cast("long"))).alias("rater"), "pair_id", "a", "b")
+    pic = S.imaged(spark, sf).groupBy("seg_id").agg(F.min(F.struct("d", "image_id")).alias("p")).select("seg_id", "p.image_id")
+    both = q.join(pic.toDF("a", "img_a"), "a").join(pic.toDF("b", "img_b"), "b")
+    m = both.select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(3).cast("long"))).alias("rater"))
+    left = design.draw(F.col("pair_id"), F.col("rater"), 17) % 2 == 0
+    side = lambda one, two, name: F.when(left, F.col(one)).otherwise(F.col(two)).alias(name)
+    return m.select("rater", "pair_id", side("a", "b", "seg_left"), side("b", "a", "seg_right"), side("img_a", "img_b", "img_left"), side("img_b", "img_a", "img_right"))
 
 
 @query("order_swap_judging", ctes("votes") + ", x AS (SELECT pair_id, min(choice) FILTER (WHERE rater='ai:panel-r1') c1, min(choice) FILTER (WHERE rater='ai:panel-r2') c2 FROM votes GROUP BY 1) SELECT pair_id, CASE WHEN c1 = 'L' AND c2 = 'R' THEN 'first' WHEN c1 = 'R' AND c2 = 'L' THEN 'second' WHEN c1 = 'tie' AND c2 = 'tie' THEN 'tie' ELSE 'incons' END verdict FROM x WHERE c1 IS NOT NULL AND c2 IS NOT NULL")

@@ -1,4 +1,9 @@
-"""Running tallies over a vote log that grows: one vote for each rater and pair, late ones within the watermark dropped."""
+"""A vote log that grows: the last vote of each rater and pair and daily tallies, kept in durable tables.
+
+As in batch (``operators.votes.latest``), the last vote counts, by time and then by choice. A micro-batch writes the votes
+that changed into a folder of its own, named by its number and overwritten if it is run again, so restarts neither lose nor
+repeat votes; reading takes the last of each key over all folders. Tallies are made from that table.
+"""
 
 from __future__ import annotations
 
@@ -7,23 +12,33 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 LOG = "ts timestamp, rater string, pair_id long, choice string"
+KEYS = ("rater", "pair_id")
 
 
 def stream(spark: SparkSession, path: str, files: int = 50) -> DataFrame:
     return spark.readStream.schema(LOG).option("maxFilesPerTrigger", files).parquet(path)
 
 
-def first_votes(votes: DataFrame, late: str = "1 hour") -> DataFrame:
-    """Votes without repeats of (rater, pair_id); state is kept for the watermark's span alone."""
-    return votes.withWatermark("ts", late).dropDuplicatesWithinWatermark(["rater", "pair_id"])
+def last_votes(votes: DataFrame) -> DataFrame:
+    """One row for each rater and pair, the last; of a stream, in update mode, those that changed."""
+    return votes.groupBy(*KEYS).agg(F.max(F.struct("ts", "choice")).alias("v")).select(*KEYS, "v.*")
 
 
 def tallies(votes: DataFrame, window: str = "1 day") -> DataFrame:
+    """Votes by window and rater of a table of last votes."""
     c = F.col("choice")
     return votes.groupBy(F.window("ts", window), "rater").agg(F.count_if(c == "L").alias("n_l"), F.count_if(c == "R").alias("n_r"), F.count_if(c == "tie").alias("n_tie"), F.count("*").alias("n"))
 
 
-def start(spark: SparkSession, path: str, name: str, checkpoint: str) -> StreamingQuery:
-    """Tallies of all files there are into an in-memory table, for inspection; ends when they are read."""
-    rows = tallies(first_votes(stream(spark, path)))
-    return rows.writeStream.outputMode("append").format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def start(spark: SparkSession, path: str, table: str, checkpoint: str) -> StreamingQuery:
+    """Last votes of all files there are, into the folder table; ends when they are read, and goes on from there when started again."""
+
+    def write(changed: DataFrame, batch: int) -> None:
+        changed.write.mode("overwrite").parquet(f"{table}/batch={batch}")
+
+    return last_votes(stream(spark, path)).writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
+
+
+def read(spark: SparkSession, table: str) -> DataFrame:
+    """The last votes that start has written so far."""
+    return last_votes(spark.read.schema(LOG).parquet(f"{table}/batch=*"))

@@ -203,6 +203,15 @@ def test_consensus_ties(spark):
     assert got == {1: (10, 2, "split"), 3: (5, 3, "split")}
 
 
+def test_differences_strict(spark):
+    decided = spark.createDataFrame([(1, 10, 20), (2, 10, 99)], "pair_id long, winner_seg long, loser_seg long")
+    z = spark.createDataFrame([(10, 3.0), (20, 1.0)], "seg_id long, v double")
+    assert [(r["pair_id"], r["d_v"]) for r in votes.differences(decided, z, ["v"]).collect()] == [(1, 2.0)]
+    with pytest.raises(Exception, match="unknown segment 99"):
+        votes.differences(decided, z, ["v"], strict=True).collect()
+    assert votes.differences(decided.filter("pair_id = 1"), z, ["v"], strict=True).first()["d_v"] == 2.0
+
+
 def test_one_per_cell(spark):
     rows = [(1, "g", "x"), (2, "g", "x"), (3, "g", "y"), (4, "g", "x")]
     got = votes.one_per_cell(spark.createDataFrame(rows, "id long, grp string, cell string"), "grp", "cell", [F.col("id")], 3)
@@ -300,10 +309,18 @@ def test_files(spark, tmp_path):
 def test_vote_stream(spark, tmp_path):
     t0 = dt.datetime(2024, 1, 1, 8)
     at = lambda h: t0 + dt.timedelta(hours=h)
-    path = str(tmp_path / "votes")
-    spark.createDataFrame([(at(0), "a", 1, "L"), (at(0), "a", 1, "R"), (at(1), "b", 1, "R")], stream.LOG).coalesce(1).write.parquet(path)
-    spark.createDataFrame([(at(60), "a", 2, "tie")], stream.LOG).write.mode("append").parquet(path)
-    q = stream.start(spark, path, "tallied", str(tmp_path / "cp"))
-    q.awaitTermination(120)
-    got = {r["rater"]: (r["n_l"] + r["n_r"], r["n"]) for r in spark.sql("select * from tallied").collect()}
-    assert got["a"] == (1, 1) and got["b"] == (1, 1)
+    path, table, checkpoint = (str(tmp_path / n) for n in ("votes", "last", "cp"))
+    first = [(at(0), "a", 1, "L"), (at(2), "a", 1, "R"), (at(1), "b", 1, "R")]
+    spark.createDataFrame(first, stream.LOG).coalesce(1).write.parquet(path)
+    stream.start(spark, path, table, checkpoint).awaitTermination(120)
+    assert sorted((r["rater"], r["pair_id"], r["choice"]) for r in stream.read(spark, table).collect()) == [("a", 1, "R"), ("b", 1, "R")]
+    later = [(at(60), "a", 2, "tie"), (at(1), "a", 1, "L"), (at(70), "b", 1, "L")]
+    spark.createDataFrame(later, stream.LOG).write.mode("append").parquet(path)
+    stream.start(spark, path, table, checkpoint).awaitTermination(120)
+    got = stream.read(spark, table)
+    whole = spark.createDataFrame(first + later, stream.LOG)
+    from pavewise.operators import votes
+
+    batch = votes.latest(whole, order=("ts", "choice"))
+    assert sorted(map(tuple, got.select("rater", "pair_id", "choice").collect())) == sorted(map(tuple, batch.select("rater", "pair_id", "choice").collect())) == [("a", 1, "R"), ("a", 2, "tie"), ("b", 1, "L")]
+    assert sorted((r["rater"], r["n_l"], r["n_r"], r["n"]) for r in stream.tallies(got).collect()) == [("a", 0, 0, 1), ("a", 0, 1, 1), ("b", 1, 0, 1)]
