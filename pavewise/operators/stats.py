@@ -188,12 +188,13 @@ def rank_bins(df: DataFrame, col: str, tie: str, bins: int, out: str) -> DataFra
 def least_squares(df: DataFrame, y: str, cols: list[str]) -> list[tuple[str, float]]:
     """Coefficients of y on standardised columns (sample deviation) with an intercept, over rows that are finite in all.
 
-    One pass gathers means and covariances; the driver solves a system as wide as cols. A column without spread has 0.
+    The columns are written once; one pass gathers means and covariances, and the driver solves a system as wide as cols. A
+    column without spread has 0.
     """
     check(cols)
     names = [*cols, y]
     finite = [F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) & (F.abs(F.col(c).cast("double")) < float("inf")) for c in names]
-    rows = df.filter(reduce(lambda a, b: a & b, finite))
+    rows = checkpointed(df.filter(reduce(lambda a, b: a & b, finite)).select(*[F.col(c).cast("double").alias(c) for c in names]))
     got = rows.agg(*[F.covar_samp(a, b).alias(f"{i}_{j}") for i, a in enumerate(names) for j, b in enumerate(names) if i <= j]).first()
     n = len(names)
     cov = np.array([[got[f"{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(n)] for i in range(n)])

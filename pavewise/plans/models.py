@@ -101,7 +101,8 @@ OLS_SQL = f"{TRAFFIC_SQL}, {CRASH_SQL}, o AS (SELECT per.length_m x1, CAST(day_s
 
 
 def fitted(spark, sf) -> DataFrame:
-    rows = C.crashes(spark, sf).withColumns({"y": F.log1p(F.col("crashes").cast("double")), "day_safety": F.col("day_safety").cast("double")})
+    rows = C.crashes(spark, sf).select("length_m", F.log1p(F.col("crashes").cast("double")).alias("y"), F.col("day_safety").cast("double").alias("day_safety"))
+    rows = checkpointed(rows)  # the scores' long expressions once, not in each of the filter's terms
     return spark.createDataFrame(stats.least_squares(rows, "y", ["length_m", "day_safety"]), "feature string, coef double")
 
 
