@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
 from pavewise.guard import check
-from pavewise.session import checkpointed
+from pavewise.session import checkpointed, importable
 
 EPS = 1e-9
 #: Rows in the bracket of a percentile that the driver may get, and the sketch's accuracy.
@@ -246,6 +246,7 @@ def bradley_terry_fits(pairs: DataFrame, cols: list[str], key: str | None = None
     driver gets fits x (d + d * d) numbers.
     """
     check(cols)
+    importable(pairs.sparkSession)
     d = len(cols)
     rows = checkpointed(pairs.select(*[F.col(c).cast("double").alias(f"_{i}") for i, c in enumerate(cols)], F.xxhash64(F.col(key) if key else F.lit(0), F.lit(seed)).alias("_h")).na.drop())
     w = np.zeros((fits, d))
@@ -296,6 +297,7 @@ def bootstrap_interval(pairs: DataFrame, cols: list[str], key: str, rounds: int
 def mean_intervals(rows: DataFrame, cols: list[str], key: str, draws: int = 1000, seed: int = 5) -> DataFrame:
     """(model, n, agreement, low, high): means of cols with 2.5 and 97.5 percentiles of resampled means, and those of the
     differences of the first column's mean from the others' (model "first - other"), over the same draws and rows."""
+    importable(rows.sparkSession)
     d = len(cols)
     flat = rows.select(*[F.col(c).cast("double").alias(f"_{i}") for i, c in enumerate(cols)], F.xxhash64(F.col(key), F.lit(seed)).alias("_h"))
 
