@@ -16,7 +16,7 @@ too different; edits that copies of a template do not share rule most pairs out
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import accumulate
 
 import numpy as np
@@ -59,7 +59,7 @@ def bands(found: np.ndarray) -> bytes:
     return b"".join(xxhash.xxh64_digest(raw[i : i + 8 * ROWS], i) for i in range(0, len(raw), 8 * ROWS))
 
 
-def _lists(values: list[bytes]) -> pa.Array:
+def lists(values: list[bytes]) -> pa.Array:
     """One list of longs from each value's 8-byte numbers."""
     flat = np.frombuffer(b"".join(values), np.int64)
     return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(v) // 8 for v in values)]), pa.int32()), pa.array(flat))
@@ -79,14 +79,14 @@ def signatures(df: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", te
                 sizes.append(len(found))
                 marks.append(bands(found) if len(found) else b"")
             fp = pa.array(np.frombuffer(b"".join(fps), np.int64))
-            yield pa.record_batch([batch.column(0), batch.column(1), fp, pa.array(sizes, pa.int32()), _lists(marks)], ["doc_id", "text_hash", "fp", "n", "bands"])
+            yield pa.record_batch([batch.column(0), batch.column(1), fp, pa.array(sizes, pa.int32()), lists(marks)], ["doc_id", "text_hash", "fp", "n", "bands"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, f"doc_id {kind}, text_hash long, fp long, n int, bands array<long>")
 
 
-def _sets(df: DataFrame, of: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
-    """(fp, set) of the documents (doc_id, text_hash, fp) in of."""
+def sets_of(df: DataFrame, of: DataFrame, make: Callable[[str], np.ndarray], id_col: str, text_col: str) -> DataFrame:
+    """(fp, set) of the documents (doc_id, text_hash, fp) in of; make gives a text's set."""
     docs = pick(df, doc_id=id_col, text=text_col).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     docs = docs.withColumn("_hash", F.xxhash64("text"))
     own = of.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_of"), "fp")
@@ -94,7 +94,7 @@ def _sets(df: DataFrame, of: DataFrame, shingle: int, id_col: str, text_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.record_batch([batch.column(0), _lists([shingles(t, shingle).tobytes() for t in batch.column(1).to_pylist()])], ["fp", "set"])
+            yield pa.record_batch([batch.column(0), lists([make(t).tobytes() for t in batch.column(1).to_pylist()])], ["fp", "set"])
 
     return texts.mapInArrow(run, "fp long, set array<long>")
 
@@ -104,15 +104,15 @@ def _similar(a: str, b: str):
     return F.least(a, b).cast("long") * LEAST[1] >= F.greatest(a, b).cast("long") * LEAST[0]
 
 
-def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """(a, b, n, m, common) of pairs (a, b): the whole sets' sizes, and how many shingles they share."""
     both = pairs.join(sets.select(F.col("fp").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("fp").alias("b"), F.col("set").alias("y")), "b")
     return both.select("a", "b", F.size("x").cast("long").alias("n"), F.size("y").cast("long").alias("m"), F.size(F.array_intersect("x", "y")).cast("long").alias("common"))
 
 
-def _linked(overlaps: DataFrame) -> DataFrame:
+def linked(counted: DataFrame) -> DataFrame:
     """Pairs (a, b) whose whole sets have a Jaccard similarity of LEAST or more."""
-    return overlaps.filter(F.col("common") * sum(LEAST) >= (F.col("n") + F.col("m")) * LEAST[0]).select("a", "b")
+    return counted.filter(F.col("common") * sum(LEAST) >= (F.col("n") + F.col("m")) * LEAST[0]).select("a", "b")
 
 
 def _ordered(a: str, b: str) -> list:
@@ -129,12 +129,12 @@ def links(df: DataFrame, rows: DataFrame, shingle: int = SHINGLE, crowd: int = C
     quiet, crowded = members.filter(F.col("k") <= crowd), members.filter(F.col("k") > crowd)
     other = quiet.select(F.col("band").alias("_band"), F.col("value").alias("_value"), F.col("fp").alias("other"), F.col("n").alias("m"))
     near = quiet.join(other, (F.col("band") == F.col("_band")) & (F.col("value") == F.col("_value")) & (F.col("fp") < F.col("other")) & _similar("n", "m"))
-    sets = stored(_sets(df, one.join(members.select("fp").distinct(), "fp", "left_semi"), shingle, id_col, text_col), "shingle-sets")
-    found = stored(_linked(_overlaps(near.select(*_ordered("fp", "other")).distinct(), sets)), "similar")
-    return found if crowded.isEmpty() else _crowd_links(crowded, found, sets)
+    sets = stored(sets_of(df, one.join(members.select("fp").distinct(), "fp", "left_semi"), lambda text: shingles(text, shingle), id_col, text_col), "shingle-sets")
+    found = stored(linked(overlaps(near.select(*_ordered("fp", "other")).distinct(), sets)), "similar")
+    return found if crowded.isEmpty() else crowd_links(crowded, found, sets)
 
 
-def _crowd_links(crowded: DataFrame, found: DataFrame, sets: DataFrame) -> DataFrame:
+def crowd_links(crowded: DataFrame, found: DataFrame, sets: DataFrame) -> DataFrame:
     """The links found, and those that connect the similar ones among crowded (band, value, fp, n)."""
     each = sets.join(crowded.select("fp").distinct(), "fp", "left_semi").select("fp", F.explode("set").alias("x"))
     own = each.groupBy("x").agg(F.count("*").alias("k"), F.min("fp").alias("fp")).filter("k = 1").groupBy("fp").agg(F.count("*").alias("u"))
@@ -143,11 +143,11 @@ def _crowd_links(crowded: DataFrame, found: DataFrame, sets: DataFrame) -> DataF
     best = rows.groupBy("band", "value").agg(*[F.min(F.when(place == j, F.struct((F.col("u") / F.col("n")).alias("share"), "fp"))).alias(f"p{j}") for j in range(3)])
     met = stored(rows.join(best.select("band", "value", *[F.col(f"p{j}.fp").alias(f"f{j}") for j in range(3)]), ["band", "value"]), "pivots")
     pairs = met.select("fp", F.explode(F.array("f0", "f1", "f2")).alias("other")).filter("fp <> other").select(*_ordered("fp", "other")).distinct()
-    overlaps = stored(_overlaps(pairs, sets), "pivot-overlaps")
-    close = stored(found.union(_linked(overlaps)).distinct(), "similar")
+    met_pivots = stored(overlaps(pairs, sets), "pivot-overlaps")
+    close = stored(found.union(linked(met_pivots)).distinct(), "similar")
     label = components(close).withColumnRenamed("node", "fp")
     gap = (F.col("n") + F.col("m") - 2 * F.col("common")).alias("gap")
-    gaps = stored(overlaps.select(F.col("a").alias("fp"), F.col("b").alias("f"), gap).union(overlaps.select(F.col("b").alias("fp"), F.col("a").alias("f"), gap)), "pivot-gaps")
+    gaps = stored(met_pivots.select(F.col("a").alias("fp"), F.col("b").alias("f"), gap).union(met_pivots.select(F.col("b").alias("fp"), F.col("a").alias("f"), gap)), "pivot-gaps")
     for j in range(3):
         met = met.join(gaps.select("fp", F.col("f").alias(f"f{j}"), F.col("gap").alias(f"g{j}")), ["fp", f"f{j}"], "left").withColumn(f"g{j}", F.when(F.col("fp") == F.col(f"f{j}"), 0).otherwise(F.col(f"g{j}")))
     placed = stored(met.join(label, "fp", "left").select("band", "value", "fp", "n", "u", "g0", "g1", "g2", F.coalesce("label", "fp").alias("label")), "placed")
@@ -160,16 +160,16 @@ def _crowd_links(crowded: DataFrame, found: DataFrame, sets: DataFrame) -> DataF
         least = F.col(f"g{j}") + F.col(f"_g{j}") - 2 * F.least(F.col(f"g{j}") - F.col("u"), F.col(f"_g{j}") - F.col("_u"))
         can = can & F.coalesce(least * sum(LEAST) <= (F.col("n") + F.col("_n")) * (LEAST[1] - LEAST[0]), F.lit(True))
     left = apart.join(rest, can).select(*_ordered("fp", "_fp")).distinct()
-    return close.union(_linked(_overlaps(left, sets)))
+    return close.union(linked(overlaps(left, sets)))
 
 
 def classes(df: DataFrame, shingle: int = SHINGLE, crowd: int = CROWD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text_hash, fp, component_id): one row for each row of df, as simhash.classes gives them."""
     rows = stored(signatures(df, shingle, id_col, text_col), "signatures")
     least = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "different-fp")
-    linked = components(links(df, rows, shingle, crowd, id_col, text_col)).withColumnRenamed("node", "fp")
-    of_label = linked.join(least, "fp").groupBy("label").agg(F.min("least").alias("component_id"))
-    moved = linked.join(of_label, "label").select("fp", "component_id")
+    label = components(links(df, rows, shingle, crowd, id_col, text_col)).withColumnRenamed("node", "fp")
+    of_label = label.join(least, "fp").groupBy("label").agg(F.min("least").alias("component_id"))
+    moved = label.join(of_label, "label").select("fp", "component_id")
     own = least.join(moved, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
     return with_component(rows.select("doc_id", "text_hash", "fp"), own)
 

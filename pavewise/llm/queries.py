@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pavewise.llm import bpe, licenses, media, mixing, pseudo_lm, secret_scan, simhash, spotsigs, token_store, toxicity
+from pavewise.llm import bpe, licenses, media, mixing, part_enum, pseudo_lm, secret_scan, simhash, spotsigs, token_store, toxicity, variants, whitening
 from pavewise.llm.common import prepare, scratch, table
 
 
@@ -57,6 +57,18 @@ def op10_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudo_lm.score(table(spark, sf_dir, "documents"))
 
 
+def op11_part_enum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return part_enum.classes(table(spark, sf_dir, "documents"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.group(table(spark, sf_dir, "documents"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_store": op1_token_store,
     "op2_media_columns": op2_media_columns,
@@ -68,6 +80,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secret_scan": op8_secret_scan,
     "op9_simhash": op9_simhash,
     "op10_pseudo_likelihood": op10_pseudo_likelihood,
+    "op11_part_enum": op11_part_enum,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_whitening": op13_whitening,
 }
 
 ORACLES: dict[str, str] = {}

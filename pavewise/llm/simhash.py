@@ -230,13 +230,13 @@ def classes(df: DataFrame, shingle: int = 4, max_bits: int = MAX_BITS, id_col: s
     return with_component(rows, own)
 
 
-def with_component(rows: DataFrame, own: DataFrame) -> DataFrame:
-    """rows (doc_id, text_hash, fp) with own's component_id of their fp.
+def with_component(rows: DataFrame, own: DataFrame, columns: tuple[str, ...] = ("doc_id", "text_hash", "fp")) -> DataFrame:
+    """These columns of rows, fp among them, with own's component_id of their fp.
 
     own has one row for each fp and is written first: both sides then come to the join through plain exchanges, so a
     fingerprint that very many rows have is split over tasks by adaptive execution, and only own's one row is repeated.
     """
-    return rows.join(stored(own, "component-of"), "fp").select("doc_id", "text_hash", "fp", "component_id")
+    return rows.join(stored(own, "component-of"), "fp").select(*columns, "component_id")
 
 
 def hex_fingerprint(fp: str = "fp"):
