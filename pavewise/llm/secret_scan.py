@@ -4,8 +4,9 @@ Every version of every document is a blob named by the SHA-256 of its text. The
 it was scanned with and the spans they found. A run scans only pairs of blob and rule version that the ledger lacks, each
 different text once, appends what it finds, and joins the ledger back to all paths that hold the blob.
 
-Positions come from two lists of one expression: the matches and the gaps between them. A match starts after the gaps and
-matches before it; lengths count code points.
+Positions come from two lists of one expression: the matches and the gaps between them. Their lengths, in code points, are rows
+of one text, and a match starts at the running sum of the lengths before it. Patterns never look at a character more than a
+bounded number of times, so a text takes time in proportion to its length, however many matches it has.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from pavewise.llm.common import pick, scratch, stored
@@ -48,10 +50,12 @@ BASE = (
 MORE = (
     Rule("private_key", 1, r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----", 0, 1, ("PRIVATE KEY-----",)),
     Rule("forge_token", 1, r"gh[pousr]_[A-Za-z0-9]{36,}", 0, 1, ("ghp_", "gho_", "ghu_", "ghs_", "ghr_")),
-    Rule("web_token", 1, r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 1, ("eyJ",)),
+    Rule("web_token", 2, r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+", 0, 1, ("eyJ",)),
     Rule("chat_token", 1, r"xox[abprs]-[A-Za-z0-9-]{10,}", 0, 1, ("xox",)),
 )
 RULES = BASE + MORE
+#: Code points of a chunk that redaction cuts from.
+CHUNK = 512
 SPAN = "struct<kind:string,rank:int,start:int,end:int>"
 LEDGER = f"blob binary, rules array<string>, spans array<{SPAN}>"
 
@@ -68,35 +72,33 @@ def _hinted(rule: Rule, text: Column, low: Column) -> Column:
     return out
 
 
-def _places(rule: Rule, rank: int, matches: Column, gaps: Column, groups: Column) -> Column:
-    """Spans of the matches whose group is long enough."""
-    zipped = F.arrays_zip(gaps.alias("gap"), matches.alias("hit"), groups.alias("part"))
-    begin = F.struct(F.lit(0).alias("at"), F.lit(None).cast(f"array<{SPAN}>").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
-        end = start + F.coalesce(F.length(x["hit"]), F.lit(0))
-        one = F.array(F.struct(F.lit(rule.kind).alias("kind"), F.lit(rank).alias("rank"), start.alias("start"), end.alias("end")))
-        good = F.coalesce(F.length(x["part"]) >= rule.least, F.lit(False))
-        return F.struct(end.alias("at"), F.when(good, F.concat(F.coalesce(acc["out"], F.array().cast(f"array<{SPAN}>")), one)).otherwise(acc["out"]).alias("out"))
-
-    return F.aggregate(zipped, begin, step)["out"]
+def _pieces(i: int, rule: Rule, matches: Column) -> Column:
+    """(rule, place, gap, hit, part) of each match: lengths of the text before it, of itself and of its group, in code points."""
+    parts = F.regexp_extract_all("text", F.lit(rule.pattern), F.lit(rule.group)) if rule.group else matches
+    zipped = F.arrays_zip(F.split("text", rule.pattern, -1).alias("gap"), matches.alias("hit"), parts.alias("part"))
+    lengths = lambda x, place: F.struct(F.lit(i).alias("rule"), place.alias("place"), *[F.coalesce(F.length(x[c]), F.lit(0)).alias(c) for c in ("gap", "hit", "part")])
+    return F.when(F.size(matches) > 0, F.transform(zipped, lengths))
 
 
 def _scanned(blobs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
-    """(blob, rules, spans) of rows (blob, text, todo): the rules in todo applied to the text."""
-    df, found = blobs.withColumn("low", F.lower("text")), []
+    """(blob, rules, spans) of rows (blob, text, todo), one for each blob: the rules in todo applied to the text.
+
+    The rows of a text's matches stay in the partition that its blob has been dealt to.
+    """
+    df = blobs.withColumn("low", F.lower("text"))
     for i, rule in enumerate(rules):
         wanted = F.array_contains("todo", rule.key) & _hinted(rule, F.col("text"), F.col("low"))
-        pattern = F.lit(rule.pattern)
-        df = df.withColumn(f"m{i}", F.when(wanted, F.regexp_extract_all("text", pattern, F.lit(0))))
-    for i, rule in enumerate(rules):
-        hit, pattern = F.size(f"m{i}") > 0, F.lit(rule.pattern)
-        gaps = F.split("text", rule.pattern, -1)
-        groups = F.regexp_extract_all("text", pattern, F.lit(rule.group)) if rule.group else F.col(f"m{i}")
-        df = df.withColumn(f"s{i}", F.when(hit, _places(rule, i, F.col(f"m{i}"), gaps, groups)))
-        found.append(F.coalesce(F.col(f"s{i}"), F.array().cast(f"array<{SPAN}>")))
-    return df.select("blob", F.col("todo").alias("rules"), F.array_distinct(F.concat(*found)).alias("spans"))
+        df = df.withColumn(f"m{i}", F.when(wanted, F.regexp_extract_all("text", F.lit(rule.pattern), F.lit(0))))
+    none = F.array().cast("array<struct<rule:int,place:int,gap:int,hit:int,part:int>>")
+    pieces = F.flatten(F.array(*[F.coalesce(_pieces(i, rule, F.col(f"m{i}")), none) for i, rule in enumerate(rules)]))
+    rows = df.select("blob", F.col("todo").alias("rules"), F.explode_outer(pieces).alias("p")).select("blob", "rules", "p.*")
+    before = Window.partitionBy("blob", "rule").orderBy("place")  # the matches of one rule in one text
+    end = F.sum(F.col("gap") + F.col("hit")).over(before).cast("int")
+    least, kinds = F.array(*[F.lit(r.least) for r in rules]), F.array(*[F.lit(r.kind) for r in rules])
+    good = F.coalesce((F.col("hit") > 0) & (F.col("part") >= least[F.col("rule")]), F.lit(False))
+    span = F.struct(kinds[F.col("rule")].alias("kind"), F.col("rule").alias("rank"), (F.col("end") - F.col("hit")).alias("start"), F.col("end"))
+    spans = F.collect_set(F.when(good, span)).cast(f"array<{SPAN}>")  # spans of one text
+    return rows.withColumn("end", end).groupBy("blob").agg(F.first("rules").alias("rules"), spans.alias("spans"))
 
 
 def _ledger(spark, path: str) -> DataFrame | None:
@@ -172,28 +174,55 @@ def summary(scanned: DataFrame) -> DataFrame:
     return scanned.select("doc_id", *[count(k) for k in kinds], F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
 
 
-def redacted(text: Column, spans: Column, mark: str = "[secret]") -> Column:
-    """The text with every span, or run of overlapping spans, replaced by the mark."""
-    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+def cuts(found: DataFrame) -> DataFrame:
+    """(blob, keep, tail) of findings (blob, spans): the pieces (at, start) that stay before a mark, and where the rest begins.
+
+    A span that begins before the end of an earlier one has no mark of its own.
+    """
+    rows = found.select("blob", F.explode("spans").alias("s")).select("blob", "s.start", "s.end", "s.rank", "s.kind")
+    earlier = Window.partitionBy("blob").orderBy("start", "rank", "end", "kind").rowsBetween(Window.unboundedPreceding, -1)  # the spans of one text
+    at = F.coalesce(F.max("end").over(earlier), F.lit(0))
+    piece = F.when(F.col("start") >= F.col("at"), F.struct("at", "start"))
+    return rows.withColumn("at", at).groupBy("blob").agg(F.array_sort(F.collect_list(piece)).alias("keep"), F.max("end").alias("tail"))
 
-    def step(acc: Column, s: Column) -> Column:
-        before = F.when(s["start"] >= acc["at"], F.concat(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))).otherwise(F.lit(""))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], before).alias("out"))
 
-    return F.aggregate(spans, begin, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+def redacted(text: Column, keep: Column, tail: Column, mark: str = "[secret]") -> Column:
+    """The text with a mark after each piece (at, start) of keep, and the rest from tail on.
+
+    Pieces are cut out of chunks of CHUNK code points, so that a cut costs no walk through the whole text.
+    """
+
+    def cut(chunks: Column, start: Column, end: Column) -> Column:
+        first, last = F.floor(start / CHUNK).cast("int"), F.floor(end / CHUNK).cast("int")
+        head = F.substring(F.get(chunks, first), (start % CHUNK + 1).cast("int"), F.least(F.lit(CHUNK), end - first * CHUNK - start % CHUNK).cast("int"))
+        body = F.array_join(F.slice(chunks, first + 2, F.greatest(last - first - 1, F.lit(0))), "")
+        foot = F.when(last > first, F.substring(F.get(chunks, last), F.lit(1), (end % CHUNK).cast("int"))).otherwise(F.lit(""))
+        return F.concat(F.coalesce(head, F.lit("")), body, F.coalesce(foot, F.lit("")))
+
+    def joined(chunks: Column) -> Column:
+        pieces = F.transform(keep, lambda p: cut(chunks, p["at"], p["start"]))
+        return F.array_join(F.concat(pieces, F.array(cut(chunks, tail, F.length(text)))), mark)
+
+    chunks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
+    return F.get(F.transform(F.array(chunks), joined), F.lit(0))  # a variable of its own: the chunks are made once
 
 
 def redact(df: DataFrame, ledger: str | None = None, rules: tuple[Rule, ...] = RULES, text_col: str = "text", size_col: str | None = "n_chars") -> DataFrame:
-    """df with the spans in its texts replaced by a mark, and size_col set to the new length where a text changed."""
+    """df with the spans in its texts replaced by a mark, and size_col set to the new length where a text changed.
+
+    Runs of overlapping spans have one mark. Null and empty texts, and texts without spans, stay as they are; repeated rows are changed
+    alike; texts of any length and with any number of spans take time in proportion to both. An empty table gives none.
+    Columns, clashing names too, come out as they went in.
+    """
     ledger = ledger or scratch(df.sparkSession, "secret-ledger")
     scan(df, ledger, rules, text_col)
     names = df.columns
     flat = df.toDF(*[f"c{i}" for i in range(len(names))])
     text = f"c{names.index(text_col)}"
-    found = stored(findings(df, ledger, rules), "secret-findings")
+    found = stored(cuts(findings(df, ledger, rules)), "secret-cuts")
     out = flat.withColumn("_blob", blob_of(F.col(text))).join(found.withColumnRenamed("blob", "_blob"), "_blob", "left")
-    out = out.withColumn(text, F.when(F.col("spans").isNull(), F.col(text)).otherwise(redacted(F.col(text), F.col("spans"))))
+    out = out.withColumn(text, F.when(F.col("keep").isNull(), F.col(text)).otherwise(redacted(F.col(text), F.col("keep"), F.col("tail"))))
     if size_col in names:
         n = f"c{names.index(size_col)}"
-        out = out.withColumn(n, F.when(F.col("spans").isNull(), F.col(n)).otherwise(F.length(text).cast(flat.schema[n].dataType)))
+        out = out.withColumn(n, F.when(F.col("keep").isNull(), F.col(n)).otherwise(F.length(text).cast(flat.schema[n].dataType)))
     return out.select(*[f"c{i}" for i in range(len(names))]).toDF(*names)

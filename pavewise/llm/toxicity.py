@@ -43,8 +43,11 @@ INSULT_SET, HOSTILE_SET = frozenset(INSULTS), frozenset(HOSTILE)
 WORD = re.compile(r"[^\W\d_]+")
 SHOUT = re.compile(r"[A-Z]{3,}")
 RUN = re.compile(r"[!?]{2,}")
-MASKED = re.compile(r"[a-z]+[@$!*#+013457]+[a-z]+(?:[@$!*#+013457]+[a-z]+)*")
+#: From the start of a run of letters alone and without going back, so that time is linear in the text.
+MASKED = re.compile(r"(?<![a-z])[a-z]++[@$!*#+013457]++[a-z]++(?:[@$!*#+013457]++[a-z]++)*+")
 STRETCH = re.compile(r"([^\W\d_])\1{2,}")
+#: A run of letters longer than this is no insult.
+WORD_MOST = 40
 MASKS = [ord(c) for c in "@$!*#+013457"]
 
 
@@ -60,7 +63,7 @@ class Lexicon:
 
 
 def features(text: str, lexicon: Lexicon) -> list[float]:
-    """The FEATURES of one whole text; an empty text has zeros."""
+    """The FEATURES of one whole text in time linear in its length; an empty text has zeros."""
     if not text:
         return [0.0] * len(FEATURES)
     low, first = text.lower(), lexicon.first
@@ -93,7 +96,7 @@ def features(text: str, lexicon: Lexicon) -> list[float]:
         a, b = m.span()
         masked += 1
         word = (WORD.findall(low[max(0, a - 20) : a]) or [""])[-1] if a and low[a - 1].isalpha() else ""
-        rest = WORD.match(low, b)
+        rest = WORD.match(low, b, b + WORD_MOST)
         hidden += word + m[1] + (rest[0] if rest else "") in INSULT_SET
     letters = max(1, int(counts[65:91].sum() + counts[97:123].sum()))
     return [
@@ -281,7 +284,11 @@ def scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
 
 def reject(docs: DataFrame, model: Model, text_col: str = "text", at: float = 0.5) -> DataFrame:
-    """docs without the rows whose text scores at least ``at``; columns as they came."""
+    """docs without the rows whose text scores at least ``at``; columns, clashing names too, as they came.
+
+    Null and empty texts have a score like any other, very long ones are scored whole, repeated rows stay or go together, and
+    an empty table gives none.
+    """
     names = docs.columns
     flat = docs.toDF(*[f"c{i}" for i in range(len(names))])
     return flat.filter(score_column(model)(F.col(f"c{names.index(text_col)}")) < at).toDF(*names)
