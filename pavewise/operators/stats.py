@@ -146,6 +146,19 @@ def positions(df: DataFrame, order: list[str | Column], out: str) -> DataFrame:
     return stored.withColumn("_part", part).join(F.broadcast(before), "_part").withColumn(out, at).drop("_part", "_at", "_before")
 
 
+def running(df: DataFrame, order: list[str | Column], sums: dict[str, Column]) -> DataFrame:
+    """df with columns that hold, for each row, the sums over all rows before it in a total order: within ranges, and of the ranges before."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.withColumns({f"_v_{c}": v for c, v in sums.items()}).withColumn("_k", F.struct(*order)).repartitionByRange(parts, "_k")
+    kept = checkpointed(ranged.withColumn("_part", F.spark_partition_id()))
+    totals = kept.groupBy("_part").agg(*[F.sum(f"_v_{c}").alias(f"_t_{c}") for c in sums])
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each range
+    before = totals.select("_part", *[F.coalesce(F.sum(f"_t_{c}").over(earlier), F.lit(0)).alias(f"_b_{c}") for c in sums])
+    own = Window.partitionBy("_part").orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)
+    within = kept.join(F.broadcast(before), "_part").withColumns({c: F.coalesce(F.sum(f"_v_{c}").over(own), F.lit(0)) + F.col(f"_b_{c}") for c in sums})
+    return within.select(*df.columns, *sums)
+
+
 def spearman(df: DataFrame, pairs: list[tuple[str, str]], least: int = 10) -> DataFrame:
     """(a, b, n, rho) for column pairs over rows where both are known; rho null where n <= least.
 
@@ -169,12 +182,27 @@ def spearman(df: DataFrame, pairs: list[tuple[str, str]], least: int = 10) -> Da
     return reduce(DataFrame.unionByName, out)
 
 
-def partial_spearman(df: DataFrame, x: str, y: str, control: str, least: int = 30) -> DataFrame:
-    """(n, rho): rank correlation of x and y with the control's ranks taken out of both; null where n < least."""
-    rows = checkpointed(df.select(*[F.col(c).cast("double").alias(f"_{k}") for k, c in zip("xyz", (x, y, control), strict=True)]).na.drop())
-    c = _all_ranked(rows, {f"_{k}": f"r{k}" for k in "xyz"}).agg(F.count("*").alias("n"), F.corr("rx", "ry").alias("xy"), F.corr("rx", "rz").alias("xz"), F.corr("ry", "rz").alias("yz"))
-    rho = (F.col("xy") - F.col("xz") * F.col("yz")) / F.sqrt((1 - F.col("xz") ** 2) * (1 - F.col("yz") ** 2))
-    return c.select("n", F.when(F.col("n") >= least, rho).alias("rho"))
+def partial_spearman(df: DataFrame, x: str, y: str, controls: str | list[str], least: int = 30) -> DataFrame:
+    """(n, rho): rank correlation of x and y with the ranks of any number of controls taken out of both; null where n < least.
+
+    One pass gathers the correlations of all ranks; what the controls leave of x and y is their Schur complement, a matrix of
+    two by two. Controls that determine each other count once.
+    """
+    names = [x, y, *([controls] if isinstance(controls, str) else controls)]
+    rows = checkpointed(df.select(*[F.col(c).cast("double").alias(f"_{i}") for i, c in enumerate(names)]).na.drop())
+    m = len(names)
+    pairs = [(i, j) for i in range(m) for j in range(i, m)]
+    ranked = _all_ranked(rows, {f"_{i}": f"r{i}" for i in range(m)})
+    got = ranked.agg(F.count("*").alias("n"), *[F.covar_pop(f"r{i}", f"r{j}").alias(f"c{i}_{j}") for i, j in pairs]).first()
+    gram = np.zeros((m, m))
+    for i, j in pairs:
+        gram[i, j] = gram[j, i] = got[f"c{i}_{j}"] or 0.0
+    scale = np.sqrt(np.diag(gram))
+    gram /= np.outer(np.where(scale > 0, scale, 1.0), np.where(scale > 0, scale, 1.0))
+    left = gram[:2, :2] - gram[:2, 2:] @ np.linalg.pinv(gram[2:, 2:], hermitian=True) @ gram[2:, :2]
+    known = got["n"] >= least and min(left[0, 0], left[1, 1]) > 1e-12
+    rho = float(left[0, 1] / np.sqrt(left[0, 0] * left[1, 1])) if known else None
+    return df.sparkSession.createDataFrame([(got["n"], rho)], "n long, rho double")
 
 
 def rank_bins(df: DataFrame, col: str, tie: str, bins: int, out: str) -> DataFrame:

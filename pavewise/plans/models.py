@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -127,8 +129,9 @@ ARTIFACT = ("light", "poi_density", "poi_night_density")
 
 @query("model_artifact_stats", ctes(*F_VIEWS) + f", {LOG_SQL} " + " UNION ALL ".join(f"SELECT '{c}' AS feature, round(avg({c}), 6) mean, round(stddev_pop({c}) + 1e-9, 6) std, round(quantile_cont({c}, 0.025), 6) low, round(quantile_cont({c}, 0.5), 6) mid, round(quantile_cont({c}, 0.975), 6) high FROM lg" for c in ARTIFACT))
 def artifact(spark, sf):
-    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("v")) for c in ARTIFACT])).alias("s")
-    g = C.logged(spark, sf).select(cells).groupBy("s.feature").agg(F.avg("s.v").alias("m"), F.stddev_pop("s.v").alias("s"), F.expr("percentile(s.v, array(0.025, 0.5, 0.975))").alias("q"))
+    rows = checkpointed(C.logged(spark, sf).select(*ARTIFACT))
+    each = [stats.with_scalar(rows.agg(F.lit(c).alias("feature"), F.avg(c).alias("m"), F.stddev_pop(c).alias("s")), stats.percentiles(rows, c, [0.025, 0.5, 0.975])) for c in ARTIFACT]
+    g = reduce(DataFrame.unionByName, each)
     return g.select("feature", r6(F.col("m"), "mean"), r6(F.col("s") + 1e-9, "std"), *[r6(F.col("q")[i], n) for i, n in enumerate(("low", "mid", "high"))])
 
 
@@ -152,18 +155,20 @@ def strata(spark, sf):
     return design.round_robin(rows, "stratum", "seg_id", 12, 60).select("seg_id", "stratum", F.col("turn").cast("long").alias("turn"))
 
 
-@query("seeded_order", ctes("votes") + ", p AS (SELECT DISTINCT pair_id FROM votes) SELECT pair_id, CAST(row_number() OVER (ORDER BY (pair_id * 7919 + 13) % 1000003, pair_id) AS BIGINT) place FROM p")
+@query("seeded_order", ctes("votes") + ", p AS (SELECT DISTINCT pair_id FROM votes) " + f"SELECT pair_id, CAST(row_number() OVER (ORDER BY {design.draw_sql(13, 'pair_id')}, pair_id) AS BIGINT) place FROM p")
 def seeded_order(spark, sf):
+    """A queue in an order of its own: by keyed draws, which keep nothing of the ids' order."""
     rows = view(spark, sf, "votes").select("pair_id").distinct()
-    return stats.positions(rows, [design.draw(F.col("pair_id"), F.lit(0), 13), "pair_id"], "at").select("pair_id", (F.col("at") + 1).alias("place"))
+    return stats.positions(rows, [design.draw(13, "pair_id"), "pair_id"], "at").select("pair_id", (F.col("at") + 1).alias("place"))
 
 
 def seed_sql(source: str) -> str:
     """Pairs to judge from a table ``source`` (seg_id, a, b), by the two columns' z-scores."""
-    return f"""zp AS (SELECT seg_id, round({C._z('a', 'stddev_samp')}, 6) za, round({C._z('b', 'stddev_samp')}, 6) zb, row_number() OVER (ORDER BY seg_id) - 1 i, count(*) OVER () n FROM {source}), offered AS (SELECT DISTINCT least(p.seg_id, q.seg_id) a, greatest(p.seg_id, q.seg_id) b, round(sqrt((p.za-q.za)*(p.za-q.za) + (p.zb-q.zb)*(p.zb-q.zb)), 6) d FROM zp p, range(1, 7) t(k), zp q WHERE q.i = (p.i + 1 + (p.i * 7919 + k * 104729 + 1) % 1000003 % (p.n - 1)) % p.n),
- kinds AS (SELECT a, b, d, CASE WHEN d > p80 THEN 'strong' WHEN d > p50 THEN 'mild' ELSE 'near' END kind, (a * 7919 + b * 104729 + 7) % 1000003 h FROM offered, (SELECT quantile_cont(d, 0.5) p50, quantile_cont(d, 0.8) p80 FROM offered)),
- ends AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY h, a, b) turn FROM (SELECT *, a s FROM kinds UNION ALL SELECT *, b FROM kinds)), capped AS (SELECT a, b, d, kind, h FROM ends WHERE turn <= 4 GROUP BY ALL HAVING count(*) = 2),
- placed AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY h, a, b) place FROM capped) SELECT a, b, kind, CAST(place AS BIGINT) place FROM placed WHERE place <= CASE kind WHEN 'strong' THEN 60 ELSE 45 END"""
+    return f"""zp AS (SELECT seg_id, round({C._z('a', 'stddev_samp')}, 6) za, round({C._z('b', 'stddev_samp')}, 6) zb, row_number() OVER (ORDER BY seg_id) - 1 i, count(*) OVER () n FROM {source}), offered AS (SELECT DISTINCT least(p.seg_id, q.seg_id) a, greatest(p.seg_id, q.seg_id) b, round(sqrt((p.za-q.za)*(p.za-q.za) + (p.zb-q.zb)*(p.zb-q.zb)), 6) d FROM zp p, range(1, 7) t(k), zp q WHERE q.i = (p.i + 1 + {design.draw_sql(8, 'p.i', 'k')} % (p.n - 1)) % p.n),
+ kinds AS (SELECT a, b, d, CASE WHEN d > p80 THEN 'strong' WHEN d > p50 THEN 'mild' ELSE 'near' END kind, {design.draw_sql(7, 'a', 'b')} h FROM offered, (SELECT quantile_cont(d, 0.5) p50, quantile_cont(d, 0.8) p80 FROM offered)),
+ ord AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY h, a, b) p FROM kinds), loop AS (WITH RECURSIVE g(p, a, b, kind, ok, ends, got) AS (SELECT 0::BIGINT, NULL::BIGINT, NULL::BIGINT, NULL::VARCHAR, false, []::BIGINT[], []::VARCHAR[]
+ UNION ALL SELECT p, a, b, kind, ok, CASE WHEN ok THEN list_concat(ends, [a, b]) ELSE ends END, CASE WHEN ok THEN list_concat(got, [kind]) ELSE got END FROM (SELECT e.p, e.a, e.b, e.kind, g.ends, g.got, len(list_filter(g.ends, lambda x: x = e.a)) < 4 AND len(list_filter(g.ends, lambda x: x = e.b)) < 4 AND len(list_filter(g.got, lambda x: x = e.kind)) < CASE e.kind WHEN 'strong' THEN 60 ELSE 45 END AS ok FROM g JOIN ord e ON e.p = g.p + 1 WHERE len(g.got) < 150)) SELECT p, a, b, kind FROM g WHERE ok)
+ SELECT a, b, kind, CAST(row_number() OVER (PARTITION BY kind ORDER BY p) AS BIGINT) place FROM loop"""
 
 
 def seeded(space: DataFrame) -> DataFrame:
@@ -204,13 +209,28 @@ def strata_covered(spark, sf):
     return design.round_robin(rows, "stratum", "seg_id", 25, 50).select("seg_id", "stratum", F.col("turn").cast("long").alias("turn"))
 
 
-@query("synthetic_pairs", ctes(*C.E_VIEWS) + f", {SCORED_SQL}, pr AS (SELECT DISTINCT pair_id, seg_left a, seg_right b FROM votes), j AS (SELECT pair_id, a, b, 1 / (1 + exp(-(round(x.latent, 6) - round(y.latent, 6)))) p FROM pr JOIN scored x ON x.seg_id = a JOIN scored y ON y.seg_id = b) SELECT pair_id, CASE WHEN (pair_id * 7919 + a * 104729 + 5) % 1000003 < round(p, 6) * 1000003 THEN a ELSE b END AS winner_seg FROM j")
+BUDGET = {"keep": 60, "cap": 11, "budget": 150}
+
+
+@query("strata_budget", ctes(*F_VIEWS, "images") + f", {FEAT_SQL}, {S.IMG_SQL[len(WALK_SQL) + 2:]}, rk AS (SELECT seg_id, row_number() OVER (ORDER BY round(light, 9), seg_id) - 1 ra, row_number() OVER (ORDER BY poi_density, seg_id) - 1 rb, greatest(count(*) OVER () - 1, 1) m, seg_id IN (SELECT seg_id FROM near) good FROM feat), st AS (SELECT seg_id, good::INT good, CAST(greatest(ceil(ra * 3 / m), 1) * 3 + greatest(ceil(rb * 3 / m), 1) - 4 AS INTEGER) AS stratum, {design.draw_sql(31, 'seg_id')} h FROM rk), tr AS (SELECT *, row_number() OVER w turn, coalesce(sum(good) OVER (PARTITION BY stratum ORDER BY h, seg_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) own FROM st WINDOW w AS (PARTITION BY stratum ORDER BY h, seg_id)), pl AS (SELECT *, row_number() OVER (ORDER BY turn, stratum) tries, coalesce(sum(good) OVER (ORDER BY turn, stratum ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) kept FROM tr WHERE own < {BUDGET['cap']}), bg AS (SELECT *, min(tries) OVER (PARTITION BY turn) - 1 begun FROM pl) SELECT seg_id, stratum, CAST(turn AS BIGINT) turn, CAST(tries AS BIGINT) tries, CASE WHEN good = 1 THEN CAST(kept + 1 AS BIGINT) END kept FROM bg WHERE kept < {BUDGET['keep']} AND begun < {BUDGET['budget']}")
+def strata_budget(spark, sf):
+    """Nine strata (terciles of ranks of light by those of businesses) tried in turn for photographed segments, in drawn order, until
+    enough are found or the budget of queries, failed ones too, is used up."""
+    f = checkpointed(C.features(spark, sf).select("seg_id", F.round("light", 9).alias("a"), F.col("poi_density").alias("b")))
+    ranked = stats.rank_bins(stats.rank_bins(f, "a", "seg_id", 3, "lt"), "b", "seg_id", 3, "bt")
+    photo = S.imaged(spark, sf).select("seg_id").distinct().withColumn("good", F.lit(True))
+    rows = ranked.join(photo, "seg_id", "left").select("seg_id", (F.col("lt") * 3 + F.col("bt") - 4).alias("stratum"), F.coalesce("good", F.lit(False)).alias("good"), design.draw(31, "seg_id").alias("h"))
+    out = design.budgeted(rows, "stratum", ["h", "seg_id"], "good", **BUDGET)
+    return out.select("seg_id", "stratum", *[F.col(c).cast("long").alias(c) for c in ("turn", "tries", "kept")])
+
+
+@query("synthetic_pairs", ctes(*C.E_VIEWS) + f", {SCORED_SQL}, pr AS (SELECT DISTINCT pair_id, seg_left a, seg_right b FROM votes), j AS (SELECT pair_id, a, b, 1 / (1 + exp(-(round(x.latent, 6) - round(y.latent, 6)))) p FROM pr JOIN scored x ON x.seg_id = a JOIN scored y ON y.seg_id = b) SELECT pair_id, CASE WHEN {design.draw_sql(5, 'pair_id', 'a')} < round(p, 6) * {design.DRAWS} THEN a ELSE b END AS winner_seg FROM j")
 def synthetic_pairs(spark, sf):
     s = C.scored(spark, sf).select("seg_id", F.round("latent", 6).alias("latent"))
     pr = view(spark, sf, "votes").select("pair_id", F.col("seg_left").alias("a"), F.col("seg_right").alias("b")).distinct()
     j = pr.join(s.toDF("a", "la"), "a").join(s.toDF("b", "lb"), "b")
     p = F.round(1 / (1 + F.exp(-(F.col("la") - F.col("lb")))), 6)
-    return j.select("pair_id", F.when(design.draw(F.col("pair_id"), F.col("a"), 5) < p * design.DRAWS, F.col("a")).otherwise(F.col("b")).alias("winner_seg"))
+    return j.select("pair_id", F.when(design.draw(5, "pair_id", "a") < p * design.DRAWS, F.col("a")).otherwise(F.col("b")).alias("winner_seg"))
 
 
 @query("class_fractions", ctes("images") + ", c AS (SELECT image_id, unnest(range(0, 64)) i FROM images) SELECT image_id, " + ", ".join(f"round(avg(CASE WHEN (image_id * 7 + i * i) % 6 = {k} THEN 1.0 ELSE 0.0 END), 4) {n}" for k, n in enumerate(("road", "sidewalk", "building", "pole", "vegetation", "sky"))) + " FROM c GROUP BY image_id")

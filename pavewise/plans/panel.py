@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from pavewise.functions import expr as X
-from pavewise.operators import geo, stats, votes
+from pavewise.operators import design, geo, stats, votes
 from pavewise.plans import models as M
 from pavewise.plans import scores as C
 from pavewise.plans import segments as S
@@ -147,13 +147,12 @@ def score_convergence(spark, sf):
     return d.agg(F.count("*").alias("n"), r6(F.avg((F.col("d_light") > 0).cast("double")), "picks_higher"))
 
 
-@query("panel_sides", ctes("votes") + ", q AS (SELECT DISTINCT pair_id, rater FROM votes) SELECT pair_id, rater, (pair_id * 7919 + length(rater) * 104729 + 17) % 1000003 % 2 = 0 AS a_is_left FROM q")
+@query("panel_sides", ctes("votes") + ", q AS (SELECT DISTINCT pair_id, rater FROM votes) " + f"SELECT pair_id, rater, {design.draw_sql(17, 'pair_id', 'rater')} % 2 = 0 AS a_is_left FROM q")
 def panel_sides(spark, sf):
-    """Which side the first picture of a pair is shown on: a fixed draw for pair and rater, so a rerun shows the same."""
-    from pavewise.operators import design
-
+    """Which side the first picture of a pair is shown on: a keyed draw for pair and rater, so a rerun shows the same, and a
+    pair is shown either way across raters."""
     q = view(spark, sf, "votes").select("pair_id", "rater").distinct()
-    return q.select("pair_id", "rater", (design.draw(F.col("pair_id"), F.length("rater"), 17) % 2 == 0).alias("a_is_left"))
+    return q.select("pair_id", "rater", (design.draw(17, "pair_id", "rater") % 2 == 0).alias("a_is_left"))
 
 
 @query("single_feature_agreement", ctes(*F_VIEWS, "votes") + f", {CMP_SQL} " + " UNION ALL ".join(f"SELECT '{n}' feature, count(*) n, round(avg(CASE WHEN {w} > {l} THEN 1.0 ELSE 0.0 END), 6) agreement FROM cm WHERE {w} <> {l}" for n, w, l in COLS))
@@ -181,12 +180,11 @@ def distinct_segments(spark, sf):
 
 @query("consensus_union_cities", ctes("votes") + f", {PANEL_SQL}, u AS (SELECT city_id, pair_id, min(winner_seg) w FROM panel GROUP BY ALL) SELECT 'city-' || CAST(city_id AS VARCHAR) AS city, 'panel' AS rater_model, cons.pair_id, cons.winner_seg consensus_winner_seg FROM cons JOIN u USING (pair_id)")
 def consensus_union(spark, sf):
-    """One consensus table of all cities from one table for each, as the per-city files are joined."""
+    """One consensus table of all cities, each row under its city's name."""
     p, c = panel(spark, sf), agreed(spark, sf)
     city = p.groupBy("pair_id").agg(F.min("city_id").alias("city_id"))
-    rows = c.join(city, "pair_id")
-    each = [rows.filter(F.col("city_id") == k).select(F.lit(f"city-{k}").alias("city"), F.lit("panel").alias("rater_model"), "pair_id", "consensus_winner_seg") for k in keys_of(rows, "city_id")]
-    return reduce(lambda a, b: a.unionByName(b), each)
+    name = F.concat(F.lit("city-"), F.col("city_id").cast("string"))
+    return c.join(city, "pair_id").select(name.alias("city"), F.lit("panel").alias("rater_model"), "pair_id", "consensus_winner_seg")
 
 
 @query("pair_exclusion", ctes("votes") + " SELECT DISTINCT least(seg_left, seg_right) a, greatest(seg_left, seg_right) b FROM votes WHERE (least(seg_left, seg_right), greatest(seg_left, seg_right)) NOT IN (SELECT (least(seg_left, seg_right), greatest(seg_left, seg_right)) FROM votes WHERE rater = 'human1' AND choice = 'skip')")
@@ -226,20 +224,35 @@ def next_unrated(spark, sf):
     return gap.join(queue.withColumnRenamed("pair_id", "next_pair"), "at", "left").select("rater", "next_pair", "done")
 
 
-@query("panel_manifest", ctes("segments", "images", "votes") + f", {IMG_SQL}, q AS (SELECT pair_id, min(seg_left) a, min(seg_right) b FROM votes GROUP BY 1), pic AS (SELECT seg_id, arg_min(image_id, d + image_id / 1e12) image_id FROM near GROUP BY seg_id), m AS (SELECT rater, pair_id, a, b, ia.image_id img_a, ib.image_id img_b, (pair_id * 7919 + rater * 104729 + 17) % 1000003 % 2 = 0 a_left FROM q JOIN pic ia ON ia.seg_id = a JOIN pic ib ON ib.seg_id = b, (SELECT unnest(range(1, 4)) rater)) SELECT rater, pair_id, CASE WHEN a_left THEN a ELSE b END seg_left, CASE WHEN a_left THEN b ELSE a END seg_right, CASE WHEN a_left THEN img_a ELSE img_b END img_left, CASE WHEN a_left THEN img_b ELSE img_a END img_right FROM m")
+@query("panel_manifest", ctes("segments", "images", "votes") + f", {IMG_SQL}, q AS (SELECT pair_id, min(seg_left) a, min(seg_right) b FROM votes GROUP BY 1), pic AS (SELECT seg_id, arg_min(image_id, d + image_id / 1e12) image_id FROM near GROUP BY seg_id), m AS (SELECT rater, pair_id, a, b, ia.image_id img_a, ib.image_id img_b, {design.draw_sql(17, 'pair_id', 'rater')} % 2 = 0 a_left FROM q JOIN pic ia ON ia.seg_id = a JOIN pic ib ON ib.seg_id = b, (SELECT DISTINCT rater FROM votes WHERE rater LIKE 'ai:%')) SELECT rater, pair_id, CASE WHEN a_left THEN a ELSE b END seg_left, CASE WHEN a_left THEN b ELSE a END seg_right, CASE WHEN a_left THEN img_a ELSE img_b END img_left, CASE WHEN a_left THEN img_b ELSE img_a END img_right FROM m")
 def manifest(spark, sf):
-    """Each of three raters' pairs with pictures and sides: pairs without a picture of both segments go, sides are a fixed draw."""
-    from pavewise.operators import design
-
+    """Each model rater's pairs with pictures and sides: pairs without a picture of both segments go, sides are a keyed draw."""
     q = view(spark, sf, "votes").groupBy("pair_id").agg(F.min("seg_left").alias("a"), F.min("seg_right").alias("b"))
     pic = S.imaged(spark, sf).groupBy("seg_id").agg(F.min(F.struct("d", "image_id")).alias("p")).select("seg_id", "p.image_id")
     both = q.join(pic.toDF("a", "img_a"), "a").join(pic.toDF("b", "img_b"), "b")
-    m = both.select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(3).cast("long"))).alias("rater"))
-    left = design.draw(F.col("pair_id"), F.col("rater"), 17) % 2 == 0
+    raters = view(spark, sf, "votes").filter("rater like 'ai:%'").agg(F.collect_set("rater").alias("raters"))  # a panel's names
+    m = stats.with_scalar(both, raters).select("*", F.explode("raters").alias("rater"))
+    left = design.draw(17, "pair_id", "rater") % 2 == 0
     side = lambda one, two, name: F.when(left, F.col(one)).otherwise(F.col(two)).alias(name)
     return m.select("rater", "pair_id", side("a", "b", "seg_left"), side("b", "a", "seg_right"), side("img_a", "img_b", "img_left"), side("img_b", "img_a", "img_right"))
 
 
+@query("panel_manifest_dropped", ctes("segments", "images", "votes") + f", {IMG_SQL}, q AS (SELECT pair_id, min(seg_left) a, min(seg_right) b FROM votes GROUP BY 1) SELECT count(*) pairs, count(*) FILTER (WHERE a NOT IN (SELECT seg_id FROM near) OR b NOT IN (SELECT seg_id FROM near)) dropped FROM q")
+def manifest_dropped(spark, sf):
+    """How many pairs of the queue a manifest leaves out for want of a picture."""
+    q = view(spark, sf, "votes").groupBy("pair_id").agg(F.min("seg_left").alias("a"), F.min("seg_right").alias("b"))
+    pic = S.imaged(spark, sf).select("seg_id").distinct()
+    both = q.join(pic.toDF("a").withColumn("_a", F.lit(True)), "a", "left").join(pic.toDF("b").withColumn("_b", F.lit(True)), "b", "left")
+    return both.agg(F.count("*").alias("pairs"), F.count_if(F.col("_a").isNull() | F.col("_b").isNull()).alias("dropped"))
+
+
+@query("panel_sides_twister")
+def panel_sides_twister(spark, sf):
+    """As panel_sides, by the generator that earlier panels were placed with; raters by the number at the end of their name."""
+    q = view(spark, sf, "votes").filter("rater like 'ai:%'").select("pair_id", F.regexp_extract("rater", r"(\d+)$", 1).cast("int").alias("rater")).distinct()
+    return q.select("pair_id", "rater", design.twister_side(F.col("pair_id"), F.col("rater"), 8800089).alias("a_is_left"))
+
+
 @query("order_swap_judging", ctes("votes") + ", x AS (SELECT pair_id, min(choice) FILTER (WHERE rater='ai:panel-r1') c1, min(choice) FILTER (WHERE rater='ai:panel-r2') c2 FROM votes GROUP BY 1) SELECT pair_id, CASE WHEN c1 = 'L' AND c2 = 'R' THEN 'first' WHEN c1 = 'R' AND c2 = 'L' THEN 'second' WHEN c1 = 'tie' AND c2 = 'tie' THEN 'tie' ELSE 'incons' END verdict FROM x WHERE c1 IS NOT NULL AND c2 IS NOT NULL")
 def order_swap(spark, sf):
     """Two answers with the sides swapped: only a pick that moves with the picture counts."""

@@ -268,6 +268,32 @@ def partial(spark, sf):
     return stats.partial_spearman(audited(spark, sf), "light", "low_income_share", "poi_density").withColumn("rho", F.round("rho", 6))
 
 
+def _partial_sql(y: str, controls: int) -> str:
+    """Partial rank correlations of columns r0 and r1 given r2 .. by recursion over the controls, from a table c of all correlations."""
+
+    def rho(i: int, j: int, given: int) -> str:
+        if given < 2:
+            return f"c{min(i, j)}{max(i, j)}"
+        a, b, z = rho(i, j, given - 1), rho(i, given, given - 1), rho(j, given, given - 1)
+        return f"(({a} - {b} * {z}) / sqrt((1 - {b} * {b}) * (1 - {z} * {z})))"
+
+    m = controls + 2
+    return "c AS (SELECT count(*) n, " + ", ".join(f"corr(r{i}, r{j}) c{i}{j}" for i in range(m) for j in range(i + 1, m)) + f" FROM {y}) SELECT n, round({rho(0, 1, m - 1)}, 6) rho FROM c"
+
+
+CONTROLS = ["poi_density", "poi_night_density", "seg_id"]
+
+
+@query("partial_spearman_two_controls", ctes(*F_VIEWS, "tracts") + f", {AUD_SQL}, r AS (SELECT {_ranks(('light', 'low_income_share', *CONTROLS[:2]), 'aud')} FROM aud WHERE low_income_share IS NOT NULL), {_partial_sql('r', 2)}")
+def partial_two(spark, sf):
+    return stats.partial_spearman(audited(spark, sf), "light", "low_income_share", CONTROLS[:2]).withColumn("rho", F.round("rho", 6))
+
+
+@query("partial_spearman_three_controls", ctes(*F_VIEWS, "tracts") + f", {AUD_SQL}, r AS (SELECT {_ranks(('light', 'low_income_share', *CONTROLS), 'aud')} FROM aud WHERE low_income_share IS NOT NULL), {_partial_sql('r', 3)}")
+def partial_three(spark, sf):
+    return stats.partial_spearman(audited(spark, sf), "light", "low_income_share", CONTROLS).withColumn("rho", F.round("rho", 6))
+
+
 def crash_segment(spark, sf):
     """Each incident's nearest road (not car-free) by midpoint, within 40 m."""
     roads = geo.midpoints(S.traffic(spark, sf).filter("car_free = 0"), "seg_id").withColumnsRenamed({"mx": "rx", "my": "ry"})
