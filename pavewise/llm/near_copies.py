@@ -6,17 +6,17 @@ chance (1 - 0.8 ** 5) ** 24 = 0.00007, less above. Documents that share a finger
 only if the Jaccard similarity of the whole sets is LEAST or more, so dissimilar texts never link.
 
 Equal sets are one row before the search, so copies never make pairs. Where over CROWD different sets share a
-fingerprint, each is first compared with three pivots, the sets with the least share of shingles of their own. What that
-leaves in another component than most of the fingerprint's sets is compared with all sets outside its component that can
-be similar at all. For sets r and s with the differences R and S from a pivot (shingles in one of the two only), of which
-r and s have u and v that no other crowded set has: the difference of r and s is at least |R| + |S| - 2 min(|R| - u, |S| - v),
-and at 4/5 it is at most a ninth of |r| + |s|. So every candidate pair is compared, known to be connected, or proved to be
-too different; edits that copies of a template do not share rule most pairs out by these numbers.
+fingerprint, each is first compared with one pivot, the set that most of its crowded fingerprints have as their most typical one (that
+of the largest share of crowded fingerprints), twice. What that leaves in another component than most of a fingerprint's sets
+is compared with all sets outside its component that can be similar at all: the bits in which the parity sketches
+of two sets differ are no more than the shingles in which the sets do, and at 4/5 those are a ninth of the two sizes at most. So
+every candidate pair is compared, known to be connected, or proved to be too different.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 from itertools import accumulate
 
 import numpy as np
@@ -34,6 +34,8 @@ SHINGLE = 5
 LEAST = (4, 5)
 BANDS, ROWS = 24, 5
 CROWD = 30
+#: Bits of a set's parity sketch, a power of two, and rounds of pivots.
+BITS, ROUNDS = 1024, 2
 _RNG = np.random.default_rng(11)
 _ODD = _RNG.integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _RNG.integers(0, 1 << 63, BANDS * ROWS, np.uint64)
@@ -85,8 +87,14 @@ def signatures(df: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", te
     return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, f"doc_id {kind}, text_hash long, fp long, n int, bands array<long>")
 
 
+def sketch(found: np.ndarray) -> bytes:
+    """For each of BITS cells, whether an odd number of the set's hashes fall into it."""
+    cells = (found * _ODD[0]) >> np.uint64(64 - BITS.bit_length() + 1)
+    return np.packbits(np.bincount(cells.astype(np.int64), minlength=BITS) & 1 == 1).tobytes()
+
+
 def sets_of(df: DataFrame, of: DataFrame, make: Callable[[str], np.ndarray], id_col: str, text_col: str) -> DataFrame:
-    """(fp, set) of the documents (doc_id, text_hash, fp) in of; make gives a text's set."""
+    """(fp, n, set, sketch) of the documents (doc_id, text_hash, fp) in of; make gives a text's set."""
     docs = pick(df, doc_id=id_col, text=text_col).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     docs = docs.withColumn("_hash", F.xxhash64("text"))
     own = of.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_of"), "fp")
@@ -94,9 +102,11 @@ def sets_of(df: DataFrame, of: DataFrame, make: Callable[[str], np.ndarray], id_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.record_batch([batch.column(0), lists([make(t).tobytes() for t in batch.column(1).to_pylist()])], ["fp", "set"])
+            found = [make(t) for t in batch.column(1).to_pylist()]
+            sizes = pa.array([len(x) for x in found], pa.int64())
+            yield pa.record_batch([batch.column(0), sizes, lists([x.tobytes() for x in found]), lists([sketch(x) for x in found])], ["fp", "n", "set", "sketch"])
 
-    return texts.mapInArrow(run, "fp long, set array<long>")
+    return texts.mapInArrow(run, "fp long, n long, set array<long>, sketch array<long>")
 
 
 def _similar(a: str, b: str):
@@ -106,8 +116,9 @@ def _similar(a: str, b: str):
 
 def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """(a, b, n, m, common) of pairs (a, b): the whole sets' sizes, and how many shingles they share."""
-    both = pairs.join(sets.select(F.col("fp").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("fp").alias("b"), F.col("set").alias("y")), "b")
-    return both.select("a", "b", F.size("x").cast("long").alias("n"), F.size("y").cast("long").alias("m"), F.size(F.array_intersect("x", "y")).cast("long").alias("common"))
+    one, two = (sets.select(F.col("fp").alias(k), F.col("n").alias(size), F.col("set").alias(x)) for k, size, x in (("a", "n", "x"), ("b", "m", "y")))
+    both = pairs.join(one, "a").join(two, "b")
+    return both.select("a", "b", "n", "m", F.size(F.array_intersect("x", "y")).cast("long").alias("common"))
 
 
 def linked(counted: DataFrame) -> DataFrame:
@@ -115,6 +126,19 @@ def linked(counted: DataFrame) -> DataFrame:
     return counted.filter(F.col("common") * sum(LEAST) >= (F.col("n") + F.col("m")) * LEAST[0]).select("a", "b")
 
 
+def _possible(x: str, y: str, n: str, m: str):
+    """Whether sets of these sizes and sketches can have LEAST."""
+    apart = reduce(lambda p, q: p + q, [F.bit_count(F.get(x, F.lit(i)).bitwiseXOR(F.get(y, F.lit(i)))) for i in range(BITS // 64)])
+    return apart * sum(LEAST) <= (F.col(n) + F.col(m)) * (LEAST[1] - LEAST[0])
+
+
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose whole sets have LEAST; sizes and sketches, far smaller than sets, rule most others out first."""
+    one, two = (sets.select(F.col("fp").alias(k), F.col("n").alias(size), F.col("sketch").alias(x)) for k, size, x in (("a", "n", "x"), ("b", "m", "y")))
+    near = pairs.join(one, "a").join(two, "b").filter(_similar("n", "m") & _possible("x", "y", "n", "m"))
+    return linked(overlaps(near.select("a", "b"), sets))
+
+
 def _ordered(a: str, b: str) -> list:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
@@ -130,37 +154,41 @@ def links(df: DataFrame, rows: DataFrame, shingle: int = SHINGLE, crowd: int = C
     other = quiet.select(F.col("band").alias("_band"), F.col("value").alias("_value"), F.col("fp").alias("other"), F.col("n").alias("m"))
     near = quiet.join(other, (F.col("band") == F.col("_band")) & (F.col("value") == F.col("_value")) & (F.col("fp") < F.col("other")) & _similar("n", "m"))
     sets = stored(sets_of(df, one.join(members.select("fp").distinct(), "fp", "left_semi"), lambda text: shingles(text, shingle), id_col, text_col), "shingle-sets")
-    found = stored(linked(overlaps(near.select(*_ordered("fp", "other")).distinct(), sets)), "similar")
-    return found if crowded.isEmpty() else crowd_links(crowded, found, sets)
-
-
-def crowd_links(crowded: DataFrame, found: DataFrame, sets: DataFrame) -> DataFrame:
-    """The links found, and those that connect the similar ones among crowded (band, value, fp, n)."""
-    each = sets.join(crowded.select("fp").distinct(), "fp", "left_semi").select("fp", F.explode("set").alias("x"))
-    own = each.groupBy("x").agg(F.count("*").alias("k"), F.min("fp").alias("fp")).filter("k = 1").groupBy("fp").agg(F.count("*").alias("u"))
-    rows = stored(crowded.join(own, "fp", "left").select("band", "value", "fp", F.col("n").cast("long").alias("n"), F.coalesce("u", F.lit(0)).alias("u")), "crowded")
-    place = F.pmod("fp", F.lit(3))
-    best = rows.groupBy("band", "value").agg(*[F.min(F.when(place == j, F.struct((F.col("u") / F.col("n")).alias("share"), "fp"))).alias(f"p{j}") for j in range(3)])
-    met = stored(rows.join(best.select("band", "value", *[F.col(f"p{j}.fp").alias(f"f{j}") for j in range(3)]), ["band", "value"]), "pivots")
-    pairs = met.select("fp", F.explode(F.array("f0", "f1", "f2")).alias("other")).filter("fp <> other").select(*_ordered("fp", "other")).distinct()
-    met_pivots = stored(overlaps(pairs, sets), "pivot-overlaps")
-    close = stored(found.union(linked(met_pivots)).distinct(), "similar")
+    found = stored(verified(near.select(*_ordered("fp", "other")).distinct(), sets), "similar")
+    return found if crowded.isEmpty() else crowd_links(crowded.select(F.xxhash64("band", "value").alias("value"), "fp"), found, sets)
+
+
+def _pivots(members: DataFrame, small: DataFrame) -> DataFrame:
+    """Pairs (a, b) of each set of members (value, fp) with one pivot."""
+    share = members.groupBy("fp").count().join(small, "fp").select("fp", (F.col("count") / F.col("n")).alias("share"))
+    typical = stored(members.join(share, "fp").groupBy("value").agg(F.max_by("fp", F.struct("share", "fp")).alias("pivot")), "pivots")
+    met = members.join(typical, "value").groupBy("fp", "pivot").count().groupBy("fp").agg(F.max_by("pivot", F.struct("count", "pivot")).alias("pivot"))
+    return met.filter("fp <> pivot").select(*_ordered("fp", "pivot")).distinct()
+
+
+def _apart(crowded: DataFrame, close: DataFrame) -> DataFrame:
+    """(value, fp, label, main) of the values whose sets have several components: each set's, and the one of most sets."""
     label = components(close).withColumnRenamed("node", "fp")
-    gap = (F.col("n") + F.col("m") - 2 * F.col("common")).alias("gap")
-    gaps = stored(met_pivots.select(F.col("a").alias("fp"), F.col("b").alias("f"), gap).union(met_pivots.select(F.col("b").alias("fp"), F.col("a").alias("f"), gap)), "pivot-gaps")
-    for j in range(3):
-        met = met.join(gaps.select("fp", F.col("f").alias(f"f{j}"), F.col("gap").alias(f"g{j}")), ["fp", f"f{j}"], "left").withColumn(f"g{j}", F.when(F.col("fp") == F.col(f"f{j}"), 0).otherwise(F.col(f"g{j}")))
-    placed = stored(met.join(label, "fp", "left").select("band", "value", "fp", "n", "u", "g0", "g1", "g2", F.coalesce("label", "fp").alias("label")), "placed")
-    # The component with the most sets of a fingerprint; sets outside it meet the sets of other components.
-    most = placed.groupBy("band", "value", "label").count().groupBy("band", "value").agg(F.max(F.struct("count", "label")).alias("most"), F.count("*").alias("labels"))
-    apart = stored(placed.join(most.filter("labels > 1").select("band", "value", F.col("most.label").alias("main")), ["band", "value"]), "apart")
-    rest = apart.filter("label <> main").toDF(*[f"_{c}" for c in apart.columns])
-    can = (F.col("band") == F.col("_band")) & (F.col("value") == F.col("_value")) & (F.col("label") != F.col("_label")) & _similar("n", "_n")
-    for j in range(3):
-        least = F.col(f"g{j}") + F.col(f"_g{j}") - 2 * F.least(F.col(f"g{j}") - F.col("u"), F.col(f"_g{j}") - F.col("_u"))
-        can = can & F.coalesce(least * sum(LEAST) <= (F.col("n") + F.col("_n")) * (LEAST[1] - LEAST[0]), F.lit(True))
-    left = apart.join(rest, can).select(*_ordered("fp", "_fp")).distinct()
-    return close.union(linked(overlaps(left, sets)))
+    placed = stored(crowded.join(label, "fp", "left").select("value", "fp", F.coalesce("label", "fp").alias("label")), "placed")
+    most = placed.groupBy("value", "label").count().groupBy("value").agg(F.max(F.struct("count", "label")).alias("most"), F.count("*").alias("labels"))
+    several = stored(most.filter("labels > 1").select("value", F.col("most.label").alias("main")), "several")
+    return stored(placed.join(several, "value").select("value", "fp", "label", "main"), "apart")
+
+
+def crowd_links(crowded: DataFrame, found: DataFrame, sets: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    """The links found, and those that connect the similar ones among crowded (value, fp)."""
+    small = stored(sets.select("fp", "n", "sketch"), "sketches")
+    crowded = stored(crowded.select("value", "fp").distinct(), "crowded")
+    close, left = found, crowded
+    for _ in range(rounds):
+        close = stored(close.union(verified(_pivots(left, small), sets)).distinct(), "similar")
+        apart = _apart(crowded, close)
+        left = apart.filter("label <> main").select("value", "fp")
+    sized = stored(apart.join(small, "fp"), "apart-sketches")
+    rest = sized.filter("label <> main").toDF(*[f"_{c}" for c in sized.columns])
+    can = (F.col("value") == F.col("_value")) & (F.col("label") != F.col("_label")) & _similar("n", "_n") & _possible("sketch", "_sketch", "n", "_n")
+    pairs = sized.join(rest, can).select(*_ordered("fp", "_fp")).distinct()
+    return close.union(linked(overlaps(pairs, sets)))
 
 
 def classes(df: DataFrame, shingle: int = SHINGLE, crowd: int = CROWD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
