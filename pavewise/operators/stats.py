@@ -9,7 +9,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType
 
 from pavewise.guard import check
 from pavewise.session import checkpointed, importable
@@ -231,27 +230,6 @@ def least_squares(df: DataFrame, y: str, cols: list[str]) -> list[tuple[str, flo
     return list(zip(cols, map(float, beta), strict=True))
 
 
-def grouped_forest(df: DataFrame, y: str, cols: list[str], group: str, folds: int = 5, trees: int = 300, depth: int = 10, seed: int = 0) -> DataFrame:
-    """df with ``out``: predictions of random forests that never saw the row's group. Groups go whole to folds by size.
-
-    Folds are fitted side by side: their small jobs fill the executors together.
-    """
-    from concurrent.futures import ThreadPoolExecutor
-
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import RandomForestRegressor
-
-    check(cols)
-    sizes = [tuple(r) for r in df.groupBy(group).count().collect()]  # one row for each cell of the caller's grid
-    fold = df.sparkSession.createDataFrame([(k, v) for k, v in group_folds(sizes, folds).items()], df.select(group).schema.add("_fold", IntegerType()))
-    rows = checkpointed(VectorAssembler(inputCols=cols, outputCol="_x").transform(df.join(F.broadcast(fold), group)))
-    forest = RandomForestRegressor(featuresCol="_x", labelCol=y, predictionCol="out", numTrees=trees, maxDepth=depth, maxMemoryInMB=1024, seed=seed)
-    held = range(min(folds, len(sizes)))
-    with ThreadPoolExecutor(max(1, len(held))) as pool:
-        models = list(pool.map(lambda k: forest.fit(rows.filter(F.col("_fold") != k)), held))
-    return reduce(DataFrame.unionByName, [m.transform(rows.filter(F.col("_fold") == k)) for k, m in zip(held, models, strict=True)]).drop("_x", "_fold")
-
-
 def fit_quality(df: DataFrame, y: str, out: str) -> DataFrame:
     """(n, r2, mae, rho) over all predictions together, rho their rank correlation with the truth."""
     df = checkpointed(df.select(F.col(y).cast("double").alias("_y"), F.col(out).cast("double").alias("_f")))
@@ -353,12 +331,3 @@ def agreement(pairs: DataFrame, weights: dict[str, float]) -> DataFrame:
     """(n, agreement): share of pairs whose winner scores higher; a zero margin is wrong."""
     margin = sum((F.col(c) * w for c, w in weights.items()), F.lit(0.0))
     return pairs.agg(F.count("*").alias("n"), F.avg((margin > 0).cast("double")).alias("agreement"))
-
-
-def group_folds(groups: list[tuple], k: int) -> dict:
-    """Groups (key, size) to k folds: largest first into the lightest fold."""
-    load, out = [0] * k, {}
-    for key, size in sorted(groups, key=lambda g: (-g[1], str(g[0]))):
-        i = load.index(min(load))
-        out[key], load[i] = i, load[i] + size
-    return out

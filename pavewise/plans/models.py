@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pavewise.functions import expr as X
-from pavewise.operators import design, geo, stats
+from pavewise.operators import design, forest, geo, stats
 from pavewise.plans import scores as C
 from pavewise.plans import segments as S
 from pavewise.plans.scores import CRASH_SQL, F_VIEWS, FEAT_SQL, LOG_SQL, SCORED_SQL
@@ -248,7 +248,7 @@ def forest_gain(spark, sf):
     rows = checkpointed(t.join(S.light(spark, sf).select("seg_id", "light"), "seg_id").join(cell, "seg_id"))
     out = []
     for name, cols in (("base", ["length_m", "light"]), ("base and speed", ["length_m", "light", "mph"])):
-        r = stats.fit_quality(stats.grouped_forest(rows, "y", cols, "cell"), "y", "out").first()
+        r = stats.fit_quality(forest.grouped_forest(rows, "y", cols, "cell"), "y", "out").first()
         out.append((name, r["n"], r["r2"], r["mae"], r["rho"], r["r2"] - (out[0][2] if out else r["r2"])))
     return spark.createDataFrame(out, "model string, n long, r2 double, mae double, rho double, gain double")
 

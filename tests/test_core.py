@@ -192,11 +192,6 @@ def test_guard():
             guard.check(["light", bad])
 
 
-def test_group_folds():
-    got = stats.group_folds([("a", 5), ("b", 4), ("c", 3), ("d", 3)], 2)
-    assert got == {"a": 0, "b": 1, "c": 1, "d": 0}
-
-
 def test_consensus_ties(spark):
     rows = [("r1", 1, 10), ("r2", 1, 20), ("r3", 2, 10), ("r1", 3, 5), ("r2", 3, 5), ("r3", 3, 6)]
     got = {r["pair_id"]: (r["consensus_winner_seg"], r["n_raters"], r["confidence_tier"]) for r in votes.consensus(spark.createDataFrame(rows, "rater string, pair_id long, winner_seg long")).collect()}

@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 import pytest
 from pavewise.functions import expr as X
-from pavewise.operators import design, stats
+from pavewise.operators import design, forest, stats
 from pavewise.sources import files
 from pyspark.sql import functions as F
 
@@ -50,12 +50,12 @@ def test_least_squares(spark):
 
 def test_forest_predicts_every_row_out_of_its_group(spark):
     rows = spark.range(120).select("id", (F.col("id") % 10).cast("double").alias("x"), ((F.col("id") % 10) * 2).cast("double").alias("y"), (F.col("id") % 7).alias("cell"))
-    out = stats.grouped_forest(rows, "y", ["x"], "cell", trees=10)
+    out = forest.grouped_forest(rows, "y", ["x"], "cell", trees=10)
     assert out.count() == 120
     q = stats.fit_quality(out, "y", "out").first()
     assert q["n"] == 120 and q["r2"] > 0.9
     with pytest.raises(ValueError):
-        stats.grouped_forest(rows.withColumnRenamed("x", "crime"), "y", ["crime"], "cell")
+        forest.grouped_forest(rows.withColumnRenamed("x", "crime"), "y", ["crime"], "cell")
 
 
 def test_seeded_pairs(spark):
