@@ -143,6 +143,19 @@ def _ordered(a: str, b: str) -> list:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
+def connecting(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) whose components are those of all similar pairs: one pair of each b first, then those that it left apart.
+
+    Within a group of near copies the first pairs connect nearly all, so few of its pairs need the whole sets.
+    """
+    pairs = stored(pairs.select("a", "b").distinct(), "pairs")
+    found = stored(verified(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), sets), "similar")
+    label = stored(components(found), "labels")
+    one, two = (label.select(F.col("node").alias(k), F.col("label").alias(x)) for k, x in (("a", "x"), ("b", "y")))
+    apart = pairs.join(one, "a", "left").join(two, "b", "left").filter(F.coalesce("x", "a") != F.coalesce("y", "b"))
+    return found.union(verified(apart.select("a", "b"), sets))
+
+
 def links(df: DataFrame, rows: DataFrame, shingle: int = SHINGLE, crowd: int = CROWD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Links (a, b), a < b, between the fp of rows (see signatures) whose components are those of all similar candidates."""
     one = rows.groupBy("fp").agg(F.first("n").alias("n"), F.first("bands").alias("bands"), F.min(F.struct("doc_id", "text_hash")).alias("own"))
@@ -154,7 +167,7 @@ def links(df: DataFrame, rows: DataFrame, shingle: int = SHINGLE, crowd: int = C
     other = quiet.select(F.col("band").alias("_band"), F.col("value").alias("_value"), F.col("fp").alias("other"), F.col("n").alias("m"))
     near = quiet.join(other, (F.col("band") == F.col("_band")) & (F.col("value") == F.col("_value")) & (F.col("fp") < F.col("other")) & _similar("n", "m"))
     sets = stored(sets_of(df, one.join(members.select("fp").distinct(), "fp", "left_semi"), lambda text: shingles(text, shingle), id_col, text_col), "shingle-sets")
-    found = stored(verified(near.select(*_ordered("fp", "other")).distinct(), sets), "similar")
+    found = stored(connecting(near.select(*_ordered("fp", "other")), sets), "similar")
     return found if crowded.isEmpty() else crowd_links(crowded.select(F.xxhash64("band", "value").alias("value"), "fp"), found, sets)
 
 
@@ -187,8 +200,7 @@ def crowd_links(crowded: DataFrame, found: DataFrame, sets: DataFrame, rounds: i
     sized = stored(apart.join(small, "fp"), "apart-sketches")
     rest = sized.filter("label <> main").toDF(*[f"_{c}" for c in sized.columns])
     can = (F.col("value") == F.col("_value")) & (F.col("label") != F.col("_label")) & _similar("n", "_n") & _possible("sketch", "_sketch", "n", "_n")
-    pairs = sized.join(rest, can).select(*_ordered("fp", "_fp")).distinct()
-    return close.union(linked(overlaps(pairs, sets)))
+    return close.union(connecting(sized.join(rest, can).select(*_ordered("fp", "_fp")), sets))
 
 
 def classes(df: DataFrame, shingle: int = SHINGLE, crowd: int = CROWD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -266,7 +266,7 @@ def links(df: DataFrame, rows: DataFrame, own: DataFrame, shingle: int = SHINGLE
     one = own.filter("n > 0").groupBy("fp").agg(F.first("n").alias("n"), F.min(F.struct("doc_id", "text_hash")).alias("own"))
     one = stored(one.join(wanted, "fp", "left_semi").select("fp", "n", F.col("own.doc_id").alias("doc_id"), F.col("own.text_hash").alias("text_hash")), "part-enum-candidates")
     sets = stored(near_copies.sets_of(df, one, lambda text: shingles(text, shingle), id_col, text_col), "part-enum-sets")
-    found = stored(near_copies.verified(pairs, sets), "similar")
+    found = stored(near_copies.connecting(pairs, sets), "similar")
     if crowded.isEmpty():
         return found
     return near_copies.crowd_links(crowded, found, sets)
