@@ -113,22 +113,58 @@ def equirectangular(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> C
     return F.hypot((lon2 - lon1) * 111000.0 * F.cos(F.radians(lat1)), (lat2 - lat1) * 111000.0)
 
 
-def utm(lon: Column, lat: Column, zone: int) -> tuple[Column, Column]:
-    """WGS84 to UTM (northern) by the Kruger series to third order; better than a millimetre within the zone."""
-    a, f, k0 = 6378137.0, 1 / 298.257223563, 0.9996
-    n = f / (2 - f)
-    big = a / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
-    alpha = (n / 2 - 2 * n**2 / 3 + 5 * n**3 / 16, 13 * n**2 / 48 - 3 * n**3 / 5, 61 * n**3 / 240)
-    e = 2 * math.sqrt(n) / (1 + n)
-    phi, lam = F.radians(lat), F.radians(lon - F.lit(6.0 * zone - 183))
+#: WGS84's half axis and flattening, and the grid's scale on a zone's middle meridian (fixed values).
+AXIS, FLAT, SCALE_0 = 6378137.0, 1 / 298.257223563, 0.9996
+EAST_0, SOUTH_0 = 500_000.0, 10_000_000.0
+_N = FLAT / (2 - FLAT)
+#: The rectifying radius, and coefficients of the series between conformal and rectifying latitude, either way.
+RADIUS = AXIS / (1 + _N) * (1 + _N**2 / 4 + _N**4 / 64)
+FORTH = (_N / 2 - 2 * _N**2 / 3 + 5 * _N**3 / 16 + 41 * _N**4 / 180, 13 * _N**2 / 48 - 3 * _N**3 / 5 + 557 * _N**4 / 1440, 61 * _N**3 / 240 - 103 * _N**4 / 140, 49561 * _N**4 / 161280)
+BACK = (_N / 2 - 2 * _N**2 / 3 + 37 * _N**3 / 96 - _N**4 / 360, _N**2 / 48 + _N**3 / 15 - 437 * _N**4 / 1440, 17 * _N**3 / 480 - 37 * _N**4 / 840, 4397 * _N**4 / 161280)
+
+#: From conformal to geographic latitude.
+TRUE = (2 * _N - 2 * _N**2 / 3 - 2 * _N**3 + 116 * _N**4 / 45, 7 * _N**2 / 3 - 8 * _N**3 / 5 - 227 * _N**4 / 45, 56 * _N**3 / 15 - 136 * _N**4 / 35, 4279 * _N**4 / 630)
+
+
+def zone_of(lon: Column) -> Column:
+    """The six-degree zone of a longitude, 1 to 60; longitudes beyond 180 come round."""
+    return (F.pmod(F.floor((lon + 180) / 6), F.lit(60)) + 1).cast("int")
+
+
+def utm(lon: Column, lat: Column, zone: int | Column | None = None, south: Column | None = None) -> tuple[Column, Column]:
+    """(easting, northing) of WGS84 degrees by the Kruger series to fourth order; better than a millimetre within a zone.
+
+    zone is a number, a column (each row its own), or each row's own by its longitude; south of the equator, or where
+    ``south`` says so, northings count from ten million metres down.
+    """
+    z = zone_of(lon) if zone is None else F.lit(zone) if isinstance(zone, int) else zone
+    e = 2 * math.sqrt(_N) / (1 + _N)
+    phi, lam = F.radians(lat), F.radians(lon - (z * 6.0 - 183.0))
     sin = F.sin(phi)
     t = F.sinh(F.atanh(sin) - F.lit(e) * F.atanh(F.lit(e) * sin))
     xi, eta = F.atan2(t, F.cos(lam)), F.atanh(F.sin(lam) / F.sqrt(1 + t * t))
     east, north = eta, xi
-    for j, c in enumerate(alpha, 1):
+    for j, c in enumerate(FORTH, 1):
         east = east + F.lit(c) * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
         north = north + F.lit(c) * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
-    return F.lit(500000.0) + F.lit(k0 * big) * east, F.lit(k0 * big) * north
+    down = F.when(lat < 0 if south is None else south, F.lit(SOUTH_0)).otherwise(F.lit(0.0))
+    return F.lit(EAST_0) + F.lit(SCALE_0 * RADIUS) * east, F.lit(SCALE_0 * RADIUS) * north + down
+
+
+def from_utm(east: Column, north: Column, zone: int | Column, south: bool | Column = False) -> tuple[Column, Column]:
+    """(lon, lat) in WGS84 degrees of an easting and northing; the way back from utm, to a millimetre within a zone."""
+    z, down = F.lit(zone) if isinstance(zone, int) else zone, F.lit(south) if isinstance(south, bool) else south
+    xi = (north - F.when(down, F.lit(SOUTH_0)).otherwise(F.lit(0.0))) / (SCALE_0 * RADIUS)
+    eta = (east - EAST_0) / (SCALE_0 * RADIUS)
+    xi_0, eta_0 = xi, eta
+    for j, c in enumerate(BACK, 1):
+        xi = xi - F.lit(c) * F.sin(2 * j * xi_0) * F.cosh(2 * j * eta_0)
+        eta = eta - F.lit(c) * F.cos(2 * j * xi_0) * F.sinh(2 * j * eta_0)
+    conformal = F.asin(F.sin(xi) / F.cosh(eta))
+    phi = conformal
+    for j, c in enumerate(TRUE, 1):
+        phi = phi + F.lit(c) * F.sin(2 * j * conformal)
+    return F.degrees(F.atan2(F.sinh(eta), F.cos(xi))) + (z * 6.0 - 183.0), F.degrees(phi)
 
 
 def answer(raw: Column) -> Column:
@@ -178,3 +214,20 @@ MASK_CLASSES = ("road", "sidewalk", "building", "pole", "vegetation", "sky")
 def class_share(mask: Column, number: int) -> Column:
     """The share of a mask's pixels with this class; null for an empty or missing mask."""
     return F.size(F.filter(mask, lambda x: x == number)) / F.nullif(F.size(mask), F.lit(0))
+
+
+def taken_at(raw: Column) -> Column:
+    """A capture time as a UTC timestamp: from epoch milliseconds (a number, or digits in a string), or a timestamp's own text."""
+    text = raw.cast("string")
+    return F.when(text.rlike(r"^-?\d+$"), F.timestamp_millis(text.try_cast("bigint"))).otherwise(text.try_cast("timestamp"))
+
+
+def locator_percent(lon: Column, lat: Column, box: tuple[Column, Column, Column, Column]) -> tuple[Column, Column]:
+    """Percent from the left and from the top of a map that shows the box (min_lon, min_lat, max_lon, max_lat); null if it has no width or height."""
+    left, low, right, top = box
+    return 100 * (lon - left) / F.nullif(right - left, F.lit(0.0)), 100 * (top - lat) / F.nullif(top - low, F.lit(0.0))
+
+
+def geoid(*parts: Column, widths: tuple[int, ...] = (2, 3, 6, 1)) -> Column:
+    """A census place's id: state, county, tract and block group as digits of fixed widths, one after the other."""
+    return F.concat(*[F.lpad(p.cast("string"), w, "0") for p, w in zip(parts, widths, strict=False)])

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pavewise.functions import expr as X
+from pavewise.operators import blocks as clusters
 from pavewise.operators import design, forest, geo, stats
 from pavewise.plans import scores as C
 from pavewise.plans import segments as S
@@ -253,22 +254,22 @@ def forest_gain(spark, sf):
     return spark.createDataFrame(out, "model string, n long, r2 double, mae double, rho double, gain double")
 
 
-def blocks(spark, sf, k: int = 4) -> DataFrame:
-    """(seg_id, block): k spatial blocks of midpoints by k-means; their numbers follow the centres from west to east."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.feature import VectorAssembler
-
+def blocks(spark, sf, ks: tuple[int, ...] = (4,)) -> DataFrame:
+    """(seg_id, k, block): for each k, k spatial blocks of midpoints by k-means (the best of ten starts), numbered from west to east."""
     mid = checkpointed(geo.midpoints(S.walk(spark, sf), "seg_id"))
-    mid = VectorAssembler(inputCols=["mx", "my"], outputCol="features").transform(mid)
-    model = KMeans(k=k, seed=1).fit(mid)
-    centres = [tuple(map(float, c)) for c in model.clusterCenters()]
-    place = {j: i for i, j in enumerate(sorted(range(len(centres)), key=lambda j: centres[j]))}
-    return model.transform(mid).select("seg_id", X.lookup(F.col("prediction"), place, -1).alias("block"))
+    centres = clusters.lloyd(mid, "seg_id", ["mx", "my"], list(ks))
+    each = F.array(*[F.struct(F.lit(k).alias("k"), clusters.nearest(["mx", "my"], c).alias("block")) for k, c in centres.items()])
+    return mid.select("seg_id", F.explode(each).alias("b")).select("seg_id", "b.k", "b.block")
 
 
 @query("kmeans_blocks")
 def kmeans_blocks(spark, sf):
-    return blocks(spark, sf)
+    return blocks(spark, sf).select("seg_id", "block")
+
+
+@query("kmeans_blocks_by_k")
+def kmeans_blocks_by_k(spark, sf):
+    return blocks(spark, sf, (2, 3, 4, 5))
 
 
 TOUR_SQL = f"""{C.O["pilot_selection"].rsplit(" SELECT seg_id, lev AS level", 1)[0]}, sites AS (SELECT g.seg_id, g.mx, g.my FROM g WHERE place <= 10), westmost AS (SELECT * FROM sites ORDER BY mx, seg_id LIMIT 1)

@@ -6,9 +6,10 @@ from functools import reduce
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from pavewise.functions import expr as X
-from pavewise.operators import design, geo, stats, votes
+from pavewise.operators import blocks, design, geo, stats, votes
 from pavewise.plans import models as M
 from pavewise.plans import scores as C
 from pavewise.plans import segments as S
@@ -344,49 +345,67 @@ def bt_bootstrap(spark, sf):
 
 #: Models compared on the same pairs, by the differences they use.
 MODELS = {"A": FITTED, "B": ["d_light"], "C": ["d_poi_density", "d_poi_night_density"]}
-#: Groups that a cross-validation may have: each is a fit.
-MOST_GROUPS = 200
+#: Pairs that a fit needs.
+LEAST = 20
 
 
-def keys_of(df, col: str) -> list:
-    """A column's different values in order; more than MOST_GROUPS are an error, as each is a fit of its own."""
-    keys = sorted(r[0] for r in df.select(col).distinct().limit(MOST_GROUPS + 1).collect())
-    if len(keys) > MOST_GROUPS:
-        raise ValueError(f"over {MOST_GROUPS} groups in {col}")
-    return keys
+def by_block(spark, sf, ks: tuple[int, ...]):
+    """For each k: leave one spatial block out. Pairs inside it test, pairs wholly outside train, straddling pairs go; for each
+    model the agreement over all blocks together with the 2.5 and 97.5 percentiles of its resampled means (1000 draws).
+
+    The fits of all blocks of all k share each Newton step: a pair counts in fit (k, block) unless one of its sides is there.
+    """
+    block = M.blocks(spark, sf, ks)
+    p = standard_pairs(spark, sf)
+    p = checkpointed(p.join(block.toDF("winner_seg", "k", "bw"), "winner_seg").join(block.toDF("loser_seg", "_k", "bl"), "loser_seg").filter("k = _k").drop("_k"))
+    sizes = {(r["k"], r["bw"], r["bl"]): r["count"] for r in p.groupBy("k", "bw", "bl").count().collect()}  # k * k rows for each k
+    out = []
+    for k in ks:
+        own = p.filter(F.col("k") == k)
+        total = lambda g, inside: sum(n for (kk, a, b), n in sizes.items() if kk == k and ((a == g and b == g) if inside else (a != g and b != g)))  # noqa: E731,B023
+        groups = [g for g in range(k) if total(g, True) and total(g, False) >= LEAST]
+        if not groups:
+            continue
+        place, right = F.create_map(*[x for i, g in enumerate(groups) for x in (F.lit(g), F.lit(i))]), []
+        for m, cols in MODELS.items():
+            w = blocks.held_out_fits(own, cols, "bw", "bl", groups)
+            at = F.array(*[F.array(*[F.lit(float(v)) for v in row]) for row in w])
+            margin = reduce(lambda x, y: x + y, [F.col(c) * F.get(F.get(at, F.col("_g")), F.lit(i)) for i, c in enumerate(cols)])
+            right.append((margin > 0).cast("double").alias(m))
+        test = own.filter((F.col("bw") == F.col("bl")) & F.col("bw").isin(groups)).withColumn("_g", place[F.col("bw")])
+        out.append(stats.mean_intervals(checkpointed(test.select("event_id", *right)), list(MODELS), "event_id").select(F.lit(k).alias("k"), "*"))
+    if not out:
+        return spark.createDataFrame([], "k int, model string, n long, agreement double, low double, high double")
+    return reduce(lambda a, b: a.unionByName(b), out)
 
 
 @query("spatial_block_cv")
 def block_cv(spark, sf):
-    """Leave one spatial block out: pairs inside it test, pairs wholly outside train, straddling pairs go; for each model the
-    agreement over all blocks together with the 2.5 and 97.5 percentiles of its resampled means (1000 draws)."""
-    block = M.blocks(spark, sf)
-    p = standard_pairs(spark, sf)
-    p = checkpointed(p.join(block.toDF("winner_seg", "bw"), "winner_seg").join(block.toDF("loser_seg", "bl"), "loser_seg"))
-    tests = []
-    for k in keys_of(p, "bw"):
-        train, test = p.filter((F.col("bw") != k) & (F.col("bl") != k)), p.filter((F.col("bw") == k) & (F.col("bl") == k))
-        if train.count() < 20 or test.isEmpty():
-            continue
-        right = [(sum((F.col(c) * w for c, w in stats.bradley_terry(train, cols).items()), F.lit(0.0)) > 0).cast("double").alias(m) for m, cols in MODELS.items()]
-        tests.append(test.select("event_id", *right))
-    if not tests:
-        return spark.createDataFrame([], "model string, n long, agreement double, low double, high double")
-    return stats.mean_intervals(checkpointed(reduce(lambda a, b: a.unionByName(b), tests)), list(MODELS), "event_id")
+    return by_block(spark, sf, (4,)).drop("k")
+
+
+@query("spatial_block_cv_by_k")
+def block_cv_by_k(spark, sf):
+    """From two to five blocks."""
+    return by_block(spark, sf, (2, 3, 4, 5))
 
 
 @query("loco")
 def loco(spark, sf):
-    """For each city held out: agreement, agreement of the pooled model, and the gap between them."""
+    """For each city held out: agreement, agreement of the pooled model, and the gap between them; all fits at once."""
     p = checkpointed(standard_pairs(spark, sf))
-    pooled, out = stats.bradley_terry(p, FITTED), []
-    for k in keys_of(p, "city_id"):
-        train, test = p.filter(F.col("city_id") != k), p.filter(F.col("city_id") == k)
-        if train.count() < 20 or test.isEmpty():
-            continue
-        a, b = (stats.agreement(test, w).first() for w in (stats.bradley_terry(train, FITTED), pooled))
-        out.append((k, a["n"], a["agreement"], b["agreement"], b["agreement"] - a["agreement"]))
-    return spark.createDataFrame(out, "city_id int, n long, agreement double, in_sample double, gap double")
+    sizes = dict(p.groupBy("city_id").count().collect())  # one row for each city
+    cities = sorted(k for k, n in sizes.items() if sum(sizes.values()) - n >= LEAST)
+    schema = "city_id int, n long, agreement double, in_sample double, gap double"
+    if not cities:
+        return spark.createDataFrame([], schema)
+    pooled, held = stats.bradley_terry(p, FITTED), blocks.held_out_fits(p, FITTED, "city_id", "city_id", cities)
+    own = spark.createDataFrame([(k, [float(v) for v in row]) for k, row in zip(cities, held, strict=True)], p.select("city_id").schema.add("w", ArrayType(DoubleType())))
+    with_w = p.join(F.broadcast(own), "city_id")  # one row for each city
+    margin = reduce(lambda x, y: x + y, [F.col(c) * F.get("w", F.lit(i)) for i, c in enumerate(FITTED)])
+    whole = reduce(lambda x, y: x + y, [F.col(c) * w for c, w in pooled.items()])
+    got = with_w.groupBy("city_id").agg(F.count("*").alias("n"), F.avg((margin > 0).cast("double")).alias("agreement"), F.avg((whole > 0).cast("double")).alias("in_sample"))
+    return got.select(F.col("city_id").cast("int").alias("city_id"), "n", "agreement", "in_sample", (F.col("in_sample") - F.col("agreement")).alias("gap"))
 
 
 @query("cross_group_test", ctes(*F_VIEWS, "votes") + f", {PAIRS_SQL}, half AS (SELECT * FROM sp WHERE city_id < 3), {newton_sql('half', 'bt')} SELECT city_id, count(*) n, round(avg(CASE WHEN w0 * d0 + w1 * d1 + w2 * d2 > 0 THEN 1.0 ELSE 0.0 END), 4) agreement FROM sp, bt WHERE city_id >= 3 GROUP BY city_id")

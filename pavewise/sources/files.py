@@ -6,9 +6,12 @@ import csv as csv_lines
 import io
 import zipfile
 from collections.abc import Callable, Iterator
+from functools import reduce
 from itertools import islice
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,11 +41,19 @@ def jsonl(spark: SparkSession, path: str, kind: str) -> DataFrame:
 
 
 def header_table(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON array of arrays whose first one names the columns; all values are strings. The header row is read alone."""
-    raw = spark.read.option("wholetext", True).text(path).select(F.from_json("value", "array<array<string>>").alias("t"))
-    names = raw.select(F.col("t")[0]).first()[0]
-    rows = raw.select(F.explode(F.slice("t", 2, F.greatest(F.size("t") - 1, F.lit(0)))).alias("r"))
-    return rows.select(*[F.col("r")[i].alias(n) for i, n in enumerate(names)])
+    """A JSON array of arrays whose first one names the columns; all values are strings. The header row is read alone.
+
+    The file is read line by line, so rows that stand on lines of their own (as census services send them) are parsed where they
+    lie; several rows on one line, even all of them, are read as well. Files of one path have the same header.
+    """
+    line = F.regexp_replace(F.trim("value"), r",$", "")
+    whole = F.concat(F.when(line.startswith("[["), "").otherwise("["), line, F.when(line.endswith("]]"), "").otherwise("]"))
+    rows = spark.read.text(path).filter(F.length(F.trim("value")) > 0).select(line.startswith("[[").alias("first"), F.from_json(whole, "array<array<string>>").alias("t"))
+    found = rows.filter("first").select(F.col("t")[0]).first()
+    if found is None:
+        raise ValueError(f"{path} has no header")
+    body = rows.select(F.explode(F.when(F.col("first"), F.slice("t", 2, F.greatest(F.size("t") - 1, F.lit(0)))).otherwise(F.col("t"))).alias("r"))
+    return body.select(*[F.get("r", F.lit(i)).alias(n) for i, n in enumerate(found[0])])
 
 
 def zip_member(spark: SparkSession, path: str, member: str, wanted: list[str]) -> DataFrame:
@@ -131,42 +142,110 @@ def write_report(one: DataFrame, path: str) -> None:
     one.sparkSession.createDataFrame(got, one.schema).coalesce(1).write.json(path)
 
 
-def wkb_vertices(wkb: Column) -> Column:
-    """rings (structs xs, ys) of well-known binary: a point or line has one, a polygon its shell and holes; null stays null.
+RINGS = "array<struct<part:int,xs:array<double>,ys:array<double>>>"
 
-    Two dimensions, either byte order; other shapes are an error.
-    """
-    import numpy as np
 
-    def decoded(raw: bytes) -> list[dict]:
-        order = "<" if raw[0] else ">"
-        kind, at = int(np.frombuffer(raw, f"{order}u4", 1, 1)[0]), 5
+def _shapes(raw: bytes) -> list[tuple[int, np.ndarray]]:
+    """(part, vertices) of every ring of one shape: dimensions after the second, and a reference system's number, are passed over."""
+    found: list[tuple[int, np.ndarray]] = []
+
+    def one(at: int, part: int) -> int:
+        order = "<" if raw[at] else ">"
+        word = int(np.frombuffer(raw, f"{order}u4", 1, at + 1)[0])
+        kind = word & 0x0FFFFFFF
+        wide = 2 + bool(word & 0x80000000 or kind // 1000 in (1, 3)) + bool(word & 0x40000000 or kind // 1000 in (2, 3))
+        kind, at = kind % 1000, at + 5 + 4 * bool(word & 0x20000000)
 
-        def vertices(n: int, at: int) -> dict:
-            xy = np.frombuffer(raw, f"{order}f8", 2 * n, at).astype(float)
-            return {"xs": xy[::2].tolist(), "ys": xy[1::2].tolist()}
+        def vertices(n: int, at: int) -> int:
+            found.append((part, np.frombuffer(raw, f"{order}f8", wide * n, at).astype(float).reshape(n, wide)[:, :2]))
+            return at + 8 * wide * n
+
+        def number(at: int) -> int:
+            return int(np.frombuffer(raw, f"{order}u4", 1, at)[0])
 
         if kind == 1:
-            return [vertices(1, at)]
-        n = int(np.frombuffer(raw, f"{order}u4", 1, at)[0])
+            return vertices(1, at)
         if kind == 2:
-            return [vertices(n, at + 4)]
-        if kind != 3:
-            raise ValueError(f"shape {kind} is not read")
-        out, at = [], at + 4
-        for _ in range(n):
-            k = int(np.frombuffer(raw, f"{order}u4", 1, at)[0])
-            out.append(vertices(k, at + 4))
-            at += 4 + 16 * k
-        return out
-
-    @F.pandas_udf("array<struct<xs:array<double>,ys:array<double>>>")
-    def rings(values: pd.Series) -> pd.Series:
-        return pd.Series([None if v is None else decoded(bytes(v)) for v in values], dtype=object)
+            return vertices(number(at), at + 4)
+        if kind == 3:
+            n, at = number(at), at + 4
+            for _ in range(n):
+                at = vertices(number(at), at + 4)
+            return at
+        if kind in (4, 5, 6):
+            n, at = number(at), at + 4
+            for k in range(n):
+                at = one(at, k)
+            return at
+        raise ValueError(f"shape {kind} is not read")
+
+    one(0, 0)
+    return found
+
+
+def _decoded(column: pa.Array) -> pa.Array:
+    """RINGS of a column of well-known binary; polygons of one ring, in the usual byte order and two dimensions, all at once."""
+    n = len(column)
+    offsets = np.frombuffer(column.buffers()[1], np.int32, n + 1, 4 * column.offset).astype(np.int64)
+    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
+    size, known = np.diff(offsets), ~column.is_null().to_numpy(zero_copy_only=False)
+    plain = np.flatnonzero(known & (size >= 13))
+    heads = data[offsets[plain][:, None] + np.arange(13)] if len(plain) else np.zeros((0, 13), np.uint8)
+    usual = (heads[:, :9] == np.array([1, 3, 0, 0, 0, 1, 0, 0, 0], np.uint8)).all(1)
+    plain, count = plain[usual], np.ascontiguousarray(heads[usual, 9:13]).view("<u4")[:, 0].astype(np.int64)
+    fits = size[plain] == 13 + 16 * count
+    plain, count = plain[fits], count[fits]
+    first = np.repeat(offsets[plain] + 13 - np.r_[0, np.cumsum(16 * count)[:-1]] if len(plain) else np.zeros(0, np.int64), 16 * count)
+    xy = np.ascontiguousarray(data[first + np.arange(len(first))]).view("<f8").reshape(-1, 2)
+    starts = np.r_[0, np.cumsum(count)]
+    rings: list[list[tuple[int, np.ndarray]]] = [[] for _ in range(n)]
+    for i, a, b in zip(plain.tolist(), starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+        rings[i] = [(0, xy[a:b])]
+    for i in np.setdiff1d(np.flatnonzero(known), plain).tolist():
+        rings[i] = _shapes(data[offsets[i] : offsets[i + 1]].tobytes())
+    flat = [r for own in rings for r in own]
+    points = np.concatenate([p for _, p in flat]) if flat else np.zeros((0, 2))
+    at = pa.array(np.r_[0, np.cumsum([len(p) for _, p in flat])] if flat else [0], pa.int32())
+    axes = [pa.ListArray.from_arrays(at, pa.array(np.ascontiguousarray(points[:, k]))) for k in range(2)]
+    each = pa.StructArray.from_arrays([pa.array([k for k, _ in flat], pa.int32()), *axes], ["part", "xs", "ys"])
+    ends = np.r_[0, np.cumsum([len(own) for own in rings])].astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends, mask=np.r_[~known, False]), each)
+
+
+def wkb_vertices(wkb: Column) -> Column:
+    """rings (structs part, xs, ys) of well-known binary: a point or line has one, a polygon its shell and holes, and a shape of
+    several parts those of each, by part. Further dimensions are left out, null stays null, either byte order is read; other
+    shapes are an error.
+    """
+
+    @F.arrow_udf(RINGS)
+    def rings(values: pa.Array) -> pa.Array:
+        return _decoded(values.cast(pa.binary()))
 
     return rings(wkb)
 
 
+def with_box(shapes: DataFrame, rings: str = "rings") -> DataFrame:
+    """shapes with bbox (xmin, ymin, xmax, ymax) of their rings."""
+    end = lambda f, axis: f(F.transform(rings, lambda r: f(r[axis])))
+    ends = [end(f, f"{a}s").alias(f"{a}{n}") for n, f in (("min", F.array_min), ("max", F.array_max)) for a in "xy"]
+    return shapes.withColumn("bbox", F.struct(*ends))
+
+
+def write_shapes(shapes: DataFrame, path: str, cell: float, **options: str) -> None:
+    """Write shapes that have a bbox so that those of one neighbourhood share row groups: in ranges of a curve through cells of this size."""
+    x, y = (F.floor(F.col(f"bbox.{a}min") / cell).cast("long") for a in "xy")
+    curve = reduce(lambda p, k: p.bitwiseOR(F.shiftleft(F.shiftright(x, k).bitwiseAND(F.lit(1)), 2 * k)).bitwiseOR(F.shiftleft(F.shiftright(y, k).bitwiseAND(F.lit(1)), 2 * k + 1)), range(20), F.lit(0).cast("long"))
+    ranged = shapes.withColumn("_curve", curve).repartitionByRange("_curve").sortWithinPartitions("_curve").drop("_curve")
+    ranged.write.options(**options).parquet(path)
+
+
+def shapes_in(spark: SparkSession, path: str, min_x: float, min_y: float, max_x: float, max_y: float) -> DataFrame:
+    """Shapes whose bbox meets a box. The comparisons reach the file's row groups, whose statistics rule out those elsewhere."""
+    box = F.col("bbox")
+    return spark.read.parquet(path).filter((box["xmin"] <= max_x) & (box["xmax"] >= min_x) & (box["ymin"] <= max_y) & (box["ymax"] >= min_y))
+
+
 def image_grid(min_lon: float, min_lat: float, max_lon: float, max_lat: float, k: int, spark: SparkSession) -> DataFrame:
     """(cell, min_lon, ..): k x k boxes of an area, for services that limit what one call returns."""
     i, j = (F.col("id") % k), F.floor(F.col("id") / k)
