@@ -6,10 +6,12 @@ side only, so each pair meets once. Nothing here compares all rows with all rows
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pavewise.session import checkpointed
+from pavewise.session import checkpointed, importable
 
 #: Left rows whose cells (nine each) may be broadcast.
 FEW = 50_000
@@ -138,21 +140,61 @@ def ring_box(polygons: DataFrame) -> DataFrame:
     return polygons.withColumns({"minx": F.array_min(xs), "maxx": F.array_max(xs), "miny": F.array_min(ys), "maxy": F.array_max(ys)})
 
 
+def _on_box() -> Column:
+    """Whether the sides are those of an upright box: four of them, each along the row's box, all corners its own."""
+    ends = lambda v, low, high: (v == F.col(low)) | (v == F.col(high))
+    along = lambda s: ((s["ax"] == s["bx"]) != (s["ay"] == s["by"])) & ends(s["ax"], "minx", "maxx") & ends(s["ay"], "miny", "maxy") & ends(s["bx"], "minx", "maxx") & ends(s["by"], "miny", "maxy")
+    return (F.size("sides") == 4) & F.forall("sides", along)
+
+
+def _placed(px: Column, py: Column, sides: Column) -> Column:
+    """(inside, edge): whether a point is inside by the number of sides crossed, and its distance to the nearest one; a batch at a time."""
+
+    @F.arrow_udf("inside boolean, edge double")
+    def of(xs: pa.Array, ys: pa.Array, lists: pa.Array) -> pa.Array:
+        n, each = lists.value_lengths().fill_null(0).to_numpy(), lists.flatten()
+        ax, ay, bx, by = (each.field(k).to_numpy(zero_copy_only=False) for k in ("ax", "ay", "bx", "by"))
+        x, y = (np.repeat(v.to_numpy(zero_copy_only=False), n) for v in (xs, ys))
+        dx, dy = bx - ax, by - ay
+        long = dx * dx + dy * dy
+        t = np.clip(np.divide((x - ax) * dx + (y - ay) * dy, long, out=np.zeros(len(x)), where=long > 0), 0.0, 1.0)
+        gap = np.sqrt((x - ax - t * dx) ** 2 + (y - ay - t * dy) ** 2)
+        cut = np.divide(dx * (y - ay), dy, out=np.zeros(len(x)), where=dy != 0) + ax
+        crossed = ((ay > y) != (by > y)) & (x < cut)
+        some = np.flatnonzero(n)
+        starts = np.r_[0, np.cumsum(n)[:-1]][some] if len(some) else np.zeros(0, int)
+        edge, odd = np.full(len(n), np.nan), np.zeros(len(n), np.int64)
+        if len(some):
+            edge[some], odd[some] = np.minimum.reduceat(gap, starts), np.add.reduceat(crossed.astype(np.int64), starts)
+        return pa.StructArray.from_arrays([pa.array(odd % 2 == 1), pa.array(edge, mask=n == 0)], ["inside", "edge"])
+
+    return of(px, py, sides)
+
+
 def near_polygons(points: DataFrame, polygons: DataFrame, r: float, size: float, keep: tuple[str, ...]) -> DataFrame:
     """Points (lx, ly, ..) with the polygons (rings: shell and holes; keep columns) within r of them, and d: 0 inside.
 
     With r = 0 the polygons that hold the point; the boundary and holes are outside. A polygon is met in the cells that its
-    grown box covers, a point in its own, so no pair meets twice; the box goes first.
+    grown box covers, a point in its own, so no pair meets twice; the box goes first. Upright boxes need no sides: they are met on
+    their own, in generated code; other polygons' sides are looked through a batch of pairs at a time.
     """
+    importable(points.sparkSession)
     box = ["minx", "maxx", "miny", "maxy"]
     q = ring_box(polygons).select(*keep, _all_sides(F.col("rings")).alias("sides"), *box)
-    q = q.select(*keep, "sides", *box, F.explode(_covered(r, size)).alias("c")).select(*keep, "sides", *box, "c.cx", "c.cy")
+    q = q.select("*", _on_box().alias("_box"), F.explode(_covered(r, size)).alias("c")).select(*keep, "sides", "_box", *box, "c.cx", "c.cy")
     p = points.withColumns({"cx": _cell(F.col("lx"), size), "cy": _cell(F.col("ly"), size)})
     x, y = F.col("lx"), F.col("ly")
     boxed = (x >= F.col("minx") - r) & (x <= F.col("maxx") + r) & (y >= F.col("miny") - r) & (y <= F.col("maxy") + r)
-    met = p.join(q, ["cx", "cy"]).filter(boxed).withColumns({"_in": _odd_crossings(x, y, F.col("sides")), "_edge": F.round(_distance_to_sides(x, y, F.col("sides")), 9)})
-    met = met.withColumn("d", F.when(F.col("_in"), 0.0).otherwise(F.col("_edge"))).filter((F.col("d") <= r) if r else (F.col("_in") & (F.col("_edge") > 0)))
-    return met.drop("sides", *box, "cx", "cy", "_in", "_edge")
+    out = [*points.columns, *keep, "d"]
+    near = p.join(q.filter("_box").drop("sides", "_box"), ["cx", "cy"]).filter(boxed)
+    off = lambda v, low, high: F.greatest(F.col(low) - v, v - F.col(high), F.lit(0.0))
+    gap = F.round(F.sqrt(F.pow(off(x, "minx", "maxx"), F.lit(2.0)) + F.pow(off(y, "miny", "maxy"), F.lit(2.0))), 9)
+    within = (x > F.col("minx")) & (x < F.col("maxx")) & (y > F.col("miny")) & (y < F.col("maxy"))
+    near = near.withColumn("d", gap).filter((F.col("d") <= r) if r else within)
+    met = p.join(q.filter("not _box").drop("_box"), ["cx", "cy"]).filter(boxed).withColumn("_at", _placed(x, y, F.col("sides")))
+    edge = F.round("_at.edge", 9)
+    met = met.withColumn("d", F.when(F.col("_at.inside"), 0.0).otherwise(edge)).filter((F.col("d") <= r) if r else (F.col("_at.inside") & (edge > 0)))
+    return near.select(*out).unionByName(met.select(*out))
 
 
 def near_lines(points: DataFrame, lines: DataFrame, r: float, keep: tuple[str, ...] = ("seg_id",), size: float | None = None) -> DataFrame:

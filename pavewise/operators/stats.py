@@ -36,56 +36,64 @@ def log_scaled(x: Column) -> Column:
     return F.log1p(F.greatest(x, F.lit(0.0)))
 
 
-def order_statistics(rows: DataFrame, col: str, ranks: list[int], n: int) -> dict[int, float]:
-    """The values at these ranks (from 0) among the n finite values of col, exactly.
+def order_statistics(rows: DataFrame, ranks: dict[str, list[int]], n: dict[str, int]) -> dict[tuple[str, int], float]:
+    """The values at these ranks (from 0) among the n finite values of each column, exactly; all columns in the same passes.
 
     A mergeable sketch gives two values around each rank; counts tell whether the rank is one of theirs or strictly between
     them, where at most 4 / SKETCH of the rows are left. That goes on until at most HELD rows are between, whose different
     values the driver gets. rows must be cheap to read.
     """
-    x, out = F.col(col), {}
-    at = {r: (float("-inf"), float("inf"), 0, n) for r in ranks}  # bounds, rows up to the lower one, rows between them
-    while wide := [r for r in ranks if r not in out and at[r][3] > HELD]:
-        inside = {r: F.when((x > at[r][0]) & (x < at[r][1]), x) for r in wide}
-        share = {r: (r - at[r][2]) / max(at[r][3] - 1, 1) for r in wide}
-        ends = rows.agg(*[F.percentile_approx(inside[r], [max(0.0, share[r] - 2 / SKETCH), min(1.0, share[r] + 2 / SKETCH)], SKETCH).alias(f"_{r}") for r in wide]).first()
-        counts = rows.agg(*[F.count_if(c).alias(f"{k}{r}") for r in wide for k, c in (("l", x < ends[f"_{r}"][0]), ("a", x == ends[f"_{r}"][0]), ("i", (x > ends[f"_{r}"][0]) & (x < ends[f"_{r}"][1])), ("b", x == ends[f"_{r}"][1]))]).first()
-        for r in wide:
-            (lo, hi), less, here, between, last = ends[f"_{r}"], *[counts[f"{k}{r}"] for k in "laib"]
+    keys = [(c, r) for c, rs in ranks.items() for r in rs]
+    names = {k: f"_{i}" for i, k in enumerate(keys)}
+    out: dict[tuple[str, int], float] = {}
+    at = {k: (float("-inf"), float("inf"), 0, n[k[0]]) for k in keys}  # bounds, rows up to the lower one, rows between them
+    while wide := [k for k in keys if k not in out and at[k][3] > HELD]:
+        inside = {k: F.when((F.col(k[0]) > at[k][0]) & (F.col(k[0]) < at[k][1]), F.col(k[0])) for k in wide}
+        share = {k: (k[1] - at[k][2]) / max(at[k][3] - 1, 1) for k in wide}
+        ends = rows.agg(*[F.percentile_approx(inside[k], [max(0.0, share[k] - 2 / SKETCH), min(1.0, share[k] + 2 / SKETCH)], SKETCH).alias(names[k]) for k in wide]).first()
+        sides = lambda x, lo, hi: (("l", x < lo), ("a", x == lo), ("i", (x > lo) & (x < hi)), ("b", x == hi))
+        counts = rows.agg(*[F.count_if(c).alias(f"{w}{names[k]}") for k in wide for w, c in sides(F.col(k[0]), *ends[names[k]])]).first()
+        for k in wide:
+            (lo, hi), less, here, between, last = ends[names[k]], *[counts[f"{w}{names[k]}"] for w in "laib"]
+            r = k[1]
             if less <= r < less + here:
-                out[r] = lo
+                out[k] = lo
             elif less + here <= r < less + here + between:
-                at[r] = (lo, hi, less + here, between)
+                at[k] = (lo, hi, less + here, between)
             elif less + here + between <= r < less + here + between + last:
-                out[r] = hi
+                out[k] = hi
             else:
                 raise RuntimeError("a rank left its bracket")  # the sketch's bound rules it out
-    left = [r for r in ranks if r not in out]
+    left = [k for k in keys if k not in out]
     if left:
-        near = reduce(lambda p, q: p | q, [(x > at[r][0]) & (x < at[r][1]) for r in left])
-        values = sorted(map(tuple, rows.filter(near).groupBy(x.alias("v")).count().collect()))
-        for r in left:
-            lo, hi, seen, _ = at[r]
-            for v, k in values:
-                if lo < v < hi:
-                    seen += k
-                    if seen > r:
-                        out[r] = v
+        own = {c: reduce(lambda p, q: p | q, [(F.col(c) > at[k][0]) & (F.col(c) < at[k][1]) for k in left if k[0] == c]) for c in dict.fromkeys(k[0] for k in left)}
+        cells = F.array_compact(F.array(*[F.when(near, F.struct(F.lit(c).alias("c"), F.col(c).alias("v"))) for c, near in own.items()]))
+        values = sorted(map(tuple, rows.select(F.explode(cells).alias("s")).groupBy("s.c", "s.v").count().collect()))  # HELD for each rank
+        for k in left:
+            lo, hi, seen, _ = at[k]
+            for c, v, times in values:
+                if c == k[0] and lo < v < hi:
+                    seen += times
+                    if seen > k[1]:
+                        out[k] = v
                         break
     return out
 
 
+def percentiles_of(df: DataFrame, shares: dict[str, list[float]]) -> dict[str, list[float] | None]:
+    """Exact percentiles of several columns by linear interpolation, null for a column without known values. Fitted at once."""
+    rows = checkpointed(df.select(*[F.col(c).cast("double").alias(c) for c in shares]))
+    n = rows.agg(*[F.count(c).alias(c) for c in shares]).first().asDict()
+    places = {c: [p * (n[c] - 1) for p in ps] for c, ps in shares.items() if n[c]}
+    at = order_statistics(rows, {c: sorted({r for p in ps for r in (math.floor(p), math.ceil(p))}) for c, ps in places.items()}, n)
+    value = lambda c, p: float(at[c, math.floor(p)] + (p - math.floor(p)) * (at[c, math.ceil(p)] - at[c, math.floor(p)]))
+    return {c: [value(c, p) for p in places[c]] if n[c] else None for c in shares}
+
+
 def percentiles(df: DataFrame, col: str, shares: list[float], where: Column | None = None) -> DataFrame:
     """One row (q array): exact percentiles by linear interpolation, null without known values. Fitted at once."""
-    rows = checkpointed((df if where is None else df.filter(where)).select(F.col(col).cast("double").alias("_x")).filter("_x is not null"))
-    n = rows.count()
-    spark = df.sparkSession
-    if not n:
-        return spark.range(1).select(F.lit(None).cast("array<double>").alias("q"))
-    places = [p * (n - 1) for p in shares]
-    at = order_statistics(rows, "_x", sorted({r for p in places for r in (math.floor(p), math.ceil(p))}), n)
-    found = [at[math.floor(p)] + (p - math.floor(p)) * (at[math.ceil(p)] - at[math.floor(p)]) for p in places]
-    return spark.range(1).select(F.lit([float(v) for v in found]).cast("array<double>").alias("q"))
+    found = percentiles_of(df if where is None else df.filter(where), {col: shares})[col]
+    return df.sparkSession.range(1).select(F.lit(found).cast("array<double>").alias("q"))
 
 
 def median(df: DataFrame, col: str) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -131,8 +129,8 @@ ARTIFACT = ("light", "poi_density", "poi_night_density")
 @query("model_artifact_stats", ctes(*F_VIEWS) + f", {LOG_SQL} " + " UNION ALL ".join(f"SELECT '{c}' AS feature, round(avg({c}), 6) mean, round(stddev_pop({c}) + 1e-9, 6) std, round(quantile_cont({c}, 0.025), 6) low, round(quantile_cont({c}, 0.5), 6) mid, round(quantile_cont({c}, 0.975), 6) high FROM lg" for c in ARTIFACT))
 def artifact(spark, sf):
     rows = checkpointed(C.logged(spark, sf).select(*ARTIFACT))
-    each = [stats.with_scalar(rows.agg(F.lit(c).alias("feature"), F.avg(c).alias("m"), F.stddev_pop(c).alias("s")), stats.percentiles(rows, c, [0.025, 0.5, 0.975])) for c in ARTIFACT]
-    g = reduce(DataFrame.unionByName, each)
+    one, q = rows.agg(*[x for c in ARTIFACT for x in (F.avg(c).alias(f"m_{c}"), F.stddev_pop(c).alias(f"s_{c}"))]).first(), stats.percentiles_of(rows, {c: [0.025, 0.5, 0.975] for c in ARTIFACT})
+    g = spark.createDataFrame([(c, one[f"m_{c}"], one[f"s_{c}"], q[c]) for c in ARTIFACT], "feature string, m double, s double, q array<double>")
     return g.select("feature", r6(F.col("m"), "mean"), r6(F.col("s") + 1e-9, "std"), *[r6(F.col("q")[i], n) for i, n in enumerate(("low", "mid", "high"))])
 
 

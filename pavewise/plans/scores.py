@@ -111,11 +111,11 @@ def model_of(training) -> dict:
     training = checkpointed(training)
     one = training.agg(F.count("*").alias("n"), *[x for c in CORE for x in (F.avg(c).alias(f"m_{c}"), F.stddev_samp(c).alias(f"s_{c}"))], *[F.avg((F.col(c) > 0).cast("double")).alias(f"share_{c}") for c in CORE[:2]]).first()
     gap = F.sqrt(sum((F.pow((F.col(c) - one[f"m_{c}"]) / (one[f"s_{c}"] + stats.EPS), F.lit(2.0)) for c in CORE), F.lit(0.0)) / len(CORE))
-    cut = stats.percentiles(training.select(gap.alias("gap")), "gap", [0.95]).first()["q"]
+    found = stats.percentiles_of(training.select(*CORE, gap.alias("gap")), {"gap": [0.95], **{c: [0.025, 0.5, 0.975] for c in CORE}})
     out = {c: {"mean": round(one[f"m_{c}"], 4), "std": round(one[f"s_{c}"] + stats.EPS, 4)} for c in CORE}
     for c in CORE:
-        out[c] |= {k: round(v, 4) for k, v in zip(("p2_5", "p50", "p97_5"), stats.percentiles(training, c, [0.025, 0.5, 0.975]).first()["q"], strict=True)}
-    return {"stats": out, "cutoff_p95": round(cut[0], 4), "night_activity_share": round(one["share_poi_night_density"], 4), "context_share": round(one["share_poi_density"], 4), "n": one["n"]}
+        out[c] |= {k: round(v, 4) for k, v in zip(("p2_5", "p50", "p97_5"), found[c], strict=True)}
+    return {"stats": out, "cutoff_p95": round(found["gap"][0], 4), "night_activity_share": round(one["share_poi_night_density"], 4), "context_share": round(one["share_poi_density"], 4), "n": one["n"]}
 
 
 def engine_scores(area, model: dict, coef: dict[str, float] = COEF):
