@@ -207,6 +207,21 @@ def verdict(r: Column, least: float = 0.03) -> Column:
     return F.when(r < -least, "tracks fewer").when(r > least, "tracks more").otherwise("flat")
 
 
+def exposure_verdict(rho: Column, coef: Column, least: float = 0.03) -> Column:
+    """What a feature tracks once exposure is taken out: fewer only if the partial rank correlation and the linear coefficient agree."""
+    return F.when((rho < -least) & (coef < 0), "tracks fewer").when(rho > least, "tracks more").otherwise("flat")
+
+
+def order_verdict(rho: Column, least: float = 0.10) -> Column:
+    """Whether counts fall as a safety score rises."""
+    return F.when(rho < -least, "supported").otherwise("weak")
+
+
+def transfer_verdict(gap: Column, lowest: Column, most: float = 0.05, least: float = 0.65) -> Column:
+    """Whether a model holds where it has not been fitted: small gaps to the pooled fit, and agreement everywhere."""
+    return F.when((gap <= most) & (lowest >= least), "generalizes").otherwise("does not cleanly generalize")
+
+
 #: Classes of label masks, by number.
 MASK_CLASSES = ("road", "sidewalk", "building", "pole", "vegetation", "sky")
 

@@ -123,6 +123,20 @@ def verdicts(spark, sf):
     return fitted(spark, sf).select("feature", X.verdict(F.col("coef")).alias("verdict"))
 
 
+CRASH_RANKS = f"cr AS (SELECT {C._ranks(('day_safety', 'crashes', 'length_m'), 'cd')} FROM cd), cc AS (SELECT corr(r0, r1) xy, corr(r0, r2) xz, corr(r1, r2) yz FROM cr)"
+
+
+@query("verdict_sets", ctes("segments", "incidents") + f", {OLS_SQL}, cd AS (SELECT day_safety, crashes, length_m FROM day JOIN (SELECT seg_id, crashes FROM per) USING (seg_id)), {CRASH_RANKS}, p AS (SELECT (xy - xz*yz) / sqrt((1-xz*xz)*(1-yz*yz)) rho, xy FROM cc), k AS (SELECT coef FROM ols WHERE feature = 'day_safety') SELECT 'exposure' AS kind, round(rho, 6) rho, CASE WHEN rho < -0.03 AND coef < 0 THEN 'tracks fewer' WHEN rho > 0.03 THEN 'tracks more' ELSE 'flat' END verdict FROM p, k UNION ALL SELECT 'order', round(xy, 6), CASE WHEN xy < -0.10 THEN 'supported' ELSE 'weak' END FROM p")
+def verdict_sets(spark, sf):
+    """Crashes by day safety: with exposure (length) taken out, and the plain ordering."""
+    rows = checkpointed(C.crashes(spark, sf).select(F.col("day_safety").cast("double").alias("day_safety"), F.col("crashes").cast("double").alias("n"), F.col("length_m").cast("double").alias("length_m")))
+    coef = fitted(spark, sf).filter("feature = 'day_safety'").select("coef")
+    part = stats.with_scalar(stats.partial_spearman(rows, "day_safety", "n", ["length_m"]).select("rho"), coef)
+    plain = stats.spearman(rows, [("day_safety", "n")]).select("rho")
+    first = part.select(F.lit("exposure").alias("kind"), r6(F.col("rho"), "rho"), X.exposure_verdict(F.col("rho"), F.col("coef")).alias("verdict"))
+    return first.unionByName(plain.select(F.lit("order").alias("kind"), r6(F.col("rho"), "rho"), X.order_verdict(F.col("rho")).alias("verdict")))
+
+
 ARTIFACT = ("light", "poi_density", "poi_night_density")
 
 

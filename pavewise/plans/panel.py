@@ -408,6 +408,13 @@ def loco(spark, sf):
     return got.select(F.col("city_id").cast("int").alias("city_id"), "n", "agreement", "in_sample", (F.col("in_sample") - F.col("agreement")).alias("gap"))
 
 
+@query("transfer_verdict")
+def transfer_verdict(spark, sf):
+    """The held-out cities' lowest agreement, the largest gap to the pooled fit, and what they say together."""
+    one = loco(spark, sf).agg(F.count("*").alias("cities"), F.min("agreement").alias("lowest"), F.max("gap").alias("gap"))
+    return one.select("*", X.transfer_verdict(F.col("gap"), F.col("lowest")).alias("verdict"))
+
+
 @query("cross_group_test", ctes(*F_VIEWS, "votes") + f", {PAIRS_SQL}, half AS (SELECT * FROM sp WHERE city_id < 3), {newton_sql('half', 'bt')} SELECT city_id, count(*) n, round(avg(CASE WHEN w0 * d0 + w1 * d1 + w2 * d2 > 0 THEN 1.0 ELSE 0.0 END), 4) agreement FROM sp, bt WHERE city_id >= 3 GROUP BY city_id")
 def cross_group(spark, sf):
     """Weights of one set of cities on each city of another."""

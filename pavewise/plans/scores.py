@@ -411,6 +411,24 @@ def bbox_from_point(spark, sf):
     return n.select("n_nationkey", b.alias("b")).select("n_nationkey", *[F.round(f"b.{c}", 6).alias(c) for c in ("min_lon", "min_lat", "max_lon", "max_lat")])
 
 
+@query("utm_round_trip", "SELECT c_custkey, round(CAST((c_custkey * 6007) % 36001 AS DOUBLE) / 100 - 180, 7) lon, round(CAST((c_custkey * 15013) % 16001 AS DOUBLE) / 100 - 80, 7) lat FROM customer")
+def utm_round_trip(spark, sf):
+    """Places in all zones of both hemispheres, to metres in their own zone and back to degrees."""
+    c = spark.read.parquet(f"{sf.rstrip('/')}/customer.parquet").select("c_custkey", (((F.col("c_custkey") * 6007) % 36001).cast("double") / 100 - 180).alias("lon"), (((F.col("c_custkey") * 15013) % 16001).cast("double") / 100 - 80).alias("lat"))
+    east, north = X.utm(F.col("lon"), F.col("lat"))
+    there = c.select("c_custkey", east.alias("e"), north.alias("n"), X.zone_of(F.col("lon")).alias("z"), (F.col("lat") < 0).alias("south"))
+    lon, lat = X.from_utm(F.col("e"), F.col("n"), F.col("z"), F.col("south"))
+    return there.select("c_custkey", F.round(lon, 7).alias("lon"), F.round(lat, 7).alias("lat"))
+
+
+@query("geoid_parts", ctes("job_blocks") + " SELECT substr(w_geocode, 1, 12) geoid, sum(c000) jobs FROM job_blocks GROUP BY 1")
+def geoid_parts(spark, sf):
+    """Jobs by block group, its id put together from numbers of state, county, tract and group."""
+    part = lambda at, n: F.substring("w_geocode", at, n).cast("long")
+    place = X.geoid(part(1, 2), part(3, 3), part(6, 6), part(12, 1))
+    return view(spark, sf, "job_blocks").groupBy(place.alias("geoid")).agg(F.sum("c000").alias("jobs"))
+
+
 @query("equirect_distance", "SELECT n_nationkey, round(sqrt(pow(0.01 * 111000 * cos(radians(n_nationkey * 2.0)), 2) + pow(0.02 * 111000, 2)), 4) dist FROM nation")
 def equirect(spark, sf):
     lat = F.col("n_nationkey") * 2.0

@@ -246,6 +246,23 @@ def image_link(spark, sf):
     return g.select("seg_id", F.array_join(ids, ",").alias("img_ids"), F.col("l")[0]["image_id"].alias("img_best"), F.size("l").cast("long").alias("n_img"), r6(F.col("l")[0]["d"], "dist_best_m"))
 
 
+@query("image_leaf_on_epoch", ctes("images") + " SELECT image_id, CASE WHEN image_id % 9 = 0 THEN false ELSE month(captured_at) BETWEEN 4 AND 10 END leaf_on FROM images")
+def image_leaf_on_epoch(spark, sf):
+    """Leaf-on pictures by capture times in epoch milliseconds, as image services give them; a picture without one (here every ninth) is not."""
+    taken = F.unix_millis(F.col("captured_at").cast("timestamp"))
+    rows = view(spark, sf, "images").select("image_id", F.when(F.col("image_id") % 9 != 0, taken).alias("ms"))
+    return rows.select("image_id", F.coalesce(X.leaf_on(F.month(X.taken_at(F.col("ms")))), F.lit(False)).alias("leaf_on"))
+
+
+@query("locator_percent", ctes("segments") + f", {WALK_SQL}, {MID_SQL}, b AS (SELECT min(mx) x0, max(mx) x1, min(my) y0, max(my) y1 FROM mid) SELECT seg_id, round(100 * (mx - x0) / (x1 - x0), 6) from_left, round(100 * (y1 - my) / (y1 - y0), 6) from_top FROM mid, b")
+def locator_percent(spark, sf):
+    """Where each segment's dot stands on a map of all of them."""
+    mid = geo.midpoints(walk(spark, sf), "seg_id")
+    box = mid.agg(F.min("mx").alias("x0"), F.min("my").alias("y0"), F.max("mx").alias("x1"), F.max("my").alias("y1"))
+    left, top = X.locator_percent(F.col("mx"), F.col("my"), tuple(map(F.col, ("x0", "y0", "x1", "y1"))))
+    return stats.with_scalar(mid, box).select("seg_id", r6(left, "from_left"), r6(top, "from_top"))
+
+
 @query("image_octants_years", ctes("images") + " SELECT CAST(year(captured_at) AS BIGINT) yr, count(*) n, count(DISTINCT CAST(floor(compass_angle % 360 / 45) AS INT)) octants, round(100.0 * avg(CASE WHEN is_pano THEN 1.0 ELSE 0.0 END), 6) pano_pct FROM images GROUP BY 1")
 def image_octants(spark, sf):
     return view(spark, sf, "images").groupBy(F.year("captured_at").cast("long").alias("yr")).agg(F.count("*").alias("n"), F.countDistinct(X.octant(F.col("compass_angle"))).alias("octants"), r6(100 * F.avg(F.col("is_pano").cast("double")), "pano_pct"))
