@@ -9,16 +9,17 @@ cut, so no source's documents are ever sorted in one task.
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Callable
+from itertools import chain
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pavewise.llm.common import stored, word_count
 
-#: Patterns that the driver holds; more raise an error, none are dropped.
-MOST_PATTERNS = 50_000
+#: Patterns that the driver holds. Where there are more, documents of the smaller ones count for one of their sources each, by a
+#: seeded draw: none is dropped, but those are less free in the flow.
+MOST_PATTERNS = 200_000
 STEP = 10  # bits of the hash in one refinement
 LEVELS = 6  # refinements in each of the two hashes
 
@@ -43,53 +44,84 @@ def targets(sizes: list[int], weights: list[float], share: float = 1.5, most: fl
 def flow(patterns: list[tuple[frozenset, int]], quotas: dict, repeat: int) -> list[int]:
     """Tokens that each pattern gives in a maximal flow of least cost.
 
-    Successive shortest paths with potentials over source -> pattern (repeat arcs of its size, the r-th at cost r) ->
-    its sources -> sink (quota). Integer capacities, so the result is exact.
+    The network is start -> pattern (repeat arcs of its size, the r-th at cost r) -> its sources -> sink (quota). A way to the sink
+    leaves the start once, and only those arcs cost anything, so the cheapest ways use the first arcs, then the second ones:
+    for each r the flow is made maximal with one more arc a pattern, by blocking flows over shortest ways in arcs.
+    Integer capacities, so the result is exact; there are few sources, so few ways are long.
     """
     names = sorted(quotas, key=lambda s: (s is None, s))
-    first = 2
-    at_source = {s: first + len(patterns) + i for i, s in enumerate(names)}
-    graph: list[list[int]] = [[] for _ in range(first + len(patterns) + len(names))]
-    to, room, cost = [], [], []
-
-    def arc(a: int, b: int, capacity: int, price: int) -> None:
-        for x, y, c, p in ((a, b, capacity, price), (b, a, 0, -price)):
-            graph[x].append(len(to))
-            to.append(y)
-            room.append(c)
-            cost.append(p)
-
-    for i, (members, size) in enumerate(patterns):
-        for r in range(1, repeat + 1):
-            arc(0, first + i, size, r)
-        for s in sorted(members, key=lambda s: (s is None, s)):
-            arc(first + i, at_source[s], repeat * size, 0)
-    for s in names:
-        arc(at_source[s], 1, int(quotas[s]), 0)
-    level = [0] * len(graph)
-    while True:
-        far, way = [1 << 60] * len(graph), [-1] * len(graph)
-        far[0], heap = 0, [(0, 0)]
-        while heap:
-            d, x = heapq.heappop(heap)
-            if d > far[x]:
-                continue
-            for e in graph[x]:
-                if room[e] and (n := d + cost[e] + level[x] - level[to[e]]) < far[to[e]]:
-                    far[to[e]], way[to[e]] = n, e
-                    heapq.heappush(heap, (n, to[e]))
-        if way[1] < 0:
-            break
-        level = [a + min(b, far[1]) for a, b in zip(level, far, strict=True)]
-        path, x = [], 1
-        while x:
-            path.append(way[x])
-            x = to[way[x] ^ 1]
-        least = min(room[e] for e in path)
-        for e in path:
-            room[e] -= least
-            room[e ^ 1] += least
-    return [sum(room[e] for e in graph[first + i] if to[e] == 0) for i in range(len(patterns))]
+    place = {s: i for i, s in enumerate(names)}
+    arcs = [sorted(place[s] for s in members) for members, _ in patterns]
+    given = [dict.fromkeys(own, 0) for own in arcs]  # flow from pattern to source
+    holders: list[dict[int, None]] = [{} for _ in names]  # patterns with flow to a source
+    open_, room, used = [int(quotas[s]) for s in names], [0] * len(patterns), [0] * len(patterns)
+
+    def levels() -> tuple[list[int], list[int]] | None:
+        """Distances of patterns and sources from the start, null if no source with room is reached."""
+        of_pattern, of_source = [-1] * len(patterns), [-1] * len(names)
+        now = [i for i, r in enumerate(room) if r > 0]
+        for i in now:
+            of_pattern[i] = 0
+        far, done = 0, False
+        while now and not done:
+            near = []
+            for i in now:
+                for s in arcs[i]:
+                    if of_source[s] < 0:
+                        of_source[s] = far + 1
+                        near.append(s)
+            done = any(open_[s] > 0 for s in near)
+            now = []
+            for s in near:
+                for i in holders[s]:
+                    if of_pattern[i] < 0 and given[i][s] > 0:
+                        of_pattern[i] = far + 2
+                        now.append(i)
+            far += 2
+        return (of_pattern, of_source) if done else None
+
+    for _ in range(repeat):
+        for i, (_, size) in enumerate(patterns):
+            room[i] += size
+        while (found := levels()) is not None:
+            of_pattern, of_source = found
+            left = [iter(a) for a in arcs]
+            back = [iter(list(h)) for h in holders]
+            for first in [i for i, r in enumerate(room) if r > 0]:
+                way: list[tuple[int, int]] = []  # (pattern, source) forward, and (pattern, source) back, by turns
+                at, is_source = first, False
+                while room[first] > 0:
+                    if is_source and open_[at] > 0:
+                        least = min([room[first], open_[at], *[given[i][s] for i, s in way[1::2]]])
+                        for k, (i, s) in enumerate(way):
+                            given[i][s] += least if k % 2 == 0 else -least
+                            if given[i][s] > 0:
+                                holders[s][i] = None
+                            else:
+                                holders[s].pop(i, None)
+                        room[first] -= least
+                        used[first] += least
+                        open_[at] -= least
+                        way, at, is_source = [], first, False
+                        continue
+                    if is_source:
+                        step = next((i for i in back[at] if of_pattern[i] == of_source[at] + 1 and given[i].get(at, 0) > 0), None)
+                    else:
+                        step = next((s for s in left[at] if of_source[s] == of_pattern[at] + 1), None)
+                    if step is not None:
+                        way.append((step, at) if is_source else (at, step))
+                        if not is_source:
+                            left[at] = chain([step], left[at])  # it may serve again
+                        else:
+                            back[at] = chain([step], back[at])
+                        at, is_source = step, not is_source
+                        continue
+                    if not way:
+                        break
+                    i, s = way.pop()  # a dead end: the arc that led here is not tried again
+                    at, is_source = (s, True) if is_source is False else (i, False)
+                    next(back[at] if is_source else left[at], None)
+    return used
 
 
 def _cuts(rows: DataFrame, amounts: dict[int, int]) -> dict[int, tuple[int, list[int], bool]]:
@@ -152,9 +184,19 @@ def mix(df: DataFrame, weight_of: Callable[[int, str | None], float], share: flo
     rows = docs.select(*own, "doc_id", F.xxhash64("text").alias("text_hash"), size(F.col("text")).alias("size"), sources.alias("sources"))
     rows = rows.withColumns({"h1": key(F.col("doc_id"), F.col("text_hash"), F.lit(seed)), "row": F.monotonically_increasing_id()})
     rows = stored(rows, "mix-rows").withColumn("h2", key(F.col("row"), F.lit(seed)))
-    found = rows.groupBy("sources").agg(F.sum("size").alias("size")).limit(MOST_PATTERNS + 1).collect()
+    # Equality of arrays, nulls in them included, by their JSON form.
+    named = F.to_json(F.struct("sources"))
+    sums = rows.groupBy("sources").agg(F.sum("size").alias("size"))
+    if many and sums.limit(MOST_PATTERNS + 1).count() > MOST_PATTERNS:
+        top = sums.select(named.alias("named"), "size").orderBy(F.desc("size"), "named").limit(MOST_PATTERNS // 2).select("named", F.lit(True).alias("_top"))
+        one = F.array(F.get("sources", F.pmod(F.xxhash64("h1", F.lit("source")), F.size("sources")).cast("int")))
+        kept = F.col("_top").isNotNull() | (F.size("sources") < 2)
+        rows = rows.withColumn("named", named).join(F.broadcast(top), "named", "left").withColumn("sources", F.when(kept, F.col("sources")).otherwise(one)).drop("named", "_top")
+        rows = stored(rows, "mix-narrowed")
+        sums = rows.groupBy("sources").agg(F.sum("size").alias("size"))
+    found = sums.limit(MOST_PATTERNS + 1).collect()
     if len(found) > MOST_PATTERNS:
-        raise ValueError(f"over {MOST_PATTERNS} membership patterns")
+        raise ValueError(f"over {MOST_PATTERNS // 2} sources")
     if not found and carry:
         return rows.select(*own, F.lit(0).alias("copies")).toDF(*names, "copies")
     if not found:
@@ -170,8 +212,7 @@ def mix(df: DataFrame, weight_of: Callable[[int, str | None], float], share: flo
         [(i, list(p), w, size_of[p[0]] if len(p) == 1 else None, aims[p[0]] if len(p) == 1 else None) for i, ((p, _), w) in enumerate(zip(patterns, whole, strict=True))],
         "p int, sources array<string>, whole int, source_size long, target double",
     )
-    # Equality of arrays, nulls in them included, by their JSON form; at most MOST_PATTERNS rows are broadcast.
-    named = F.to_json(F.struct("sources"))
+    # At most MOST_PATTERNS rows are broadcast.
     rows = rows.withColumn("named", named).join(F.broadcast(numbered.withColumn("named", named).drop("sources")), "named")
     cuts = _cuts(rows.select("p", "size", "h1", "h2"), {i: g - w * n for i, (g, w, (_, n)) in enumerate(zip(given, whole, patterns, strict=True))})
     table = rows.sparkSession.createDataFrame([(p, min(level, LEVELS), max(0, level - LEVELS), a, b, last) for p, (level, (a, b), last) in cuts.items()], "p int, l1 int, l2 int, a long, b long, last boolean")
@@ -185,7 +226,11 @@ def mix(df: DataFrame, weight_of: Callable[[int, str | None], float], share: flo
 
 
 def mixed_rows(df: DataFrame, weight_of: Callable[[int, str | None], float], **options) -> DataFrame:
-    """df's rows as often as the mix takes them, columns as they came."""
+    """df's rows as often as the mix takes them, columns, clashing names too, as they came.
+
+    Null and empty texts have no words and are taken as their source's draw has it, a very long text as one document; a null source is a
+    source of its own; repeated rows are drawn one by one; an empty table gives none.
+    """
     out = mix(df, weight_of, carry=True, **options)
     names = df.columns
     flat = out.toDF(*[f"c{i}" for i in range(len(names))], "copies")

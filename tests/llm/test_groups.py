@@ -190,3 +190,27 @@ def test_mix_overlapping_sources(spark):
     got = mixing.mix(rows, lambda _, s: {"a": 1.0, "b": 3.0}[s], share=1.0).collect()
     assert len(got) == 500 and {r["copies"] for r in got if r["doc_id"] % 5 > 2} == {0}
     assert abs(sum(r["taken"] for r in got) - 4000) <= 10
+
+
+def test_more_patterns_than_the_driver_holds(spark, monkeypatch):
+    """Fifteen patterns of four sources, of which the driver holds six: documents of the others count for one source each."""
+    monkeypatch.setattr(mixing, "MOST_PATTERNS", 6)
+    rng = random.Random(5)
+    rows = [(i, "w " * rng.randint(1, 20), sorted(rng.sample("abcd", rng.randint(1, 4)))) for i in range(1500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source array<string>")
+    got = mixing.mix(df, mixing.repeating(), share=1.0).collect()
+    assert len(got) == 1500 and {r["doc_id"] for r in got} == set(range(1500)) and max(r["copies"] for r in got) <= 2
+    assert 1.0 < sum(r["taken"] for r in got) / sum(r["size"] for r in got) <= 2.0  # overlapping sources share more than all sizes
+    monkeypatch.setattr(mixing, "MOST_PATTERNS", 3)
+    with pytest.raises(ValueError, match="sources"):
+        mixing.mix(df, mixing.repeating())
+
+
+def test_flow_of_many_patterns_is_quick():
+    import time
+
+    rng, names = random.Random(1), [f"s{i}" for i in range(20)]
+    patterns = list({frozenset(rng.sample(names, rng.randint(1, 6))): rng.randint(1, 1000) for _ in range(5000)}.items())
+    began = time.process_time()
+    used = mixing.flow(patterns, {s: 50_000 * (1 + i) for i, s in enumerate(names)}, 2)
+    assert time.process_time() - began < 10 and sum(used) == min(2 * sum(n for _, n in patterns), sum(50_000 * (1 + i) for i in range(20)), sum(used))
