@@ -7,7 +7,7 @@ only if the Jaccard similarity of the whole sets is LEAST or more, so dissimilar
 
 Equal sets are one row before the search, so copies never make pairs. Where over CROWD different sets share a
 fingerprint, each is first compared with one pivot, the set that most of its crowded fingerprints have as their most typical one (that
-of the largest share of crowded fingerprints), twice. What that leaves in another component than most of a fingerprint's sets
+of the largest share of crowded fingerprints). What that leaves in another component than most of a fingerprint's sets
 is compared with all sets outside its component that can be similar at all: the bits in which the parity sketches
 of two sets differ are no more than the shingles in which the sets do, and at 4/5 those are a ninth of the two sizes at most. So
 every candidate pair is compared, known to be connected, or proved to be too different.
@@ -34,8 +34,10 @@ SHINGLE = 5
 LEAST = (4, 5)
 BANDS, ROWS = 24, 5
 CROWD = 30
-#: Bits of a set's parity sketch, a power of two, and rounds of pivots.
-BITS, ROUNDS = 1024, 2
+#: Bits of a set's parity sketch, a power of two, and rounds of pivots before all pairs left are looked at.
+BITS, ROUNDS = 1024, 1
+#: Marks of sets that are broadcast (8 MB), to leave the other sets out before a shuffle; more sets are shuffled whole.
+FEW = 1_000_000
 _RNG = np.random.default_rng(11)
 _ODD = _RNG.integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _RNG.integers(0, 1 << 63, BANDS * ROWS, np.uint64)
@@ -136,7 +138,11 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose whole sets have LEAST; sizes and sketches, far smaller than sets, rule most others out first."""
     one, two = (sets.select(F.col("fp").alias(k), F.col("n").alias(size), F.col("sketch").alias(x)) for k, size, x in (("a", "n", "x"), ("b", "m", "y")))
     near = pairs.join(one, "a").join(two, "b").filter(_similar("n", "m") & _possible("x", "y", "n", "m"))
-    return linked(overlaps(near.select("a", "b"), sets))
+    near = stored(near.select("a", "b"), "possible")
+    wanted = stored(near.select(F.explode(F.array("a", "b")).alias("fp")).distinct(), "wanted-sets")
+    if wanted.limit(FEW + 1).count() <= FEW:
+        sets = sets.join(F.broadcast(wanted), "fp", "left_semi")
+    return linked(overlaps(near, sets))
 
 
 def _ordered(a: str, b: str) -> list:

@@ -110,22 +110,22 @@ def among(x: np.ndarray, listed: np.ndarray) -> np.ndarray:
 
 
 def signatures(found: np.ndarray, frequent: np.ndarray = NONE) -> np.ndarray:
-    """Different signatures of a set (ascending hashes, not empty)."""
+    """Signatures of a set (ascending hashes, not empty)."""
     out, a = [], len(found)
-    rare = ~among(found, frequent)
+    rare, contents = ~among(found, frequent), _mixed(found)
     for i, k, n in instances(a):
         salt = np.full(1, i, np.uint64) * _TWO
         part = _mixed(found + salt) % np.uint64(n)
-        order = np.argsort(part, kind="stable")
+        order = np.argsort(part.astype(np.uint16) if n < 1 << 16 else part, kind="stable")  # 16 bits are sorted in linear time
         sorted_parts = part[order]
         starts = np.flatnonzero(np.r_[True, sorted_parts[1:] != sorted_parts[:-1]])
-        content = np.add.reduceat(_mixed(found[order]), starts)
+        content = np.add.reduceat(contents[order], starts)
         telling = np.add.reduceat(rare[order].astype(np.int64), starts) > 0
         out.append(_mixed(content + sorted_parts[starts] * _ODD + salt)[telling])
         if int(telling.sum()) <= k:
             least = a - -(-LEAST[0] * a // LEAST[1]) + 1
             out.append(_mixed(np.r_[found[rare], found[~rare]][:least] ^ (salt + _ONE)))
-    return np.unique(np.concatenate(out))
+    return np.concatenate(out)
 
 
 def _longs(values: list[np.ndarray]) -> pa.Array:
