@@ -177,7 +177,11 @@ def payload_media(text: Column) -> Column:
 
 
 def store_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_bytes, media) written to the shared folder and read back; built by column expressions alone."""
+    """(doc_id, n_bytes, media) written to the shared folder and read back; built by column expressions alone.
+
+    Null and empty texts are one block of padding, a very long text is one tall picture; repeated rows and a null doc_id
+    stay; an empty table gives none. Extra columns, whatever their names, are not looked at.
+    """
     docs = documents(df, id_col, text_col)
     return stored(docs.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), payload_media(F.col("text")).alias("media")), "media")
 

@@ -128,6 +128,10 @@ def near_pairs(df: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", te
     Documents with equal signature sets are one class, so copies make no pairs. Sets are partitioned by length into bands
     as wide as the threshold allows (a set meets its own band and the next), and meet only where they share one of their
     rarest signatures, as many as the threshold leaves unmatched at most; every pair that reaches it shares one.
+
+    Texts without signatures (null, empty, without anchors) are one class that meets no other. Repeated rows and rows
+    without doc_id are members like any other; very long texts are read whole; an empty table gives two empty ones.
+    Extra columns, whatever their names, are not looked at.
     """
     rows = stored(fingerprints(df, id_col, text_col), "spot-signatures")
     members = rows.select("doc_id", F.xxhash64("sigs").alias("class"))

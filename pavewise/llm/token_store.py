@@ -91,7 +91,8 @@ def write(df: DataFrame, path: str, tokenizer: str | None = None, end_id: int =
     """Encode every whole text with the tokenizers library, append end_id, store in ascending id order.
 
     Null text is the empty text (its ids are the end id alone). Null document ids come first. Rows that repeat an id stay
-    apart, next to each other. An empty table gives a store without blocks. Ids must be integers.
+    apart, next to each other. An empty table gives a store without blocks. Ids must be integers. A very long text is encoded
+    whole, in chunks, by one task, and stands in a block of its own size; extra columns, whatever their names, are not looked at.
     The one shuffle is the range partitioning by id; ties are spread by the text's hash, so a hot id is not one task's.
     """
     spark = df.sparkSession
