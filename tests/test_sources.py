@@ -150,3 +150,31 @@ def test_small_expressions(spark):
     assert tuple(spark.range(1).select(*X.locator_percent(F.lit(1.0), F.lit(1.0), tuple(map(F.lit, (1.0, 1.0, 1.0, 2.0))))).first()) == (None, 100.0)
     assert spark.range(1).select(X.geoid(F.lit(6), F.lit("37"), F.lit("1100"), F.lit(2))).first()[0] == "060370011002"
     assert spark.range(1).select(X.geoid(F.lit(6), F.lit("37"), F.lit("1100"))).first()[0] == "06037001100"
+
+
+def test_json_lines(spark, tmp_path):
+    (tmp_path / "f.jsonl").write_text('{"id": "a", "road": 0.25, "sky": 1, "extra": 3}\n{"id": "b"}\n')
+    got = sorted(map(tuple, files.jsonl(spark, str(tmp_path / "f.jsonl"), "image_features").select("id", "road", "sky").collect()))
+    assert got == [("a", 0.25, 1.0), ("b", None, None)]
+
+
+def test_calls_are_tried_again(monkeypatch):
+    """Two failures, then an answer; and one failure more than there are tries."""
+    import io
+    import urllib.error
+    import urllib.request
+
+    calls, waits = [], []
+
+    def answer(url, timeout):
+        calls.append(url)
+        if len(calls) < 3:
+            raise urllib.error.URLError("busy")
+        return io.BytesIO(b'{"count": 7}')
+
+    monkeypatch.setattr(urllib.request, "urlopen", answer)
+    monkeypatch.setattr(paged.time, "sleep", waits.append)
+    assert paged.count({"url": "http://service.invalid/query", "wait": "2"}) == 7 and waits == [2.0, 4.0] and "returnCountOnly=true" in calls[0]
+    calls.clear()
+    with pytest.raises(urllib.error.URLError):
+        paged.count({"url": "http://service.invalid/query", "tries": "2", "wait": "0"})
