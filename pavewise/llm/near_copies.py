@@ -38,6 +38,8 @@ CROWD = 30
 BITS, ROUNDS = 1024, 1
 #: Marks of sets that are broadcast (8 MB), to leave the other sets out before a shuffle; more sets are shuffled whole.
 FEW = 1_000_000
+#: Documents whose ids and text hashes are broadcast (some 20 MB) to read their texts without a shuffle; more meet by a shuffle.
+FEW_TEXTS = 200_000
 _RNG = np.random.default_rng(11)
 _ODD = _RNG.integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _RNG.integers(0, 1 << 63, BANDS * ROWS, np.uint64)
@@ -100,6 +102,8 @@ def sets_of(df: DataFrame, of: DataFrame, make: Callable[[str], np.ndarray], id_
     docs = pick(df, doc_id=id_col, text=text_col).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     docs = docs.withColumn("_hash", F.xxhash64("text"))
     own = of.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_of"), "fp")
+    if own.limit(FEW_TEXTS + 1).count() <= FEW_TEXTS:
+        own = F.broadcast(own)
     texts = docs.join(own, docs["doc_id"].eqNullSafe(own["_id"]) & (docs["_hash"] == own["_of"])).dropDuplicates(["fp"]).select("fp", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
