@@ -16,17 +16,19 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pavewise.llm import chunks
-from pavewise.llm.bpe import PATTERN, default_path
+from pavewise.llm.bpe import PATTERN, byte_alphabet, default_path
 from pavewise.llm.common import documents, partitions, prepare
 from pavewise.llm.elias_fano import EliasFano
 
@@ -36,8 +38,27 @@ BLOCKS = "shard int, block int, base long, n_docs int, n_tokens long, n_null int
 SHARDS = "shard int, base long, n_docs long, n_tokens long"
 
 
+def _gathered(ids: np.ndarray, sizes: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The entries ``which``, one after the other, and their sizes; entry k is the k-th of the runs of ``sizes`` ids in ids."""
+    n = sizes[which]
+    first = (np.cumsum(sizes) - sizes)[which]
+    return ids[np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())], n
+
+
+def _joined(entries: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(b"".join(entries), "<u4"), np.fromiter(map(len, entries), np.int64, len(entries)) >> 2
+
+
+def _strings(values: pa.Array) -> list[str]:
+    return values.to_numpy(zero_copy_only=False).tolist()  # several times faster than to_pylist
+
+
 class _Encoder:
-    """The tokenizers library behind a cache of words; texts whose words can't be cut apart go to it whole."""
+    """The tokenizers library behind a cache of words; texts whose words can't be cut apart go to it whole.
+
+    The different chunks of a batch, found by Arrow, go through the pattern once, and the library's model gets each word that the
+    cache lacks once; ids are put together from there by numpy.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -46,30 +67,54 @@ class _Encoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
+        self.merged = self.library.model.tokenize
         self.size = self.library.get_vocab_size(with_added_tokens=True)
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.words = regex.compile(PATTERN)
-        self.pieces = chunks.Cache(self._word, 300_000)
-        self.cache = chunks.Cache(lambda chunk: self._words(" " + chunk), 800_000)
+        self.alphabet = {b: c for c, b in byte_alphabet().items()}
+        self.pieces = chunks.Cache(self._word, 600_000)
 
     def _whole(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
 
-    _word = _whole
+    def _word(self, word: str) -> bytes:
+        """Ids of one word of the pattern, by the library's model on the characters that stand for its bytes."""
+        plain = word.replace(" ", self.alphabet[32]) if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(self.alphabet)
+        return array("I", [t.id for t in self.merged(plain)]).tobytes()
 
     def _words(self, text: str) -> bytes:
         return b"".join(map(self.pieces.new.__getitem__, self.words.findall(text)))
 
-    def packed(self, text: str) -> bytes:
-        if any(s in text for s in self.special) or not chunks.safe(text):
-            return self._whole(text)
-        first, *rest = text.split(" ")
-        return self._words(first) + b"".join(map(self.cache.new.__getitem__, rest))
+    def _chunks(self, some: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and sizes of chunks, each behind a space; none is empty or has white space at an end, so that space begins a word."""
+        found = pa.array(self.words.findall(" " + " ".join(some)) if some else [], pa.string()).dictionary_encode()
+        ids, sizes = _joined(list(map(self.pieces.new.__getitem__, _strings(found.dictionary))))
+        which = found.indices.to_numpy()
+        ids, sizes = _gathered(ids, sizes, which)
+        starts = np.flatnonzero(pc.starts_with(found.dictionary, " ").to_numpy(zero_copy_only=False)[which]) if some else which
+        return ids, np.add.reduceat(sizes, starts) if some else sizes
 
     def batch(self, texts: list[str]) -> list[bytes]:
-        self.cache.turn()
+        """Ids of each text as little-endian unsigned 32-bit integers."""
+        if not texts:
+            return []
         self.pieces.turn()
-        return [self.packed(t) for t in texts]
+        whole = {k: self._whole(t) for k, t in enumerate(texts) if any(s in t for s in self.special) or not chunks.safe(t)}
+        cut = pc.split_pattern(pa.array(["" if k in whole else t for k, t in enumerate(texts)], pa.string()), " ")
+        first = cut.offsets.to_numpy()[:-1]
+        coded = cut.values.dictionary_encode()
+        different, code = _strings(coded.dictionary), coded.indices.to_numpy()
+        plain = np.array([c != "" and c == c.strip() for c in different], bool)
+        ids, sizes = self._chunks([c for c, p in zip(different, plain, strict=True) if p])
+        # Behind the plain chunks: those that must go through the pattern alone, and each text's first, which has no space before it.
+        apart = [self._words(" " + c) for c, p in zip(different, plain, strict=True) if not p]
+        apart += [whole[k] if k in whole else self._words(different[code[i]]) for k, i in enumerate(first)]
+        more, more_sizes = _joined(apart)
+        place = np.where(plain, np.cumsum(plain) - 1, len(sizes) + np.cumsum(~plain) - 1)[code]
+        place[first] = len(sizes) + len(apart) - len(texts) + np.arange(len(texts))
+        ids, sizes = _gathered(np.concatenate([ids, more]), np.concatenate([sizes, more_sizes]), place)
+        raw, ends = ids.astype("<u4").tobytes(), 4 * np.cumsum(sizes)[np.r_[first[1:], len(place)] - 1]
+        return [raw[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
 
 
 @lru_cache(2)

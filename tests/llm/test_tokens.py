@@ -87,3 +87,26 @@ def test_store(spark, odd, none, texts, library, tmp_path, monkeypatch):
     assert sorted((r["doc_id"], r["start"], r["n_tokens"]) for r in found) == sorted(r[:3] for r in got if r[0] in (6, 9))
     token_store.write(none, str(tmp_path / "empty"))
     assert token_store.digests(spark, str(tmp_path / "empty")).count() == 0
+
+
+def test_encoder_runs_the_pattern_once_a_batch(library):
+    """Not once for each different chunk; texts of all kinds still get the library's ids, batch after batch."""
+    class Counted:
+        def __init__(self, words):
+            self.words, self.calls = words, 0
+
+        def findall(self, text):
+            self.calls += 1
+            return self.words.findall(text)
+
+    rng, encoder = random.Random(12), token_store._Encoder(bpe.default_path())
+    encoder.words = Counted(encoder.words)
+    texts = [" ".join(f"w{rng.randrange(10**6)}.{'é' * (k % 3)}" for _ in range(50)) for k in range(200)]
+    for some in (texts, texts[:7], ["x" * 200 + " y", texts[0]]):
+        encoder.words.calls = 0
+        assert encoder.batch(some) == [struct.pack(f"<{len(i)}I", *i) for i in (ids_of(library, t) for t in some)]
+        assert encoder.words.calls <= len(some) + 1
+    parts = ["a", "th", " ", "  ", "\n", "\t", " \n", "\n ", "<|endoftext|>", "é", "日本", "'s", "12", "\x85", "\xa0", "　", "$$", "😀", "\x1c", "\x00", "z" * 70]
+    odd = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 14))) for _ in range(3000)]
+    for some in (odd, [""], ["", " ", "\n", "a", "  "], []):
+        assert encoder.batch(some) == [struct.pack(f"<{len(i)}I", *i) for i in (ids_of(library, t) for t in some)]
