@@ -32,8 +32,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     Null, empty and wordless texts have one and the same (empty) set; a text of fewer words than a shingle is one shingle.
     Rows that repeat id and text leave one, a null id stands after all others. Very long texts are compared whole. An empty
-    table gives none. Columns come out as they went in. The candidates come from near_copies, whose fingerprints reach
-    a similarity of 0.8, where those of op9 would miss most pairs (figures in the README).
+    table gives none. Columns come out as they went in. Candidates come from SimHash of the five-word sets, searched as in op9, and what
+    its links leave apart meets by min-wise fingerprints, since SimHash within 4 bits misses most pairs at 0.8 (figures in the README).
     """
     return near_copies.keep_one(docs)
 

@@ -1,9 +1,13 @@
-"""Near copies by exact Jaccard similarity of word shingles, candidates from independent fingerprints.
+"""Near copies by exact Jaccard similarity of word shingles, candidates from SimHash first, then from other fingerprints.
 
-A document is the set of its shingles' XXH64. Each of BANDS fingerprints hashes the set's smallest values under ROWS
-permutations of its own, so two sets of similarity s share one with chance s ** ROWS: at 0.8 a pair shares none of all with
-chance (1 - 0.8 ** 5) ** 24 = 0.00007, less above. Documents that share a fingerprint are candidates; a pair is linked
-only if the Jaccard similarity of the whole sets is LEAST or more, so dissimilar texts never link.
+A document is the set of its shingles' XXH64. Its SimHash is the majority of these hashes, and the sets whose SimHash differs in
+max_bits or fewer bits are candidates by the pigeonhole plan of simhash.py. A pair is linked only if the Jaccard similarity of
+the whole sets is LEAST or more, so dissimilar texts never link.
+
+SimHash within few bits misses most pairs near LEAST, so what its links leave apart meets by a second kind of fingerprint. Each of
+BANDS fingerprints hashes the set's smallest values under ROWS permutations of its own, so two sets of similarity s share one with
+chance s ** ROWS: at 0.8 a pair shares none of all with chance (1 - 0.8 ** 5) ** 24 = 0.00007, less above. Documents that
+share one are candidates too, compared only if no links connect them yet.
 
 Equal sets are one row before the search, so copies never make pairs. Where over CROWD different sets share a
 fingerprint, each is first compared with one pivot, the set that most of its crowded fingerprints have as their most typical one (that
@@ -25,9 +29,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pavewise.llm import simhash
 from pavewise.llm.common import documents, pick, prepare, stored
 from pavewise.llm.graph import components
-from pavewise.llm.simhash import keep_least, with_component
+from pavewise.llm.simhash import MAX_BITS, keep_least, with_component
 
 SHINGLE = 5
 #: The least Jaccard similarity of a link, as a fraction: 4 / 5.
@@ -72,23 +77,24 @@ def lists(values: list[bytes]) -> pa.Array:
 
 
 def signatures(df: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text_hash, fp, n, bands): fp tells different sets apart, n is the set's size. Null text is empty."""
+    """(doc_id, text_hash, fp, n, mark, bands): fp tells different sets apart, n is the set's size, mark its SimHash. Null text is empty."""
     prepare(df.sparkSession)
     docs = documents(df, id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps, sizes, marks = [], [], []
+            fps, sizes, simhashes, marks = [], [], [], []
             for text in batch.column(2).to_pylist():
                 found = shingles(text, shingle)
                 fps.append(xxhash.xxh64_digest(found.tobytes()))
                 sizes.append(len(found))
+                simhashes.append(simhash.majority(found.astype(">u8").view(np.uint8).reshape(-1, 8)))
                 marks.append(bands(found) if len(found) else b"")
-            fp = pa.array(np.frombuffer(b"".join(fps), np.int64))
-            yield pa.record_batch([batch.column(0), batch.column(1), fp, pa.array(sizes, pa.int32()), lists(marks)], ["doc_id", "text_hash", "fp", "n", "bands"])
+            fp, mark = pa.array(np.frombuffer(b"".join(fps), np.int64)), pa.array(np.frombuffer(b"".join(simhashes), ">i8").astype(np.int64))
+            yield pa.record_batch([batch.column(0), batch.column(1), fp, pa.array(sizes, pa.int32()), mark, lists(marks)], ["doc_id", "text_hash", "fp", "n", "mark", "bands"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, f"doc_id {kind}, text_hash long, fp long, n int, bands array<long>")
+    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, f"doc_id {kind}, text_hash long, fp long, n int, mark long, bands array<long>")
 
 
 def sketch(found: np.ndarray) -> bytes:
@@ -159,25 +165,46 @@ def connecting(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     Within a group of near copies the first pairs connect nearly all, so few of its pairs need the whole sets.
     """
     pairs = stored(pairs.select("a", "b").distinct(), "pairs")
+    if pairs.isEmpty():
+        return pairs
     found = stored(verified(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), sets), "similar")
+    return found.union(verified(unconnected(pairs, found), sets))
+
+
+def simhash_pairs(one: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+    """Candidates (a, b) among different sets (fp, mark): the least fp of each SimHash with its others, and with that of each SimHash linked to it."""
+    least = stored(one.groupBy("mark").agg(F.min("fp").alias("least")), "simhash-marks")
+    same = one.join(least, "mark").filter("fp <> least").select(*_ordered("least", "fp"))
+    near = simhash.links(least.select(F.col("mark").alias("fp")), max_bits)
+    one_end, other = (least.select(F.col("mark").alias(k), F.col("least").alias(x)) for k, x in (("a", "x"), ("b", "y")))
+    return stored(same.union(near.join(one_end, "a").join(other, "b").select(*_ordered("x", "y"))), "simhash-pairs")
+
+
+def unconnected(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """The pairs (a, b) that the links found leave in different components."""
+    if found.isEmpty():
+        return pairs
     label = stored(components(found), "labels")
     one, two = (label.select(F.col("node").alias(k), F.col("label").alias(x)) for k, x in (("a", "x"), ("b", "y")))
-    apart = pairs.join(one, "a", "left").join(two, "b", "left").filter(F.coalesce("x", "a") != F.coalesce("y", "b"))
-    return found.union(verified(apart.select("a", "b"), sets))
+    return pairs.join(one, "a", "left").join(two, "b", "left").filter(F.coalesce("x", "a") != F.coalesce("y", "b")).select("a", "b")
 
 
-def links(df: DataFrame, rows: DataFrame, shingle: int = SHINGLE, crowd: int = CROWD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def links(df: DataFrame, rows: DataFrame, shingle: int = SHINGLE, crowd: int = CROWD, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
     """Links (a, b), a < b, between the fp of rows (see signatures) whose components are those of all similar candidates."""
-    one = rows.groupBy("fp").agg(F.first("n").alias("n"), F.first("bands").alias("bands"), F.min(F.struct("doc_id", "text_hash")).alias("own"))
-    one = stored(one.select("fp", "n", "bands", F.col("own.doc_id").alias("doc_id"), F.col("own.text_hash").alias("text_hash")), "different-sets")
+    one = rows.groupBy("fp").agg(F.first("n").alias("n"), F.first("mark").alias("mark"), F.first("bands").alias("bands"), F.min(F.struct("doc_id", "text_hash")).alias("own"))
+    one = stored(one.select("fp", "n", "mark", "bands", F.col("own.doc_id").alias("doc_id"), F.col("own.text_hash").alias("text_hash")), "different-sets")
+    marked = simhash_pairs(one.filter("n > 0").select("fp", "mark"), max_bits)
     index = one.select("fp", "n", F.posexplode("bands").alias("band", "value"))
     shared = stored(index.groupBy("band", "value").agg(F.count("*").alias("k")).filter("k > 1"), "shared-fingerprints")
     members = stored(index.join(shared, ["band", "value"]), "candidates")
     quiet, crowded = members.filter(F.col("k") <= crowd), members.filter(F.col("k") > crowd)
     other = quiet.select(F.col("band").alias("_band"), F.col("value").alias("_value"), F.col("fp").alias("other"), F.col("n").alias("m"))
     near = quiet.join(other, (F.col("band") == F.col("_band")) & (F.col("value") == F.col("_value")) & (F.col("fp") < F.col("other")) & _similar("n", "m"))
-    sets = stored(sets_of(df, one.join(members.select("fp").distinct(), "fp", "left_semi"), lambda text: shingles(text, shingle), id_col, text_col), "shingle-sets")
-    found = stored(connecting(near.select(*_ordered("fp", "other")), sets), "similar")
+    wanted = members.select("fp").union(marked.select(F.explode(F.array("a", "b")).alias("fp"))).distinct()
+    sets = stored(sets_of(df, one.join(wanted, "fp", "left_semi"), lambda text: shingles(text, shingle), id_col, text_col), "shingle-sets")
+    by_simhash = stored(connecting(marked, sets), "simhash-links")
+    rest = unconnected(near.select(*_ordered("fp", "other")).distinct(), by_simhash)
+    found = stored(by_simhash.union(connecting(rest, sets)), "similar")
     return found if crowded.isEmpty() else crowd_links(crowded.select(F.xxhash64("band", "value").alias("value"), "fp"), found, sets)
 
 

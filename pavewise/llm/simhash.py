@@ -49,7 +49,11 @@ def fingerprint(text: str, shingle: int = 4, seed: int = 42) -> bytes:
     starts = [0, *accumulate(len(w) + 1 for w in words)]
     digest = xxhash.xxh64_digest
     raw = b"".join([digest(plain[a : e - 1], seed) for a, e in zip(starts, starts[k:], strict=False)])
-    hashes = np.frombuffer(raw, np.uint8).reshape(-1, 8)
+    return majority(np.frombuffer(raw, np.uint8).reshape(-1, 8))
+
+
+def majority(hashes: np.ndarray) -> bytes:
+    """The bits that over half of the hashes have set; hashes are rows of 8 bytes, highest bit first. No hashes give 0."""
     counts = np.unpackbits(hashes, axis=1).sum(axis=0, dtype=np.int64)
     return np.packbits(2 * counts > len(hashes)).tobytes()
 

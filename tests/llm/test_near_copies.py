@@ -6,7 +6,10 @@ from itertools import combinations
 
 import corpus_pipeline as P
 import pytest
-from pavewise.llm import near_copies
+import xxhash
+from pavewise.llm import near_copies, simhash
+from pavewise.llm.graph import components
+from pyspark.sql import functions as F
 
 
 def plain_set(text, k=5):
@@ -94,3 +97,41 @@ def test_odd_rows(odd, none):
     out = near_copies.keep_one(odd)
     assert out.columns == odd.columns and sorted(r[0] for r in out.collect() if r[0]) == sorted({1, 4, 5, 7, 8, 9, 10, 12, 50})
     assert near_copies.keep_one(none).count() == 0
+
+
+def plain_mark(shingles):
+    hashes = [xxhash.xxh64_intdigest(x, 42) for x in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def test_simhash_links_without_other_fingerprints(spark):
+    """All pairs of different sets within 4 bits of SimHash and at 0.8 or more, and no others, when no set has min-wise fingerprints."""
+    rng, texts = random.Random(7), []
+    for _ in range(40):
+        words = [f"w{rng.randrange(5000)}" for _ in range(rng.randint(150, 300))]
+        texts += [" ".join(words), *(" ".join(changed(rng, words, times)) for times in (1, 1, 2, 4))]
+    texts += ["", "a", "b", "a b c d e", "a b c d e a b c d e"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = near_copies.signatures(df)
+    sets = [plain_set(t) for t in texts]
+    marks = [plain_mark(s) for s in sets]
+    found = rows.collect()
+    assert {r["doc_id"]: r["mark"] & (2**64 - 1) for r in found} == dict(enumerate(marks))
+    doc = {r["fp"]: r["doc_id"] for r in found}
+    label = list(range(len(texts)))
+    near = [(a, b) for a, b in combinations(range(len(texts)), 2) if (marks[a] ^ marks[b]).bit_count() <= 4 and jaccard(sets[a], sets[b]) >= 0.8]
+    for a, b in near:
+        label = [label[a] if x == label[b] else x for x in label]
+    links = near_copies.links(df, rows.withColumn("bands", F.array().cast("array<long>")))
+    got = list(range(len(texts)))
+    for r in components(links).collect():
+        got[doc[r["node"]]] = doc[r["label"]]
+    classes = lambda of: {frozenset(i for i, y in enumerate(of) if y == x) for x in of}
+    assert len(near) > 30 and classes(got) == classes(label)
+
+
+def test_stage_searches_by_simhash(spark, monkeypatch):
+    searched, links = [], simhash.links
+    monkeypatch.setattr(simhash, "links", lambda fps, *more: searched.append(fps.count()) or links(fps, *more))
+    out = P.drop_near_copies(spark, spark.createDataFrame([(1, "one two three"), (2, "four five"), (3, "Four  five"), (4, None)], "doc_id long, text string"), "")
+    assert searched == [2] and sorted(r["doc_id"] for r in out.collect()) == [1, 2, 4]
