@@ -242,7 +242,7 @@ def manifest(spark, sf):
 def manifest_dropped(spark, sf):
     """How many pairs of the queue a manifest leaves out for want of a picture."""
     q = view(spark, sf, "votes").groupBy("pair_id").agg(F.min("seg_left").alias("a"), F.min("seg_right").alias("b"))
-    pic = S.imaged(spark, sf).select("seg_id").distinct()
+    pic = S.image_links(spark, sf)[0].select("seg_id").distinct()
     both = q.join(pic.toDF("a").withColumn("_a", F.lit(True)), "a", "left").join(pic.toDF("b").withColumn("_b", F.lit(True)), "b", "left")
     return both.agg(F.count("*").alias("pairs"), F.count_if(F.col("_a").isNull() | F.col("_b").isNull()).alias("dropped"))
 
@@ -270,9 +270,20 @@ def class_counts(spark, sf):
 
 @query("multi_key_sort", ctes("segments", "images") + f", {IMG_SQL} SELECT seg_id, image_id, CAST(row_number() OVER (ORDER BY seg_id, d, image_id) AS BIGINT) place FROM near")
 def multi_key_sort(spark, sf):
-    """Links in (segment, distance, image) order with their place."""
-    near = S.imaged(spark, sf).select("seg_id", "image_id", "d")
-    return stats.positions(near, ["seg_id", "d", "image_id"], "at").select("seg_id", "image_id", (F.col("at") + 1).alias("place"))
+    """Links in (segment, distance, image) order with their place.
+
+    What lies before a segment's distance is summed up over places and their counts. Most distances are those of one place, whose
+    images are numbered once for all segments; links alone that share segment and distance with another place's are ordered.
+    """
+    links, few = S.image_links(spark, sf)
+    own = S.photos(spark, sf).select("image_id", "px", "py")
+    n = links.join(own.groupBy("px", "py").agg(F.count("*").alias("n")), ["px", "py"])
+    groups = stats.running(n.groupBy("seg_id", "d").agg(F.sum("n").alias("n"), F.count("*").alias("places")), ["seg_id", "d"], {"before": F.col("n")})
+    at = checkpointed(links.join(geo.hinted(groups.select("seg_id", "d", "places", "before"), few), ["seg_id", "d"]))
+    order = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy("image_id"))
+    one = own.withColumn("r", order("px", "py")).join(geo.hinted(at.filter("places = 1"), few), ["px", "py"])
+    more = own.join(geo.hinted(at.filter("places > 1"), few), ["px", "py"]).withColumn("r", order("seg_id", "d"))
+    return one.unionByName(more.select(one.columns)).select("seg_id", "image_id", (F.col("before") + F.col("r")).alias("place"))
 
 
 @query("limit_n", ctes("images") + " SELECT image_id FROM images ORDER BY captured_at, image_id LIMIT 25")
